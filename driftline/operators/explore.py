@@ -130,7 +130,7 @@ def cramers_v(df: DataFrame, categories: Sequence[str], outcomes: Sequence[str])
     return share.select(*pair, v.alias("cramers_v"))
 
 
-def histogram(df: DataFrame, measures: Sequence[str], normal: str, bins: int = 32) -> DataFrame:
+def histogram(df: DataFrame, measures: Sequence[str], normal: str, bins: int = 32, digits: int = 5) -> DataFrame:
     """Equal-width bins over the full range, counted for normal and other rows.
 
     The last edge belongs to the last bin; a constant column gets a range of one around it.
@@ -152,7 +152,7 @@ def histogram(df: DataFrame, measures: Sequence[str], normal: str, bins: int = 3
     slots = edges.select("column", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / bins
     return slots.join(counted, ["column", "bin"], "left").select(
-        "column", "bin", F.round(F.col("lo") + F.col("bin") * width, 5).alias("edge"),
+        "column", "bin", F.round(F.col("lo") + F.col("bin") * width, digits).alias("edge"),
         F.coalesce("normal_rows", F.lit(0)).alias("normal_rows"),
         F.coalesce("other_rows", F.lit(0)).alias("other_rows"),
     )
