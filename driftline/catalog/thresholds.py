@@ -106,8 +106,8 @@ def zone_rate_daily(spark, folder):
     return day_text(rounded(daily.zone_rate_daily(df, shot_thresholds(df), SHOTS), 6, "zone_rate"), "dt")
 
 
-STABLE_SQL = f"""{ZONE_SQL}, zd AS (SELECT machine, "column", label, dt, sum(in_zone) / count(*) AS rate,
-   row_number() OVER (PARTITION BY machine, "column", label ORDER BY dt) AS j FROM zf WHERE is_ok GROUP BY ALL),
+STABLE_SQL = f"""{ZONE_SQL}, zo AS (SELECT machine, "column", label, dt, sum(in_zone) / count(*) AS rate FROM zf WHERE is_ok GROUP BY ALL),
+ zd AS (SELECT *, row_number() OVER (PARTITION BY machine, "column", label ORDER BY dt) AS j FROM zo),
  zs AS (SELECT a.machine, a."column", a.label, a.j, a.dt, coalesce(sum(sign(a.rate - b.rate)), 0) AS sj,
    count(b.rate) FILTER (b.rate = a.rate) AS c FROM zd a LEFT JOIN zd b
    ON a.machine = b.machine AND a."column" = b."column" AND a.label = b.label AND b.j < a.j GROUP BY ALL),
@@ -219,16 +219,17 @@ def limit_breach_days(spark, folder):
     return day_text(spec.breach_days(shots(spark, folder), SHOTS, UPPER), "dt")
 
 
-@query("upper_limit_rules", """WITH t AS (SELECT p_type AS factor, p_brand AS upper_limit_text, p_name AS defect, p_size, p_partkey,
-    CASE WHEN p_size % 3 = 0 THEN 'n/a' ELSE CAST(p_size AS VARCHAR) END AS upper_limit FROM part)
-  SELECT factor, CAST(min_by(TRY_CAST(upper_limit AS DOUBLE), CASE WHEN TRY_CAST(upper_limit AS DOUBLE) IS NOT NULL THEN p_partkey END) AS DOUBLE) AS upper_limit,
+@query("upper_limit_rules", """WITH p AS (SELECT p_type AS factor, p_name AS defect, min(p_partkey) AS position, min_by(p_size, p_partkey) AS size FROM part GROUP BY 1, 2),
+  t AS (SELECT *, CASE WHEN size % 3 = 0 THEN 'n/a' ELSE CAST(size AS VARCHAR) END AS upper_limit FROM p)
+  SELECT factor, CAST(min_by(TRY_CAST(upper_limit AS DOUBLE), CASE WHEN TRY_CAST(upper_limit AS DOUBLE) IS NOT NULL THEN position END) AS DOUBLE) AS upper_limit,
     count(*) AS n_defects FROM t GROUP BY 1 HAVING count(TRY_CAST(upper_limit AS DOUBLE)) > 0""")
 def upper_limit_rules(spark, folder):
-    text = F.when(F.col("p_size") % 3 == 0, "n/a").otherwise(F.col("p_size").cast("string"))
-    rules = table(spark, folder, "part").select(
-        F.col("p_type").alias("factor"), text.alias("upper_limit"), F.col("p_name").alias("defect"),
-        F.col("p_brand").alias("evidence_level"), F.col("p_partkey").alias("position"),
+    # one line per (type, name) pair: the vocabulary of the parts, not the parts
+    pairs = table(spark, folder, "part").groupBy(F.col("p_type").alias("factor"), F.col("p_name").alias("defect")).agg(
+        F.min("p_partkey").alias("position"), F.min_by("p_size", "p_partkey").alias("size")
     )
+    text = F.when(F.col("size") % 3 == 0, "n/a").otherwise(F.col("size").cast("string"))
+    rules = pairs.select("factor", "defect", "position", text.alias("upper_limit"), F.lit("").alias("evidence_level"))
     return spec.upper_limits(rules).select("factor", "upper_limit", F.size("defects").cast("bigint").alias("n_defects"))
 
 

@@ -1 +1,359 @@
-"""Registered queries."""
+"""Early-warning rows and what follows from them."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from driftline.catalog.baselines import DAILY_SQL, shot_daily, stats_sql
+from driftline.catalog.bindings import CONSTANTS, RISES_IS_BAD, SHOTS, SHOTS_SQL, TYPES, UPPER, WATCHED, shots
+from driftline.catalog.registry import day_text, query, rounded, union_sql
+from driftline.catalog.thresholds import BREACH_SQL, RULES_SQL, SHOT_STUMPS
+from driftline.functions import expr
+from driftline.operators import alerts, health
+from driftline.operators.sequence import gap_sessions
+from driftline.plans.alerting import learn_references, run_alerts
+from driftline.schema import LOW
+
+SM = list(SHOTS.measures)
+
+
+def references(df, measures=None):
+    kept = {m: t for m, t in TYPES.items() if measures is None or m in measures}
+    return learn_references(
+        df, SHOTS if measures is None else _only(measures), kept, rises_is_bad=RISES_IS_BAD, labels=WATCHED,
+        constants=CONSTANTS, upper={m: u for m, u in UPPER.items() if m in kept},
+    )
+
+
+def _only(measures):
+    return replace(SHOTS, measures=tuple(measures), limits={m: v for m, v in SHOTS.limits.items() if m in measures})
+
+
+def alert_table(spark, folder, measures=None, with_messages=False):
+    df = shots(spark, folder)
+    roles = SHOTS if measures is None else _only(measures)
+    return run_alerts(df, roles, references(df, measures), with_messages=with_messages)
+
+
+_W = 'PARTITION BY machine, product, recipe, "column", label ORDER BY ts, shot_id'
+_LIMITS = 'li("column", lsl, target, usl) AS (VALUES ' + ", ".join(
+    f"('{c}', {float(v.lsl)}::DOUBLE, {float(v.target)}::DOUBLE, {float(v.usl)}::DOUBLE)" for c, v in SHOTS.limits.items()) + ")"
+
+BASE_SQL = f"""{stats_sql('shots', 'group_key', SM)}, {SHOT_STUMPS}, {RULES_SQL}, {BREACH_SQL}, {_LIMITS},
+ okl AS ({union_sql('shots', 'group_key', SM, 'is_ok')}),
+ om AS (SELECT group_key, "column", round(quantile_cont(value, 0.5), 5) AS ok_median FROM okl GROUP BY ALL),
+ oe AS (SELECT "column", round(avg(value), 5) AS ok_mean, round(stddev_samp(value), 5) AS ok_std FROM okl GROUP BY ALL),
+ ty("column", type) AS (VALUES {', '.join(f"('{m}', '{t}')" for m, t in TYPES.items())}),
+ rf AS (SELECT st.group_key, st."column", type, std,
+   CASE type WHEN 'E' THEN 50.0 WHEN 'C' THEN coalesce(target, median) ELSE coalesce(target, ok_median) END AS base,
+   CASE type WHEN 'E' THEN ok_mean WHEN 'C' THEN coalesce(target, median) ELSE coalesce(target, ok_median) END AS ctarget,
+   CASE type WHEN 'E' THEN coalesce(nullif(ok_std, 0), std) ELSE std END AS csd
+   FROM st JOIN ty USING ("column") LEFT JOIN li USING ("column") JOIN om USING (group_key, "column") JOIN oe USING ("column")),
+ rv AS (SELECT rf.*, coalesce(b.label, '') AS label, b.threshold, b.direction FROM rf LEFT JOIN b
+   ON b.group_key = rf.group_key AND b."column" = rf."column" AND rf.type = 'C'),
+ sl AS ({union_sql('shots', 'shot_id, ts, dt, machine, product, recipe, group_key', SM)}),
+ s1 AS (SELECT sl.*, rv.* EXCLUDE (group_key, "column"), row_number() OVER ({_W}) AS rn, (value - ctarget) / csd AS z,
+   rules.lsl, rules.usl, rules.run, coalesce(value < rules.lsl OR value > rules.usl, false) AS oos
+   FROM sl JOIN rv USING (group_key, "column") LEFT JOIN rules USING ("column")),
+ s2 AS (SELECT *, sum(z - 0.7) OVER w AS p, sum(z + 0.7) OVER w AS q, avg(value) OVER r AS rmean, stddev_samp(value) OVER r AS rstd,
+   value - lag(value, 9) OVER ({_W}) AS rdiff, regr_slope(value, rn) OVER r AS rslope,
+   rn >= 10 AND coalesce(CASE direction WHEN '{LOW}' THEN value <= threshold ELSE value >= threshold END, false) AND direction IS NOT NULL AS risk
+   FROM s1 WINDOW w AS ({_W}), r AS ({_W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+ s3 AS (SELECT *, p - least(0, min(p) OVER w) AS up, q - greatest(0, max(q) OVER w) AS dn,
+   rn - coalesce(max(CASE WHEN NOT risk THEN rn END) OVER w, 0) AS risk_pos,
+   rn - coalesce(max(CASE WHEN NOT oos THEN rn END) OVER w, 0) AS oos_pos FROM s2 WINDOW w AS ({_W})),
+ s4 AS (SELECT s3.*, rn >= 10 AS ready, risk_pos = 5 AS entry, run IS NOT NULL AND oos_pos = run AS spec_hit,
+   "column" = 'load' AND coalesce(breach, false) AND value > {UPPER['load'].limit} AS over_hit,
+   CASE WHEN type = 'A' THEN up > 4.5 WHEN type IN ('B', 'E') THEN up > 4.5 OR dn < -4.5
+     WHEN label <> '' THEN risk_pos = 5 OR (CASE direction WHEN '{LOW}' THEN dn < -4.5 ELSE up > 4.5 END) ELSE false END AS typed
+   FROM s3 LEFT JOIN breach ON breach.machine = s3.machine AND breach.dt = s3.dt),
+ s5 AS (SELECT *, ready AND (typed OR spec_hit OR over_hit) AS warn FROM s4),
+ s6 AS (SELECT *, CASE WHEN warn AND NOT coalesce(lag(warn) OVER ({_W}), false) THEN 1 ELSE 0 END AS edge FROM s5),
+ s7 AS (SELECT *, CAST(sum(edge) OVER ({_W}) AS BIGINT) AS episode_id, coalesce(nullif(rstd, 0), nullif(csd, 0)) AS eff FROM s6),
+ al AS (SELECT shot_id, ts, machine, product, recipe, "column", type, label AS matched_label, base AS baseline, threshold,
+   lsl AS spec_lsl, usl AS spec_usl, CASE WHEN lsl IS NULL THEN '' WHEN oos THEN 'OUT_OF_SPEC' ELSE 'OK' END AS spec_status,
+   value AS current_value, rmean AS rolling_mean, rstd AS rolling_std, rdiff AS difference, rslope AS slope,
+   CASE WHEN eff IS NOT NULL THEN (rmean - base) / eff WHEN base <> 0 THEN (rmean - base) / abs(base) ELSE rmean - base END AS normalized_deviation,
+   CASE WHEN type = 'C' AND typed THEN CASE direction WHEN '{LOW}' THEN 'down' ELSE 'up' END
+     WHEN type IN ('A', 'B', 'E') AND up > 4.5 THEN 'up' WHEN type IN ('B', 'E') AND dn < -4.5 THEN 'down'
+     WHEN rslope > 0 THEN 'up' WHEN rslope < 0 THEN 'down' ELSE 'flat' END AS trend_direction,
+   spec_hit AS spec_violation_warning, over_hit AS external_limit_warning, warn AS early_warning, episode_id,
+   typed AS typed_warning, entry AND type = 'C' AND label <> '' AS entry_warning FROM s7 WHERE warn)"""
+
+_ROUND = ["baseline", "threshold", "rolling_mean", "rolling_std", "difference", "slope", "normalized_deviation", "current_value"]
+_REPLACE = "REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in _ROUND) + ")"
+
+
+def _show(df):
+    return rounded(df, 6, *_ROUND)
+
+
+@query("alerts_all", f"WITH {SHOTS_SQL}, {BASE_SQL} SELECT * {_REPLACE} FROM al")
+def alerts_all(spark, folder):
+    return _show(alert_table(spark, folder))
+
+
+def _typed(kind, measure):
+    @query(f"alerts_{kind.lower()}", f"WITH {SHOTS_SQL}, {BASE_SQL} SELECT * {_REPLACE} FROM al WHERE \"column\" = '{measure}'")
+    def run(spark, folder):
+        return _show(alert_table(spark, folder, [measure]))
+
+
+for _m, _t in TYPES.items():
+    _typed(_t, _m)
+
+
+@query("alert_messages", f"""WITH {SHOTS_SQL}, {BASE_SQL} SELECT shot_id, "column", matched_label,
+  machine || ' / ' || product || ' / ' || recipe || '의 value에서 ' || CASE WHEN entry_warning
+    THEN '위험 Threshold(' || printf('%.4f', threshold) || ')에 진입했습니다.'
+    ELSE '정상 Baseline 대비 ' || CASE trend_direction WHEN 'down' THEN '낮은' ELSE '높은' END || ' 방향으로 지속적으로 벌어지는 편차가 감지되었습니다.' END AS message
+  FROM al WHERE "column" = 'value' AND typed_warning AND NOT spec_violation_warning""")
+def alert_messages(spark, folder):
+    rows = alert_table(spark, folder, ["value"], with_messages=True)
+    return rows.filter("typed_warning and not spec_violation_warning").select("shot_id", "column", "matched_label", "message")
+
+
+@query("spec_violation_events", f"""WITH {SHOTS_SQL}, {BASE_SQL} SELECT shot_id, "column", round(current_value, 6) AS current_value, episode_id
+  FROM al WHERE spec_violation_warning AND type = 'E'""")
+def spec_violation_events(spark, folder):
+    rows = alert_table(spark, folder, ["k"]).filter("spec_violation_warning")
+    return rounded(rows.select("shot_id", "column", "current_value", "episode_id"), 6, "current_value")
+
+
+@query("external_limit_alerts", f"""WITH {SHOTS_SQL}, {BASE_SQL} SELECT shot_id, machine, round(current_value, 6) AS current_value FROM al WHERE external_limit_warning""")
+def external_limit_alerts(spark, folder):
+    rows = alert_table(spark, folder, ["load"]).filter("external_limit_warning")
+    return rounded(rows.select("shot_id", "machine", "current_value"), 6, "current_value")
+
+
+@query("out_of_spec_share", f"""WITH {SHOTS_SQL}, {BASE_SQL} SELECT count(*) AS alert_rows, count(*) FILTER (spec_violation_warning) AS spec_alerts,
+  count(*) FILTER (spec_status <> '') AS checked_rows, count(*) FILTER (spec_status = 'OUT_OF_SPEC') AS out_of_spec_rows,
+  round(count(*) FILTER (spec_status = 'OUT_OF_SPEC') / count(*) FILTER (spec_status <> ''), 6) AS out_of_spec_share FROM al""")
+def out_of_spec_share(spark, folder):
+    return rounded(alerts.warning_rates(alert_table(spark, folder)), 6, "out_of_spec_share")
+
+
+@query("episode_count", f"""WITH {SHOTS_SQL}, {BASE_SQL} SELECT count(DISTINCT (machine, product, recipe, "column", episode_id)) AS episodes FROM al""")
+def episode_count(spark, folder):
+    return health.episode_count(alert_table(spark, folder), SHOTS)
+
+
+ACTIVE_SQL = f"""{BASE_SQL}, aw AS (SELECT machine, "column", ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 1 DAY THEN 1 ELSE 0 END AS fresh
+   FROM al WINDOW w AS (PARTITION BY machine, "column" ORDER BY ts)),
+ ar AS (SELECT *, sum(fresh) OVER (PARTITION BY machine, "column" ORDER BY ts) AS session FROM aw),
+ as1 AS (SELECT machine, "column", session, min(ts) AS since, max(ts) AS last_ts FROM ar GROUP BY ALL),
+ la AS (SELECT max(ts) AS latest FROM al),
+ act AS (SELECT machine, "column", since, last_ts, round((epoch_us(latest) - epoch_us(since)) / 86400000000.0, 2) AS days
+   FROM as1, la QUALIFY row_number() OVER (PARTITION BY machine, "column" ORDER BY session DESC) = 1 AND last_ts >= latest - INTERVAL 1 DAY)"""
+
+
+@query("active_alerts", f"WITH {SHOTS_SQL}, {ACTIVE_SQL} SELECT * FROM act")
+def active_alerts(spark, folder):
+    return health.active_alerts(alert_table(spark, folder), "machine", "ts")
+
+
+@query("alert_strength", f"""WITH {SHOTS_SQL}, {ACTIVE_SQL} SELECT machine, "column", round(least(1.0, days / 14.0), 6) AS strength,
+  CASE WHEN days >= 14 THEN 'full' ELSE 'early' END AS alert_level FROM act""")
+def alert_strength(spark, folder):
+    active = health.active_alerts(alert_table(spark, folder), "machine", "ts")
+    return rounded(health.strength(active), 6, "strength").select("machine", "column", "strength", "alert_level")
+
+
+_SWEEP = [1, 2, 3, 4, 5, 7, 10, 14, 21, 28]
+_FAULTY = ["M1", "M2", "M3"]
+
+
+@query("maturity_sweep", f"""WITH {SHOTS_SQL}, {ACTIVE_SQL}, g(t) AS (VALUES {', '.join(f'({float(t)}::DOUBLE)' for t in _SWEEP)}),
+  c AS (SELECT t, {', '.join(f"count(*) FILTER (machine = '{m}' AND days >= t) AS n_{m}" for m in ['M0', *_FAULTY])} FROM g, act GROUP BY t)
+  SELECT *, CASE WHEN n_M0 = 0 AND n_M1 >= 1 AND n_M2 >= 1 AND n_M3 >= 1 THEN 'separated' WHEN n_M0 > 0 THEN 'false_alarm' ELSE 'missed' END AS verdict FROM c""")
+def maturity_sweep(spark, folder):
+    active = health.active_alerts(alert_table(spark, folder), "machine", "ts")
+    return health.maturity_sweep(active, "machine", _SWEEP, "M0", _FAULTY)
+
+
+@query("separable_range", f"""WITH {SHOTS_SQL}, {ACTIVE_SQL}, t AS (SELECT machine, max(days) AS top FROM act GROUP BY 1),
+  r AS (SELECT coalesce(max(top) FILTER (machine = 'M0'), 0) AS above_days, min(top) FILTER (machine <> 'M0') AS up_to_days FROM t)
+  SELECT *, coalesce(above_days < up_to_days, false) AS separable FROM r""")
+def separable_range(spark, folder):
+    active = health.active_alerts(alert_table(spark, folder), "machine", "ts")
+    return health.separable_range(active, "machine", "M0", _FAULTY)
+
+
+@query("alert_funnel", f"""WITH {SHOTS_SQL}, {ACTIVE_SQL} SELECT (SELECT count(*) FROM shots) AS input_rows, count(*) AS alert_rows,
+  count(DISTINCT (machine, product, recipe, "column", ts)) AS alert_shots, count(DISTINCT (machine, product, recipe, "column", episode_id)) AS episodes,
+  count(DISTINCT (machine, "column")) AS entity_columns, (SELECT count(*) FROM act) AS active,
+  (SELECT count(*) FILTER (days >= 14) FROM act) AS full_strength FROM al""")
+def alert_funnel(spark, folder):
+    n = shots(spark, folder).agg(F.count(F.lit(1)).alias("n"))
+    return health.funnel(alert_table(spark, folder), SHOTS, n)
+
+
+SCALE_SQL = f"""{BASE_SQL}, sk AS (SELECT machine, "column", count(*) AS alert_rows, count(DISTINCT (product, recipe)) AS n_strata,
+   count(DISTINCT CAST(ts AS DATE)) AS n_days, max(CAST(ts AS DATE)) AS last_day FROM al GROUP BY ALL),
+ sc AS (SELECT machine, "column", alert_rows, n_strata, n_days, date_diff('day', last_day, max(last_day) OVER ()) AS days_since_last,
+   date_diff('day', last_day, max(last_day) OVER ()) <= 3 AS near_now,
+   row_number() OVER (ORDER BY alert_rows DESC, machine, "column") <= 4 AS top_group FROM sk)"""
+
+
+@query("alert_scale", f"WITH {SHOTS_SQL}, {SCALE_SQL} SELECT * FROM sc")
+def alert_scale(spark, folder):
+    return health.alert_scale(alert_table(spark, folder), SHOTS)
+
+
+@query("alert_scale_summary", f"""WITH {SHOTS_SQL}, {SCALE_SQL} SELECT count(*) AS pairs, count(*) FILTER (near_now) AS near_now_pairs,
+  min(alert_rows) FILTER (top_group) AS top_lowest, max(alert_rows) FILTER (NOT top_group) AS rest_highest,
+  round(min(alert_rows) FILTER (top_group) / max(alert_rows) FILTER (NOT top_group), 6) AS gap_ratio FROM sc""")
+def alert_scale_summary(spark, folder):
+    return rounded(health.scale_summary(health.alert_scale(alert_table(spark, folder), SHOTS)), 6, "gap_ratio")
+
+
+@query("detector_overlap", f"""WITH {SHOTS_SQL}, {BASE_SQL}, f AS (SELECT min(ts) FILTER (entry_warning) AS e,
+    min(ts) FILTER (typed_warning AND NOT entry_warning) AS c FROM al WHERE type = 'C' GROUP BY machine, "column", product, recipe)
+  SELECT count(*) FILTER (e IS NOT NULL AND c IS NULL) AS entry_only, count(*) FILTER (e IS NULL AND c IS NOT NULL) AS cusum_only,
+    count(*) FILTER (e IS NOT NULL AND c IS NOT NULL) AS both, count(*) FILTER (e < c) AS entry_first,
+    round(avg((epoch_us(c) - epoch_us(e)) / 86400000000.0) FILTER (e < c), 6) AS mean_lead_days FROM f""")
+def detector_overlap(spark, folder):
+    return rounded(health.detector_overlap(alert_table(spark, folder, ["value"]), SHOTS), 6, "mean_lead_days")
+
+
+# ------------------------------------------------------------------ parameter sweep
+
+KS, HS = [0.5, 0.6, 0.65, 0.7, 0.75, 0.8, 0.9], [3.5, 4.0, 4.3, 4.5, 5.0, 6.0]
+SWEEP_SQL = f"""{BASE_SQL}, kg(k) AS (VALUES {', '.join(f'({k}::DOUBLE)' for k in KS)}), hg(h) AS (VALUES {', '.join(f'({h}::DOUBLE)' for h in HS)}),
+ k1 AS (SELECT k, s1.*, sum(z - k) OVER w AS p, sum(z + k) OVER w AS q FROM s1, kg
+   WINDOW w AS (PARTITION BY k, machine, product, recipe, "column", label ORDER BY ts, shot_id)),
+ k2 AS (SELECT *, p - least(0, min(p) OVER w) AS up, greatest(0, max(q) OVER w) - q AS dn FROM k1
+   WINDOW w AS (PARTITION BY k, machine, product, recipe, "column", label ORDER BY ts, shot_id)),
+ k3 AS (SELECT k, h, machine, product, recipe, "column", ts FROM k2, hg WHERE rn >= 10 AND h < CASE WHEN type = 'A' THEN up
+   WHEN type IN ('B', 'E') THEN greatest(up, dn) WHEN direction = '{LOW}' THEN dn WHEN label <> '' THEN up END),
+ k4 AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 1 DAY THEN 1 ELSE 0 END AS fresh FROM k3 WINDOW w AS (PARTITION BY k, h, machine, "column" ORDER BY ts)),
+ k5 AS (SELECT *, sum(fresh) OVER (PARTITION BY k, h, machine, "column" ORDER BY ts) AS session FROM k4),
+ k6 AS (SELECT k, h, machine, "column", session, count(*) AS n_rows, min(ts) AS start_ts, (epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0 AS days FROM k5 GROUP BY ALL),
+ k7 AS (SELECT k, h, CAST(sum(n_rows) AS BIGINT) AS alert_rows, count(*) FILTER (machine = 'M0' AND days >= 5) AS normal_sustained,
+   coalesce(max(days) FILTER (machine = 'M0'), 0) AS normal_longest FROM k6 GROUP BY ALL)"""
+
+
+def sweep(spark, folder):
+    df = shots(spark, folder)
+    return alerts.sweep_rows(df, references(df), SHOTS, KS, HS)
+
+
+@query("kh_sweep", f"WITH {SHOTS_SQL}, {SWEEP_SQL} SELECT * REPLACE (round(normal_longest, 6) AS normal_longest) FROM k7")
+def kh_sweep(spark, folder):
+    return rounded(health.sweep_scores(sweep(spark, folder), SHOTS, "M0", sustained_days=5), 6, "normal_longest")
+
+
+_ONSET_SQL = f"""{DAILY_SQL.replace('st0', 'ot0').replace('stl', 'otl').replace('std AS', 'otd AS').replace('JOIN std', 'JOIN otd').replace('st AS', 'ot AS').replace('JOIN st ', 'JOIN ot ')},
+ o1 AS (SELECT *, row_number() OVER w AS i FROM dd WINDOW w AS (PARTITION BY machine, "column" ORDER BY dt)),
+ o2 AS (SELECT machine, "column", avg(daily_mean) AS m, stddev_samp(daily_mean) AS s FROM o1 WHERE i <= 10 GROUP BY ALL),
+ o3 AS (SELECT *, CASE WHEN abs(daily_mean - m) > 1.0 * s THEN 1 ELSE 0 END AS o FROM o1 JOIN o2 USING (machine, "column")),
+ o4 AS (SELECT *, sum(o) OVER (PARTITION BY machine, "column" ORDER BY dt ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS r FROM o3),
+ onset AS (SELECT machine, "column", min(dt) FILTER (r = 2) AS onset_day, min(dt) FILTER (o = 1) AS first_crossing FROM o4 GROUP BY ALL)"""
+
+
+@query("onset_day", f"""WITH {SHOTS_SQL}, {_ONSET_SQL} SELECT machine, "column", CAST(onset_day AS VARCHAR) AS onset_day,
+  CAST(first_crossing AS VARCHAR) AS first_crossing FROM onset""")
+def onset_day(spark, folder):
+    out = health.onset_days(shot_daily(shots(spark, folder)), "machine", base_days=10, sigmas=1.0, hold=2)
+    return day_text(out, "onset_day", "first_crossing")
+
+
+_KNOWN_CELLS = """kd AS (SELECT k6.*, row_number() OVER (PARTITION BY k, h, machine, "column" ORDER BY days DESC, session) AS i FROM k6),
+ kl AS (SELECT k, h, date_diff('day', onset_day, CAST(start_ts AS DATE)) AS lag FROM kd JOIN onset USING (machine, "column") WHERE i = 1 AND machine <> 'M0' AND onset_day IS NOT NULL),
+ kw AS (SELECT k, h, max(lag) AS worst_lag, min(lag) AS earliest_lag, count(*) AS n FROM kl GROUP BY ALL),
+ kn AS (SELECT count(*) AS known FROM onset WHERE machine <> 'M0' AND onset_day IS NOT NULL),
+ kv AS (SELECT k, h, CASE WHEN normal_sustained > 0 THEN 'normal_false_alarm' WHEN earliest_lag < -10 THEN 'pre_onset_false_alarm'
+   WHEN coalesce(n, 0) < known OR worst_lag > 10 THEN 'late' ELSE 'pass' END AS verdict FROM k7 LEFT JOIN kw USING (k, h), kn)"""
+
+
+@query("kh_grid", f"""WITH {SHOTS_SQL}, {SWEEP_SQL}, {_ONSET_SQL}, {_KNOWN_CELLS}
+  SELECT k, {', '.join(f"max(verdict) FILTER (h = {h}) AS h_{str(h).replace('.', '_')}" for h in HS)} FROM kv GROUP BY k""")
+def kh_grid(spark, folder):
+    onset = health.onset_days(shot_daily(shots(spark, folder)), "machine", base_days=10, sigmas=1.0, hold=2)
+    known = onset.filter("machine <> 'M0' and onset_day is not null").select("machine", "column", "onset_day")
+    scores = health.sweep_scores(sweep(spark, folder), SHOTS, "M0", known, sustained_days=5)
+    return health.verdict_grid(health.grid_verdicts(scores, known.count()), HS)
+
+
+_MID = "TIMESTAMP '2024-01-16 00:00:00'"
+_SUBSETS = {"all": "true", "odd_columns": "\"column\" IN ('k', 'ratio')", "even_columns": "\"column\" IN ('load', 'value')",
+            "first_half": f"ts < {_MID}", "second_half": f"ts >= {_MID}", "product_P0": "product = 'P0'"}
+
+
+@query("boundary_stability", f"""WITH {SHOTS_SQL}, {SWEEP_SQL}, b0 AS (""" + " UNION ALL ".join(
+    f"SELECT '{n}' AS subset, * FROM k3 WHERE machine = 'M0' AND h = 4.5 AND {t}" for n, t in _SUBSETS.items()) + f"""),
+  b1 AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 1 DAY THEN 1 ELSE 0 END AS fresh FROM b0 WINDOW w AS (PARTITION BY subset, k, "column" ORDER BY ts)),
+  b2 AS (SELECT *, sum(fresh) OVER (PARTITION BY subset, k, "column" ORDER BY ts) AS session FROM b1),
+  b3 AS (SELECT subset, k, "column", session, (epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0 AS days FROM b2 GROUP BY ALL),
+  b4 AS (SELECT DISTINCT subset, k FROM b3 WHERE days >= 3),
+  b5 AS (SELECT v.subset, kg.k FROM (VALUES {', '.join(f"('{n}')" for n in _SUBSETS)}) v(subset), kg ANTI JOIN b4 ON b4.subset = v.subset AND b4.k = kg.k)
+  SELECT v.subset, min(b5.k) AS boundary_k FROM (VALUES {', '.join(f"('{n}')" for n in _SUBSETS)}) v(subset) LEFT JOIN b5 USING (subset) GROUP BY 1""")
+def boundary_stability(spark, folder):
+    rows = sweep(spark, folder).filter("h = 4.5")
+    tests = {n: F.expr(t.replace('"column"', "column").replace("TIMESTAMP '", "TIMESTAMP_NTZ '")) for n, t in _SUBSETS.items()}
+    return health.boundary_k(rows, SHOTS, "M0", tests, KS, sustained_days=3)
+
+
+# ------------------------------------------------------------------ health
+
+def _margins_sql():
+    parts = []
+    for c, v in SHOTS.limits.items():
+        for d in ("up", "down", "either"):
+            up = f"greatest((m - {v.target}) / ({v.usl} - {v.target}), 0) * 100"
+            dn = f"greatest(({v.target} - m) / ({v.target} - {v.lsl}), 0) * 100"
+            body = {"up": up, "down": dn, "either": f"CASE WHEN m >= {v.target} THEN {up} ELSE {dn} END"}[d]
+            parts.append(f"SELECT machine, product, recipe, '{c}' AS \"column\", '{d}' AS direction, {body} AS margin FROM (SELECT machine, product, recipe, avg({c}) AS m FROM shots GROUP BY ALL)")
+    return " UNION ALL ".join(parts)
+
+
+_HEALTH = "CASE WHEN margin IS NULL THEN NULL WHEN margin <= 100 THEN 100 - greatest(margin, 0) * 0.9 ELSE 1000.0 / margin END"
+
+
+def margins(spark, folder):
+    means = shots(spark, folder).groupBy(*SHOTS.series).agg(*[F.avg(m).alias(m) for m in SHOTS.limits])
+    cells = [
+        F.struct(
+            F.lit(m).alias("column"), F.lit(d).alias("direction"),
+            expr.spec_margin(F.col(m), F.lit(d), *[F.lit(float(x)) for x in (v.lsl, v.target, v.usl)]).alias("margin"),
+        )
+        for m, v in SHOTS.limits.items() for d in ("up", "down", "either")
+    ]
+    return means.select(*SHOTS.series, F.inline(F.array(*cells)))
+
+
+@query("spec_margin", f"WITH {SHOTS_SQL} SELECT machine, product, recipe, \"column\", direction, round(margin, 6) AS margin FROM ({_margins_sql()})")
+def spec_margin(spark, folder):
+    return rounded(margins(spark, folder), 6, "margin")
+
+
+@query("margin_health", f"WITH {SHOTS_SQL} SELECT machine, product, recipe, \"column\", direction, round({_HEALTH}, 6) AS health FROM ({_margins_sql()})")
+def margin_health(spark, folder):
+    out = margins(spark, folder).withColumn("health", expr.margin_to_health(F.col("margin")))
+    return rounded(out, 6, "health").drop("margin")
+
+
+@query("entity_health", f"""WITH {SHOTS_SQL}, h AS (SELECT *, {_HEALTH} AS health, "column" || '/' || direction || '/' || product || recipe AS defect FROM ({_margins_sql()})),
+  w AS (SELECT machine, min(health) AS health_index, arg_min(defect, (health, defect)) AS worst_defect FROM h GROUP BY 1)
+  SELECT machine, round(health_index, 6) AS health_index, worst_defect, health_index < 30 AS warning FROM w""")
+def entity_health(spark, folder):
+    rows = margins(spark, folder).select(
+        "machine", F.concat_ws("/", "column", "direction", F.concat("product", "recipe")).alias("defect"),
+        expr.margin_to_health(F.col("margin")).alias("health"),
+    )
+    return rounded(health.entity_health(rows, "machine"), 6, "health_index")
+
+
+@query("alert_level_ranges", f"""WITH {SHOTS_SQL}, {ACTIVE_SQL}, m AS (SELECT machine, "column", max(abs(normalized_deviation)) AS dev FROM al GROUP BY ALL),
+  j AS (SELECT CASE WHEN days >= 14 THEN 'full' ELSE 'early' END AS lv, 100 / (1 + dev) AS health FROM act JOIN m USING (machine, "column"))
+  SELECT round(min(health) FILTER (lv = 'full'), 6) AS full_min, round(max(health) FILTER (lv = 'full'), 6) AS full_max,
+    round(min(health) FILTER (lv = 'early'), 6) AS early_min, round(max(health) FILTER (lv = 'early'), 6) AS early_max,
+    max(health) FILTER (lv = 'full') < min(health) FILTER (lv = 'early') AS disjoint FROM j""")
+def alert_level_ranges(spark, folder):
+    rows = alert_table(spark, folder)
+    worst = rows.groupBy("machine", "column").agg(F.max(F.abs("normalized_deviation")).alias("dev"))
+    levels = health.strength(health.active_alerts(rows, "machine", "ts")).join(worst, ["machine", "column"])
+    out = health.level_ranges(levels.withColumn("health", 100 / (1 + F.col("dev"))))
+    return rounded(out, 6, "full_min", "full_max", "early_min", "early_max")
