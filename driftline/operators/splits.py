@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from driftline.operators.ordered import number_rows
 
@@ -19,8 +19,6 @@ def _take_lowest(df: DataFrame, part: Sequence[str], order: Sequence[str], coars
     table, tell which coarse values are taken or left whole; only rows of the one value
     per group where the quota ends are numbered.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*(part or [F.lit(1)])).orderBy(coarse)
     counts = df.groupBy(*part, coarse).agg(F.count(F.lit(1)).alias("_n"))
     upto = counts.withColumn("_upto", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -49,7 +47,7 @@ def time_split(df: DataFrame, time: str, key: Sequence[str], test_fraction: floa
     quota = df.sparkSession.createDataFrame([(int(n * (1 - test_fraction)),)], "_quota bigint")
     dated = df.withColumn("_day", F.to_date(time))
     out = _take_lowest(dated, [], [time, *key], "_day", quota)
-    return out.withColumn("split", F.when("_taken", "train").otherwise("test")).drop("_taken", "_day")
+    return out.withColumn("split", F.when(F.col("_taken"), "train").otherwise("test")).drop("_taken", "_day")
 
 
 def class_quotas(counts: dict, test_size: float) -> dict:
@@ -81,4 +79,4 @@ def stratified_split(
     hashed = df.withColumn("_hash", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed)))))
     coarse = hashed.withColumn("_place", F.substring("_hash", 1, _HEX_DIGITS))
     out = _take_lowest(coarse, [label], ["_hash", *key], "_place", F.broadcast(quota))
-    return out.withColumn("split", F.when("_taken", "test").otherwise("train")).drop("_taken", "_hash", "_place")
+    return out.withColumn("split", F.when(F.col("_taken"), "test").otherwise("train")).drop("_taken", "_hash", "_place")
