@@ -9,6 +9,7 @@ from driftline.catalog.registry import day_text, query, rounded, union_sql
 from driftline.functions.tails import exact_critical_s
 from driftline.operators import baseline, daily, trend
 from driftline.schema import TREND_ALPHA
+from driftline.store import written
 
 PM = list(PANEL.measures)
 SM = list(SHOTS.measures)
@@ -202,7 +203,7 @@ def trend_summary(spark, folder):
     FROM t1 JOIN t2 USING (machine, "column"))
   SELECT *, raw_direction = direction AS agree FROM j""")
 def trend_crosscheck(spark, folder):
-    series = shot_daily(shots(spark, folder))
+    series = written(shot_daily(shots(spark, folder)))
     keys = ["machine", "column"]
     return trend.crosscheck(trend.raw_direction(series, keys), trend.trend_table(series, keys), keys)
 

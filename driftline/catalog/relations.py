@@ -13,6 +13,7 @@ from driftline.functions import expr
 from driftline.operators import baseline, catalogue, daily, explore, quality, relations, sequence, threshold, trend
 from driftline.schema import HIGH, LOW, ZERO_EPS
 from driftline.sources import readers, writers
+from driftline.store import lookup
 
 _RULES = [("T1", 0.01), ("T2", 0.007), ("T3", 0.004)]
 
@@ -140,7 +141,7 @@ def factor_direction(spark, folder):
 def pair_survival(spark, folder):
     df = panel(spark, folder)
     known = relations.known_directions(relation_tables(spark, folder)[0])
-    learned = threshold.stump_thresholds(df, PANEL.stratum, PM, LABELS)
+    learned = lookup(threshold.stump_thresholds(df, PANEL.stratum, PM, LABELS))
     kept = threshold.agreeing(learned, known)
     groups = df.select(PANEL.group_key().alias("group_key")).distinct()
     return relations.pair_survival(PANEL_PAIRS, groups, kept, learned, known)

@@ -17,8 +17,8 @@ SM = list(SHOTS.measures)
 _P = "PARTITION BY machine, product, recipe ORDER BY ts, shot_id"
 
 
-def series(df, limit=None):
-    return Ordered.of(df, SHOTS.series, SHOTS.order, limit)
+def series(df, fact=None):
+    return Ordered.of(df, SHOTS.series, SHOTS.order, fact=fact)
 
 
 @query("rolling10", f"""WITH {SHOTS_SQL}, n AS (SELECT *, row_number() OVER ({_P}) AS rn FROM shots),
@@ -70,7 +70,8 @@ def scored_shots(df, measures):
 
 
 def _cusum_long(spark, folder):
-    seq = series(scored_shots(shots(spark, folder), ["value", "load"]))
+    df = shots(spark, folder)
+    seq = series(scored_shots(df, ["value", "load"]), fact=df)
     seq = sequence.cusum(seq, ["value_z", "load_z"], [CUSUM_K])
     return seq
 

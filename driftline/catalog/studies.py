@@ -12,6 +12,7 @@ from driftline.functions import expr
 from driftline.operators import labels, relations, splits, threshold
 from driftline.operators.baseline import robust_z, stratum_stats
 from driftline.schema import HIGH, LOW
+from driftline.store import lookup
 
 ALL_LABELS = list(PANEL.labels)
 
@@ -58,7 +59,7 @@ def label_risk_ratio(spark, folder):
   SELECT u.*, rr.n_risky AS n_expected, true AS multi_label, u.n_risky - rr.n_risky AS size_drift FROM u JOIN rr USING ("column", label)""")
 def label_grid(spark, folder):
     df = panel(spark, folder)
-    zones = zone_table(df)
+    zones = lookup(zone_table(df))
     whole = labels.risk_ratios(df, zones, PANEL, ALL_LABELS).select("column", "label", F.col("n_risky").alias("n_expected"))
     expected = whole.select(F.explode(F.array(F.lit("early"), F.lit("late"))).alias("dataset"), "*")
     data = {"early": df.filter("l_linenumber <= 4"), "late": df.filter("l_linenumber > 2")}

@@ -123,7 +123,7 @@ STABLE_SQL = f"""{ZONE_SQL}, zo AS (SELECT machine, "column", label, dt, sum(in_
 @query("stable_days", f"""WITH {SHOTS_SQL}, {STABLE_SQL} SELECT * FROM zz""")
 def stable_days(spark, folder):
     df = shots(spark, folder)
-    return trend.stable_phase(df, shot_thresholds(df), SHOTS).drop("days")
+    return trend.stable_phase(trend.ok_zone_days(df, shot_thresholds(df), SHOTS), SHOTS).drop("days")
 
 
 ENTRY_SQL = f"""{STABLE_SQL}, er AS (SELECT zf.machine, zf."column", zf.label, group_key, stable_days, count(*) AS n_ok_rows,

@@ -15,6 +15,7 @@ from driftline.operators import alerts, health
 from driftline.operators.sequence import gap_sessions
 from driftline.plans.alerting import learn_references, run_alerts
 from driftline.schema import LOW
+from driftline.store import written
 
 SM = list(SHOTS.measures)
 
@@ -352,7 +353,7 @@ def entity_health(spark, folder):
     round(min(health) FILTER (lv = 'early'), 6) AS early_min, round(max(health) FILTER (lv = 'early'), 6) AS early_max,
     max(health) FILTER (lv = 'full') < min(health) FILTER (lv = 'early') AS disjoint FROM j""")
 def alert_level_ranges(spark, folder):
-    rows = alert_table(spark, folder)
+    rows = written(alert_table(spark, folder))
     worst = rows.groupBy("machine", "column").agg(F.max(F.abs("normalized_deviation")).alias("dev"))
     levels = health.strength(health.active_alerts(rows, "machine", "ts")).join(worst, ["machine", "column"])
     out = health.level_ranges(levels.withColumn("health", 100 / (1 + F.col("dev"))))

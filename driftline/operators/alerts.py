@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from driftline.functions import expr, messages as text
 from driftline.operators import sequence
 from driftline.operators.baseline import per_stratum
-from driftline.operators.ordered import RN, Ordered
+from driftline.operators.ordered import RN, Ordered, group_sizes
 from driftline.operators.spec import UpperLimit, breach_days, spec_rules
 from driftline.schema import CUSUM_H, CUSUM_K, HIGH, LOW, PERSIST_ROWS, ROLLING_ROWS, Roles
-from driftline.store import join_null_safe, lookup
+from driftline.store import join_null_safe, lookup, together
 
 
 @dataclass(frozen=True)
@@ -88,9 +88,9 @@ def reference_rows(refs: References, roles: Roles) -> DataFrame:
     return table.select(*roles.stratum, *out)
 
 
-def scored(df: DataFrame, refs: References, roles: Roles) -> DataFrame:
+def scored(df: DataFrame, table: DataFrame, roles: Roles) -> DataFrame:
     """The fact with its reference columns and the sequence score of each measure."""
-    joined = join_null_safe(df, lookup(reference_rows(refs, roles)), roles.stratum)
+    joined = join_null_safe(df, table, roles.stratum)
     return joined.select(
         "*",
         *[
@@ -100,6 +100,13 @@ def scored(df: DataFrame, refs: References, roles: Roles) -> DataFrame:
     )
 
 
+def _breach_table(df: DataFrame, refs: References, roles: Roles) -> DataFrame:
+    """(entity, day) -> which externally limited measures breached that day."""
+    return breach_days(df, roles, refs.upper).filter("breach").groupBy(roles.entity, "dt").agg(
+        *[F.bool_or(F.col("column") == m).alias(f"{m}__day") for m in refs.upper]
+    )
+
+
 def _variants(m: str, refs: References) -> list[tuple[str, Column]]:
     """(label, exists) per alert variant of a measure.
 
@@ -137,17 +144,20 @@ def alert_rows(
     """
     ms = roles.measures
     limited = [m for m in ms if m in roles.limits]
-    rules = {}
-    if limited:
-        rules = {r["column"]: r for r in spec_rules(df, roles).collect()}  # one row per limited measure
-    fact = scored(df, refs, roles)
+    # independent small tables: their jobs run side by side
+    table, days, rules, sizes = together(
+        df.sparkSession,
+        lambda: lookup(reference_rows(refs, roles)),
+        lambda: lookup(_breach_table(df, refs, roles)) if refs.upper else None,
+        lambda: spec_rules(df, roles).collect() if limited else [],  # one row per limited measure
+        lambda: group_sizes(df, roles.series),
+    )
+    rules = {r["column"]: r for r in rules}
+    fact = scored(df, table, roles)
     if refs.upper:
-        days = breach_days(df, roles, refs.upper).filter("breach").groupBy(roles.entity, "dt").agg(
-            *[F.bool_or(F.col("column") == m).alias(f"{m}__day") for m in refs.upper]
-        )
-        fact = join_null_safe(fact.withColumn("dt", F.to_date(roles.time)), lookup(days), [roles.entity, "dt"])
+        fact = join_null_safe(fact.withColumn("dt", F.to_date(roles.time)), days, [roles.entity, "dt"])
     marks = [expr.out_of_spec(F.col(m), roles.limits[m]).alias(f"{m}__out") for m in limited]
-    seq = Ordered.of(fact.select("*", *marks), roles.series, roles.order, limit)
+    seq = Ordered.of(fact.select("*", *marks), roles.series, roles.order, limit, sizes=sizes)
     seq = sequence.rolling(seq, ms)
     seq = sequence.cusum(seq, [f"{m}__z" for m in ms], [k])
 
@@ -178,8 +188,12 @@ def alert_rows(
     cells = [
         _cell(m, d, refs, roles, rules.get(m), h, with_messages) for m in ms for d, _ in _variants(m, refs)
     ]
-    found = F.filter(F.array(*cells), lambda c: c["early_warning"])
-    return seq.df.select(*roles.key, roles.time, *roles.series, F.inline(found))
+    # rows without any warning leave before the wide cells are built
+    some = F.lit(False)
+    for t in warn:
+        some = some | F.col(f"{t}__warn")
+    long = seq.df.filter(some).select(*roles.key, roles.time, *roles.series, F.inline(F.array(*cells)))
+    return long.filter("early_warning")
 
 
 def _sides(m: str, h: float) -> tuple[Column, Column]:
@@ -318,7 +332,8 @@ def sweep_rows(
     before the grid is laid out.
     """
     typed = [m for m in roles.measures if refs.types.get(m)]
-    seq = Ordered.of(scored(df, refs, roles), roles.series, roles.order, limit)
+    table = lookup(reference_rows(refs, roles))
+    seq = Ordered.of(scored(df, table, roles), roles.series, roles.order, limit, fact=df)
     seq = sequence.cusum(seq, [f"{m}__z" for m in typed], ks, suffix=True)
     lowest = float(min(hs))
     cells = []
@@ -337,9 +352,7 @@ def sweep_rows(
             else:
                 variants = [F.greatest(up, dn)]
             cells += [F.struct(F.lit(float(k)).alias("k"), F.lit(m).alias("column"), v.alias("reach")) for v in variants]
-    near = F.filter(F.array(*cells), lambda c: c["reach"] > lowest)
     grid = F.array(*[F.lit(float(h)) for h in hs])
-    rows = seq.df.filter(F.col(RN) >= ROLLING_ROWS).select(*roles.series, roles.time, F.inline(near))
-    return rows.select(
-        "*", F.explode(F.filter(grid, lambda h: F.col("reach") > h)).alias("h")
-    ).drop("reach")
+    ready = seq.df.filter(F.col(RN) >= ROLLING_ROWS)
+    rows = ready.select(*roles.series, roles.time, F.inline(F.array(*cells))).filter(F.col("reach") > lowest)
+    return rows.select("*", F.explode(grid).alias("h")).filter("reach > h").drop("reach")

@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftline.functions import expr
-from driftline.operators.quantiles import grouped_quantiles, unpivot
+from driftline.operators.ordered import group_sizes
+from driftline.operators.quantiles import grouped_quantiles, unpivot, value_counts, weighted_mean
 from driftline.schema import (
     CV_STABLE,
     CV_VARIABLE,
@@ -26,22 +27,27 @@ def stratum_stats(
 ) -> DataFrame:
     """Twelve statistics per (stratum, column) of the normal rows, at any grain."""
     part = [*strata, "column"]
-    long = unpivot(normal, strata, measures)
-    moments = [
-        F.count(F.lit(1)).alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    ]
-    stats = lookup(
-        grouped_quantiles(long, part, [0.005, 0.5, 0.995], ["p0_5", "median", "p99_5"], limit=limit, extra=moments)
-    )
-    centred = join_null_safe(long, stats.select(*part, "median"), part).select(
-        *part, F.abs(F.col("value") - F.col("median")).alias("value")
-    )
-    mad = grouped_quantiles(centred, part, [0.5], ["mad"], limit=limit)
-    return join_null_safe(stats, lookup(mad), part).select(
+    counts = value_counts(unpivot(normal, strata, measures), part)
+    _, largest = group_sizes(normal, strata)  # bounds every (stratum, column) group
+    centre = lookup(
+        grouped_quantiles(
+            counts, part, [0.005, 0.5, 0.995], ["p0_5", "median", "p99_5"], limit=limit, largest=largest,
+            extra=[
+                F.sum("n").alias("n"), weighted_mean().alias("mean"),
+                F.min("value").alias("min"), F.max("value").alias("max"),
+            ],
+        )
+    )
+    off = F.col("value") - F.col("mean")
+    spread = join_null_safe(counts, centre.select(*part, "median", "mean"), part).select(
+        *part, "n", (off * off).alias("square"), F.abs(F.col("value") - F.col("median")).alias("value")
+    )
+    n = F.sum("n")
+    std = F.when(n > 1, F.sqrt(F.sum(F.col("square") * F.col("n")) / F.nullif(n - 1, F.lit(0))))
+    width = grouped_quantiles(
+        spread, part, [0.5], ["mad"], limit=limit, largest=largest, extra=[std.alias("std")]
+    )
+    return join_null_safe(centre, lookup(width), part).select(
         *part, "n", "mean", "std",
         F.when(F.abs("mean") > ZERO_EPS, F.col("std") / F.col("mean")).alias("cv"),
         "median", "mad",
@@ -52,10 +58,12 @@ def stratum_stats(
 
 def control_limits(normal: DataFrame, strata: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Provisional limits: count, median and the 0.5 / 99.5 % points per stratum."""
+    part = [*strata, "column"]
     return grouped_quantiles(
-        unpivot(normal, strata, measures), [*strata, "column"],
+        value_counts(unpivot(normal, strata, measures), part), part,
         [0.5, 0.005, 0.995], ["median", "lower_warning", "upper_warning"],
-        extra=[F.count(F.lit(1)).alias("normal_count")],
+        largest=group_sizes(normal, strata)[1],
+        extra=[F.sum("n").alias("normal_count")],
     )
 
 
@@ -157,7 +165,11 @@ def _with_class(df: DataFrame, stable: float, variable: float, method: str) -> D
 def ok_medians(ok: DataFrame, strata: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """(group_key, column) -> median of the OK rows, five decimals."""
     keyed = ok.dropna(subset=list(strata)).withColumn("group_key", F.concat_ws("|", *strata))
-    cut = grouped_quantiles(unpivot(keyed, ["group_key"], measures), ["group_key", "column"], [0.5], ["median"])
+    _, largest = group_sizes(keyed, ["group_key"])
+    part = ["group_key", "column"]
+    cut = grouped_quantiles(
+        value_counts(unpivot(keyed, ["group_key"], measures), part), part, [0.5], ["median"], largest=largest
+    )
     return cut.withColumn("median", F.round("median", 5))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftline.operators.quantiles import average_ranks, unpivot
-from driftline.store import join_null_safe, lookup
+from driftline.store import BROADCAST_ROWS, lookup, written
 
 
 def effect_ranking(
@@ -76,16 +76,23 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], *, limit: int | None
     """Upper triangle of the rank correlation matrix, four decimals.
 
     Each column is ranked once over all its values; a pair uses the rows where both are
-    present.
+    present. The fact stays wide: a column with few distinct values gets its ranks from a
+    broadcast lookup, one with many from a shuffle join on the value, whose hot values the
+    adaptive skew handling splits.
     """
     base = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    ranks = average_ranks(unpivot(base, [], columns), ["column"], limit=limit)
-    rows = unpivot(base.withColumn("_row", F.monotonically_increasing_id()), ["_row"], columns)
-    ranked = rows.join(ranks.select("column", "value", F.col("rank") - (F.col("size") + 1) / 2.0), ["column", "value"])
-    ranked = ranked.toDF("column", "value", "_row", "r")
-    wide = ranked.groupBy("_row").agg(*[F.max(F.when(F.col("column") == c, F.col("r"))).alias(c) for c in columns])
+    ranks = written(average_ranks(unpivot(base, [], columns), ["column"], limit=limit))
+    distinct = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wide = base
+    for c in sorted(columns, key=lambda c: distinct.get(c, 0), reverse=True):
+        table = ranks.filter(F.col("column") == c).select(
+            F.col("value").alias(f"_v_{c}"), (F.col("rank") - (F.col("size") + 1) / 2.0).alias(f"_r_{c}")
+        )
+        if distinct.get(c, 0) <= BROADCAST_ROWS:
+            table = F.broadcast(table)
+        wide = wide.join(table, F.col(c) == F.col(f"_v_{c}"), "left").drop(c, f"_v_{c}")
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    row = wide.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    row = wide.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     cells = [
         F.struct(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), F.round(f"r{i}", 4).alias("spearman_r"))
         for i, (a, b) in enumerate(pairs)

@@ -9,14 +9,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from driftline.functions import expr
 from driftline.operators.sequence import days_between, gap_sessions, longest_session
 from driftline.schema import ACTIVE_WITHIN_DAYS, ALERT_THRESHOLD, RECENT_DAYS, Roles
+from driftline.store import written
 
 
 def active_alerts(alerts: DataFrame, entity: str, time: str, within_days: int = ACTIVE_WITHIN_DAYS) -> DataFrame:
     """(entity, column) pairs whose last alert is recent, and since when they are on."""
     keys = [entity, "column"]
     sessions = gap_sessions(alerts, keys, time, within_days)
-    last = sessions.groupBy(*keys).agg(
-        F.max_by("start_ts", "session").alias("since"), F.max("end_ts").alias("last_ts")
+    # read twice below: the table has one line per entity and measure
+    last = written(
+        sessions.groupBy(*keys).agg(
+            F.max_by("start_ts", "session").alias("since"), F.max("end_ts").alias("last_ts")
+        )
     )
     latest = last.agg(F.max("last_ts").alias("latest"))
     joined = last.withColumn("_k", F.lit(1)).join(F.broadcast(latest.withColumn("_k", F.lit(1))), "_k").drop("_k")
@@ -69,6 +73,7 @@ def funnel(alerts: DataFrame, roles: Roles, n_rows: DataFrame) -> DataFrame:
     """Input rows -> alert rows -> distinct alerting rows -> episodes -> (entity, column)
     -> active -> full. ``n_rows``: one row, one column."""
     series = [*roles.series, "column"]
+    alerts = written(alerts)  # read three times below
     shots = alerts.groupBy(*series, roles.time).agg(F.count(F.lit(1)).alias("rows")).groupBy(*series).agg(
         F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("shots")
     )
@@ -103,14 +108,14 @@ def alert_scale(alerts: DataFrame, roles: Roles, near_days: int = 3, top: int =
         F.count_distinct("dt").alias("n_days"),
         F.max("dt").alias("_last"),
     )
-    w = Window.partitionBy(F.lit(1))  # one line per entity and measure
-    ranked = per_key.withColumn("_end", F.max("_last").over(w)).withColumn(
-        "rank", F.row_number().over(w.orderBy(F.desc("alert_rows"), *keys))
-    )
+    per_key = written(per_key)
+    end = per_key.agg(F.max("_last").alias("_end")).withColumn("_k", F.lit(1))
+    first = per_key.orderBy(F.desc("alert_rows"), *keys).limit(top).select(*keys, F.lit(True).alias("_top"))
+    placed = per_key.withColumn("_k", F.lit(1)).join(F.broadcast(end), "_k").join(F.broadcast(first), keys, "left")
     since = F.datediff("_end", "_last")
-    return ranked.select(
+    return placed.select(
         *keys, "alert_rows", "n_strata", "n_days", since.alias("days_since_last"),
-        (since <= near_days).alias("near_now"), (F.col("rank") <= top).alias("top_group"),
+        (since <= near_days).alias("near_now"), F.coalesce("_top", F.lit(False)).alias("top_group"),
     )
 
 
@@ -157,7 +162,7 @@ def sweep_scores(rows: DataFrame, roles: Roles, normal: str, onset: DataFrame |
     """Per (k, h): alert rows, long sessions and longest session of the normal entity, and
     with ``onset`` (entity, column, onset_day) the detection lag of every known change."""
     cell = ["k", "h"]
-    sessions = gap_sessions(rows, [*cell, roles.entity, "column"], roles.time)
+    sessions = written(gap_sessions(rows, [*cell, roles.entity, "column"], roles.time))
     is_normal = F.col(roles.entity) == normal
     score = sessions.groupBy(*cell).agg(
         F.sum("n_rows").alias("alert_rows"),

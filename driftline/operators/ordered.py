@@ -63,14 +63,16 @@ def running(
     *,
     inclusive: bool = True,
     limit: int | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Running sum/max/min per group in the given order.
 
     ``aggs`` maps a new column to ``(function, column)``. With ``inclusive=False`` the row
-    itself is left out. The order must be total inside a group.
+    itself is left out. The order must be total inside a group. ``sizes`` is the result of
+    ``group_sizes``, if the caller has it already.
     """
     limit = limit or group_row_limit(df.sparkSession)
-    total, largest = group_sizes(df, part)
+    total, largest = sizes or group_sizes(df, part)
     if largest <= limit:
         return _running_window(df, part, order, aggs, inclusive)
     return _running_blocks(range_blocks(df, part, order, total, limit), part, order, aggs, inclusive).drop(BLOCK)
@@ -135,9 +137,19 @@ class Ordered:
     limit: int
 
     @classmethod
-    def of(cls, df: DataFrame, part: Seq[str], order: Seq[str], limit: int | None = None) -> Ordered:
+    def of(
+        cls,
+        df: DataFrame,
+        part: Seq[str],
+        order: Seq[str],
+        limit: int | None = None,
+        fact: DataFrame | None = None,
+        sizes: tuple[int, int] | None = None,
+    ) -> Ordered:
+        """``fact``: a cheaper table with the same rows, on which the groups are counted;
+        ``sizes``: that count, if the caller has it already."""
         limit = limit or group_row_limit(df.sparkSession)
-        _, largest = group_sizes(df, part)
+        _, largest = sizes or group_sizes(df if fact is None else fact, part)
         if largest <= limit:
             return cls(
                 df.withColumn(RN, F.row_number().over(_spec(part, order))),

@@ -12,11 +12,11 @@ from driftline.store import join_null_safe, lookup, written
 
 def unpivot(df: DataFrame, keep: Sequence[str], measures: Sequence[str], drop_null: bool = True) -> DataFrame:
     """Wide to long: one row per (row, measure) with columns ``column`` and ``value``."""
-    pairs = F.explode(
-        F.array(*[F.struct(F.lit(m).alias("column"), F.col(m).cast("double").alias("value")) for m in measures])
-    )
-    long = df.select(*keep, pairs.alias("_m")).select(*keep, "_m.column", "_m.value")
-    return long.filter("value is not null") if drop_null else long
+    typed = df.select(*keep, *[F.col(m).cast("double").alias(f"_m_{m}") for m in measures])
+    renamed = typed.toDF(*[f"_k_{c}" for c in keep], *measures)
+    long = renamed.unpivot([f"_k_{c}" for c in keep], list(measures), "column", "value")
+    out = long.toDF(*keep, "column", "value")
+    return out.filter("value is not null") if drop_null else out
 
 
 def value_counts(long: DataFrame, part: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
@@ -24,33 +24,41 @@ def value_counts(long: DataFrame, part: Sequence[str], extra: Sequence[Column] =
     return long.groupBy(*part, "value").agg(F.count(F.lit(1)).alias("n"), *extra)
 
 
+def weighted_mean(value: str = "value", n: str = "n") -> Column:
+    """Mean of counted values."""
+    return F.sum(F.col(value) * F.col(n)) / F.sum(n)
+
+
 def grouped_quantiles(
-    long: DataFrame,
+    counts: DataFrame,
     part: Sequence[str],
     probs: Sequence[float],
     names: Sequence[str],
     *,
     limit: int | None = None,
+    largest: int | None = None,
     extra: Sequence[Column] = (),
 ) -> DataFrame:
-    """Exact interpolated quantiles of ``value`` per group, with further aggregates.
+    """Exact interpolated quantiles per group of counted values (``value``, ``n``).
 
-    Small groups use the built-in ``percentile``. Its buffer holds every distinct value of
-    a group, so larger groups are ranked by running counts over value-ordered blocks and
-    only the rows at the wanted positions are kept.
+    Small groups use the built-in ``percentile`` with frequencies. Its buffer holds every
+    distinct value of a group, so larger groups are ranked by running counts over
+    value-ordered blocks and only the rows at the wanted positions are kept. ``largest``
+    is an upper bound of the rows per group, if the caller knows one. A value may occur in
+    several rows.
     """
-    limit = limit or group_row_limit(long.sparkSession)
-    _, largest = group_sizes(long, part)
+    limit = limit or group_row_limit(counts.sparkSession)
+    if largest is None:
+        _, largest = group_sizes(counts, part)
     if largest <= limit:
-        cut = F.percentile("value", F.array(*[F.lit(float(p)) for p in probs]))
-        wide = long.groupBy(*part).agg(*extra, cut.alias("_q"))
+        cut = F.percentile("value", F.array(*[F.lit(float(p)) for p in probs]), F.col("n"))
+        wide = counts.groupBy(*part).agg(*extra, cut.alias("_q"))
         return wide.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]).drop("_q")
 
-    base = long.groupBy(*part).agg(*extra, F.count(F.lit(1)).alias("_total"))
+    folded = written(counts.groupBy(*part, "value").agg(F.sum("n").alias("n")))
+    base = counts.groupBy(*part).agg(*extra, F.sum("n").alias("_total"))
     totals = lookup(base)
-    ranked = running(
-        written(value_counts(long, part)), part, ["value"], {"_upto": ("sum", "n")}, limit=limit
-    )
+    ranked = running(folded, part, ["value"], {"_upto": ("sum", "n")}, limit=limit)
     placed = join_null_safe(ranked, totals.select(*part, "_total"), part)
     picks = []
     for i, p in enumerate(probs):

@@ -53,21 +53,18 @@ def breach_days(
 ) -> DataFrame:
     """(entity, dt, column) -> rows, rows over the limit, rows needed, breach.
 
-    The binomial point is computed once per distinct daily row count.
+    The binomial point is computed on the day table, once per distinct row count of a task.
     """
     daily = df.groupBy(roles.entity, F.to_date(roles.time).alias("dt")).agg(
         F.count(F.lit(1)).alias("n_rows"),
         *[F.count_if(F.col(m) > rule.limit).alias(f"o_{m}") for m, rule in limits.items()],
     )
-    sizes = daily.select("n_rows").distinct()
-    need = sizes.withColumn(
-        "need", F.greatest(binomial_quantile_udf(F.lit(quantile), "n_rows", F.lit(rate)), F.lit(1))
-    )
+    needed = F.greatest(binomial_quantile_udf(F.lit(quantile), "n_rows", F.lit(rate)), F.lit(1))
     cells = [
         F.struct(F.lit(m).alias("column"), F.lit(float(r.limit)).alias("upper_limit"), F.col(f"o_{m}").alias("n_over"))
         for m, r in limits.items()
     ]
-    long = daily.join(need, "n_rows").select(roles.entity, "dt", "n_rows", "need", F.inline(F.array(*cells)))
+    long = daily.withColumn("need", needed).select(roles.entity, "dt", "n_rows", "need", F.inline(F.array(*cells)))
     return long.withColumn("breach", F.col("n_over") >= F.col("need"))
 
 

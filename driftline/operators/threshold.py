@@ -14,7 +14,7 @@ from driftline.schema import HIGH, LOW, MIN_LABELS_FOR_MONITORED, MIN_LEAF
 from driftline.store import join_null_safe, lookup, written
 
 
-def _label_counts(df: DataFrame, strata: Sequence[str], measures: Sequence[str], labels: Sequence[str]) -> DataFrame:
+def label_counts(df: DataFrame, strata: Sequence[str], measures: Sequence[str], labels: Sequence[str]) -> DataFrame:
     """(group_key, column, value) -> rows and positives of every label.
 
     All labels share this table and the ordering of its values.
@@ -46,22 +46,29 @@ def stump_thresholds(
     *,
     min_leaf: int = MIN_LEAF,
     limit: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Best threshold per (group, column, label), with the label rate on both sides.
 
     An exact search: values are counted per group, running counts give both sides of every
     boundary, and the best score is kept by a map-side combinable arg-max. Equal scores go
     to the lowest threshold. A pair needs ``min_leaf`` positives and ``min_leaf`` rows on
-    each side; otherwise there is no row.
+    each side; otherwise there is no row. ``counts``: the written value counts, if the
+    caller has them already.
     """
     part = ["group_key", "column"]
-    counts = written(_label_counts(df, strata, measures, labels))
+    counts = counts or written(label_counts(df, strata, measures, labels))
     sums = {"_nl": ("sum", "n"), "_prev": ("max", "value"), **{f"_pl_{d}": ("sum", f"pos_{d}") for d in labels}}
-    left = running(counts, part, ["value"], sums, inclusive=False, limit=limit)
-    totals = counts.groupBy(*part).agg(
-        F.sum("n").alias("_n"), *[F.sum(f"pos_{d}").alias(f"_p_{d}") for d in labels]
+    totals = lookup(
+        counts.groupBy(*part).agg(
+            F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_values"),
+            *[F.sum(f"pos_{d}").alias(f"_p_{d}") for d in labels],
+        )
     )
-    joined = left.filter("_prev is not null").join(lookup(totals), part)
+    size = totals.agg(F.sum("_values").alias("total"), F.max("_values").alias("largest")).first()
+    sizes = (size["total"] or 0, size["largest"] or 0)
+    left = running(counts, part, ["value"], sums, inclusive=False, limit=limit, sizes=sizes)
+    joined = left.filter("_prev is not null").join(totals.drop("_values"), part)
     cells = joined.select(
         *part, ((F.col("_prev") + F.col("value")) / 2).alias("cut"), "_nl", "_n",
         F.inline(
@@ -259,6 +266,7 @@ def shuffled_stumps(
     *,
     min_leaf: int = MIN_LEAF,
     limit: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Best stump per (group, column, label, replicate) with labels shuffled in the group.
 
@@ -267,7 +275,7 @@ def shuffled_stumps(
     task that holds a block, to its rows. Only one row per block and replicate leaves it.
     """
     part = ["group_key", "column"]
-    counts = written(_label_counts(df, strata, measures, labels))
+    counts = counts or written(label_counts(df, strata, measures, labels))
     limit = limit or group_row_limit(df.sparkSession)
     total, largest = group_sizes(counts, part)
     if largest <= limit:
@@ -328,17 +336,17 @@ def candidate_scan(
     Two ceilings per label: the 95 % point over all columns and replicates, and the 95 %
     point of the per-replicate maximum, which holds for all columns together.
     """
-    null = _fold_groups(
-        shuffled_stumps(df, strata, measures, labels, reps, seed, limit=limit), ["label", "column", "rep"]
-    )
-    null = written(null)
+    counts = written(label_counts(df, strata, measures, labels))
+    shuffled = shuffled_stumps(df, strata, measures, labels, reps, seed, limit=limit, counts=counts)
+    null = written(_fold_groups(shuffled, ["label", "column", "rep"]))
     single = null.groupBy("label").agg(F.percentile("separation", 0.95).alias("ceiling_p95"))
     joint = null.groupBy("label", "rep").agg(
         F.max("separation").alias("s"), F.max("consistency").alias("c")
     ).groupBy("label").agg(
         F.percentile("s", 0.95).alias("ceiling_fwer"), F.percentile("c", 0.95).alias("consistency_ceiling")
     )
-    seen = _fold_groups(stump_thresholds(df, strata, measures, labels, limit=limit), ["label", "column"])
+    observed = stump_thresholds(df, strata, measures, labels, limit=limit, counts=counts)
+    seen = _fold_groups(observed, ["label", "column"])
     pair = F.struct("column", "label")
     is_assigned = pair.isin(*[F.struct(F.lit(c), F.lit(d)) for c, d in assigned]) if assigned else F.lit(False)
     return seen.join(single, "label", "left").join(joint, "label", "left").select(

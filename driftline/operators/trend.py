@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from driftline.functions import expr, tails
 from driftline.operators.daily import zone_flags
 from driftline.schema import MIN_STABLE_DAYS, TREND_ALPHA, Roles
-from driftline.store import join_null_safe, lookup
+from driftline.store import join_null_safe, lookup, written
 
 _TEST = T.StructType(
     [T.StructField("n", T.IntegerType()), T.StructField("s", T.LongType()), T.StructField("tie_sum", T.LongType())]
@@ -149,15 +149,20 @@ def crosscheck(raw: DataFrame, trends: DataFrame, keys: Sequence[str]) -> DataFr
     )
 
 
-def stable_phase(df: DataFrame, thresholds: DataFrame, roles: Roles) -> DataFrame:
-    """Stable days per (entity, column, label) of the OK rows' daily zone share."""
+def ok_zone_days(df: DataFrame, thresholds: DataFrame, roles: Roles) -> DataFrame:
+    """Rows and risk-zone rows of the OK rows per (entity, column, label, group, day)."""
     ok = df.filter(roles.ok).withColumn("dt", F.to_date(roles.time))
-    daily = (
+    return (
         zone_flags(ok, thresholds, roles, [roles.entity, "dt"])
-        .groupBy(roles.entity, "column", "label", "dt")
-        .agg(F.avg("in_zone").alias("rate"))
+        .groupBy(roles.entity, "column", "label", "group_key", "dt")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("in_zone").alias("hit"))
     )
+
+
+def stable_phase(zone_days: DataFrame, roles: Roles) -> DataFrame:
+    """Stable days per (entity, column, label) of the daily zone share of ``ok_zone_days``."""
     keys = [roles.entity, "column", "label"]
+    daily = zone_days.groupBy(*keys, "dt").agg((F.sum("hit") / F.sum("n")).alias("rate"))
     return daily.groupBy(*keys).agg(
         F.sort_array(F.collect_list("dt")).alias("days"), day_array("rate").alias("_v")
     ).select(*keys, stable_days("_v").alias("stable_days"), "days")
@@ -167,18 +172,13 @@ def entry_rate_baseline(df: DataFrame, thresholds: DataFrame, roles: Roles) -> D
     """Usual zone share per (entity, column, label, group): OK rows of the stable phase.
 
     The stable set is a prefix of the days, so one cut-off day per series replaces the
-    set of days.
+    set of days. The fact is read once: both steps work on its day table.
     """
     keys = [roles.entity, "column", "label"]
-    phase = stable_phase(df, thresholds, roles).select(
+    per_day = written(ok_zone_days(df, thresholds, roles))
+    phase = stable_phase(per_day, roles).select(
         *keys, "stable_days", F.element_at("days", F.col("stable_days")).alias("_until")
     )
-    ok = df.filter(roles.ok).withColumn("dt", F.to_date(roles.time))
-    per_day = (
-        zone_flags(ok, thresholds, roles, [roles.entity, "dt"])
-        .groupBy(*keys, "group_key", "dt")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("in_zone").alias("hit"))
-    )
     joined = join_null_safe(per_day, lookup(phase), keys, "inner").filter("dt <= _until")
     return (
         joined.groupBy(*keys, "group_key", "stable_days")

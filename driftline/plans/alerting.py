@@ -10,6 +10,7 @@ from driftline.operators import baseline, threshold
 from driftline.operators.alerts import References, alert_rows
 from driftline.operators.spec import UpperLimit
 from driftline.schema import Roles
+from driftline.store import together
 
 
 def learn_references(
@@ -27,31 +28,35 @@ def learn_references(
 ) -> References:
     """Stratum statistics of the normal rows and the typed baselines the types call for."""
     ok = df.filter(roles.ok)
-    stats = baseline.override_targets(
-        baseline.stratum_stats(df.filter(roles.normal), roles.stratum, roles.measures), roles.limits
-    )
     rises = dict(rises_is_bad or {})
-    a = [m for m, t in types.items() if t == "A"]
-    b = [m for m, t in types.items() if t == "B"]
-    ab = None
-    if a:
-        ab = baseline.baseline_a(ok, roles.stratum, {m: rises[m] for m in a}, roles.limits).drop("bad_direction")
-    if b:
-        two = baseline.baseline_b(ok, roles.stratum, b, roles.limits, recompute_target)
-        ab = two if ab is None else ab.unionByName(two)
     watched = {m: tuple(ds) for m, ds in (labels or {}).items() if types.get(m) == "C"}
-    learned = None
-    if watched:
-        pairs = [(m, d) for m, ds in watched.items() for d in ds]
+    pairs = [(m, d) for m, ds in watched.items() for d in ds]
+    e = {m: (constants or {})[m] for m, t in types.items() if t == "E"}
+
+    def statistics() -> DataFrame:
+        stats = baseline.stratum_stats(df.filter(roles.normal), roles.stratum, roles.measures)
+        return baseline.override_targets(stats, roles.limits)
+
+    def centres() -> DataFrame | None:
+        a = {m: rises[m] for m, t in types.items() if t == "A"}
+        b = [m for m, t in types.items() if t == "B"]
+        parts = []
+        if a:
+            parts.append(baseline.baseline_a(ok, roles.stratum, a, roles.limits).drop("bad_direction"))
+        if b:
+            parts.append(baseline.baseline_b(ok, roles.stratum, b, roles.limits, recompute_target))
+        return None if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def thresholds() -> DataFrame | None:
+        if not pairs:
+            return None
         if training is None:
-            learned = threshold.stump_thresholds(
-                df, roles.stratum, sorted(watched), sorted({d for _, d in pairs}), pairs
-            )
+            learned = threshold.stump_thresholds(df, roles.stratum, sorted(watched), sorted({d for _, d in pairs}), pairs)
         else:
             learned = threshold.routed_thresholds(df, training, roles.stratum, pairs)
-        if directions is not None:
-            learned = threshold.agreeing(learned, directions)
-    e = {m: (constants or {})[m] for m, t in types.items() if t == "E"}
+        return learned if directions is None else threshold.agreeing(learned, directions)
+
+    stats, ab, learned = together(df.sparkSession, statistics, centres, thresholds)
     return References(
         stats=stats, types=dict(types), ab=ab, thresholds=learned,
         constants=baseline.baseline_e(ok, e) if e else None,

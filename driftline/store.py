@@ -9,7 +9,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 BROADCAST_ROWS = 200_000
 
@@ -39,8 +43,15 @@ def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     Beyond ``max_rows`` the plain table is returned: the join is then a shuffle join,
     whose hot keys are split by the adaptive skew handling.
     """
-    table = written(df)
-    return F.broadcast(table) if table.count() <= max_rows else table
+    seen = Observation()
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return F.broadcast(table) if seen.get["n"] <= max_rows else table
+
+
+def together(spark: SparkSession, *steps: Callable) -> list:
+    """Run independent learning steps at the same time, so their jobs share the cluster."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return list(pool.map(lambda step: inheritable_thread_target(spark)(step)(), steps))
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "left") -> DataFrame:

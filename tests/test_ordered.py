@@ -162,8 +162,9 @@ def test_episode_numbers(frame, rows, limit):
 @pytest.mark.parametrize("limit", LIMITS)
 def test_quantiles_match_pandas(frame, rows, limit):
     long = frame.select("g", F.col("v").alias("value")).filter("value is not null")
-    out = quantiles.grouped_quantiles(long, ["g"], [0.005, 0.5, 0.995], ["a", "b", "c"], limit=limit,
-                                      extra=[F.count(F.lit(1)).alias("n")])
+    counts = quantiles.value_counts(long, ["g"])
+    out = quantiles.grouped_quantiles(counts, ["g"], [0.005, 0.5, 0.995], ["a", "b", "c"], limit=limit,
+                                      extra=[F.sum("n").alias("n")])
     got = {r["g"]: r for r in out.collect()}
     for g, part in groups(rows):
         v = part["v"].astype(float).dropna()
