@@ -37,6 +37,7 @@ def relation_tables(spark, folder):
         F.when(F.signum("weighted_effect") == F.signum("h"), " 통과 ").otherwise("판정불가").alias("repro_state"),
         F.lit("level").alias("watch_mode"), tier.alias("tier"),
     )
+    rel = lookup(rel)  # one line per measure and outcome, used by several steps
     return rel.select("factor", "defect", "alert_usable", "threshold_direction"), rel.select(
         "factor", "defect", "repro_state", "watch_mode", "tier"
     )
