@@ -8,9 +8,9 @@ from driftline.catalog.baselines import TREND_SQL, shot_daily
 from driftline.catalog.bindings import PANEL, PANEL_SQL, SHOTS, SHOTS_SQL, panel, shots
 from driftline.catalog.registry import query, rounded, union_sql
 from driftline.catalog.thresholds import LABELS, PANEL_PAIRS, PM, stump_sql
-from driftline.catalog.warnings import _margins_sql, margins
+from driftline.catalog.warnings import SCALE_SQL, _margins_sql, alert_table, margins
 from driftline.functions import expr
-from driftline.operators import baseline, catalogue, daily, explore, quality, relations, sequence, threshold, trend
+from driftline.operators import baseline, catalogue, daily, explore, health, quality, relations, sequence, threshold, trend
 from driftline.schema import HIGH, LOW, ZERO_EPS
 from driftline.sources import readers, writers
 from driftline.store import lookup
@@ -230,6 +230,20 @@ def snapshot_text(spark, folder):
     return machines.select(F.to_json(F.struct("machines")).alias("text"))
 
 
+@query("scale_with_metrics", f"""WITH {SHOTS_SQL}, {SCALE_SQL}, m AS ({_margins_sql()}), g AS (SELECT machine, "column", avg(margin) AS margin FROM m WHERE direction = 'either' GROUP BY ALL)
+  SELECT sc.machine, sc."column", alert_rows, n_days, days_since_last, round(100 - margin, 4) AS health_index, round(margin, 4) AS margin_used_pct
+  FROM sc LEFT JOIN g USING (machine, "column")""")
+def scale_with_metrics(spark, folder):
+    scale = health.alert_scale(alert_table(spark, folder), SHOTS)
+    metrics = readers.flatten_snapshot(snapshot_text(spark, folder), "text").filter("defect = 'either'").select(
+        "machine", F.col("factor").alias("column"), "health_index", "margin_used_pct"
+    )
+    joined = scale.join(metrics, ["machine", "column"], "left")
+    return rounded(joined, 4, "health_index", "margin_used_pct").select(
+        "machine", "column", "alert_rows", "n_days", "days_since_last", "health_index", "margin_used_pct"
+    )
+
+
 @query("summary_json", f"""WITH {PANEL_SQL}, s AS (SELECT count(*) AS n, count(DISTINCT (l_orderkey, l_linenumber)) AS u,
     count(DISTINCT l_linenumber) AS p, count(*) FILTER (is_normal) AS m FROM panel)
   SELECT '{{"row_count":' || n || ',"unique_keys":' || u || ',"duplicate_rows":' || (n - u) || ',"repeated_last_key":' || (n - p) || ',"normal_count":' || m || ',"policy":"flag_only"}}' AS summary FROM s""")

@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftline.functions import expr, messages as text
 from driftline.operators import sequence
-from driftline.operators.baseline import per_stratum
-from driftline.operators.ordered import RN, Ordered, group_sizes
+from driftline.operators.ordered import BLOCK, RN, Ordered, group_sizes
 from driftline.operators.spec import UpperLimit, breach_days, spec_rules
-from driftline.schema import CUSUM_H, CUSUM_K, HIGH, LOW, PERSIST_ROWS, ROLLING_ROWS, Roles
+from driftline.schema import CUSUM_H, CUSUM_K, LOW, PERSIST_ROWS, ROLLING_ROWS, Roles
 from driftline.store import join_null_safe, lookup, together
 
 
@@ -21,7 +20,6 @@ class References:
     """Learned tables and the type of each measure.
 
     ``types``: measure -> A/B/C/E (others are only described). ``rises_is_bad``: type A.
-    ``labels``: type C measure -> labels it is watched for.
     """
 
     stats: DataFrame
@@ -30,101 +28,108 @@ class References:
     thresholds: DataFrame | None = None
     constants: DataFrame | None = None
     rises_is_bad: Mapping[str, bool] = field(default_factory=dict)
-    labels: Mapping[str, Sequence[str]] = field(default_factory=dict)
     upper: Mapping[str, UpperLimit] = field(default_factory=dict)
 
 
-def reference_rows(refs: References, roles: Roles) -> DataFrame:
-    """Everything a row needs to know about its group, one line per stratum.
+_VARIANT = ["column", "label"]
 
-    Per measure: base (normal value), target and sd of the cumulative sum, fb (fallback
-    std), and threshold / direction per watched label.
+
+def reference_rows(df: DataFrame, refs: References, roles: Roles) -> DataFrame:
+    """What is watched in each stratum: one line per (stratum, measure, label).
+
+    A type C measure has one line per threshold of its group, or one unlabelled line if
+    there is none. ``base`` is the normal value, ``target`` and ``sd`` scale the cumulative
+    sum, ``run`` is the number of limit violations in a row that cannot be chance.
     """
-    ms = roles.measures
-    table = per_stratum(refs.stats, roles.stratum, ms, ["std", "median"]).withColumn(
-        "_gk", F.concat_ws("|", *roles.stratum)
-    )
-    ab = [m for m in ms if refs.types.get(m) in ("A", "B")]
-    cs = [m for m in ms if refs.types.get(m) == "C"]
-    es = [m for m in ms if refs.types.get(m) == "E"]
-    if ab:
-        wide = refs.ab.groupBy("group_key").agg(
-            *[F.max(F.when(F.col("column") == m, F.col("baseline_value"))).alias(f"{m}__ab") for m in ab]
-        )
-        table = table.join(wide, table["_gk"] == wide["group_key"], "left").drop("group_key")
-    if cs:
-        cells = [(m, d) for m in cs for d in refs.labels.get(m, ())]
-        wide = refs.thresholds.groupBy("group_key").agg(
-            *[
-                F.max(F.when((F.col("column") == m) & (F.col("label") == d), F.col(c))).alias(f"{m}__{c}__{d}")
-                for m, d in cells for c in ("threshold", "direction")
-            ]
-        )
-        table = table.join(wide, table["_gk"] == wide["group_key"], "left").drop("group_key")
-    if es:
-        wide = refs.constants.groupBy(F.lit(1).alias("_k")).agg(
-            *[
-                F.max(F.when(F.col("column") == m, F.col(c))).alias(f"{m}__{c}")
-                for m in es for c in ("baseline_value", "reference_ok_mean", "reference_ok_std")
-            ]
+    null = F.lit(None)
+    listed = []
+    for i, m in enumerate(roles.measures):
+        limit, upper = roles.limits.get(m), refs.upper.get(m)
+        listed.append(
+            F.struct(
+                F.lit(i).alias("idx"), F.lit(m).alias("column"), F.lit(refs.types.get(m, "NONE")).alias("type"),
+                F.lit(refs.rises_is_bad.get(m)).cast("boolean").alias("rises"),
+                (F.lit(float(limit.lsl)) if limit else null.cast("double")).alias("lsl"),
+                (F.lit(float(limit.usl)) if limit else null.cast("double")).alias("usl"),
+                F.lit(text.number_text(limit.lsl) if limit else "").alias("lsl_text"),
+                F.lit(text.number_text(limit.usl) if limit else "").alias("usl_text"),
+                (F.lit(float(upper.limit)) if upper else null.cast("double")).alias("upper"),
+                F.lit(text.number_text(upper.limit) if upper else "").alias("upper_text"),
+                F.lit(" / ".join(text.RELATED % d for d in upper.labels) if upper else "").alias("related"),
+            )
         )
-        table = table.withColumn("_k", F.lit(1)).join(F.broadcast(wide), "_k", "left").drop("_k")
-    out = []
-    for m in ms:
-        kind = refs.types.get(m)
-        std = F.col(f"{m}__std")
-        none = F.lit(None).cast("double")
-        if kind == "E":
-            base = F.col(f"{m}__baseline_value")
-            own = F.nullif(F.col(f"{m}__reference_ok_std"), F.lit(0.0))
-            target, sd = F.coalesce(f"{m}__reference_ok_mean", f"{m}__baseline_value"), F.coalesce(own, std)
-        else:
-            base = {"A": F.col(f"{m}__ab"), "B": F.col(f"{m}__ab"), "C": F.col(f"{m}__median")}.get(kind, none) \
-                if kind in ("A", "B", "C") else none
-            target, sd = base, std
-        out += [base.alias(f"{m}__base"), target.alias(f"{m}__target"), sd.alias(f"{m}__sd")]
-        for d in refs.labels.get(m, ()) if kind == "C" else ():
-            out += [F.col(f"{m}__threshold__{d}"), F.col(f"{m}__direction__{d}")]
-    return table.select(*roles.stratum, *out)
-
-
-def scored(df: DataFrame, table: DataFrame, roles: Roles) -> DataFrame:
-    """The fact with its reference columns and the sequence score of each measure."""
-    joined = join_null_safe(df, table, roles.stratum)
+    strata = df.select(*roles.stratum).distinct()
+    grid = strata.select(*roles.stratum, roles.group_key().alias("group_key"), F.inline(F.array(*listed)))
+    grid = join_null_safe(
+        grid, refs.stats.select(*roles.stratum, "column", "std", "median"), [*roles.stratum, "column"]
+    )
+    spark = df.sparkSession
+    ab = refs.ab if refs.ab is not None else spark.createDataFrame(
+        [], "group_key string, column string, type string, baseline_value double")
+    c = refs.thresholds if refs.thresholds is not None else spark.createDataFrame(
+        [], "group_key string, column string, label string, threshold double, direction string")
+    e = refs.constants if refs.constants is not None else spark.createDataFrame(
+        [], "column string, baseline_value double, reference_ok_mean double, reference_ok_std double")
+    joined = (
+        grid.join(ab.select("group_key", "column", "type", F.col("baseline_value").alias("ab")), ["group_key", "column", "type"], "left")
+        .join(c.select("group_key", "column", F.lit("C").alias("type"), "label", "threshold", "direction"),
+              ["group_key", "column", "type"], "left")
+        .join(e.select("column", F.lit("E").alias("type"), F.col("baseline_value").alias("theory"),
+                       "reference_ok_mean", "reference_ok_std"), ["column", "type"], "left")
+    )
+    if any(m in roles.limits for m in roles.measures):
+        joined = joined.join(spec_rules(df, roles).select("column", "rate", "run"), "column", "left")
+    else:
+        joined = joined.withColumn("rate", null.cast("double")).withColumn("run", null.cast("int"))
+    kind = F.col("type")
+    base = F.when(kind.isin("A", "B"), F.col("ab")).when(kind == "C", F.col("median")).when(kind == "E", F.col("theory"))
+    own = F.when(kind == "E", F.nullif(F.col("reference_ok_std"), F.lit(0.0)))
     return joined.select(
-        "*",
-        *[
-            F.when(F.col(f"{m}__sd") > 0, (F.col(m) - F.col(f"{m}__target")) / F.col(f"{m}__sd")).alias(f"{m}__z")
-            for m in roles.measures
-        ],
+        *roles.stratum, "idx", "column", F.coalesce("label", F.lit("")).alias("label"), "type", "rises",
+        base.alias("base"), F.coalesce("reference_ok_mean", base).alias("target"),
+        F.coalesce(own, "std").alias("sd"), "threshold", "direction", "lsl", "usl", "rate", "run", "upper",
+        "lsl_text", "usl_text", "upper_text", "related",
     )
 
 
-def _breach_table(df: DataFrame, refs: References, roles: Roles) -> DataFrame:
-    """(entity, day) -> which externally limited measures breached that day."""
-    return breach_days(df, roles, refs.upper).filter("breach").groupBy(roles.entity, "dt").agg(
-        *[F.bool_or(F.col("column") == m).alias(f"{m}__day") for m in refs.upper]
-    )
+_WATCH = ("idx", "column", "label", "type", "rises", "target", "sd", "threshold", "direction", "lsl", "usl", "run", "upper")
 
 
-def _variants(m: str, refs: References) -> list[tuple[str, Column]]:
-    """(label, exists) per alert variant of a measure.
+def watched_sequences(
+    df: DataFrame, table: DataFrame, roles: Roles, limit: int | None, sizes: tuple[int, int] | None = None
+) -> Ordered:
+    """The fact as one ordered sequence per (entity, stratum, measure, label).
 
-    A type C measure has one variant per threshold of the group, or a single unlabelled
-    one if the group has none.
+    The rows are shuffled while they are wide and become long afterwards, inside their
+    partition: the windows over (series, measure, label) need no further shuffle, the plan
+    does not grow with the number of measures, and neither does the shuffle by copies of
+    the keys.
     """
-    labels = refs.labels.get(m, ()) if refs.types.get(m) == "C" else ()
-    if not labels:
-        return [("", F.lit(True))]
-    has = {d: F.col(f"{m}__threshold__{d}").isNotNull() for d in labels}
-    none = F.lit(True)
-    for test in has.values():
-        none = none & ~test
-    return [*has.items(), ("", none)]
+    extra = [c for c in ("_over_days",) if c in df.columns]
+    wide = Ordered.of(
+        df.select(*roles.series, *roles.order, *extra, F.array(*[F.col(m).cast("double") for m in roles.measures]).alias("_all")),
+        roles.series, roles.order, limit, fact=df, sizes=sizes,
+    )
+    per_stratum = table.groupBy(*roles.stratum).agg(F.collect_list(F.struct(*_WATCH)).alias("_watch"))
+    joined = join_null_safe(wide.df, lookup(per_stratum), roles.stratum)
+    place = [BLOCK] if wide.blocked else []
+    long = joined.select(*roles.series, *roles.order, RN, *place, *extra, "_all", F.inline("_watch"))
+    value = F.get("_all", F.col("idx"))
+    scored = long.select(
+        *roles.series, *roles.order, RN, *place, *extra, *_VARIANT, "type", "rises", "direction", "run",
+        value.alias("value"),
+        F.when(F.col("sd") > 0, (value - F.col("target")) / F.col("sd")).alias("z"),
+        F.when(F.col("run").isNotNull(), F.coalesce((value < F.col("lsl")) | (value > F.col("usl")), F.lit(False))).alias("out"),
+        F.coalesce(expr.in_zone(value, F.col("threshold"), F.col("direction"), True), F.lit(False)).alias("_zone"),
+        F.coalesce(value > F.col("upper"), F.lit(False)).alias("_above"),
+    )
+    return Ordered(scored, (*roles.series, *_VARIANT), wide.order, wide.blocked, wide.limit)
 
 
-def _tag(m: str, d: str) -> str:
-    return f"{m}__{d}" if d else m
+def _breached(df: DataFrame, refs: References, roles: Roles) -> DataFrame:
+    """(entity, day) -> externally limited measures with a breach that day."""
+    days = breach_days(df, roles, refs.upper).filter("breach")
+    return days.groupBy(roles.entity, "dt").agg(F.collect_set("column").alias("_over_days"))
 
 
 def alert_rows(
@@ -137,177 +142,112 @@ def alert_rows(
     limit: int | None = None,
     with_messages: bool = True,
 ) -> DataFrame:
-    """One row per (row, measure, variant) that carries an early warning.
+    """One row per (row, measure, label) that carries an early warning.
 
-    The fact is shuffled and sorted once on (entity, stratum); all measures and labels are
-    handled in the same window passes, and only alerting cells become long rows.
+    One shuffle of the wide fact serves all measures and labels; only the columns the
+    detectors need pass through the windows, the rest is looked up for alerting rows.
     """
-    ms = roles.measures
-    limited = [m for m in ms if m in roles.limits]
     # independent small tables: their jobs run side by side
-    table, days, rules, sizes = together(
+    table, days, sizes = together(
         df.sparkSession,
-        lambda: lookup(reference_rows(refs, roles)),
-        lambda: lookup(_breach_table(df, refs, roles)) if refs.upper else None,
-        lambda: spec_rules(df, roles).collect() if limited else [],  # one row per limited measure
+        lambda: lookup(reference_rows(df, refs, roles)),
+        lambda: lookup(_breached(df, refs, roles)) if refs.upper else None,
         lambda: group_sizes(df, roles.series),
     )
-    rules = {r["column"]: r for r in rules}
-    fact = scored(df, table, roles)
+    fact = df
     if refs.upper:
-        fact = join_null_safe(fact.withColumn("dt", F.to_date(roles.time)), days, [roles.entity, "dt"])
-    marks = [expr.out_of_spec(F.col(m), roles.limits[m]).alias(f"{m}__out") for m in limited]
-    seq = Ordered.of(fact.select("*", *marks), roles.series, roles.order, limit, sizes=sizes)
-    seq = sequence.rolling(seq, ms)
-    seq = sequence.cusum(seq, [f"{m}__z" for m in ms], [k])
+        fact = join_null_safe(df.withColumn("dt", F.to_date(roles.time)), days, [roles.entity, "dt"])
+    seq = watched_sequences(fact, table, roles, limit, sizes)
+    seq = sequence.rolling(seq, ["value"])
+    seq = sequence.cusum(seq, ["z"], [k])
 
     ready = F.col(RN) >= ROLLING_ROWS
-    entered = {
-        _tag(m, d): ready & expr.in_zone(F.col(m), F.col(f"{m}__threshold__{d}"), F.col(f"{m}__direction__{d}"), True)
-        for m in ms for d, _ in _variants(m, refs) if d
-    }
-    seq = seq.select(*[c.alias(f"{t}__risk") for t, c in entered.items()])
-    events = {f"{m}__spec": (f"{m}__out", int(rules[m]["run"])) for m in limited}
-    events |= {f"{t}__entry": (f"{t}__risk", PERSIST_ROWS) for t in entered}
-    if events:
-        seq = sequence.sustained(seq, events)
-
-    warn = {}
-    for m in ms:
-        always = [F.col(f"{m}__spec")] if m in limited else []
-        if m in refs.upper:
-            always.append(F.coalesce(F.col(f"{m}__day"), F.lit(False)) & F.coalesce(F.col(m) > refs.upper[m].limit, F.lit(False)))
-        for d, exists in _variants(m, refs):
-            test = _typed_signal(m, d, refs, h)
-            for extra in always:
-                test = test | extra
-            warn[_tag(m, d)] = F.coalesce(ready & exists & test, F.lit(False))
-    seq = seq.select(*[c.alias(f"{t}__warn") for t, c in warn.items()])
-    seq = sequence.episodes(seq, {f"{t}__episode": f"{t}__warn" for t in warn})
-
-    cells = [
-        _cell(m, d, refs, roles, rules.get(m), h, with_messages) for m in ms for d, _ in _variants(m, refs)
-    ]
-    # rows without any warning leave before the wide cells are built
-    some = F.lit(False)
-    for t in warn:
-        some = some | F.col(f"{t}__warn")
-    long = seq.df.filter(some).select(*roles.key, roles.time, *roles.series, F.inline(F.array(*cells)))
-    return long.filter("early_warning")
-
-
-def _sides(m: str, h: float) -> tuple[Column, Column]:
-    return F.col(f"{m}__z__up") > h, F.col(f"{m}__z__dn") < -h
-
-
-def _typed_signal(m: str, d: str, refs: References, h: float) -> Column:
-    kind = refs.types.get(m)
-    up, down = _sides(m, h)
-    if kind == "A":
-        return up if refs.rises_is_bad[m] else down
-    if kind in ("B", "E"):
-        return up | down
-    if kind == "C" and d:
-        low = F.col(f"{m}__direction__{d}") == LOW
-        return F.col(f"{_tag(m, d)}__entry") | F.when(low, down).otherwise(up)
-    return F.lit(False)
-
-
-def _cell(m: str, d: str, refs: References, roles: Roles, rule, h: float, with_messages: bool) -> Column:
-    kind, t = refs.types.get(m), _tag(m, d)
-    up, down = _sides(m, h)
-    base, mean = F.col(f"{m}__base"), F.col(f"{m}__mean")
-    slope = F.col(f"{m}__slope")
-    sd = F.coalesce(F.nullif(F.col(f"{m}__std"), F.lit(0.0)), F.nullif(F.col(f"{m}__sd"), F.lit(0.0)))
+    seq = seq.select((ready & F.col("_zone")).alias("_risk"))
+    seq = sequence.sustained(seq, {"spec_hit": ("out", F.col("run")), "entry": ("_risk", PERSIST_ROWS)})
+    over = F.col("_above") & F.coalesce(F.array_contains("_over_days", F.col("column")), F.lit(False)) if refs.upper else F.lit(False)
+    seq = seq.select(_typed_signal(h).alias("typed"), F.coalesce("spec_hit", F.lit(False)).alias("_spec"), over.alias("_limit"))
+    seq = seq.select((ready & (F.col("typed") | F.col("_spec") | F.col("_limit"))).alias("warn"))
+    seq = sequence.episodes(seq, {"episode_id": "warn"})
+
+    hits = seq.df.filter("warn").drop("type", "rises", "direction", "run")
+    full = join_null_safe(hits, table.drop("idx"), [*roles.stratum, *_VARIANT])
+    return full.select(*roles.key, roles.time, *roles.series, *_output(roles, h, with_messages))
+
+
+def _sides(h: float) -> tuple[Column, Column]:
+    return F.col("z__up") > h, F.col("z__dn") < -h
+
+
+def _typed_signal(h: float) -> Column:
+    """Does the detector of the row's type fire?"""
+    up, down = _sides(h)
+    kind = F.col("type")
+    risky = F.when(F.col("direction") == LOW, down).otherwise(up)
+    fires = (
+        F.when(kind == "A", F.when(F.col("rises"), up).otherwise(down))
+        .when(kind.isin("B", "E"), up | down)
+        .when((kind == "C") & (F.col("label") != ""), F.col("entry") | risky)
+    )
+    return F.coalesce(fires, F.lit(False))
+
+
+def _output(roles: Roles, h: float, with_messages: bool) -> list[Column]:
+    up, down = _sides(h)
+    kind, base, mean, slope = (F.col(c) for c in ("type", "base", "value__mean", "value__slope"))
+    sd = F.coalesce(F.nullif(F.col("value__std"), F.lit(0.0)), F.nullif(F.col("sd"), F.lit(0.0)))
     deviation = (
         F.when(sd.isNotNull(), (mean - base) / sd)
         .when(base != 0, F.try_divide(mean - base, F.abs(base)))
         .otherwise(mean - base)
     )
-    direction = F.when(slope > 0, "up").when(slope < 0, "down").otherwise("flat")
-    risky = F.col(f"{m}__direction__{d}") if kind == "C" and d else F.lit(None).cast("string")
-    if kind == "A":
-        bad = refs.rises_is_bad[m]
-        direction = F.when(up if bad else down, "up" if bad else "down").otherwise(direction)
-    elif kind in ("B", "E"):
-        direction = F.when(up, "up").when(down, "down").otherwise(direction)
-    elif kind == "C" and d:
-        fired = _typed_signal(m, d, refs, h)
-        direction = F.when(fired, F.when(risky == LOW, "down").otherwise("up")).otherwise(direction)
-    null = F.lit(None).cast("double")
-    limit = roles.limits.get(m)
-    spec = F.col(f"{m}__spec") if limit else F.lit(False)
-    over = (
-        F.coalesce(F.col(f"{m}__day"), F.lit(False)) & F.coalesce(F.col(m) > refs.upper[m].limit, F.lit(False))
-        if m in refs.upper else F.lit(False)
+    direction = (
+        F.when(F.col("typed") & (kind == "A"), F.when(F.col("rises"), "up").otherwise("down"))
+        .when(F.col("typed") & (kind == "C"), F.when(F.col("direction") == LOW, "down").otherwise("up"))
+        .when(F.col("typed"), F.when(up, "up").otherwise("down"))
+        .when(slope > 0, "up").when(slope < 0, "down").otherwise("flat")
     )
     fields = [
-        F.lit(m).alias("column"),
-        F.lit(kind or "NONE").alias("type"),
-        F.lit(d).alias("matched_label"),
-        base.alias("baseline"),
-        (F.col(f"{m}__threshold__{d}") if kind == "C" and d else null).alias("threshold"),
-        (F.lit(float(limit.lsl)) if limit else null).alias("spec_lsl"),
-        (F.lit(float(limit.usl)) if limit else null).alias("spec_usl"),
-        (F.when(F.col(f"{m}__out"), "OUT_OF_SPEC").otherwise("OK") if limit else F.lit("")).alias("spec_status"),
-        F.col(m).cast("double").alias("current_value"),
-        mean.alias("rolling_mean"),
-        F.col(f"{m}__std").alias("rolling_std"),
-        F.col(f"{m}__diff").cast("double").alias("difference"),
-        slope.alias("slope"),
-        deviation.alias("normalized_deviation"),
-        direction.alias("trend_direction"),
-        spec.alias("spec_violation_warning"),
-        over.alias("external_limit_warning"),
-        F.coalesce(F.col(f"{t}__warn"), F.lit(False)).alias("early_warning"),
-        F.col(f"{t}__episode").alias("episode_id"),
-        (_typed_signal(m, d, refs, h) if kind else F.lit(False)).alias("typed_warning"),
-        (F.col(f"{t}__entry") if kind == "C" and d else F.lit(False)).alias("entry_warning"),
+        F.col("column"), kind, F.col("label").alias("matched_label"),
+        base.alias("baseline"), F.col("threshold"),
+        F.col("lsl").alias("spec_lsl"), F.col("usl").alias("spec_usl"),
+        F.when(F.col("lsl").isNull(), "").when(F.col("out"), "OUT_OF_SPEC").otherwise("OK").alias("spec_status"),
+        F.col("value").alias("current_value"),
+        mean.alias("rolling_mean"), F.col("value__std").alias("rolling_std"),
+        F.col("value__diff").alias("difference"), slope.alias("slope"),
+        deviation.alias("normalized_deviation"), direction.alias("trend_direction"),
+        F.col("_spec").alias("spec_violation_warning"), F.col("_limit").alias("external_limit_warning"),
+        F.col("warn").alias("early_warning"), F.col("episode_id"),
+        F.col("typed").alias("typed_warning"),
+        ((kind == "C") & (F.col("label") != "") & F.col("entry")).alias("entry_warning"),
     ]
-    if with_messages:
-        fields.append(_message(m, d, refs, roles, rule, h, spec, over, risky).alias("message"))
-    return F.struct(*fields)
-
-
-def _message(m, d, refs, roles, rule, h, spec, over, risky) -> Column:
-    kind = refs.types.get(m)
-    up, down = _sides(m, h)
-    who = [F.col(c) for c in roles.series] + [F.lit(m)]
-    typed = F.lit("")
-    if kind == "A":
-        rises = refs.rises_is_bad[m]
-        said = text.formatted(text.DRIFT_ONE_SIDED, *who, F.lit(text.RISE if rises else text.FALL))
-        typed = F.when(up if rises else down, said).otherwise("")
-    elif kind == "B":
-        side = F.when(up, text.ABOVE).otherwise(text.BELOW)
-        typed = F.when(up | down, text.formatted(text.DRIFT_TWO_SIDED, *who, side)).otherwise("")
-    elif kind == "C" and d:
-        entered = text.formatted(text.ENTERED, *who, F.col(f"{m}__threshold__{d}"))
-        side = F.when(risky == LOW, text.BELOW).otherwise(text.ABOVE)
-        drift = text.formatted(text.DRIFT_TO_RISK, *who, side)
-        typed = F.when(F.col(f"{_tag(m, d)}__entry"), entered).when(
-            F.when(risky == LOW, down).otherwise(up), drift
-        ).otherwise("")
-    elif kind == "E":
-        base, target = F.col(f"{m}__base"), F.col(f"{m}__target")
-        theory = F.when(F.abs(base - target) > 1e-9, text.formatted(text.THEORY, base)).otherwise("")
-        typed = F.when(up | down, text.formatted(text.OFF_NORMAL, *who, target, theory)).otherwise("")
-    spec_text, over_text = F.lit(""), F.lit("")
-    if rule is not None:
-        limit = roles.limits[m]
-        said = text.formatted(
-            text.SPEC_RUN, *who, F.lit(text.number_text(limit.lsl)), F.lit(text.number_text(limit.usl)),
-            F.lit(int(rule["run"])), F.col(m).cast("double"), F.lit(float(rule["rate"]) * 100),
-        )
-        spec_text = F.when(spec, said).otherwise("")
-    if m in refs.upper:
-        related = " / ".join(text.RELATED % name for name in refs.upper[m].labels)
-        said = text.formatted(
-            text.OVER_LIMIT, F.col(roles.entity), F.lit(m), F.lit(text.number_text(refs.upper[m].limit)),
-            F.col(m).cast("double"), F.lit(related),
-        )
-        over_text = F.when(over, said).otherwise("")
-    return text.compose(over_text, spec_text, typed)
+    return [*fields, _message(roles, up).alias("message")] if with_messages else fields
+
+
+def _message(roles: Roles, up: Column) -> Column:
+    kind, low = F.col("type"), F.col("direction") == LOW
+    who = [F.col(c) for c in (*roles.series, "column")]
+    rises = F.when(F.col("rises"), text.RISE).otherwise(text.FALL)
+    side = F.when(up, text.ABOVE).otherwise(text.BELOW)
+    risk_side = F.when(low, text.BELOW).otherwise(text.ABOVE)
+    base, target = F.col("base"), F.col("target")
+    theory = F.when(F.abs(base - target) > 1e-9, text.formatted(text.THEORY, base)).otherwise("")
+    typed = (
+        F.when(~F.col("typed"), "")
+        .when(kind == "A", text.formatted(text.DRIFT_ONE_SIDED, *who, rises))
+        .when(kind == "B", text.formatted(text.DRIFT_TWO_SIDED, *who, side))
+        .when((kind == "C") & F.col("entry"), text.formatted(text.ENTERED, *who, F.col("threshold")))
+        .when(kind == "C", text.formatted(text.DRIFT_TO_RISK, *who, risk_side))
+        .otherwise(text.formatted(text.OFF_NORMAL, *who, target, theory))
+    )
+    spec = F.when(
+        F.col("_spec"),
+        text.formatted(text.SPEC_RUN, *who, F.col("lsl_text"), F.col("usl_text"), F.col("run"), F.col("value"), F.col("rate") * 100),
+    ).otherwise("")
+    over = F.when(
+        F.col("_limit"),
+        text.formatted(text.OVER_LIMIT, F.col(roles.entity), F.col("column"), F.col("upper_text"), F.col("value"), F.col("related")),
+    ).otherwise("")
+    return text.compose(over, spec, typed)
 
 
 def warning_rates(alerts: DataFrame) -> DataFrame:
@@ -331,28 +271,20 @@ def sweep_rows(
     All allowances share the same window pass; rows below the smallest limit are dropped
     before the grid is laid out.
     """
-    typed = [m for m in roles.measures if refs.types.get(m)]
-    table = lookup(reference_rows(refs, roles))
-    seq = Ordered.of(scored(df, table, roles), roles.series, roles.order, limit, fact=df)
-    seq = sequence.cusum(seq, [f"{m}__z" for m in typed], ks, suffix=True)
-    lowest = float(min(hs))
+    table = lookup(reference_rows(df, refs, roles).filter("type <> 'NONE'"))
+    seq = sequence.cusum(watched_sequences(df, table, roles, limit), ["z"], ks, suffix=True)
+    lowest, kind = float(min(hs)), F.col("type")
     cells = []
-    for m in typed:
-        for k in ks:
-            tag = str(k).replace(".", "_")
-            up, dn = F.col(f"{m}__z__up_{tag}"), -F.col(f"{m}__z__dn_{tag}")
-            kind = refs.types[m]
-            if kind == "A":
-                variants = [up if refs.rises_is_bad[m] else dn]
-            elif kind == "C":
-                variants = [
-                    F.when(F.col(f"{m}__direction__{d}") == LOW, dn).when(F.col(f"{m}__direction__{d}") == HIGH, up)
-                    for d in refs.labels[m]
-                ]
-            else:
-                variants = [F.greatest(up, dn)]
-            cells += [F.struct(F.lit(float(k)).alias("k"), F.lit(m).alias("column"), v.alias("reach")) for v in variants]
+    for k in ks:
+        tag = str(k).replace(".", "_")
+        up, dn = F.col(f"z__up_{tag}"), -F.col(f"z__dn_{tag}")
+        reach = (
+            F.when(kind == "A", F.when(F.col("rises"), up).otherwise(dn))
+            .when(kind.isin("B", "E"), F.greatest(up, dn))
+            .when(F.col("label") != "", F.when(F.col("direction") == LOW, dn).otherwise(up))
+        )
+        cells.append(F.struct(F.lit(float(k)).alias("k"), reach.alias("reach")))
     grid = F.array(*[F.lit(float(h)) for h in hs])
     ready = seq.df.filter(F.col(RN) >= ROLLING_ROWS)
-    rows = ready.select(*roles.series, roles.time, F.inline(F.array(*cells))).filter(F.col("reach") > lowest)
+    rows = ready.select(*roles.series, "column", roles.time, F.inline(F.array(*cells))).filter(F.col("reach") > lowest)
     return rows.select("*", F.explode(grid).alias("h")).filter("reach > h").drop("reach")

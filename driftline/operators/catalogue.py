@@ -18,6 +18,7 @@ class ColumnRules:
     ids: Sequence[str] = ()
     categories: Sequence[str] = ()
     counts: Sequence[str] = ()
+    label_counts: Sequence[str] = ()
     excluded_ids: Sequence[str] = ()
     excluded_measures: Sequence[str] = ()
     excluded_labels: Sequence[str] = ()
@@ -54,7 +55,7 @@ def taxonomy(spark: SparkSession, columns: Sequence[str], roles: Roles, rules: C
         .when(among(roles.series), "context_stratum")
         .when(among(rules.outcomes), "target_outcome")
         .when(among(rules.excluded_labels), "excluded_defect")
-        .when(among(roles.labels), "target_defect")
+        .when(among([*roles.labels, *rules.label_counts]), "target_defect")
         .when(among(rules.undocumented), "undocumented_excluded")
         .when(among(rules.undocumented_kept), "undocumented_retained")
         .otherwise("predictor")

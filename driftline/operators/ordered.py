@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, fun
 
 from driftline.store import join_null_safe, lookup, written
 
+# more range partitions than this cost the driver more than larger blocks cost the tasks
+MAX_BLOCKS = 20_000
 RN = "_rn"
 BLOCK = "_blk"
 _FN = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -45,7 +47,7 @@ def range_blocks(df: DataFrame, part: Seq[str], order: Seq[str], total: int, lim
     Range bounds come from a sample and can differ between runs of the same plan, so the
     placed rows are written once and every later step reads the same blocks.
     """
-    parts = max(2, math.ceil(total / limit))
+    parts = min(max(2, math.ceil(total / limit)), MAX_BLOCKS)
     placed = df.repartitionByRange(parts, *part, *order)
     return written(placed.withColumn(BLOCK, F.spark_partition_id()))
 

@@ -60,7 +60,7 @@ def learn_references(
     return References(
         stats=stats, types=dict(types), ab=ab, thresholds=learned,
         constants=baseline.baseline_e(ok, e) if e else None,
-        rises_is_bad=rises, labels=watched, upper=dict(upper or {}),
+        rises_is_bad=rises, upper=dict(upper or {}),
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
@@ -16,7 +16,11 @@ from driftline.sources.writers import save_table
 
 @dataclass(frozen=True)
 class PreprocessOptions:
-    """What the plan has to know about the measures."""
+    """What the plan has to know about the measures.
+
+    ``scanned``: measures and labels of the candidate scan; ``flatline``: sensors checked
+    for stuck values. Both default to all of the roles.
+    """
 
     pairs: Sequence[tuple[str, str]]
     rises_is_bad: Mapping[str, bool] = field(default_factory=dict)
@@ -27,6 +31,8 @@ class PreprocessOptions:
     zero_implausible: Sequence[str] = ()
     expected: Mapping[str, int] = field(default_factory=dict)
     rules: ColumnRules = ColumnRules()
+    scanned: tuple[Sequence[str], Sequence[str]] | None = None
+    flatline: Sequence[str] | None = None
     permutations: int = 40
     min_labels: int | None = None
     consistency: tuple[str, str] | None = None
@@ -68,8 +74,10 @@ def preprocess(
     save("daily_rates", daily.daily_rates(df, roles, options.averaged or roles.measures, roles.labels))
 
     faults = save("faults", quality.missing_and_zero(df, df.columns, options.zero_implausible))
-    flat = save("flatlines", sequence.flatline_counts(df, roles))
-    spread = baseline.dispersion_continuous(normal, roles.stratum, roles.measures)
+    sensors = replace(roles, measures=tuple(options.flatline or roles.measures))
+    flat = save("flatlines", sequence.flatline_counts(df, sensors))
+    continuous = [m for m in roles.measures if m not in options.rules.counts]
+    spread = baseline.dispersion_continuous(normal, roles.stratum, continuous)
     if roles.labels:
         spread = spread.unionByName(baseline.dispersion_binary(df, roles.stratum, roles.labels))
     if options.rules.counts:
@@ -91,8 +99,9 @@ def preprocess(
 
     pairs = list(options.pairs)
     if pairs:
+        scan_measures, scan_labels = options.scanned or (roles.measures, roles.labels)
         candidates = save("candidates", threshold.candidate_scan(
-            df, roles.stratum, roles.measures, roles.labels, pairs, options.permutations))
+            df, roles.stratum, scan_measures, scan_labels, pairs, options.permutations))
         assigned = spark.createDataFrame(pairs, "column string, label string")
         save("findings", threshold.scan_findings(candidates, assigned))
         minimum = {} if options.min_labels is None else {"min_labels": options.min_labels}

@@ -137,7 +137,7 @@ def test_sweep_agrees_with_single_runs(fact, refs):
     only = [m for m in ("drift", "align")]
     from dataclasses import replace
 
-    plain = replace(refs, types={m: refs.types[m] for m in only}, labels={}, upper={})
+    plain = replace(refs, types={m: refs.types[m] for m in only}, upper={})
     grid = alerts.sweep_rows(fact, plain, ROLES, [0.5, 0.7], [4.0, 4.5])
     got = {(r["k"], r["h"], r["column"]): r["count"] for r in grid.groupBy("k", "h", "column").count().collect()}
     for k, h in ((0.5, 4.0), (0.7, 4.5)):
