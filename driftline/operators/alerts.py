@@ -123,7 +123,7 @@ def watched_sequences(
         F.coalesce(expr.in_zone(value, F.col("threshold"), F.col("direction"), True), F.lit(False)).alias("_zone"),
         F.coalesce(value > F.col("upper"), F.lit(False)).alias("_above"),
     )
-    return Ordered(scored, (*roles.series, *_VARIANT), wide.order, wide.blocked, wide.limit)
+    return Ordered(scored, (*roles.series, *_VARIANT), (RN,), wide.blocked, wide.limit)
 
 
 def _breached(df: DataFrame, refs: References, roles: Roles) -> DataFrame:

@@ -17,21 +17,56 @@ from driftline.schema import (
     MAD_SCALE,
     ZERO_EPS,
     Limits,
+    Roles,
     limits_frame,
 )
-from driftline.store import join_null_safe, lookup
+from driftline.store import join_null_safe, lookup, written
+
+
+def value_profile(df: DataFrame, roles: Roles, measures: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """(stratum, column, value) -> rows, normal rows, OK rows and positives of each label.
+
+    One pass over the fact from which statistics, typed baselines and thresholds can all
+    be learned; ties collapse before the shuffle.
+    """
+    def flag(test: str) -> Column:
+        return F.coalesce(F.expr(test), F.lit(False)).cast("bigint")
+
+    flagged = df.select("*", flag(roles.normal).alias("_normal"), flag(roles.ok).alias("_ok"))
+    long = unpivot(flagged, [*roles.stratum, "_normal", "_ok", *labels], measures)
+    return value_counts(
+        long, [*roles.stratum, "column"],
+        [F.sum("_normal").alias("n_normal"), F.sum("_ok").alias("n_ok")]
+        + [F.sum(F.coalesce(F.col(d).cast("bigint"), F.lit(0))).alias(f"pos_{d}") for d in labels],
+    )
+
+
+def profile_part(profile: DataFrame, strata: Sequence[str], n: str) -> DataFrame:
+    """Value counts of one population (``n_normal``, ``n_ok``) of a value profile."""
+    return profile.filter(F.col(n) > 0).select(*strata, "column", "value", F.col(n).alias("n"))
 
 
 def stratum_stats(
-    normal: DataFrame, strata: Sequence[str], measures: Sequence[str], *, limit: int | None = None
+    normal: DataFrame,
+    strata: Sequence[str],
+    measures: Sequence[str],
+    *,
+    limit: int | None = None,
+    counts: DataFrame | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
-    """Twelve statistics per (stratum, column) of the normal rows, at any grain."""
+    """Twelve statistics per (stratum, column) of the normal rows, at any grain.
+
+    ``counts``: written value counts of the normal rows, if the caller has them already;
+    ``largest``: an upper bound of the rows per stratum.
+    """
     part = [*strata, "column"]
-    counts = value_counts(unpivot(normal, strata, measures), part)
-    _, largest = group_sizes(normal, strata)  # bounds every (stratum, column) group
+    counts = counts or written(value_counts(unpivot(normal, strata, measures), part))
+    if largest is None:
+        _, largest = group_sizes(normal, strata)  # bounds every (stratum, column) group
     centre = lookup(
         grouped_quantiles(
-            counts, part, [0.005, 0.5, 0.995], ["p0_5", "median", "p99_5"], limit=limit, largest=largest,
+            counts, part, [0.005, 0.5, 0.995], ["p0_5", "median", "p99_5"], limit=limit, largest=largest, distinct=True,
             extra=[
                 F.sum("n").alias("n"), weighted_mean().alias("mean"),
                 F.min("value").alias("min"), F.max("value").alias("max"),
@@ -162,22 +197,34 @@ def _with_class(df: DataFrame, stable: float, variable: float, method: str) -> D
     )
 
 
-def ok_medians(ok: DataFrame, strata: Sequence[str], measures: Sequence[str]) -> DataFrame:
+def ok_medians(
+    ok: DataFrame,
+    strata: Sequence[str],
+    measures: Sequence[str],
+    counts: DataFrame | None = None,
+    largest: int | None = None,
+) -> DataFrame:
     """(group_key, column) -> median of the OK rows, five decimals."""
-    keyed = ok.dropna(subset=list(strata)).withColumn("group_key", F.concat_ws("|", *strata))
-    _, largest = group_sizes(keyed, ["group_key"])
-    part = ["group_key", "column"]
-    cut = grouped_quantiles(
-        value_counts(unpivot(keyed, ["group_key"], measures), part), part, [0.5], ["median"], largest=largest
-    )
+    if largest is None:
+        _, largest = group_sizes(ok, strata)
+    if counts is None:
+        counts = value_counts(unpivot(ok, strata, measures), [*strata, "column"])
+    keyed = counts.filter(F.col("column").isin(list(measures))).dropna(subset=list(strata))
+    keyed = keyed.select(F.concat_ws("|", *strata).alias("group_key"), "column", "value", "n")
+    cut = grouped_quantiles(keyed, ["group_key", "column"], [0.5], ["median"], largest=largest)
     return cut.withColumn("median", F.round("median", 5))
 
 
 def baseline_a(
-    ok: DataFrame, strata: Sequence[str], rises_is_bad: Mapping[str, bool], limits: Mapping[str, Limits]
+    ok: DataFrame,
+    strata: Sequence[str],
+    rises_is_bad: Mapping[str, bool],
+    limits: Mapping[str, Limits],
+    counts: DataFrame | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """One-sided drift measures: target if one is given, else the OK median; bad direction."""
-    medians = ok_medians(ok, strata, list(rises_is_bad))
+    medians = ok_medians(ok, strata, list(rises_is_bad), counts, largest)
     up = [c for c, up in rises_is_bad.items() if up]
     targets = F.broadcast(limits_frame(ok.sparkSession, limits)).select("column", "target")
     return medians.join(targets, "column", "left").select(
@@ -194,10 +241,12 @@ def baseline_b(
     measures: Sequence[str],
     limits: Mapping[str, Limits],
     recompute_target: Sequence[str] = (),
+    counts: DataFrame | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Two-sided optimum measures. ``recompute_target`` keeps the OK median although a
     target is given: the limits are trusted, the centre is learned."""
-    medians = ok_medians(ok, strata, measures)
+    medians = ok_medians(ok, strata, measures, counts, largest)
     targets = F.broadcast(limits_frame(ok.sparkSession, limits)).select("column", "target")
     learned = F.col("column").isin(list(recompute_target)) | F.col("target").isNull()
     return medians.join(targets, "column", "left").select(

@@ -37,6 +37,7 @@ def grouped_quantiles(
     *,
     limit: int | None = None,
     largest: int | None = None,
+    distinct: bool = False,
     extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Exact interpolated quantiles per group of counted values (``value``, ``n``).
@@ -45,7 +46,7 @@ def grouped_quantiles(
     distinct value of a group, so larger groups are ranked by running counts over
     value-ordered blocks and only the rows at the wanted positions are kept. ``largest``
     is an upper bound of the rows per group, if the caller knows one. A value may occur in
-    several rows.
+    several rows unless ``distinct`` says that it does not.
     """
     limit = limit or group_row_limit(counts.sparkSession)
     if largest is None:
@@ -55,10 +56,10 @@ def grouped_quantiles(
         wide = counts.groupBy(*part).agg(*extra, cut.alias("_q"))
         return wide.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]).drop("_q")
 
-    folded = written(counts.groupBy(*part, "value").agg(F.sum("n").alias("n")))
+    folded = counts if distinct else written(counts.groupBy(*part, "value").agg(F.sum("n").alias("n")))
     base = counts.groupBy(*part).agg(*extra, F.sum("n").alias("_total"))
     totals = lookup(base)
-    ranked = running(folded, part, ["value"], {"_upto": ("sum", "n")}, limit=limit)
+    ranked = running(folded.select(*part, "value", "n"), part, ["value"], {"_upto": ("sum", "n")}, limit=limit)
     placed = join_null_safe(ranked, totals.select(*part, "_total"), part)
     picks = []
     for i, p in enumerate(probs):

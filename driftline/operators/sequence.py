@@ -19,21 +19,33 @@ def rolling(seq: Ordered, measures: Sequence[str], rows: int = ROLLING_ROWS) ->
     """Mean, sample std, last-first difference and slope over the last ``rows`` rows.
 
     ``<m>__mean``, ``__std``, ``__diff``, ``__slope``; null until the window is full or
-    while it holds a null.
+    while it holds a null. The window is short, so its values come as lags and the
+    statistics are plain expressions on them, which is cheaper than sliding aggregates.
     """
-
-    def make(w):
-        frame = w.rowsBetween(-(rows - 1), 0)
-        out = {}
-        for m in measures:
-            full = F.count(m).over(frame) == rows
-            out[f"{m}__mean"] = F.when(full, F.avg(m).over(frame))
-            out[f"{m}__std"] = F.when(full, F.stddev_samp(m).over(frame))
-            out[f"{m}__diff"] = F.when(full, F.col(m) - F.lag(m, rows - 1).over(w))
-            out[f"{m}__slope"] = F.when(full, F.regr_slope(F.col(m), F.col(RN).cast("double")).over(frame))
-        return out
-
-    return seq.with_lookback(rows - 1, make)
+    lagged = seq.with_lookback(
+        rows - 1, lambda w: {f"_{m}_lag{j}": F.lag(m, j).over(w) for m in measures for j in range(1, rows)}
+    )
+    mid = (rows - 1) / 2.0
+    weight = sum((i - mid) ** 2 for i in range(rows))
+    means, out = [], []
+    for m in measures:
+        # oldest first
+        values = [F.col(f"_{m}_lag{j}") for j in range(rows - 1, 0, -1)] + [F.col(m)]
+        total = values[0]
+        for v in values[1:]:
+            total = total + v
+        means.append((total / rows).alias(f"{m}__mean"))
+        mean, square, lean = F.col(f"{m}__mean"), F.lit(0.0), F.lit(0.0)
+        for i, v in enumerate(values):
+            square = square + (v - mean) * (v - mean)
+            lean = lean + (v - mean) * (i - mid)
+        out += [
+            F.sqrt(square / (rows - 1)).alias(f"{m}__std"),
+            F.when(mean.isNotNull(), values[-1] - values[0]).alias(f"{m}__diff"),
+            (lean / weight).alias(f"{m}__slope"),
+        ]
+    done = lagged.df.select("*", *means).select("*", *out)
+    return seq.with_df(done.drop(*[f"_{m}_lag{j}" for m in measures for j in range(1, rows)]))
 
 
 def rolling_with_minimum(seq: Ordered, measures: Sequence[str], rows: int = 5, min_rows: int = 2) -> Ordered:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from driftline.operators import baseline, threshold
 from driftline.operators.alerts import References, alert_rows
+from driftline.operators.ordered import group_sizes
 from driftline.operators.spec import UpperLimit
 from driftline.schema import Roles
-from driftline.store import together
+from driftline.store import lookup, together, written
 
 
 def learn_references(
@@ -33,8 +34,21 @@ def learn_references(
     pairs = [(m, d) for m, ds in watched.items() for d in ds]
     e = {m: (constants or {})[m] for m, t in types.items() if t == "E"}
 
+    # one pass over the fact serves statistics, medians and thresholds
+    labelled = sorted({d for _, d in pairs}) if training is None else []
+    profile, sizes = together(
+        df.sparkSession,
+        lambda: written(baseline.value_profile(df, roles, roles.measures, labelled)),
+        lambda: group_sizes(df, roles.stratum),
+    )
+    largest = sizes[1]
+    ok_counts = baseline.profile_part(profile, roles.stratum, "n_ok")
+
     def statistics() -> DataFrame:
-        stats = baseline.stratum_stats(df.filter(roles.normal), roles.stratum, roles.measures)
+        stats = baseline.stratum_stats(
+            df.filter(roles.normal), roles.stratum, roles.measures, largest=largest,
+            counts=baseline.profile_part(profile, roles.stratum, "n_normal"),
+        )
         return baseline.override_targets(stats, roles.limits)
 
     def centres() -> DataFrame | None:
@@ -42,24 +56,32 @@ def learn_references(
         b = [m for m, t in types.items() if t == "B"]
         parts = []
         if a:
-            parts.append(baseline.baseline_a(ok, roles.stratum, a, roles.limits).drop("bad_direction"))
+            parts.append(baseline.baseline_a(ok, roles.stratum, a, roles.limits, ok_counts, largest).drop("bad_direction"))
         if b:
-            parts.append(baseline.baseline_b(ok, roles.stratum, b, roles.limits, recompute_target))
-        return None if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            parts.append(baseline.baseline_b(ok, roles.stratum, b, roles.limits, recompute_target, ok_counts, largest))
+        return None if not parts else lookup(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
 
     def thresholds() -> DataFrame | None:
         if not pairs:
             return None
         if training is None:
-            learned = threshold.stump_thresholds(df, roles.stratum, sorted(watched), sorted({d for _, d in pairs}), pairs)
+            counts = profile.filter(F.col("column").isin(sorted(watched))).dropna(subset=list(roles.stratum))
+            keyed = counts.withColumn("group_key", F.concat_ws("|", *roles.stratum))
+            learned = threshold.stump_thresholds(
+                df, roles.stratum, sorted(watched), labelled, pairs,
+                counts=keyed.select("group_key", "column", "value", "n", *[f"pos_{d}" for d in labelled]),
+            )
         else:
             learned = threshold.routed_thresholds(df, training, roles.stratum, pairs)
-        return learned if directions is None else threshold.agreeing(learned, directions)
+        return lookup(learned if directions is None else threshold.agreeing(learned, directions))
+
+    def theory() -> DataFrame | None:
+        return lookup(baseline.baseline_e(ok, e)) if e else None
 
-    stats, ab, learned = together(df.sparkSession, statistics, centres, thresholds)
+    stats, ab, learned, constants_table = together(df.sparkSession, statistics, centres, thresholds, theory)
     return References(
         stats=stats, types=dict(types), ab=ab, thresholds=learned,
-        constants=baseline.baseline_e(ok, e) if e else None,
+        constants=constants_table,
         rises_is_bad=rises, upper=dict(upper or {}),
     )
 
