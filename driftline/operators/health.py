@@ -172,7 +172,7 @@ def sweep_scores(rows: DataFrame, roles: Roles, normal: str, onset: DataFrame |
     if onset is None:
         return score
     found = longest_session(sessions, [*cell, roles.entity, "column"])
-    lags = found.join(F.broadcast(onset), [roles.entity, "column"]).select(
+    lags = found.join(onset, [roles.entity, "column"]).select(
         *cell, F.datediff("detected_day", "onset_day").alias("lag_days")
     )
     worst = lags.groupBy(*cell).agg(
