@@ -78,7 +78,8 @@ def reference_rows(df: DataFrame, refs: References, roles: Roles) -> DataFrame:
                        "reference_ok_mean", "reference_ok_std"), ["column", "type"], "left")
     )
     if any(m in roles.limits for m in roles.measures):
-        joined = joined.join(spec_rules(df, roles).select("column", "rate", "run"), "column", "left")
+        rules = F.broadcast(spec_rules(df, roles).select("column", "rate", "run"))  # one row per limited measure
+        joined = joined.join(rules, "column", "left")
     else:
         joined = joined.withColumn("rate", null.cast("double")).withColumn("run", null.cast("int"))
     kind = F.col("type")

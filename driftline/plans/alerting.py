@@ -49,7 +49,7 @@ def learn_references(
             df.filter(roles.normal), roles.stratum, roles.measures, largest=largest,
             counts=baseline.profile_part(profile, roles.stratum, "n_normal"),
         )
-        return baseline.override_targets(stats, roles.limits)
+        return lookup(baseline.override_targets(stats, roles.limits))
 
     def centres() -> DataFrame | None:
         a = {m: rises[m] for m, t in types.items() if t == "A"}
