@@ -11,6 +11,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from driftline.catalog import load
 
 FOLDER = Path("/root/testdata/sf0.001")
 QUICK = ["dq_key_report", "stratum_stats", "trend_table", "rolling10", "cusum", "stump_threshold",
@@ -32,7 +33,8 @@ def con():
 
 
 def test_every_query_but_the_random_ones_has_sql():
-    without = set(entry.queries()) - set(entry.oracle_sql())
+    own = load()
+    without = set(own.queries) - set(own.oracle)
     assert without == {"permutation_scan", "scan_findings", "trend_pvalues", "label_verdicts", "visual_json"}
 
 
@@ -40,7 +42,7 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()) if os.environ.get("DRIFTLINE_ALL") else QUICK)
+@pytest.mark.parametrize("name", sorted(load().oracle) if os.environ.get("DRIFTLINE_ALL") else QUICK)
 def test_query_matches_sql(spark, con, name):
     got = entry.queries()[name](spark, str(FOLDER)).toPandas()
     want = con.execute(entry.oracle_sql()[name]).df()
