@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftline.llm.common import table
 
@@ -34,3 +34,14 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from driftline.llm.exact_dedup import exact_groups
 
     return exact_groups(documents(spark, folder))
+
+
+@query("op2_decontaminate")
+def decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    from driftline.llm.decontaminate import find_leaks
+
+    return find_leaks(documents(spark, folder), table(spark, folder, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
