@@ -45,3 +45,10 @@ def decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op5_near_dedup")
+def near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from driftline.llm.near_dedup import near_groups
+
+    return near_groups(documents(spark, folder))
