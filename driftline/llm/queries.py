@@ -52,3 +52,18 @@ def near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from driftline.llm.near_dedup import near_groups
 
     return near_groups(documents(spark, folder))
+
+
+def vocabulary() -> dict[str, str]:
+    """The public vocabulary, once as a tokenizer file and once as ranks."""
+    import public_tokenizers
+
+    return {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"),
+            "pattern": public_tokenizers.PATTERN}
+
+
+@query("op7_packing")
+def packing(spark: SparkSession, folder: str) -> DataFrame:
+    from driftline.llm.packing import pack
+
+    return pack(documents(spark, folder), **vocabulary())
