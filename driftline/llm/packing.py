@@ -100,7 +100,7 @@ def _cut_rows(batch: pa.RecordBatch, base: np.ndarray, length: int, with_ids: bo
         crc[k] = zlib.crc32(piece)
         raw.append(piece)
     first, after = base[part][row], base[part + 1][row]
-    crosses = (sequence * length < first) | ((sequence + 1) * length > after)
+    crosses = (sequence * length < first) | ((sequence + 1) * length > after) & (after < base[-1])
     columns = [
         batch.column(0).take(pa.array(row)), pa.array(start), pa.array(stop - start), pa.array(crc), pa.array(n[row]),
         pa.array(sequence), pa.array(begin[row] + start - sequence * length), pa.array(crosses),

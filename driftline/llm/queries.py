@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftline.llm.common import table
+from driftline.llm.common import in_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +67,13 @@ def packing(spark: SparkSession, folder: str) -> DataFrame:
     from driftline.llm.packing import pack
 
     return pack(documents(spark, folder), **vocabulary())
+
+
+@query("op10_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from driftline.llm.language_id import ROWS, fit, predict, sample_per_label
+
+    docs = documents(spark, folder)
+    labelled = docs.where(~in_fold("doc_id", 4, 2) & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    model = fit(sample_per_label(labelled, "lang", "doc_id", ROWS), "lang", "text")
+    return predict(docs, model).select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
