@@ -77,3 +77,13 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     labelled = docs.where(~in_fold("doc_id", 4, 2) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     model = fit(sample_per_label(labelled, "lang", "doc_id", ROWS), "lang", "text")
     return predict(docs, model).select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_toxicity")
+def toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from driftline.llm.toxicity import THRESHOLD, fit, score
+
+    docs = documents(spark, folder)
+    fitted = fit(docs, table(spark, folder, "labels").where(~in_fold("doc_id", 3, 1)))
+    return score(docs, fitted).select(
+        "doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
