@@ -1,7 +1,7 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Both models share their backoff counts, so words that neither class knows weigh nothing. A text is described by the
-difference of its two length-normalised log-likelihoods, over the whole text and over its most suspicious few words; a
+difference of its two length-normalised log-likelihoods, over the whole text and over its most suspicious window; a
 logistic curve fitted on rows that the models have not seen turns these into a score. Models and curve are learned from
 a bounded sample of labelled rows and are small; scoring is one pass without a shuffle.
 """
@@ -19,10 +19,10 @@ from driftline.llm.kneser_ney import Model, grams
 from driftline.llm.language_id import sample_per_label
 from driftline.store import lookup
 
-#: About so many labelled rows of each class are learned from; half for the models, half for the curve.
+#: About so many labelled rows of each class are learned from; three of four for the models, the rest for the curve.
 ROWS = 8_000
 #: Words in the window of the second feature.
-WINDOW = 3
+WINDOW = 1
 THRESHOLD = 0.7
 
 
@@ -88,17 +88,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).where("_key is not null and _label in (0, 1)")
     chosen = lookup(sample_per_label(known, "_label", "_key", rows))
     texts = docs.select(F.col(key).alias("_own"), F.col(text).alias("_text")).join(chosen, F.col("_own") == F.col("_key"))
-    half = F.pmod(F.xxhash64(F.col("_own").cast("string"), F.lit("half")), F.lit(2)) == 0
+    part = F.pmod(F.xxhash64(F.col("_own").cast("string"), F.lit("curve")), F.lit(4)) > 0
     ddl = "gram long, n0 long, n1 long"
     arrow = to_arrow_schema(StructType.fromDDL(ddl))
-    counts = texts.where(half).select("_label", "_text").mapInArrow(lambda b: _counted(b, arrow), ddl)
+    counts = texts.where(part).select("_label", "_text").mapInArrow(lambda b: _counted(b, arrow), ddl)
     table = counts.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()  # bounded by the sample
     gram = table["gram"].to_numpy(np.int64)
     model = Model(gram, table[["n0", "n1"]].to_numpy(np.float64).reshape(-1, 2))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     ddl = "y int, f0 double, f1 double, f2 double"
     measured_schema = to_arrow_schema(StructType.fromDDL(ddl))
-    seen = texts.where(~half).select("_label", "_text").mapInArrow(lambda b: _measured(b, shared.value, measured_schema), ddl).toPandas()
+    seen = texts.where(~part).select("_label", "_text").mapInArrow(lambda b: _measured(b, shared.value, measured_schema), ddl).toPandas()
     beta = logistic(seen[["f0", "f1", "f2"]].to_numpy(float), seen["y"].to_numpy(float)) if len(seen) else np.zeros(3)
     return {"model": model, "beta": beta, "base": float(seen["y"].mean()) if len(seen) else 0.0}
 
