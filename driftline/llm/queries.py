@@ -87,3 +87,17 @@ def toxicity(spark: SparkSession, folder: str) -> DataFrame:
     fitted = fit(docs, table(spark, folder, "labels").where(~in_fold("doc_id", 3, 1)))
     return score(docs, fitted).select(
         "doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op1_quality")
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Grades: 0 poor, 1 good but toxic, 2 good."""
+    from driftline.llm.quality import fit, grade
+
+    docs = documents(spark, folder)
+    rating = (F.col("quality") + F.col("quality") * (1 - F.col("toxic"))).alias("rating")
+    rated = table(spark, folder, "labels").where(~in_fold("doc_id", 3, 1)).select("doc_id", rating)
+    return grade(docs, fit(docs, rated)).select(
+        "doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "expected_grade", "likely_grade",
+        F.try_element_at("tails", F.lit(1)).alias("p_above_0"), F.try_element_at("tails", F.lit(2)).alias("p_above_1"),
+        F.coalesce(F.try_element_at("tails", F.lit(2)) >= 0.5, F.lit(False)).alias("selected"))
