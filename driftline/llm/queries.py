@@ -101,3 +101,11 @@ def quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "expected_grade", "likely_grade",
         F.try_element_at("tails", F.lit(1)).alias("p_above_0"), F.try_element_at("tails", F.lit(2)).alias("p_above_1"),
         F.coalesce(F.try_element_at("tails", F.lit(2)) >= 0.5, F.lit(False)).alias("selected"))
+
+
+@query("op3_pii")
+def pii(spark: SparkSession, folder: str) -> DataFrame:
+    from driftline.llm.pii import find_pii
+
+    one = F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    return find_pii(documents(spark, folder)).withColumn("spans", F.concat_ws(",", one)).drop("found")
