@@ -109,3 +109,10 @@ def pii(spark: SparkSession, folder: str) -> DataFrame:
 
     one = F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     return find_pii(documents(spark, folder)).withColumn("spans", F.concat_ws(",", one)).drop("found")
+
+
+@query("op9_language_model")
+def language_model(spark: SparkSession, folder: str) -> DataFrame:
+    from driftline.llm.language_model import language_scores
+
+    return language_scores(documents(spark, folder), in_fold("doc_id", 7, 2))
