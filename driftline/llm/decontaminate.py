@@ -72,17 +72,23 @@ def _searched(batches: Iterator[pa.RecordBatch], text: str, phrases: dict, clean
         low, starts, ends, first, words = words_of(column, ALNUM)
         hit, found = hits(first, words, phrases)
         if clean:
-            texts = column.to_pylist()
-            for k in np.flatnonzero([bool(f) for f in found]):
-                a, b = first[k], first[k + 1]
-                raw, origin = texts[k].encode(), _origin(column, k)
-                kept, last = [], 0
-                for s, e in zip(*merged(hit[a:b])):
-                    kept.append(raw[last : starts[a + s] - origin])
-                    last = ends[a + e - 1] - origin
-                texts[k] = b"\n".join([*kept, raw[last:]]).decode()
+            texts, keep = column.to_pylist(), np.ones(len(column), bool)
+            todo = np.flatnonzero([bool(f) for f in found])
+            for k in todo:
+                texts[k] = _cut(texts[k].encode(), starts[first[k] : first[k + 1]] - _origin(column, k), ends[first[k] : first[k + 1]] - _origin(column, k), hit[first[k] : first[k + 1]])
+            while len(todo):  # words that a cut brought together may be a phrase again
+                part = pa.array([texts[k] for k in todo], pa.string())
+                _, starts, ends, first, words = words_of(part, ALNUM)
+                hit, found = hits(first, words, phrases)
+                for i, k in enumerate(todo):
+                    a, b = first[i], first[i + 1]
+                    keep[k] = a < b
+                    if found[i]:
+                        texts[k] = _cut(texts[k].encode(), starts[a:b] - _origin(part, i), ends[a:b] - _origin(part, i), hit[a:b])
+                todo = todo[[bool(f) for f in found]]
             at = batch.schema.get_field_index(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, schema.field(i).type) if i == at else c for i, c in enumerate(batch.columns)], schema=schema)
+            cleaned = pa.RecordBatch.from_arrays([pa.array(texts, schema.field(i).type) if i == at else c for i, c in enumerate(batch.columns)], schema=schema)
+            yield cleaned.filter(pa.array(keep))
             continue
         rows = []
         for k in range(len(column)):
@@ -96,6 +102,15 @@ def _searched(batches: Iterator[pa.RecordBatch], text: str, phrases: dict, clean
             [batch.column(0), *(pa.array([r[i] for r in rows], schema.field(i + 1).type) for i in range(4))], schema=schema)
 
 
+def _cut(raw: bytes, starts: np.ndarray, ends: np.ndarray, hit: np.ndarray) -> str:
+    """The text without its hit words, from the start of the first to the end of the last of each run."""
+    kept, last = [], 0
+    for a, b in zip(*merged(hit)):
+        kept.append(raw[last : starts[a]])
+        last = ends[b - 1]
+    return b"\n".join([*kept, raw[last:]]).decode()
+
+
 def _origin(column: pa.Array, k: int) -> int:
     """Byte offset of text ``k`` in the buffer of the batch."""
     off = column.fill_null("").cast(pa.large_string())
@@ -163,7 +178,10 @@ def _arrow(spark, ddl: str) -> pa.Schema:
 
 def remove_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
                  pass_words: int = PASS_WORDS) -> DataFrame:
-    """``docs`` with every hit word span cut out of the text (a line break stands in its place); other columns as they are."""
+    """``docs`` with every hit word span cut out of the text, a line break in its place, until no phrase is left.
+
+    A text that the cuts leave without a word goes with its row; all other rows stay, with their other columns as they are.
+    """
     spark = docs.sparkSession
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -205,3 +205,18 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """``docs`` with one document of each group, the one with the smallest key; of rows that repeat key and text, one.
+
+    Rows with a null key stay. All columns pass through.
+    """
+    gone = near_groups(docs, key, text, percent).where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct()
+    left = docs.join(lookup(gone), docs[key] == F.col("_gone"), "left_anti")
+    again = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_again"))
+    again = lookup(again)
+    if again.isEmpty():
+        return left
+    twice = left[key] == again["_again"]
+    return left.join(again, twice, "left_anti").unionByName(left.join(again, twice, "left_semi").dropDuplicates([key, text]))

@@ -125,8 +125,8 @@ long AS (SELECT * FROM inst WHERE length(line) >= 20),
 own AS (SELECT line, length(line) AS n, min(struct_pack(d := doc_id, p := place)) AS first FROM long GROUP BY line),
 links AS (SELECT a.line AS a, b.line AS b FROM own a JOIN own b ON b.n BETWEEN a.n AND a.n + 2 AND a.line <> b.line
   WHERE levenshtein(a.line, b.line) <= 2),
-both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach AS (SELECT a AS line, b AS other FROM both UNION SELECT r.line, x.b FROM reach r JOIN both x ON r.other = x.a),
+pairs AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS line, b AS other FROM pairs UNION SELECT r.line, x.b FROM reach r JOIN pairs x ON r.other = x.a),
 stay AS (SELECT first FROM own o WHERE NOT EXISTS (SELECT 1 FROM reach r JOIN own x ON r.other = x.line WHERE r.line = o.line AND x.first < o.first)),
 marked AS (SELECT i.*, length(line) < 20 OR s.first IS NOT NULL AS kept
   FROM inst i LEFT JOIN stay s ON s.first.d = i.doc_id AND s.first.p = i.place)
