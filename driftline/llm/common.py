@@ -27,6 +27,15 @@ def in_fold(key: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """All columns as one struct ``box``, so that none can clash with the columns an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("box"))
+
+
+def field(name: str) -> Column:
+    return F.col("box").getField(name)
+
+
 class Stages:
     """Tables written to the shared folder, so a lost executor costs a re-read; dropped one by one when done with."""
 

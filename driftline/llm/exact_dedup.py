@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from driftline.llm.common import Stages
+from driftline.llm.common import Stages, boxed, field
 
 #: Equal digests count as equal texts only if the length and a second, unrelated hash agree too.
 IDENTITY = ["sha", "chars", "proof"]
@@ -72,8 +72,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; rows of one key and equal text are told apart by nothing, so one stays."""
-    stay = exact_groups(docs, key, text).where("kept").select(F.col(key).alias("_stay_key"), F.col("text_sha256").alias("_stay_sha"))
-    rows = docs.withColumn("_own_sha", F.sha2(normalised(text).cast("binary"), 256))
-    found = rows.join(stay, rows[key].eqNullSafe(stay["_stay_key"]) & (rows["_own_sha"] == stay["_stay_sha"]), "left_semi")
-    return found.dropDuplicates([key, "_own_sha"]).drop("_own_sha")
+    """The rows that stay, with all their columns; of rows that repeat key and text, one."""
+    stay = exact_groups(docs, key, text).where("kept").select(F.col(key).alias("stay"), F.col("text_sha256").alias("sha"))
+    rows = boxed(docs).withColumns({"own": field(key), "digest": F.sha2(normalised("box." + text).cast("binary"), 256)})
+    found = rows.join(stay, F.col("own").eqNullSafe(F.col("stay")) & (F.col("digest") == F.col("sha")), "left_semi")
+    return found.dropDuplicates(["own", "digest"]).select("box.*")

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from driftline.llm.common import Stages
+from driftline.llm.common import Stages, boxed, field
 from driftline.llm.graph import components
 from driftline.store import lookup
 
@@ -142,20 +142,20 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", errors
     Lines of at least ``least`` characters within ``errors`` edits of each other, directly or by a chain, are one class;
     only its first line by (key, place) stays. Shorter lines stay. Null and empty texts stay as they are. A null key
     comes after all others. Rows that repeat key and text count as one document and get the same result. An empty table
-    gives no rows; other columns, whatever their names but ``line_dedup``, pass through.
+    gives no rows; other columns, whatever their names, pass through, but for one called ``line_dedup``, which is replaced.
     """
-    kept = kept_lines(docs, key, text, errors, least).select(F.col("id").alias("_kept_id"), F.col("print").alias("_kept_print"), F.col("kept").alias("_kept"))
-    rows = docs.withColumn("_print", F.xxhash64(text))
-    joined = rows.join(kept, rows[key].eqNullSafe(kept["_kept_id"]) & (rows["_print"] == kept["_kept_print"]), "left")
-    lines = F.split(F.col(text), "\n")
-    gaps = F.expr("transform(_kept, (x, i) -> x - if(i = 0, -1, _kept[i - 1]) - 1)")
+    kept = kept_lines(docs, key, text, errors, least)
+    rows = boxed(docs).withColumn("mark", F.xxhash64(field(text)))
+    joined = rows.join(kept, field(key).eqNullSafe(F.col("id")) & (F.col("mark") == F.col("print")), "left")
+    gaps = F.expr("transform(kept, (x, i) -> x - if(i = 0, -1, kept[i - 1]) - 1)")
     flags = F.flatten(F.transform(gaps, lambda gap: F.concat(F.array_repeat(F.lit(False), gap), F.array(F.lit(True)))))
-    with_flags = joined.withColumn("_lines", lines).withColumn("_flags", F.coalesce(flags, F.array().cast("array<boolean>")))
-    stay = F.filter("_lines", lambda line, i: (F.char_length(line) < least) | F.coalesce(F.get("_flags", i), F.lit(False)))
-    out = with_flags.withColumn("_stay", stay)
-    total, left = F.size("_lines").cast("long"), F.size("_stay").cast("long")
-    report = F.struct(F.when(F.col(text).isNull(), 0).otherwise(total).alias("n_lines"), F.when(F.col(text).isNull(), 0).otherwise(total - left).alias("n_removed"))
+    flagged = joined.select("box", F.split(field(text), "\n").alias("lines"), F.coalesce(flags, F.array().cast("array<boolean>")).alias("flags"))
+    stay = F.filter("lines", lambda line, i: (F.char_length(line) < least) | F.coalesce(F.get("flags", i), F.lit(False)))
+    out = flagged.select("box", "lines", stay.alias("stay"))
+    total, left = F.size("lines").cast("long"), F.size("stay").cast("long")
+    there = field(text).isNotNull()
+    report = F.struct(F.when(there, total).otherwise(0).alias("n_lines"), F.when(there, total - left).otherwise(0).alias("n_removed"))
     return out.select(
-        *[F.when(F.col(text).isNotNull(), F.concat_ws("\n", "_stay")).alias(text) if c == text else F.col(c) for c in docs.columns],
+        *[F.when(there, F.concat_ws("\n", "stay")).alias(text) if c == text else field(c).alias(c) for c in docs.columns if c != "line_dedup"],
         report.alias("line_dedup"),
     )

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from driftline.llm.common import SPACED, Stages, chunked, mix, words_of
+from driftline.llm.common import SPACED, Stages, boxed, chunked, field, mix, words_of
 from driftline.llm.graph import components
 from driftline.llm.setsketch import bands, joint_estimate, registers
 from driftline.store import lookup
@@ -212,11 +212,11 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     Rows with a null key stay. All columns pass through.
     """
-    gone = near_groups(docs, key, text, percent).where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct()
-    left = docs.join(lookup(gone), docs[key] == F.col("_gone"), "left_anti")
-    again = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias("_again"))
-    again = lookup(again)
-    if again.isEmpty():
-        return left
-    twice = left[key] == again["_again"]
-    return left.join(again, twice, "left_anti").unionByName(left.join(again, twice, "left_semi").dropDuplicates([key, text]))
+    gone = near_groups(docs, key, text, percent).where(~F.col("kept")).select(F.col(key).alias("gone")).distinct()
+    left = boxed(docs).join(lookup(gone), field(key) == F.col("gone"), "left_anti")
+    again = lookup(docs.groupBy(F.col(key).alias("again")).agg(F.count("*").alias("n")).where("n > 1 and again is not null").select("again"))
+    if not again.isEmpty():
+        twice = field(key) == F.col("again")
+        one = left.join(again, twice, "left_semi").withColumns({"k": field(key), "t": field(text)}).dropDuplicates(["k", "t"])
+        left = left.join(again, twice, "left_anti").unionAll(one.select("box"))
+    return left.select("box.*")
