@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftline.operators.ordered import BLOCK, group_row_limit, group_sizes, range_blocks, running
 from driftline.operators.quantiles import unpivot, value_counts
+from driftline.operators.shuffles import dealt
 from driftline.schema import HIGH, LOW, MIN_LABELS_FOR_MONITORED, MIN_LEAF
 from driftline.store import join_null_safe, lookup, written
 
@@ -157,102 +158,42 @@ def routed_thresholds(
 
 # ------------------------------------------------------------------ noise ceilings
 
-_DRAWS = (
-    "group_key string, column string, _blk int, label string, "
-    "n_total bigint, p_total bigint, n_before bigint, p_before array<bigint>, p_here array<bigint>"
-)
 _BEST = (
     "group_key string, column string, label string, rep int, "
     "score double, n_left bigint, p_left bigint, n bigint, p bigint"
 )
 
 
-def _seed(*parts) -> np.random.Generator:
-    """A generator that depends only on the keys, so a retried task draws the same."""
-    text = "|".join(str(x) for x in parts).encode()
-    return np.random.default_rng(np.frombuffer(text.ljust(-(-len(text) // 4) * 4, b"\0"), dtype=np.uint32))
-
-
-_HYPERGEOMETRIC_MAX = 900_000_000
-_SLOTS_MAX = 20_000_000
-
-
-def _deal(rng: np.random.Generator, sizes: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """Deal ``totals[r]`` positives at random over cells of the given sizes.
-
-    Cell by cell, hypergeometric given what is left. Populations beyond the generator's
-    range use the rounded normal with the same mean and variance, inside the feasible range.
-    """
-    out = np.zeros((len(totals), len(sizes)), dtype=np.int64)
-    left, pool = totals.astype(np.int64).copy(), int(sizes.sum())
-    for i, size in enumerate(sizes[:-1]):
-        rest = pool - int(size)
-        if pool <= _HYPERGEOMETRIC_MAX:
-            got = rng.hypergeometric(left, pool - left, int(size))
-        else:
-            mean = left * (size / pool)
-            var = mean * (1.0 - size / pool) * (pool - left) / max(pool - 1, 1)
-            got = np.rint(rng.normal(mean, np.sqrt(var))).astype(np.int64)
-            got = np.clip(got, np.maximum(0, left - rest), np.minimum(left, size))
-        out[:, i] = got
-        left, pool = left - got, rest
-    out[:, -1] = left
-    return out
-
-
-def _draw_blocks(pdf: pd.DataFrame, labels: Sequence[str], reps: int, seed: int) -> pd.DataFrame:
-    """Positives that each block of one (group, column) receives under shuffled labels."""
-    pdf = pdf.sort_values(BLOCK)
-    sizes = pdf["n"].to_numpy(dtype=np.int64)
-    before = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    group, column = pdf["group_key"].iloc[0], pdf["column"].iloc[0]
-    rows = []
-    for d in labels:
-        total = int(pdf[f"pos_{d}"].sum())
-        rng = _seed(seed, group, column, d)
-        here = _deal(rng, sizes, np.full(reps, total, dtype=np.int64))
-        earlier = np.cumsum(here, axis=1) - here
-        for i, block in enumerate(pdf[BLOCK]):
-            rows.append((group, column, int(block), d, int(sizes.sum()), total, int(before[i]),
-                         earlier[:, i].tolist(), here[:, i].tolist()))
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in _DRAWS.split(", ")])
-
-
-def _best_cuts(values: pd.DataFrame, draws: pd.DataFrame, seed: int, min_leaf: int) -> pd.DataFrame:
+def _best_cuts(values: pd.DataFrame, places: pd.DataFrame, labels: Sequence[str], reps: int, seed: int, min_leaf: int) -> pd.DataFrame:
     """Best split of each shuffled label inside one block of ordered values.
 
-    A shuffle gives every row the same chance, so the positives of a block are a random
-    subset of its rows; only their number per distinct value matters.
+    A shuffle gives every row the same chance, so only the number of positives per distinct
+    value matters. ``places``: the one row that tells where the block lies in its group.
     """
     columns = [c.split()[0] for c in _BEST.split(", ")]
-    if values.empty or draws.empty:
+    if values.empty or places.empty:
         return pd.DataFrame(columns=columns)
-    values = values.sort_values("value")
-    n = values["n"].to_numpy(dtype=np.int64)
-    ends = np.cumsum(n)
+    place = places.iloc[0]
+    group, column, total, begin = place["group_key"], place["column"], int(place["n_total"]), int(place["n_before"])
+    n = values.sort_values("value")["n"].to_numpy(dtype=np.int64)
+    ends = begin + np.cumsum(n)
+    n_left = ends - n
+    fits = (n_left >= min_leaf) & (total - n_left >= min_leaf)
     rows = []
-    for d in draws.itertuples(index=False):
-        rng = _seed(seed, d.group_key, d.column, d.label, d._2, "block")
-        n_left = d.n_before + ends - n
-        fits = (n_left >= min_leaf) & (d.n_total - n_left >= min_leaf)
-        if d.p_total < min_leaf or d.p_total >= d.n_total or not fits.any():
+    for d in labels:
+        positives = int(place[f"p_{d}"])
+        if positives < min_leaf or positives >= total or not fits.any():
             continue
-        crowded = ends[-1] > _SLOTS_MAX
-        dealt = _deal(rng, n, np.asarray(d.p_here)) if crowded else None
-        for rep, (p_before, p_here) in enumerate(zip(d.p_before, d.p_here)):
-            if crowded:
-                got = dealt[rep]
-            else:
-                slots = rng.choice(int(ends[-1]), int(p_here), replace=False, shuffle=False)
-                got = np.bincount(np.searchsorted(ends, slots, side="right"), minlength=len(n))
-            p_left = p_before + np.cumsum(got) - got
-            a = p_left / d.p_total * 0.5
-            b = (n_left - p_left) / (d.n_total - d.p_total) * 0.5
+        before, found = dealt(total, np.full(reps, positives), begin, int(ends[-1]), seed, group, column, d)
+        for rep in range(reps):
+            got = np.bincount(np.searchsorted(ends, found[rep], side="right"), minlength=len(n))
+            p_left = before[rep] + np.cumsum(got) - got
+            a = p_left / positives * 0.5
+            b = (n_left - p_left) / (total - positives) * 0.5
             with np.errstate(divide="ignore", invalid="ignore"):
                 score = (a * a + b * b) / (a + b) + ((0.5 - a) ** 2 + (0.5 - b) ** 2) / (1.0 - a - b)
             i = int(np.argmax(np.where(fits, np.round(score, 12), -1.0)))
-            rows.append((d.group_key, d.column, d.label, rep, float(score[i]), int(n_left[i]),
-                         int(p_left[i]), int(d.n_total), int(d.p_total)))
+            rows.append((group, column, d, rep, float(round(score[i], 12)), int(n_left[i]), int(p_left[i]), total, positives))
     return pd.DataFrame(rows, columns=columns)
 
 
@@ -271,8 +212,9 @@ def shuffled_stumps(
     """Best stump per (group, column, label, replicate) with labels shuffled in the group.
 
     The data is never multiplied by the replicates: the values are counted and ordered
-    once, the positives of a replicate are first dealt to the blocks and then, inside the
-    task that holds a block, to its rows. Only one row per block and replicate leaves it.
+    once, and the task that holds a block draws the positives of its own rows. Draws belong
+    to row positions, so the result depends on the seed alone, not on the size of the table
+    or on how it is cut into blocks. Only one row per block and replicate leaves a task.
     """
     part = ["group_key", "column"]
     counts = counts or written(label_counts(df, strata, measures, labels))
@@ -283,14 +225,16 @@ def shuffled_stumps(
     else:
         blocks = range_blocks(counts, part, ["value"], total, limit)
     sizes = blocks.groupBy(*part, BLOCK).agg(F.sum("n").alias("n"), *[F.sum(f"pos_{d}").alias(f"pos_{d}") for d in labels])
-    draws = sizes.groupBy(*part).applyInPandas(
-        lambda pdf: _draw_blocks(pdf, labels, reps, seed), _DRAWS
+    whole, earlier = Window.partitionBy(*part), Window.partitionBy(*part).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    places = sizes.select(
+        *part, BLOCK, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"), F.sum("n").over(whole).alias("n_total"),
+        *[F.sum(f"pos_{d}").over(whole).alias(f"p_{d}") for d in labels],
     )
-    keys = [*part, BLOCK]
+    keys, names = [*part, BLOCK], list(labels)
     found = (
         blocks.select(*keys, "value", "n").groupBy(*keys)
-        .cogroup(draws.groupBy(*keys))
-        .applyInPandas(lambda v, d: _best_cuts(v, d, seed, min_leaf), _BEST)
+        .cogroup(places.groupBy(*keys))
+        .applyInPandas(lambda v, p: _best_cuts(v, p, names, reps, seed, min_leaf), _BEST)
     )
     return found.groupBy(*part, "label", "rep").agg(
         F.max_by(F.struct("n_left", "p_left", "n", "p"), F.struct("score", (-F.col("n_left")).alias("c"))).alias("b")

@@ -200,16 +200,6 @@ def test_scan_separates_signal_from_noise(spark, limit):
     assert found["b"] == "assigned_but_weak" and found["c"] == "assigned_but_not_fitted"
 
 
-def test_shuffles_keep_the_number_of_positives():
-    rng = np.random.default_rng(0)
-    sizes = np.array([5, 1, 30, 4])
-    dealt = threshold._deal(rng, sizes, np.full(400, 12))
-    assert (dealt.sum(axis=1) == 12).all() and (dealt <= sizes).all() and (dealt >= 0).all()
-    assert dealt.mean(axis=0) == pytest.approx(12 * sizes / sizes.sum(), abs=0.4)
-    huge = threshold._deal(rng, np.array([3 * 10**9, 10**9]), np.full(50, 4 * 10**6))
-    assert (huge.sum(axis=1) == 4 * 10**6).all() and huge[:, 0].mean() == pytest.approx(3 * 10**6, rel=1e-3)
-
-
 def test_shuffled_stumps_repeat_exactly(spark):
     df = planted(spark, 200)
     runs = [sorted(map(tuple, threshold.shuffled_stumps(df, ["product", "recipe"], ["a"], ["flag"], 5).collect())) for _ in range(2)]
