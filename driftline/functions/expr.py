@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from driftline.schema import ALARM_BAND, EFFECT_MIN, HIGH, LOW, TREND_ALPHA, ZERO_EPS, Limits
 
@@ -27,6 +27,12 @@ def no_nan(c: Column | str) -> Column:
     return F.when(~F.isnan(col), col)
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """All floating columns with NaN as null. Spark orders NaN above every number, so a raw one would exceed each limit."""
+    floating = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: no_nan(F.col(f"`{c}`")) for c in floating}) if floating else df
+
+
 def guarded_ratio(num: Column, den: Column) -> Column:
     """num / den, null when the denominator is (nearly) zero."""
     return F.when(F.abs(den) > ZERO_EPS, num / den)
@@ -51,8 +57,9 @@ def exceedance(value: Column, low: Column, high: Column) -> Column:
 def in_zone(value: Column, threshold: Column, direction: Column, inclusive: bool = False) -> Column:
     """Inside the risky side of a threshold; null without a threshold.
 
-    Rates use the strict form, alerts the inclusive one. A null value is outside.
+    Rates use the strict form, alerts the inclusive one. A null value is outside, and so is NaN.
     """
+    value = no_nan(value.cast("double"))
     low = value <= threshold if inclusive else value < threshold
     high = value >= threshold if inclusive else value > threshold
     return (
@@ -64,12 +71,14 @@ def in_zone(value: Column, threshold: Column, direction: Column, inclusive: bool
 
 def zone_from_range(value: Column, threshold: Column, risky_range: Column) -> Column:
     """Risky side read from a range text ``lo~hi``: low side if lo is below the threshold."""
+    value = no_nan(value.cast("double"))
     lo = F.split_part(risky_range, F.lit("~"), F.lit(1)).try_cast("double")
     return F.when(lo < threshold, value <= threshold).otherwise(value >= threshold)
 
 
 def out_of_spec(value: Column, limit: Limits) -> Column:
-    """Outside the limits; a null value counts as inside."""
+    """Outside the limits; a null value counts as inside, and so does NaN."""
+    value = no_nan(value.cast("double"))
     return F.coalesce((value < limit.lsl) | (value > limit.usl), F.lit(False))
 
 

@@ -146,8 +146,10 @@ def alert_rows(
     """One row per (row, measure, label) that carries an early warning.
 
     One shuffle of the wide fact serves all measures and labels; only the columns the
-    detectors need pass through the windows, the rest is looked up for alerting rows.
+    detectors need pass through the windows, the rest is looked up for alerting rows. NaN counts as missing, and rows
+    whose stratum is not fully known belong to no series.
     """
+    df = expr.without_nan(df).dropna(subset=list(roles.stratum))
     # independent small tables: their jobs run side by side
     table, days, sizes = together(
         df.sparkSession,

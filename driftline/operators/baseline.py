@@ -19,6 +19,7 @@ from driftline.schema import (
     Limits,
     Roles,
     limits_frame,
+    stratum_key,
 )
 from driftline.store import join_null_safe, lookup, written
 
@@ -37,7 +38,7 @@ def value_profile(df: DataFrame, roles: Roles, measures: Sequence[str], labels:
     return value_counts(
         long, [*roles.stratum, "column"],
         [F.sum("_normal").alias("n_normal"), F.sum("_ok").alias("n_ok")]
-        + [F.sum(F.coalesce(F.col(d).cast("bigint"), F.lit(0))).alias(f"pos_{d}") for d in labels],
+        + [F.sum(F.coalesce(expr.no_nan(F.col(d).cast("double")).cast("bigint"), F.lit(0))).alias(f"pos_{d}") for d in labels],
     )
 
 
@@ -210,7 +211,7 @@ def ok_medians(
     if counts is None:
         counts = value_counts(unpivot(ok, strata, measures), [*strata, "column"])
     keyed = counts.filter(F.col("column").isin(list(measures))).dropna(subset=list(strata))
-    keyed = keyed.select(F.concat_ws("|", *strata).alias("group_key"), "column", "value", "n")
+    keyed = keyed.select(stratum_key(strata).alias("group_key"), "column", "value", "n")
     cut = grouped_quantiles(keyed, ["group_key", "column"], [0.5], ["median"], largest=largest)
     return cut.withColumn("median", F.round("median", 5))
 

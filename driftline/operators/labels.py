@@ -63,8 +63,8 @@ def invariance_grid(
         out = part if out is None else out.unionByName(part)
     multi = zones.groupBy("column").agg((F.count(F.lit(1)) > 1).alias("multi_label"))
     return (
-        out.join(F.broadcast(expected), ["dataset", "column", "label"], "left")
-        .join(F.broadcast(multi), "column", "left")
+        out.join(lookup(expected), ["dataset", "column", "label"], "left")
+        .join(lookup(multi), "column", "left")
         .withColumn("size_drift", F.col("n_risky") - F.col("n_expected"))
     )
 
@@ -117,7 +117,7 @@ def bh_adjust(tests: DataFrame, family: Sequence[str], p: str = "p_raw", tie: Se
 def verdicts(effects: DataFrame, expected: DataFrame) -> DataFrame:
     """Direction and significance verdict for the pairs with an expected direction."""
     agrees, passes = expr.effect_verdict(F.col("delta"), F.col("p_fdr"), F.col("expected"))
-    return effects.join(F.broadcast(expected), ["label", "column"]).withColumn("direction_ok", agrees).withColumn(
+    return effects.join(lookup(expected), ["label", "column"]).withColumn("direction_ok", agrees).withColumn(
         "effect_ok", passes
     )
 

@@ -6,13 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from driftline.functions.expr import no_nan
 from driftline.operators.ordered import group_row_limit, group_sizes, running
 from driftline.store import join_null_safe, lookup, written
 
 
 def unpivot(df: DataFrame, keep: Sequence[str], measures: Sequence[str], drop_null: bool = True) -> DataFrame:
-    """Wide to long: one row per (row, measure) with columns ``column`` and ``value``."""
-    typed = df.select(*keep, *[F.col(m).cast("double").alias(f"_m_{m}") for m in measures])
+    """Wide to long: one row per (row, measure) with columns ``column`` and ``value``; NaN counts as null."""
+    typed = df.select(*keep, *[no_nan(F.col(m).cast("double")).alias(f"_m_{m}") for m in measures])
     renamed = typed.toDF(*[f"_k_{c}" for c in keep], *measures)
     long = renamed.unpivot([f"_k_{c}" for c in keep], list(measures), "column", "value")
     out = long.toDF(*keep, "column", "value")

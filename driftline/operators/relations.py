@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from driftline.functions import expr
 from driftline.schema import require_columns
+from driftline.store import lookup
 
 # Fixed value: the reproducibility verdict that admits a pair.
 PASSED = "통과"
@@ -109,7 +110,7 @@ def pair_survival(
     joined = (
         grid.join(learned, ["column", "label", "group_key"], "left")
         .join(raw, ["column", "label", "group_key"], "left")
-        .join(F.broadcast(rule), ["column", "label"], "left")
+        .join(lookup(rule), ["column", "label"], "left")
     )
     excluded = F.col("direction").isNull() | F.coalesce(F.col("known") != F.col("direction"), F.lit(False))
     return joined.select(

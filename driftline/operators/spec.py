@@ -57,7 +57,7 @@ def breach_days(
     """
     daily = df.groupBy(roles.entity, F.to_date(roles.time).alias("dt")).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        *[F.count_if(F.col(m) > rule.limit).alias(f"o_{m}") for m, rule in limits.items()],
+        *[F.count_if(expr.no_nan(F.col(m).cast("double")) > rule.limit).alias(f"o_{m}") for m, rule in limits.items()],
     )
     needed = F.greatest(binomial_quantile_udf(F.lit(quantile), "n_rows", F.lit(rate)), F.lit(1))
     cells = [

@@ -42,12 +42,13 @@ def _take_lowest(df: DataFrame, part: Sequence[str], order: Sequence[str], coars
 
 
 def time_split(df: DataFrame, time: str, key: Sequence[str], test_fraction: float = 0.2) -> DataFrame:
-    """``split`` = train for the first int(n (1 - f)) rows in time order, else test."""
+    """``split`` = train for the first int(n (1 - f)) rows in time order, else test. Rows without a time come last."""
     n = df.count()
     quota = df.sparkSession.createDataFrame([(int(n * (1 - test_fraction)),)], "_quota bigint")
-    dated = df.withColumn("_day", F.to_date(time))
-    out = _take_lowest(dated, [], [time, *key], "_day", quota)
-    return out.withColumn("split", F.when(F.col("_taken"), "train").otherwise("test")).drop("_taken", "_day")
+    last = F.to_date(F.lit("9999-12-31"))
+    dated = df.withColumn("_day", F.coalesce(F.to_date(time), last)).withColumn("_none", F.col(time).isNull())
+    out = _take_lowest(dated, [], ["_none", time, *key], "_day", quota)
+    return out.withColumn("split", F.when(F.col("_taken"), "train").otherwise("test")).drop("_taken", "_day", "_none")
 
 
 def class_quotas(counts: dict, test_size: float) -> dict:

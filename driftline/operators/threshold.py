@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from driftline.functions.expr import no_nan
 from driftline.operators.ordered import BLOCK, group_row_limit, group_sizes, range_blocks, running
 from driftline.operators.quantiles import unpivot, value_counts
 from driftline.operators.shuffles import dealt
-from driftline.schema import HIGH, LOW, MIN_LABELS_FOR_MONITORED, MIN_LEAF
+from driftline.schema import HIGH, LOW, MIN_LABELS_FOR_MONITORED, MIN_LEAF, stratum_key
 from driftline.store import join_null_safe, lookup, written
 
 
@@ -20,11 +21,11 @@ def label_counts(df: DataFrame, strata: Sequence[str], measures: Sequence[str],
 
     All labels share this table and the ordering of its values.
     """
-    keyed = df.dropna(subset=list(strata)).withColumn("group_key", F.concat_ws("|", *strata))
+    keyed = df.dropna(subset=list(strata)).withColumn("group_key", stratum_key(strata))
     long = unpivot(keyed, ["group_key", *labels], measures)
     return value_counts(
         long, ["group_key", "column"],
-        [F.sum(F.coalesce(F.col(d).cast("bigint"), F.lit(0))).alias(f"pos_{d}") for d in labels],
+        [F.sum(F.coalesce(no_nan(F.col(d).cast("double")).cast("bigint"), F.lit(0))).alias(f"pos_{d}") for d in labels],
     )
 
 
@@ -109,7 +110,7 @@ def agreeing(thresholds: DataFrame, directions: DataFrame) -> DataFrame:
     Pairs without a known direction are kept as they are.
     """
     known = directions.select("column", "label", F.col("direction").alias("_known"))
-    joined = thresholds.join(F.broadcast(known), ["column", "label"], "left")
+    joined = thresholds.join(lookup(known), ["column", "label"], "left")
     return joined.filter("_known is null or _known = direction").drop("_known")
 
 
@@ -117,7 +118,7 @@ def contradicting_counts(thresholds: DataFrame, directions: DataFrame) -> DataFr
     """Groups per pair that ``agreeing`` drops."""
     known = directions.select("column", "label", F.col("direction").alias("_known"))
     return (
-        thresholds.join(F.broadcast(known), ["column", "label"])
+        thresholds.join(lookup(known), ["column", "label"])
         .groupBy("column", "label")
         .agg(F.count_if(F.col("direction") != F.col("_known")).alias("n_dropped"), F.count(F.lit(1)).alias("n_groups"))
     )

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from driftline.functions.expr import without_nan
 from driftline.operators import baseline, threshold
 from driftline.operators.alerts import References, alert_rows
 from driftline.operators.ordered import group_sizes
@@ -28,6 +29,8 @@ def learn_references(
     training: DataFrame | None = None,
 ) -> References:
     """Stratum statistics of the normal rows and the typed baselines the types call for."""
+    df = without_nan(df)
+    training = None if training is None else without_nan(training)
     ok = df.filter(roles.ok)
     rises = dict(rises_is_bad or {})
     watched = {m: tuple(ds) for m, ds in (labels or {}).items() if types.get(m) == "C"}
@@ -66,7 +69,7 @@ def learn_references(
             return None
         if training is None:
             counts = profile.filter(F.col("column").isin(sorted(watched))).dropna(subset=list(roles.stratum))
-            keyed = counts.withColumn("group_key", F.concat_ws("|", *roles.stratum))
+            keyed = counts.withColumn("group_key", roles.group_key())
             learned = threshold.stump_thresholds(
                 df, roles.stratum, sorted(watched), labelled, pairs,
                 counts=keyed.select("group_key", "column", "value", "n", *[f"pos_{d}" for d in labelled]),

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from driftline import store
+from driftline.functions.expr import without_nan
 from driftline.operators import baseline, daily, explore, quality
 from driftline.schema import Roles
 from driftline.sources.writers import histogram_records, save_table
@@ -26,6 +28,11 @@ def explore_fact(
     folder: str,
 ) -> dict[str, str]:
     """Write the exploration tables below ``folder`` and return their paths."""
+    with store.stages(df.sparkSession):
+        return _explore(without_nan(df), roles, stages, features, categories, outcomes, folder)
+
+
+def _explore(df, roles, stages, features, categories, outcomes, folder) -> dict[str, str]:
     numeric = quality.numeric_columns(df, [c for c in df.columns if c not in {roles.time, *roles.key, *categories}])
     pairs = explore.spearman_matrix(df, numeric)
     rates = daily.daily_rates(df, roles, roles.measures[:2], roles.labels)

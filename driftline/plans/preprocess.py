@@ -7,13 +7,14 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
+from driftline.functions.expr import without_nan
 from driftline.operators import baseline, catalogue, daily, quality, sequence, threshold, trend
 from driftline.operators.catalogue import ColumnRules
 from driftline.operators.ordered import group_sizes
 from driftline.schema import Roles
 from driftline.sources.readers import summary_text
 from driftline.sources.writers import save_table
-from driftline.store import written
+from driftline.store import stages, written
 
 
 @dataclass(frozen=True)
@@ -51,8 +52,13 @@ def preprocess(
     """Write all tables below ``folder`` and return their paths.
 
     Tables that later steps read again are read from where they were written, so nothing
-    is computed twice.
+    is computed twice; intermediate tables are removed at the end.
     """
+    with stages(df.sparkSession):
+        return _preprocess(without_nan(df), roles, options, folder, None if training is None else without_nan(training), directions)
+
+
+def _preprocess(df, roles, options, folder, training, directions) -> dict[str, str]:
     spark = df.sparkSession
     paths: dict[str, str] = {}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -16,6 +17,17 @@ class Limits:
     usl: float
 
 
+def stratum_key(columns: Sequence[str]) -> Column:
+    """Values of the columns joined by ``|``: null if one is null, and a ``|`` inside a value is escaped, so that
+    different strata never share a name."""
+    parts = [F.regexp_replace(F.col(c).cast("string"), r"([|\\])", r"\\$1") for c in columns]
+    known = [F.col(c).isNotNull() for c in columns]
+    whole = known[0] if known else F.lit(True)
+    for k in known[1:]:
+        whole = whole & k
+    return F.when(whole, F.concat_ws("|", *parts))
+
+
 @dataclass(frozen=True)
 class Roles:
     """Which columns of a fact table play which part.
@@ -46,7 +58,7 @@ class Roles:
 
     def group_key(self) -> Column:
         """The composite stratum name ``product|recipe``."""
-        return F.concat_ws("|", *[F.col(c) for c in self.stratum])
+        return stratum_key(self.stratum)
 
 
 # Limits of the detectors.

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from driftline.functions.expr import no_nan
+from driftline.functions.expr import without_nan
 from driftline.schema import Roles, require_columns
 
 
@@ -23,12 +23,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def load_fact(df: DataFrame, roles: Roles, time_format: str | None = None) -> DataFrame:
-    """Parse the time column, turn NaN measures into null and add the normal flag."""
+    """Parse the time column, turn NaN into null and add the normal flag."""
     kind = df.schema[roles.time].dataType
     time = F.to_timestamp_ntz(roles.time, F.lit(time_format)) if time_format else F.to_timestamp_ntz(roles.time)
     stamped = df if isinstance(kind, (T.TimestampNTZType, T.TimestampType)) else df.withColumn(roles.time, time)
-    floating = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    clean = stamped.withColumns({c: no_nan(c) for c in floating if c in roles.measures})
+    clean = without_nan(stamped)
     return clean.withColumn("is_normal", F.coalesce(F.expr(roles.normal), F.lit(False)))
 
 

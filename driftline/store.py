@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16_000_000  # of the written, compressed files
+_SCOPES: list[list[str]] = []
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -31,21 +33,53 @@ def work_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` to the work folder and read it back."""
+    return _write(df)[0]
+
+
+def _write(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{work_folder(spark)}/stage-{uuid.uuid4().hex}"
+    for scope in _SCOPES:
+        scope.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def written_bytes(spark: SparkSession, path: str) -> int:
+    """Size of the files below a written table."""
+    system, target = _file_system(spark, path)
+    return system.getContentSummary(target).getLength()
+
+
+@contextmanager
+def stages(spark: SparkSession):
+    """Removes the tables that were written inside, once the block ends; results must have been saved by then."""
+    own: list[str] = []
+    _SCOPES.append(own)
+    try:
+        yield own
+    finally:
+        _SCOPES.remove(own)
+        for path in own:
+            system, target = _file_system(spark, path)
+            system.delete(target, True)
 
 
-def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A learned table, written once, and broadcast only if its counted size allows it.
+def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A learned table, written once, and broadcast only if its rows and its bytes allow it.
 
-    Beyond ``max_rows`` the plain table is returned: the join is then a shuffle join,
-    whose hot keys are split by the adaptive skew handling.
+    Beyond that the plain table is returned: the join is then a shuffle join, whose hot
+    keys are split by the adaptive skew handling.
     """
     seen = Observation()
-    table = written(df.observe(seen, F.count(F.lit(1)).alias("n")))
-    return F.broadcast(table) if seen.get["n"] <= max_rows else table
+    table, path = _write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    small = seen.get["n"] <= max_rows and written_bytes(df.sparkSession, path) <= max_bytes
+    return F.broadcast(table) if small else table
 
 
 def together(spark: SparkSession, *steps: Callable) -> list:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def live_sessions(alerts: DataFrame, entity: str, time: str, gap: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -20,15 +24,32 @@ def live_sessions(alerts: DataFrame, entity: str, time: str, gap: str = "1 day",
 
 
 def paced_notifications(active: DataFrame, entity: str, time: str, every: str = "7 days") -> DataFrame:
-    """At most one notification per (entity, column, alert start) and period.
+    """At most one notification per (entity, column, alert start) and period, counted from the last notice.
 
-    ``active`` carries ``since``, the start of the alert: a new alert notifies at once, a
-    running one again after the period.
+    ``active`` carries ``since``, the start of the alert: a new alert notifies at once, a running one again when the
+    period has passed since its last notice. State is one time per alert, dropped when it has been silent for a period.
     """
-    period = F.window(time, every)
+    period = pd.Timedelta(every)
+    names, kinds = active.columns, active.schema
+
+    def notices(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts)).sort_values(time)
+        sent = []
+        for at, moment in enumerate(rows[time]):
+            if last is None or moment - last >= period:
+                sent.append(at)
+                last = moment
+        state.update((int(last.value // 1000),))
+        state.setTimeoutTimestamp(max(int((last + period).value // 1_000_000), state.getCurrentWatermarkMs() + 1))
+        if sent:
+            yield rows.iloc[sent][names]
+
     return (
-        active.withColumn("_period", period.start)
-        .withWatermark(time, every)
-        .dropDuplicatesWithinWatermark([entity, "column", "since", "_period"])
-        .drop("_period")
+        active.withWatermark(time, every)
+        .groupBy(entity, "column", "since")
+        .applyInPandasWithState(notices, kinds, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
     )
