@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftline.operators.quantiles import average_ranks, unpivot
-from driftline.store import BROADCAST_ROWS, lookup, written
+from driftline.store import lookup, written
 
 
 def effect_ranking(
@@ -75,31 +77,42 @@ def spearman_pairs(
 def spearman_matrix(df: DataFrame, columns: Sequence[str], *, limit: int | None = None) -> DataFrame:
     """Upper triangle of the rank correlation matrix, four decimals.
 
-    Each column is ranked once over all its values; a pair uses the rows where both are
-    present. The fact stays wide: a column with few distinct values gets its ranks from a
-    broadcast lookup, one with many from a shuffle join on the value, whose hot values the
-    adaptive skew handling splits.
+    Each column is ranked once over all its values; a pair uses the rows where both are present. Values meet their
+    ranks in long form and come back as one row of ranks each, so the fact is shuffled twice at most, whatever the
+    number of columns. All pairs are then summed by matrix products within a partition.
     """
-    base = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    ranks = written(average_ranks(unpivot(base, [], columns), ["column"], limit=limit))
-    distinct = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    wide = base
-    for c in sorted(columns, key=lambda c: distinct.get(c, 0), reverse=True):
-        table = ranks.filter(F.col("column") == c).select(
-            F.col("value").alias(f"_v_{c}"), (F.col("rank") - (F.col("size") + 1) / 2.0).alias(f"_r_{c}")
-        )
-        if distinct.get(c, 0) <= BROADCAST_ROWS:
-            table = F.broadcast(table)
-        wide = wide.join(table, F.col(c) == F.col(f"_v_{c}"), "left").drop(c, f"_v_{c}")
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    row = wide.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [
-        F.struct(F.lit(a).alias("variable_1"), F.lit(b).alias("variable_2"), F.round(f"r{i}", 4).alias("spearman_r"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return row.select(F.inline(F.array(*cells))).filter("spearman_r is not null").withColumn(
-        "absolute_r", F.abs("spearman_r")
-    )
+    at = {c: i for i, c in enumerate(columns)}
+    base = written(df.select(F.monotonically_increasing_id().alias("_row"), *[F.col(c).cast("double").alias(c) for c in columns]))
+    long = unpivot(base, ["_row"], columns)
+    ranks = average_ranks(long.select("column", "value"), ["column"], limit=limit)
+    place = F.element_at(F.create_map(*[x for c, i in at.items() for x in (F.lit(c), F.lit(i))]), F.col("column"))
+    centred = lookup(ranks.select("column", "value", (F.col("rank") - (F.col("size") + 1) / 2.0).alias("rank")))
+    rows = long.join(centred, ["column", "value"]).groupBy("_row").agg(F.collect_list(F.struct(place.alias("i"), "rank")).alias("r"))
+    size = len(columns)
+
+    def products(batches):
+        for pdf in batches:
+            n = pdf["r"].str.len().to_numpy()
+            row = np.repeat(np.arange(len(pdf)), n)
+            cells = [x for r in pdf["r"] for x in r]
+            column = np.array([x["i"] for x in cells], int)
+            value, there = np.zeros((len(pdf), size)), np.zeros((len(pdf), size))
+            value[row, column], there[row, column] = [x["rank"] for x in cells], 1.0
+            square = value * value
+            sums = {"n": there.T @ there, "a": value.T @ there, "b": there.T @ value,
+                    "aa": square.T @ there, "bb": there.T @ square, "ab": value.T @ value}
+            i, j = np.triu_indices(size, 1)
+            yield pd.DataFrame({"i": i, "j": j, **{k: v[i, j] for k, v in sums.items()}})
+
+    names = ["n", "a", "b", "aa", "bb", "ab"]
+    parts = rows.select("r").mapInPandas(products, "i int, j int, " + ", ".join(f"{k} double" for k in names))
+    total = parts.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in names])
+    n, a, b = F.col("n"), F.col("a"), F.col("b")
+    va, vb = F.col("aa") - a * a / n, F.col("bb") - b * b / n
+    r = F.when((n > 1) & (va > 0) & (vb > 0), (F.col("ab") - a * b / n) / F.sqrt(va) / F.sqrt(vb))
+    name = F.array(*[F.lit(c) for c in columns])
+    found = total.select(F.get(name, F.col("i")).alias("variable_1"), F.get(name, F.col("j")).alias("variable_2"), F.round(r, 4).alias("spearman_r"))
+    return found.filter("spearman_r is not null").withColumn("absolute_r", F.abs("spearman_r"))
 
 
 def process_pairs(pairs: DataFrame, results: Sequence[str]) -> DataFrame:

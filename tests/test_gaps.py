@@ -78,3 +78,25 @@ def test_pacing_counts_from_the_last_notice(spark, tmp_path):
     query.awaitTermination()
     got = sorted(pd.Timestamp(r["ts"]).day for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [3, 10, 17, 30]
+
+
+def test_rank_matrix_of_many_columns_with_gaps(spark):
+    import numpy as np
+
+    from driftline.operators.explore import spearman_matrix
+
+    draw = np.random.default_rng(4)
+    data = draw.normal(size=(300, 30)).round(1)
+    data[:, 1] = data[:, 0] * 2
+    data[:, 2] = 7.0
+    data[draw.random(data.shape) < 0.1] = np.nan
+    frame = pd.DataFrame(data, columns=[f"c{i}" for i in range(30)])
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None).values.tolist(), ", ".join(f"c{i} double" for i in range(30)))
+    got = {(r["variable_1"], r["variable_2"]): r["spearman_r"] for r in spearman_matrix(df, list(frame.columns)).collect()}
+    ranks = frame.rank()  # each column is ranked once, a pair uses the rows with both
+    want = ranks.corr()
+    assert len(got) == 29 * 28 // 2
+    for (a, b), r in got.items():
+        assert r == pytest.approx(want.loc[a, b], abs=6e-5)
+    plan = spearman_matrix(df, list(frame.columns))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
