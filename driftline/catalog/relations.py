@@ -201,9 +201,9 @@ def column_catalogue(spark, folder):
 
 # ------------------------------------------------------------------ text artefacts
 
-@query("snapshot_flatten", f"""WITH {SHOTS_SQL}, m AS ({_margins_sql()}), g AS (SELECT machine, direction AS defect, "column" AS factor, avg(margin) AS margin FROM m GROUP BY ALL),
+@query("snapshot_flatten", f"""WITH {SHOTS_SQL}, {SCALE_SQL}, m AS ({_margins_sql()}), g AS (SELECT machine, direction AS defect, "column" AS factor, avg(margin) AS margin FROM m GROUP BY ALL),
   d AS (SELECT machine, max(margin) AS top FROM g GROUP BY 1)
-  SELECT g.machine, round(100 - top, 4) AS machine_health, defect, factor, 1.5::DOUBLE AS alert_active_days, round(100 - margin, 4) AS health_index, round(margin, 4) AS margin_used_pct FROM g JOIN d USING (machine)""")
+  SELECT g.machine, round(100 - top, 4) AS machine_health, defect, factor, coalesce(n_days, 0)::DOUBLE AS alert_active_days, round(100 - margin, 4) AS health_index, round(margin, 4) AS margin_used_pct FROM g JOIN d USING (machine) LEFT JOIN sc ON sc.machine = g.machine AND sc."column" = g.factor""")
 def snapshot_flatten(spark, folder):
     return rounded(
         readers.flatten_snapshot(snapshot_text(spark, folder), "text"), 4, "machine_health", "health_index", "margin_used_pct"
@@ -215,8 +215,10 @@ def snapshot_text(spark, folder):
     used = margins(spark, folder).groupBy("machine", F.col("direction").alias("defect"), F.col("column").alias("factor")).agg(
         F.avg("margin").alias("margin")
     )
+    lasted = health.alert_scale(alert_table(spark, folder), SHOTS).select("machine", F.col("column").alias("factor"), "n_days")
+    used = used.join(lasted, ["machine", "factor"], "left")
     cause = F.struct(
-        F.lit(1.5).alias("alert_active_days"), (100 - F.col("margin")).alias("health_index"), F.col("margin").alias("margin_used_pct")
+        F.coalesce(F.col("n_days").cast("double"), F.lit(0.0)).alias("alert_active_days"), (100 - F.col("margin")).alias("health_index"), F.col("margin").alias("margin_used_pct")
     )
 
     def as_map(key, value):

@@ -94,20 +94,36 @@ def cliffs_delta(spark, folder):
 _EXPECTED = [("returned_binary", "quantity", "up"), ("returned_binary", "price", "down"), ("first_line_binary", "tax", "up")]
 
 
-@query("label_verdicts")
+# p values: the normal tail by Simpson's rule over twelve standard deviations
+_P_SQL = f"""{_Z_SQL},
+  tie AS (SELECT label, "column", sum(c * c * c - c) AS ties FROM (SELECT label, "column", s, count(*)::DOUBLE AS c FROM y GROUP BY ALL) GROUP BY ALL),
+  u0 AS (SELECT e.*, ties, r1 - n1 * (n1 + 1) / 2 AS u, (n1 + n2)::DOUBLE AS n FROM e JOIN tie USING (label, "column") WHERE n1 > 0 AND n2 > 0),
+  u1 AS (SELECT *, greatest((abs(u - n1 * n2 / 2.0) - 0.5) / sqrt(n1::DOUBLE * n2 / 12 * (n + 1 - ties / (n * (n - 1)))), 0) AS z FROM u0),
+  gr AS (SELECT i, CASE WHEN i IN (0, 6000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(6001) t(i)),
+  pv AS (SELECT label, "column", any_value(u) AS u, any_value(n1) AS n1, any_value(n2) AS n2, any_value(z) AS z,
+    sum(w * exp(-pow(z + i * 0.002, 2) / 2)) * 0.002 / 3 * 2 / sqrt(2 * pi()) AS p_raw FROM u1, gr GROUP BY ALL),
+  br AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY p_raw, "column") AS i, count(*) OVER (PARTITION BY label) AS m FROM pv),
+  bh AS (SELECT *, least(min(p_raw * m / i) OVER (PARTITION BY label ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS p_fdr FROM br)"""
+
+
+def adjusted_effects(df):
+    return labels.bh_adjust(labels.rank_effects(scored_panel(df), PM, _TESTS), ["label"], tie=["column"])
+
+
+@query("label_verdicts", f"""WITH {PANEL_SQL}, {_P_SQL},
+  ex(label, "column", expected) AS (VALUES {', '.join(f"('{a}', '{b}', '{c}')" for a, b, c in _EXPECTED)}),
+  dl AS (SELECT bh.*, expected, 2 * u / (n1 * n2) - 1 AS delta FROM bh JOIN ex USING (label, "column"))
+  SELECT label, "column", round(delta, 6) AS delta, round(z, 6) AS z, round(p_raw, 8) AS p_raw, round(p_fdr, 8) AS p_fdr, expected,
+    sign(delta) = CASE WHEN expected = 'down' THEN -1 ELSE 1 END AS direction_ok, p_fdr < 0.05 AND abs(delta) >= 0.2 AS effect_ok FROM dl""")
 def label_verdicts(spark, folder):
-    effects = labels.rank_effects(scored_panel(panel(spark, folder)), PM, _TESTS)
-    adjusted = labels.bh_adjust(effects, ["label"], tie=["column"])
-    return labels.verdicts(adjusted, spark.createDataFrame(_EXPECTED, "label string, column string, expected string"))
+    expected = spark.createDataFrame(_EXPECTED, "label string, column string, expected string")
+    out = labels.verdicts(adjusted_effects(panel(spark, folder)), expected)
+    return rounded(rounded(out, 6, "delta", "z"), 8, "p_raw", "p_fdr").drop("n_positive", "u")
 
 
-@query("bh_fdr", f"""WITH {PANEL_SQL}, t AS (SELECT product, machine, recipe, avg(returned) AS p_raw FROM panel GROUP BY ALL),
-  r AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY p_raw, machine, recipe) AS i, count(*) OVER (PARTITION BY product) AS m FROM t)
-  SELECT product, machine, recipe, round(p_raw, 9) AS p_raw, round(least(min(p_raw * m / i) OVER (PARTITION BY product ORDER BY i
-    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0), 9) AS p_fdr FROM r""")
+@query("bh_fdr", f"""WITH {PANEL_SQL}, {_P_SQL} SELECT label, "column", round(p_raw, 8) AS p_raw, round(p_fdr, 8) AS p_fdr FROM bh""")
 def bh_fdr(spark, folder):
-    tests = panel(spark, folder).groupBy("product", "machine", "recipe").agg(F.avg("returned").alias("p_raw"))
-    return rounded(labels.bh_adjust(tests, ["product"], tie=["machine", "recipe"]), 9, "p_raw", "p_fdr")
+    return rounded(adjusted_effects(panel(spark, folder)), 8, "p_raw", "p_fdr").select("label", "column", "p_raw", "p_fdr")
 
 
 @query("pure_labels", f"""WITH {PANEL_SQL} SELECT machine, count(*) FILTER (returned = 1) AS binary_returned,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -13,9 +14,10 @@ from driftline.catalog.thresholds import BREACH_SQL, RULES_SQL, SHOT_STUMPS
 from driftline.functions import expr
 from driftline.operators import alerts, health
 from driftline.operators.sequence import gap_sessions
-from driftline.plans.alerting import learn_references, run_alerts
+from driftline.plans.alerting import learn_references, read_references, run_alerts
 from driftline.schema import LOW
-from driftline.store import written
+from driftline.sources.writers import save_table
+from driftline.store import work_folder, written
 
 SM = list(SHOTS.measures)
 
@@ -91,6 +93,17 @@ def _show(df):
     return rounded(df, 6, *_ROUND)
 
 
+@query("alerts_from_tables", f"WITH {SHOTS_SQL}, {BASE_SQL} SELECT * {_REPLACE} FROM al")
+def alerts_from_tables(spark, folder):
+    """The alerts of references that were saved and read again, as a later job would."""
+    df = shots(spark, folder)
+    refs = references(df)
+    saved = {"stratum_stats": refs.stats, "baseline_ab": refs.ab, "thresholds": refs.thresholds, "baseline_e": refs.constants}
+    paths = {name: save_table(table, f"{work_folder(spark)}/references-{uuid.uuid4().hex}", name) for name, table in saved.items()}
+    again = read_references(spark, paths, rises_is_bad=RISES_IS_BAD, upper=UPPER)
+    return _show(run_alerts(df, SHOTS, again, with_messages=False))
+
+
 @query("alerts_all", f"WITH {SHOTS_SQL}, {BASE_SQL} SELECT * {_REPLACE} FROM al")
 def alerts_all(spark, folder):
     return _show(alert_table(spark, folder))
@@ -241,17 +254,26 @@ def sweep(spark, folder):
     return alerts.sweep_rows(df, references(df), SHOTS, KS, HS)
 
 
+@query("kh_sweep_default", f"WITH {SHOTS_SQL}, {SWEEP_SQL.replace('days >= 5', 'days >= 14')} SELECT * REPLACE (round(normal_longest, 6) AS normal_longest) FROM k7")
+def kh_sweep_default(spark, folder):
+    return rounded(health.sweep_scores(sweep(spark, folder), SHOTS, "M0"), 6, "normal_longest")
+
+
 @query("kh_sweep", f"WITH {SHOTS_SQL}, {SWEEP_SQL} SELECT * REPLACE (round(normal_longest, 6) AS normal_longest) FROM k7")
 def kh_sweep(spark, folder):
     return rounded(health.sweep_scores(sweep(spark, folder), SHOTS, "M0", sustained_days=5), 6, "normal_longest")
 
 
-_ONSET_SQL = f"""{DAILY_SQL.replace('st0', 'ot0').replace('stl', 'otl').replace('std AS', 'otd AS').replace('JOIN std', 'JOIN otd').replace('st AS', 'ot AS').replace('JOIN st ', 'JOIN ot ')},
+def _onset_sql(base, sigmas, hold):
+    return f"""{DAILY_SQL.replace('st0', 'ot0').replace('stl', 'otl').replace('std AS', 'otd AS').replace('JOIN std', 'JOIN otd').replace('st AS', 'ot AS').replace('JOIN st ', 'JOIN ot ')},
  o1 AS (SELECT *, row_number() OVER w AS i FROM dd WINDOW w AS (PARTITION BY machine, "column" ORDER BY dt)),
- o2 AS (SELECT machine, "column", avg(daily_mean) AS m, stddev_samp(daily_mean) AS s FROM o1 WHERE i <= 10 GROUP BY ALL),
- o3 AS (SELECT *, CASE WHEN abs(daily_mean - m) > 1.0 * s THEN 1 ELSE 0 END AS o FROM o1 JOIN o2 USING (machine, "column")),
- o4 AS (SELECT *, sum(o) OVER (PARTITION BY machine, "column" ORDER BY dt ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS r FROM o3),
- onset AS (SELECT machine, "column", min(dt) FILTER (r = 2) AS onset_day, min(dt) FILTER (o = 1) AS first_crossing FROM o4 GROUP BY ALL)"""
+ o2 AS (SELECT machine, "column", avg(daily_mean) AS m, stddev_samp(daily_mean) AS s FROM o1 WHERE i <= {base} GROUP BY ALL),
+ o3 AS (SELECT *, CASE WHEN abs(daily_mean - m) > {sigmas} * s THEN 1 ELSE 0 END AS o FROM o1 JOIN o2 USING (machine, "column")),
+ o4 AS (SELECT *, sum(o) OVER (PARTITION BY machine, "column" ORDER BY dt ROWS BETWEEN CURRENT ROW AND {hold - 1} FOLLOWING) AS r FROM o3),
+ onset AS (SELECT machine, "column", min(dt) FILTER (r = {hold}) AS onset_day, min(dt) FILTER (o = 1) AS first_crossing FROM o4 GROUP BY ALL)"""
+
+
+_ONSET_SQL = _onset_sql(10, 1.0, 2)  # short enough to find onsets in the driver tables; the defaults have a query each
 
 
 @query("onset_day", f"""WITH {SHOTS_SQL}, {_ONSET_SQL} SELECT machine, "column", CAST(onset_day AS VARCHAR) AS onset_day,
@@ -261,6 +283,12 @@ def onset_day(spark, folder):
     return day_text(out, "onset_day", "first_crossing")
 
 
+@query("onset_day_default", f"""WITH {SHOTS_SQL}, {_onset_sql(30, 3.0, 5)} SELECT machine, "column", CAST(onset_day AS VARCHAR) AS onset_day,
+  CAST(first_crossing AS VARCHAR) AS first_crossing FROM onset""")
+def onset_day_default(spark, folder):
+    return day_text(health.onset_days(shot_daily(shots(spark, folder)), "machine"), "onset_day", "first_crossing")
+
+
 _KNOWN_CELLS = """kd AS (SELECT k6.*, row_number() OVER (PARTITION BY k, h, machine, "column" ORDER BY days DESC, session) AS i FROM k6),
  kl AS (SELECT k, h, date_diff('day', onset_day, CAST(start_ts AS DATE)) AS lag FROM kd JOIN onset USING (machine, "column") WHERE i = 1 AND machine <> 'M0' AND onset_day IS NOT NULL),
  kw AS (SELECT k, h, max(lag) AS worst_lag, min(lag) AS earliest_lag, count(*) AS n FROM kl GROUP BY ALL),

@@ -154,12 +154,12 @@ def _spread_class(ratio: Column, stable: float, variable: float) -> Column:
 def dispersion_continuous(normal: DataFrame, strata: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Median over strata of |std/mean|, or of std/range where the mean is near zero."""
     cells = unpivot(normal.dropna(subset=list(strata)), strata, measures).groupBy(*strata, "column").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.stddev_samp("value").alias("s"),
-        (F.max("value") - F.min("value")).alias("r"),
+        F.count(F.lit(1)).alias("_n"), F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"),
+        (F.max("value") - F.min("value")).alias("_r"),
     )
-    m, s, r = F.col("m"), F.col("s"), F.col("r")
+    m, s, r = F.col("_m"), F.col("_s"), F.col("_r")
     ratio = (
-        F.when(F.col("n") < 5, F.lit(None).cast("double"))
+        F.when(F.col("_n") < 5, F.lit(None).cast("double"))
         .when(s == 0, 0.0)
         .when(F.abs(m) > 0.1 * s, F.abs(F.try_divide(s, m)))
         .when(r > ZERO_EPS, F.try_divide(s, r))
