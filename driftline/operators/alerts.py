@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftline.functions import expr, messages as text
 from driftline.operators import sequence
-from driftline.operators.ordered import BLOCK, RN, Ordered, group_sizes
-from driftline.operators.spec import UpperLimit, breach_days, spec_rules
+from driftline.operators.ordered import BLOCK, RN, Ordered
+from driftline.operators.spec import UpperLimit, breach_days, day_table, spec_rules
 from driftline.schema import CUSUM_H, CUSUM_K, LOW, PERSIST_ROWS, ROLLING_ROWS, Roles
-from driftline.store import join_null_safe, lookup, together
+from driftline.store import join_null_safe, lookup, together, written
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ class References:
 _VARIANT = ["column", "label"]
 
 
-def reference_rows(df: DataFrame, refs: References, roles: Roles) -> DataFrame:
+def reference_rows(df: DataFrame, refs: References, roles: Roles, days: DataFrame | None = None) -> DataFrame:
     """What is watched in each stratum: one line per (stratum, measure, label).
 
     A type C measure has one line per threshold of its group, or one unlabelled line if
@@ -58,7 +58,7 @@ def reference_rows(df: DataFrame, refs: References, roles: Roles) -> DataFrame:
                 F.lit(" / ".join(text.RELATED % d for d in upper.labels) if upper else "").alias("related"),
             )
         )
-    strata = df.select(*roles.stratum).distinct()
+    strata = (df if days is None else days).select(*roles.stratum).distinct()
     grid = strata.select(*roles.stratum, roles.group_key().alias("group_key"), F.inline(F.array(*listed)))
     grid = join_null_safe(
         grid, refs.stats.select(*roles.stratum, "column", "std", "median"), [*roles.stratum, "column"]
@@ -78,7 +78,7 @@ def reference_rows(df: DataFrame, refs: References, roles: Roles) -> DataFrame:
                        "reference_ok_mean", "reference_ok_std"), ["column", "type"], "left")
     )
     if any(m in roles.limits for m in roles.measures):
-        rules = F.broadcast(spec_rules(df, roles).select("column", "rate", "run"))  # one row per limited measure
+        rules = F.broadcast(spec_rules(df, roles, days).select("column", "rate", "run"))  # one row per limited measure
         joined = joined.join(rules, "column", "left")
     else:
         joined = joined.withColumn("rate", null.cast("double")).withColumn("run", null.cast("int"))
@@ -127,10 +127,17 @@ def watched_sequences(
     return Ordered(scored, (*roles.series, *_VARIANT), (RN,), wide.blocked, wide.limit)
 
 
-def _breached(df: DataFrame, refs: References, roles: Roles) -> DataFrame:
+def _breached(df: DataFrame, refs: References, roles: Roles, days: DataFrame) -> DataFrame:
     """(entity, day) -> externally limited measures with a breach that day."""
-    days = breach_days(df, roles, refs.upper).filter("breach")
-    return days.groupBy(roles.entity, "dt").agg(F.collect_set("column").alias("_over_days"))
+    breached = breach_days(df, roles, refs.upper, days=days).filter("breach")
+    return breached.groupBy(roles.entity, "dt").agg(F.collect_set("column").alias("_over_days"))
+
+
+def _series_sizes(per_day: DataFrame, roles: Roles) -> tuple[int, int]:
+    """Rows of the fact and of its largest series."""
+    sums = per_day.groupBy(*roles.series).agg(F.sum("_rows").alias("n"))
+    row = sums.agg(F.sum("n").alias("total"), F.max("n").alias("largest")).first()
+    return int(row["total"] or 0), int(row["largest"] or 0)
 
 
 def alert_rows(
@@ -150,12 +157,13 @@ def alert_rows(
     whose stratum is not fully known belong to no series.
     """
     df = expr.without_nan(df).dropna(subset=list(roles.stratum))
-    # independent small tables: their jobs run side by side
+    # one aggregate of the fact, then independent small tables, whose jobs run side by side
+    per_day = written(day_table(df, roles, refs.upper))
     table, days, sizes = together(
         df.sparkSession,
-        lambda: lookup(reference_rows(df, refs, roles)),
-        lambda: lookup(_breached(df, refs, roles)) if refs.upper else None,
-        lambda: group_sizes(df, roles.series),
+        lambda: lookup(reference_rows(df, refs, roles, per_day)),
+        lambda: lookup(_breached(df, refs, roles, per_day)) if refs.upper else None,
+        lambda: _series_sizes(per_day, roles),
     )
     fact = df
     if refs.upper:

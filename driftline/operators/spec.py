@@ -28,14 +28,27 @@ def required_run(rate: Column, n: Column, expected_max: float = SPEC_RUN_EXPECTE
     return out.cast("int")
 
 
-def spec_rules(df: DataFrame, roles: Roles) -> DataFrame:
-    """Violation rate of every limited measure over the whole table and the run of
-    consecutive violations that cannot be chance. Missing values stay in the denominator."""
+def day_table(df: DataFrame, roles: Roles, limits: Mapping[str, UpperLimit]) -> DataFrame:
+    """(series, day) -> rows, violations of every limited measure, rows over every external limit.
+
+    One aggregate of the fact, from which the sizes of the series, the strata, the limit
+    rules and the breach days all follow.
+    """
     limited = [m for m in roles.measures if m in roles.limits]
-    rates = df.agg(
+    return df.groupBy(*roles.series, F.to_date(roles.time).alias("dt")).agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.avg(expr.out_of_spec(F.col(m), roles.limits[m]).cast("int")).alias(f"r_{m}") for m in limited],
+        *[F.count_if(expr.out_of_spec(F.col(m), roles.limits[m])).alias(f"_v_{m}") for m in limited],
+        *[F.count_if(expr.no_nan(F.col(m).cast("double")) > rule.limit).alias(f"_o_{m}") for m, rule in limits.items()],
     )
+
+
+def spec_rules(df: DataFrame, roles: Roles, days: DataFrame | None = None) -> DataFrame:
+    """Violation rate of every limited measure over the whole table and the run of
+    consecutive violations that cannot be chance. Missing values stay in the denominator.
+    ``days``: the day table, if the caller has it."""
+    limited = [m for m in roles.measures if m in roles.limits]
+    days = day_table(df, roles, {}) if days is None else days
+    rates = days.agg(F.sum("_rows").alias("_rows"), *[(F.sum(f"_v_{m}") / F.sum("_rows")).alias(f"r_{m}") for m in limited])
     cells = [
         F.struct(
             F.lit(m).alias("column"), F.lit(float(roles.limits[m].lsl)).alias("lsl"),
@@ -49,15 +62,17 @@ def spec_rules(df: DataFrame, roles: Roles) -> DataFrame:
 
 
 def breach_days(
-    df: DataFrame, roles: Roles, limits: Mapping[str, UpperLimit], quantile: float = 0.99, rate: float = 0.001
+    df: DataFrame, roles: Roles, limits: Mapping[str, UpperLimit], quantile: float = 0.99, rate: float = 0.001,
+    days: DataFrame | None = None,
 ) -> DataFrame:
     """(entity, dt, column) -> rows, rows over the limit, rows needed, breach.
 
-    The binomial point is computed on the day table, once per distinct row count of a task.
+    The binomial point is computed on the day table (``days``, if the caller has it), once per
+    distinct row count of a task.
     """
-    daily = df.groupBy(roles.entity, F.to_date(roles.time).alias("dt")).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[F.count_if(expr.no_nan(F.col(m).cast("double")) > rule.limit).alias(f"o_{m}") for m, rule in limits.items()],
+    days = day_table(df, roles, limits) if days is None else days
+    daily = days.groupBy(roles.entity, "dt").agg(
+        F.sum("_rows").alias("n_rows"), *[F.sum(f"_o_{m}").alias(f"o_{m}") for m in limits]
     )
     needed = F.greatest(binomial_quantile_udf(F.lit(quantile), "n_rows", F.lit(rate)), F.lit(1))
     cells = [

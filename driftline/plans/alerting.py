@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from driftline.functions.expr import without_nan
 from driftline.operators import baseline, daily, health, threshold, trend
 from driftline.operators.alerts import References, alert_rows, warning_rates
-from driftline.operators.ordered import group_sizes
 from driftline.operators.spec import UpperLimit
 from driftline.schema import Roles
 from driftline.sources.writers import save_alerts, save_table
@@ -40,12 +39,9 @@ def learn_references(
 
     # one pass over the fact serves statistics, medians and thresholds
     labelled = sorted({d for _, d in pairs}) if training is None else []
-    profile, sizes = together(
-        df.sparkSession,
-        lambda: written(baseline.value_profile(df, roles, roles.measures, labelled)),
-        lambda: group_sizes(df, roles.stratum),
-    )
-    largest = sizes[1]
+    profile = written(baseline.value_profile(df, roles, roles.measures, labelled))
+    part = [*roles.stratum, "column"]
+    largest = profile.groupBy(*part).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
     ok_counts = baseline.profile_part(profile, roles.stratum, "n_ok")
 
     def statistics() -> DataFrame:
