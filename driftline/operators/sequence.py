@@ -217,22 +217,17 @@ def flatline_counts(df: DataFrame, roles: Roles, min_run: int = FLATLINE_RUN, li
     A null equals nothing, so it is a run of its own.
     """
     seq = Ordered.of(df.select(roles.entity, *roles.order, *roles.measures), [roles.entity], roles.order, limit)
-    edged = seq.with_lookback(
-        1,
-        lambda w: {
-            f"_e_{m}": (~F.coalesce(F.col(m) == F.lag(m).over(w), F.lit(False))).cast("bigint")
-            for m in roles.measures
-        },
-    )
-    runs = edged.with_running({f"_run_{m}": ("sum", f"_e_{m}") for m in roles.measures})
-    cells = F.inline(F.array(*[F.struct(F.lit(m).alias("column"), F.col(f"_run_{m}").alias("run")) for m in roles.measures]))
-    lengths = runs.df.select(roles.entity, cells).groupBy(roles.entity, "column", "run").agg(
-        F.count(F.lit(1)).alias("length")
-    )
-    return lengths.groupBy("column").agg(
-        F.sum(F.when(F.col("length") >= min_run, F.col("length")).otherwise(0)).alias("flatline_count"),
-        F.max("length").alias("longest_run"),
+    marked = seq.with_lookback(
+        1, lambda w: {f"_e_{m}": F.coalesce(F.col(m) == F.lag(m).over(w), F.lit(False)) for m in roles.measures}
     )
+    placed = marked.with_run_position({f"_at_{m}": f"_e_{m}" for m in roles.measures}).df
+    # the row that completes a run of min_run counts all of it, every later one itself: nothing is grouped by run
+    cells = []
+    for m in roles.measures:
+        at = F.col(f"_at_{m}") + 1
+        rows = F.sum(F.when(at == min_run, min_run).when(at > min_run, 1).otherwise(0))
+        cells.append(F.struct(F.lit(m).alias("column"), rows.alias("flatline_count"), F.max(at).alias("longest_run")))
+    return placed.agg(F.array(*cells).alias("c")).select(F.inline("c")).filter("longest_run is not null")
 
 
 def gap_sessions(rows: DataFrame, keys: Sequence[str], time: str, gap_days: int = 1) -> DataFrame:

@@ -96,6 +96,14 @@ def upper_limits(table: DataFrame) -> DataFrame:
     ).filter("upper_limit is not null")
 
 
+def upper_rules(table: DataFrame) -> dict[str, UpperLimit]:
+    """The limits of ``upper_limits`` as the detector takes them (a row per factor)."""
+    return {
+        r["factor"]: UpperLimit(float(r["upper_limit"]), tuple(dict.fromkeys(d["defect"] for d in r["defects"] if d["defect"])))
+        for r in upper_limits(table).collect()
+    }
+
+
 def capability(df: DataFrame, roles: Roles, groups: Sequence[str]) -> DataFrame:
     """Process capability min(usl - mean, mean - lsl) / 3 sigma per group and measure."""
     limited = [m for m in roles.measures if m in roles.limits]

@@ -77,6 +77,7 @@ ROLES = Roles(
     limits=LIMITS,
 )
 
+# Subsystems, identifiers, categories, counts and excluded columns.
 RULES = ColumnRules(
     subsystems={
         "fdc_laser": LASER, "fdc_motion": MOTION, "fdc_thermal": THERMAL, "fdc_cleaning": CLEANING,
@@ -95,8 +96,14 @@ RULES = ColumnRules(
     undocumented_kept=("Maintenance_Count",),
 )
 
+_PAIRS = FALLBACK_PAIRS + VERIFIED_PAIRS + ALARM_ONLY_PAIRS
+#: Detector of each measure, a constant before a pair before a drift rule, and the defects a paired measure watches.
+TYPES = {m: "A" for m in RISES_IS_BAD} | {m: "B" for m in TWO_SIDED} | {m: "C" for m, _ in _PAIRS} | {m: "E" for m in CONSTANTS}
+WATCHED = {m: tuple(d for x, d in _PAIRS if x == m) for m, _ in _PAIRS}
+
+# What preprocessing has to know.
 OPTIONS = PreprocessOptions(
-    pairs=FALLBACK_PAIRS + VERIFIED_PAIRS + ALARM_ONLY_PAIRS,
+    pairs=_PAIRS,
     rises_is_bad=RISES_IS_BAD,
     two_sided=TWO_SIDED,
     recompute_target=RECOMPUTE_TARGET,

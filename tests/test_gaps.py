@@ -100,3 +100,37 @@ def test_rank_matrix_of_many_columns_with_gaps(spark):
         assert r == pytest.approx(want.loc[a, b], abs=6e-5)
     plan = spearman_matrix(df, list(frame.columns))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_flat_runs_against_brute_force(spark):
+    import random
+
+    from driftline.operators.sequence import flatline_counts
+
+    draw = random.Random(2)
+    rows = [(f"M{i % 2}", T0 + dt.timedelta(minutes=i), i, draw.choice([1.0, 1.0, 1.0, 2.0, None]), 5.0) for i in range(400)]
+    roles = Roles(entity="m", stratum=("m",), time="ts", key=("id",), measures=("v", "w"))
+    df = spark.createDataFrame(rows, "m string, ts timestamp_ntz, id long, v double, w double")
+    for least, limit in ((2, None), (5, None), (3, 40)):
+        want = {}
+        for at, name in ((3, "v"), (4, "w")):
+            runs = []
+            for m in ("M0", "M1"):
+                last = object()
+                for r in rows:
+                    if r[0] == m:
+                        if r[at] is not None and r[at] == last:
+                            runs[-1] += 1
+                        else:
+                            runs.append(1)
+                        last = r[at]
+            want[name] = (sum(n for n in runs if n >= least), max(runs))
+        got = {r["column"]: (r["flatline_count"], r["longest_run"]) for r in flatline_counts(df, roles, least, limit=limit).collect()}
+        assert got == want
+    assert flatline_counts(df.limit(0), roles).count() == 0
+
+
+def test_limit_rules_feed_the_detector(spark):
+    table = spark.createDataFrame([("x", "n/a", "chip", "E1", 0), ("x", "8.5", "burn", "E2", 1), ("x", "9", "chip", "E1", 2), ("y", "none", "chip", "E1", 0)],
+                                  "factor string, upper_limit string, defect string, evidence_level string, position int")
+    assert spec.upper_rules(table) == {"x": UpperLimit(8.5, ("burn", "chip"))}
