@@ -16,21 +16,22 @@ def components(edges: DataFrame, a: str, b: str, stages: Stages) -> DataFrame:
     """
     edge = F.col(a) != F.col(b)
     links = stages.write(edges.where(edge).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    seen = _mark(links)
-    while seen[0]:
+    while not _starred(links):
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         around = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(around, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(around, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(below, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         turned = stages.write(hung.unionAll(below.select("u", F.col("m").alias("v"))).distinct())
         stages.drop(links)
-        links, before, seen = turned, seen, _mark(turned)
-        if seen == before:
-            break
+        links = turned
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _mark(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _starred(links: DataFrame) -> bool:
+    """True once every node hangs on one other node, and that one on none."""
+    ends = links.select(F.col("u").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
+    ends = ends.unionAll(links.select("v", F.lit(0), F.lit(1)))
+    node = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return node.where("hangs > 1 or hangs + holds > 1").isEmpty()

@@ -4,7 +4,7 @@ Lines within ``errors`` edits of each other share, at a nearly equal place, one
 shorter of the two is split into. So every line posts its segments under (length, segment, content), and probes, for each
 length it may match, the few substrings that can be such a segment. Lines that meet under a key are candidates. Under
 each key all lines are first compared with the smallest one; afterwards only lines that are still in different groups are
-paired, and only if word parities allow ``errors`` edits, so a frequent segment never yields all its pairs. Candidates
+paired, and only if parities of their character pairs allow ``errors`` edits, so a frequent segment never yields all its pairs. Candidates
 are verified by the banded bit-parallel edit distance. Linked lines form classes, and of each class the first line in
 the corpus stays; exact copies of a line are one line throughout.
 """
@@ -18,6 +18,8 @@ from driftline.llm.graph import components
 from driftline.store import lookup
 
 ERRORS, MIN_CHARS = 2, 20
+#: Characters of a segment that its key tells.
+HEAD = 40
 
 
 def segment(length: Column, number: int, errors: int) -> tuple[Column, Column]:
@@ -28,27 +30,45 @@ def segment(length: Column, number: int, errors: int) -> tuple[Column, Column]:
     return base * number + extra, base + F.when(number >= parts - longer, 1).otherwise(0)
 
 
-def keys(line: Column, errors: int) -> Column:
-    """Posted and probed keys of a line: array of (key, posted)."""
+def shifts(number: int, shorter: int, errors: int) -> range:
+    """How far segment ``number`` of a line that is ``shorter`` characters shorter may have moved."""
+    return range(max(-number, shorter - (errors - number)), min(number, shorter + (errors - number)) + 1)
+
+
+def windows(line: Column, errors: int) -> list[Column]:
+    """For each segment the stretch of the line that holds the heads of all its keys, so that each line is walked once."""
     length, out = F.char_length(line), []
+    for number in range(errors + 1):
+        first = segment(length - errors, number, errors)[0] - number
+        out.append(F.substring(line, (first + 1).cast("int"), F.lit(HEAD + 3 * errors + number)).alias(f"part{number}"))
+    return out
+
+
+def keys(errors: int) -> Column:
+    """Posted and probed keys of a line: array of (key, posted), from its ``length`` and its ``windows``.
+
+    A key is the length of the shorter line, the segment, and the head of its content.
+    """
+    length, out = F.col("length"), []
     for shorter in range(errors + 1):
-        own = length - shorter
         for number in range(errors + 1):
-            at, size = segment(own, number, errors)
-            low = max(-number, shorter - (errors - number))
-            high = min(number, shorter + (errors - number))
-            for shift in range(low, high + 1):
-                posted = shorter == 0 and shift == 0
-                content = F.substring(line, (at + shift + 1).cast("int"), size.cast("int"))
-                out.append(F.struct(F.xxhash64(own, F.lit(number), content).alias("key"), F.lit(posted).alias("posted")))
+            at, size = segment(length - shorter, number, errors)
+            first = segment(length - errors, number, errors)[0] - number
+            for shift in shifts(number, shorter, errors):
+                content = F.substring(F.col(f"part{number}"), (at + shift - first + 1).cast("int"), F.least(size, F.lit(HEAD)).cast("int"))
+                out.append(F.struct(F.xxhash64(length - shorter, F.lit(number), content).alias("key"), F.lit(shorter == 0 and shift == 0).alias("posted")))
     return F.array(*out)
 
 
-def parity(line: Column, salt: int) -> Column:
-    """64 parities of how often the words of a line fall into each of 64 bins. One edit changes three words at most."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"),
-                       lambda bits, word: bits.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(F.xxhash64(word, F.lit(salt)), F.lit(64)).cast("int"))))
+def parity(line: str) -> Column:
+    """Twice 64 parities of how often the character pairs of a line fall into each of 64 bins. One edit changes four
+    pairs at most, so lines within ``errors`` edits differ in at most four times as many bits."""
+    return F.expr(f"""
+    transform(array(split(concat('\n', {line}, '\n'), '')), c ->
+      aggregate(sequence(1, size(c) - 1), named_struct('w0', 0L, 'w1', 0L), (s, i) ->
+        transform(array(xxhash64(c[i - 1], c[i])), x -> named_struct(
+          'w0', s.w0 ^ shiftleft(1L, cast(x & 63 as int)),
+          'w1', s.w1 ^ shiftleft(1L, cast(shiftright(x, 6) & 63 as int))))[0]))[0]""")
 
 
 def edit_distance_within(a: str, b: str, errors: int) -> Column:
@@ -91,15 +111,16 @@ def _lines(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
 
 def line_links(lines: DataFrame, errors: int, stages: Stages) -> DataFrame:
     """(a, b): verified links between different lines, enough to connect all lines that links connect."""
-    posted = lines.select("h", F.explode(keys(F.col("line"), errors)).alias("k")).select("h", "k.key", "k.posted")
-    # one exchange by key: copies of a line collapse, then keys under which only one line is found go
-    once = posted.repartition("key").groupBy("key", "h").agg(F.max("posted").alias("posted"))
-    met = once.groupBy("key").agg(F.min("h").alias("hub"), F.max("h").alias("top"), F.max("posted").alias("used"), F.count("*").alias("n")).where("hub < top and used")
-    live = stages.write(once.join(met.select("key", "hub", "n"), "key"))
+    parts = lines.select("h", F.char_length("line").alias("length"), *windows(F.col("line"), errors))
+    posted = parts.select("h", F.explode(keys(errors)).alias("k")).select("h", "k.key", "k.posted").repartition("key")
+    # keys under which only one line is found go, in the partition that holds the key
+    met = posted.groupBy("key").agg(F.min("h").alias("hub"), F.max("h").alias("top"), F.max("posted").alias("used")).where("hub < top and used")
+    found = posted.join(met.select("key", "hub").hint("shuffle_hash"), "key").groupBy("key", "hub", "h").agg(F.max("posted").alias("posted"))
+    live = stages.write(found)
 
     wanted = lookup(live.select("h").distinct())
-    found = lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    texts = stages.write(found.withColumns({"w0": parity(F.col("line"), 0), "w1": parity(F.col("line"), 1)}))
+    texts = lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    texts = stages.write(texts.withColumn("w", parity("line")).select("h", "line", "w.w0", "w.w1"))
 
     def side(name: str) -> DataFrame:
         return texts.select(*[F.col(c).alias(f"{name}_{c}" if c != "h" else name) for c in texts.columns])
@@ -107,7 +128,8 @@ def line_links(lines: DataFrame, errors: int, stages: Stages) -> DataFrame:
     def apart(name: str) -> Column:
         return F.bit_count(F.col(f"a_{name}").bitwiseXOR(F.col(f"b_{name}")))
 
-    near = (apart("w0") <= 3 * errors) & (apart("w1") <= 3 * errors) & (F.abs(F.char_length("a_line") - F.char_length("b_line")) <= errors)
+    alike = (apart("w0") <= 4 * errors) & (apart("w1") <= 4 * errors)
+    near = alike & (F.abs(F.char_length("a_line") - F.char_length("b_line")) <= errors)
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(side("a"), "a").join(side("b"), "b").where(near)
@@ -115,10 +137,10 @@ def line_links(lines: DataFrame, errors: int, stages: Stages) -> DataFrame:
 
     star = verified(live.where("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct())
     group = components(star, "a", "b", stages).withColumnRenamed("node", "h")
-    rest = live.where("n > 2").join(texts.select("h", "w0", "w1"), "h").join(group, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    rest = live.where("h <> hub").join(texts.select("h", "w0", "w1"), "h").join(group, "h", "left").withColumn("root", F.coalesce("root", "h"))
     left = rest.where("posted").select("key", *[F.col(c).alias(f"a_{c}") for c in ("h", "w0", "w1", "root")])
     right = rest.select("key", *[F.col(c).alias(f"b_{c}") for c in ("h", "w0", "w1", "root")])
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a_root") != F.col("b_root")) & (apart("w0") <= 3 * errors) & (apart("w1") <= 3 * errors))
+    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a_root") != F.col("b_root")) & alike)
     return star.unionAll(verified(pairs.select(F.least("a_h", "b_h").alias("a"), F.greatest("a_h", "b_h").alias("b")).distinct()))
 
 
