@@ -240,6 +240,15 @@ def cpk(spark, folder):
     return rounded(spec.capability(shots(spark, folder), SHOTS, ["machine"]), 6, "cpk")
 
 
+@query("cpk_degraded", f"""WITH {SHOTS_SQL}, l AS (""" + " UNION ALL ".join(
+    f"""SELECT machine, '{c}' AS "column", least({v.usl} - avg({c}), avg({c}) - {v.lsl}) / (3 * stddev_samp({c})) AS cpk FROM shots GROUP BY 1"""
+    for c, v in SHOTS.limits.items()) + """) SELECT l.machine, "column", round(l.cpk, 6) AS cpk, round(n.cpk, 6) AS normal_cpk, round(l.cpk - n.cpk, 6) AS gap,
+    l.cpk < n.cpk AS degraded FROM l JOIN (SELECT "column", cpk FROM l WHERE machine = 'M0') n USING ("column") WHERE machine <> 'M0'""")
+def cpk_degraded(spark, folder):
+    values = spec.capability(shots(spark, folder), SHOTS, ["machine"])
+    return rounded(spec.capability_gap(values, "machine", "M0"), 6, "cpk", "normal_cpk", "gap")
+
+
 @query("fixed_offsets", f"""WITH {SHOTS_SQL}, sl AS ({union_sql('shots', 'product, recipe', list(SHOTS.measures), 'is_normal')}),
   st AS (SELECT product, recipe, "column", avg(value) AS mean, stddev_samp(value) AS std FROM sl GROUP BY ALL),
   l AS ({union_sql('shots', 'machine, product, recipe', list(SHOTS.measures))}),

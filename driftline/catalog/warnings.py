@@ -11,7 +11,7 @@ from driftline.catalog.baselines import DAILY_SQL, shot_daily, stats_sql
 from driftline.catalog.bindings import CONSTANTS, RISES_IS_BAD, SHOTS, SHOTS_SQL, TYPES, UPPER, WATCHED, shots
 from driftline.catalog.registry import day_text, query, rounded, union_sql
 from driftline.catalog.thresholds import BREACH_SQL, RULES_SQL, SHOT_STUMPS
-from driftline.functions import expr
+from driftline.functions import expr, messages as text
 from driftline.operators import alerts, health
 from driftline.operators.sequence import gap_sessions
 from driftline.plans.alerting import learn_references, read_references, run_alerts
@@ -129,6 +129,36 @@ def alert_messages(spark, folder):
     return rows.filter("typed_warning and not spec_violation_warning").select("shot_id", "column", "matched_label", "message")
 
 
+def _printf(pattern, *args):
+    return f"printf('{pattern}', {', '.join(args)})"
+
+
+_WHO = ("machine", "product", "recipe", '"column"')
+_MESSAGES_SQL = f"""mm AS (SELECT al.*, ok_mean, r.rate, r.run AS need, typed_warning AND type = 'C' AND entry_warning AS entered
+    FROM al JOIN oe USING ("column") LEFT JOIN rules r ON r."column" = al."column"),
+  mt AS (SELECT *, CASE WHEN NOT typed_warning THEN ''
+      WHEN type = 'A' THEN {_printf(text.DRIFT_ONE_SIDED, *_WHO, f"'{text.RISE}'")}
+      WHEN type = 'B' THEN {_printf(text.DRIFT_TWO_SIDED, *_WHO, f"CASE trend_direction WHEN 'up' THEN '{text.ABOVE}' ELSE '{text.BELOW}' END")}
+      WHEN entered THEN {_printf(text.ENTERED, *_WHO, 'threshold')}
+      WHEN type = 'C' THEN {_printf(text.DRIFT_TO_RISK, *_WHO, f"CASE trend_direction WHEN 'down' THEN '{text.BELOW}' ELSE '{text.ABOVE}' END")}
+      ELSE {_printf(text.OFF_NORMAL, *_WHO, 'ok_mean', f"CASE WHEN abs(baseline - ok_mean) > 1e-9 THEN {_printf(text.THEORY, 'baseline')} ELSE '' END")} END AS typed_text,
+    CASE WHEN spec_violation_warning THEN {_printf(text.SPEC_RUN, *_WHO, "CAST(CAST(spec_lsl AS INT) AS VARCHAR)", "CAST(CAST(spec_usl AS INT) AS VARCHAR)", 'need', 'current_value', 'rate * 100')} END AS spec_text,
+    CASE WHEN external_limit_warning THEN {_printf(text.OVER_LIMIT, 'machine', '"column"', f"'{text.number_text(UPPER['load'].limit)}'", 'current_value', f"'{text.RELATED % 'error'}'")} END AS over_text
+    FROM mm)"""
+
+
+@query("alert_messages_all", f"""WITH {SHOTS_SQL}, {BASE_SQL}, {_MESSAGES_SQL}
+  SELECT shot_id, "column", matched_label, concat_ws(' ', over_text, spec_text, nullif(typed_text, '')) AS message FROM mt""")
+def alert_messages_all(spark, folder):
+    return alert_table(spark, folder, with_messages=True).select("shot_id", "column", "matched_label", "message")
+
+
+@query("strength_days_left", f"""WITH {SHOTS_SQL} SELECT shot_id, round(greatest(least(1.0, load / 14.0),
+  CASE WHEN k - 10 > 0 THEN least(1.0, 14.0 / (k - 10)) WHEN k - 10 <= 0 THEN 1.0 END), 6) AS strength FROM shots""")
+def strength_days_left(spark, folder):
+    return rounded(shots(spark, folder).select("shot_id", expr.alert_strength(F.col("load"), F.col("k") - 10).alias("strength")), 6, "strength")
+
+
 @query("spec_violation_events", f"""WITH {SHOTS_SQL}, {BASE_SQL} SELECT shot_id, "column", round(current_value, 6) AS current_value, episode_id
   FROM al WHERE spec_violation_warning AND type = 'E'""")
 def spec_violation_events(spark, folder):

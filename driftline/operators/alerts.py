@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftline.functions import expr, messages as text
 from driftline.operators import sequence
-from driftline.operators.ordered import BLOCK, RN, Ordered
+from driftline.operators.ordered import BLOCK, RN, Ordered, group_row_limit
 from driftline.operators.spec import UpperLimit, breach_days, day_table, spec_rules
 from driftline.schema import CUSUM_H, CUSUM_K, LOW, PERSIST_ROWS, ROLLING_ROWS, Roles
 from driftline.store import join_null_safe, lookup, together, written
@@ -168,7 +168,10 @@ def alert_rows(
     fact = df
     if refs.upper:
         fact = join_null_safe(df.withColumn("dt", F.to_date(roles.time)), days, [roles.entity, "dt"])
-    seq = watched_sequences(fact, table, roles, limit, sizes)
+    # a task holds the rows of a series once per line that watches them
+    lines = table.groupBy(*roles.stratum).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    rows = max((limit or group_row_limit(df.sparkSession)) // lines, 2 * ROLLING_ROWS)
+    seq = watched_sequences(fact, table, roles, rows, sizes)
     seq = sequence.rolling(seq, ["value"])
     seq = sequence.cusum(seq, ["z"], [k])
 

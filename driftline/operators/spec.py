@@ -124,6 +124,14 @@ def capability(df: DataFrame, roles: Roles, groups: Sequence[str]) -> DataFrame:
     return wide.select(*groups, "n_rows", F.inline(F.array(*cells)))
 
 
+def capability_gap(cpk: DataFrame, entity: str, normal: str) -> DataFrame:
+    """Capability of every other entity beside the normal one's, per measure (``cpk``: entity, column, cpk)."""
+    base = cpk.filter(F.col(entity) == normal).select("column", F.col("cpk").alias("normal_cpk"))
+    return cpk.filter(F.col(entity) != normal).join(base, "column").select(
+        entity, "column", "cpk", "normal_cpk", (F.col("cpk") - F.col("normal_cpk")).alias("gap"), (F.col("cpk") < F.col("normal_cpk")).alias("degraded")
+    )
+
+
 def fixed_offsets(df: DataFrame, stats: DataFrame, roles: Roles, min_rows: int = 30) -> DataFrame:
     """|entity mean - stratum mean| / stratum std per (entity, stratum, measure)."""
     means = df.groupBy(*roles.series).agg(
