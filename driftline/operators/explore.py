@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftline.operators.quantiles import average_ranks, unpivot
@@ -90,22 +91,21 @@ def spearman_matrix(df: DataFrame, columns: Sequence[str], *, limit: int | None
     rows = long.join(centred, ["column", "value"]).groupBy("_row").agg(F.collect_list(F.struct(place.alias("i"), "rank")).alias("r"))
     size = len(columns)
 
+    names = ["n", "a", "b", "aa", "bb", "ab"]
+
     def products(batches):
-        for pdf in batches:
-            n = pdf["r"].str.len().to_numpy()
-            row = np.repeat(np.arange(len(pdf)), n)
-            cells = [x for r in pdf["r"] for x in r]
-            column = np.array([x["i"] for x in cells], int)
-            value, there = np.zeros((len(pdf), size)), np.zeros((len(pdf), size))
-            value[row, column], there[row, column] = [x["rank"] for x in cells], 1.0
+        for batch in batches:
+            lists = batch.column("r")
+            n, flat = pc.list_value_length(lists).to_numpy(), lists.flatten()
+            row, column = np.repeat(np.arange(len(n)), n), flat.field("i").to_numpy()
+            value, there = np.zeros((len(n), size)), np.zeros((len(n), size))
+            value[row, column], there[row, column] = flat.field("rank").to_numpy(), 1.0
             square = value * value
-            sums = {"n": there.T @ there, "a": value.T @ there, "b": there.T @ value,
-                    "aa": square.T @ there, "bb": there.T @ square, "ab": value.T @ value}
+            sums = [there.T @ there, value.T @ there, there.T @ value, square.T @ there, there.T @ square, value.T @ value]
             i, j = np.triu_indices(size, 1)
-            yield pd.DataFrame({"i": i, "j": j, **{k: v[i, j] for k, v in sums.items()}})
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *(pa.array(x[i, j]) for x in sums)], names=["i", "j", *names])
 
-    names = ["n", "a", "b", "aa", "bb", "ab"]
-    parts = rows.select("r").mapInPandas(products, "i int, j int, " + ", ".join(f"{k} double" for k in names))
+    parts = rows.select("r").mapInArrow(products, "i int, j int, " + ", ".join(f"{k} double" for k in names))
     total = parts.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in names])
     n, a, b = F.col("n"), F.col("a"), F.col("b")
     va, vb = F.col("aa") - a * a / n, F.col("bb") - b * b / n
