@@ -9,6 +9,10 @@ from driftline.llm.common import Stages, in_fold, table
 from driftline.llm.queries import vocabulary
 
 
+#: Near copies link from this Jaccard similarity on; the 85 of query op5 is that query's own.
+NEAR_PERCENT = 80
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """``n_chars`` as the text is now."""
     return docs.withColumn("n_chars", F.char_length("text").cast("long"))
@@ -27,7 +31,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.drop_near_duplicates(docs)
+    return near_dedup.drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

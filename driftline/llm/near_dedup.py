@@ -4,7 +4,7 @@
    registers. Equal sets collapse first inside their input partition and then everywhere, so a group of exact copies
    is one row from there on.
 2. Documents that share a band key hang on the smallest one of that key; the components of these stars are families.
-   No pair is missed by more than 1 in 10^8 at the threshold.
+   Bands follow the threshold (``banding``), so that no pair at it is missed by more than 1 in 10^8.
 3. Families are cut into blocks, and each pair of blocks is one unit of work: registers are compared, the similarity is
    estimated by maximum likelihood, and what may reach the threshold is verified on the full sets, best first. A pair
    that earlier links already connect needs no check. A unit emits at most one link per document, never all pairs.
@@ -25,13 +25,30 @@ from driftline.llm.setsketch import bands, joint_estimate, registers
 from driftline.store import lookup
 
 SHINGLE = 5
-BANDS, ROWS = 48, 7
-REGISTERS = 337  # a prime just above BANDS * ROWS
+#: Registers in bands at most, and the chance to miss a pair at the threshold.
+BANDED, MISS = 400, 1e-8
 BLOCK = 1024
 #: An estimate this many standard deviations below the threshold rules a pair out.
 MARGIN = 6.0
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Rows of a band, and registers (the prime above all bands) for a threshold: the longest bands that fit ``BANDED``.
+
+    At 85 % these are 48 bands of 7 out of 337 registers, at 80 % 61 bands of 6 out of 367.
+    """
+    share, best = min(percent / 100, 0.99), (1, 2)
+    for rows in range(1, BANDED + 1):
+        used = rows * int(np.ceil(np.log(MISS) / np.log1p(-(share**rows))))
+        if rows > 1 and used > BANDED:
+            break
+        best = rows, used + 1
+    rows, count = best
+    while any(count % d == 0 for d in range(2, int(count**0.5) + 1)):
+        count += 1
+    return rows, count
+
+
 def shingles(words: np.ndarray, first: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes per text, ascending within a text, and the first of each text.
 
@@ -54,11 +71,12 @@ def shingles(words: np.ndarray, first: np.ndarray, width: int = SHINGLE) -> tupl
     return value, np.searchsorted(text, np.arange(len(n) + 1))
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], percent: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    rows, count = banding(percent)
     for batch in chunked(batches, "_text"):
         _, _, _, first, words = words_of(batch.column(1), SPACED)
         value, at = shingles(words, first)
-        keys = bands(registers(value, at, REGISTERS), ROWS).view(np.int64)
+        keys = bands(registers(value, at, count), rows).view(np.int64)
         total = lambda x: np.diff(np.r_[np.uint64(0), np.cumsum(x)][at]).view(np.int64)
         yield pa.RecordBatch.from_arrays([
             batch.column(0), pa.array(np.diff(at)), pa.array(total(mix(value))), pa.array(total(mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)))),
@@ -66,11 +84,12 @@ def _sketched(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[
         ], schema=schema)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], percent: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    _, count = banding(percent)
     for batch in chunked(batches, "_text"):
         _, _, _, first, words = words_of(batch.column("_text"), SPACED)
         value, at = shingles(words, first)
-        regs = registers(value, at, REGISTERS)
+        regs = registers(value, at, count)
         yield pa.RecordBatch.from_arrays([
             batch.column("node"), batch.column("family"), batch.column("parts"), batch.column("part"),
             pa.array([value[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()),
@@ -172,7 +191,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text"))
     ddl = "id long, n long, d1 long, d2 long, bands array<long>"
     arrow = to_arrow_schema(StructType.fromDDL(ddl))
-    sketched = plain.mapInArrow(lambda batches: _sketched(batches, arrow), ddl)
+    sketched = plain.mapInArrow(lambda batches: _sketched(batches, percent, arrow), ddl)
     alone = F.col("id").isNull() | (F.col("n") == 0)
     leaf = stages.write(sketched.withColumn("run", F.spark_partition_id()).groupBy("run", "n", "d1", "d2").agg(
         F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.collect_list(F.struct("id")).alias("members")))
@@ -189,7 +208,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     ddl = "node long, family long, parts int, part int, set binary, regs binary"
     set_arrow = to_arrow_schema(StructType.fromDDL(ddl))
     joined = plain.join(members, plain["id"] == members["node"]).select("node", "family", "parts", "part", "_text")
-    sets = joined.mapInArrow(lambda batches: _sets(batches, set_arrow), ddl)
+    sets = joined.mapInArrow(lambda batches: _sets(batches, percent, set_arrow), ddl)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     units = sets.withColumn("other", other).select(
         "family", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "set", "regs",

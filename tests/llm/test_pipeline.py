@@ -53,6 +53,15 @@ def test_near_copies_go(spark, folder):
     assert left == set(texts) - {13}
 
 
+def test_near_copies_from_four_fifths_on_go(spark, folder):
+    path, _, _ = folder
+    base = [f"u{k}" for k in range(104)]  # 100 shingles; ten new words at an end leave 90 of 110, fifteen leave 85 of 115
+    near, far = [*base[10:], *(f"n{k}" for k in range(10))], [*base[:89], *(f"f{k}" for k in range(15))]
+    docs = table(spark, [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))])
+    left = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, path)
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 3]
+
+
 def test_run_is_all_stages(spark, folder):
     path, texts, _ = folder
     rows = corpus_pipeline.run(spark, path).collect()
