@@ -1,8 +1,9 @@
 """Language identification, words first: a known word scores by its log frequency per language, an unseen one by the
 longest known character n-grams along it, falling back to shorter ones.
 
-The model is fitted on a bounded sample of labelled rows and is bounded itself (``WORDS`` words and ``GRAMS`` n-grams at
-most), so it is sent to the executors whatever the size of the corpus; scoring is one pass without a shuffle.
+The model is fitted on a bounded sample of labelled rows and keeps all words and n-grams of it, so no language loses its
+own to another. The sample bounds it, so it is sent to the executors whatever the size of the corpus; scoring is one pass
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from driftline.llm.common import ALNUM, chunked, hashes, words_of
 
 #: About so many labelled rows of each language are learned from.
 ROWS = 4_000
-WORDS, GRAMS, LONGEST = 150_000, 60_000, 4
+LONGEST = 4
 SMOOTH = 0.1
 UNKNOWN = "und"  # fixed value: no text, or no letter in it
 
@@ -50,12 +51,19 @@ def _counted(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
 def grams(word: Column, longest: int = LONGEST) -> Column:
     """All n-grams of the word between ``^`` and ``$``."""
     marked = F.concat(F.lit("^"), word, F.lit("$"))
-    each = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), lambda i, n=n: F.substring(marked, i, F.lit(n))) for n in range(1, longest + 1)]
-    return F.filter(F.flatten(F.array(*each)), lambda g: g != "")
 
+    def of(n: int) -> Column:  # a function of one argument: with a second one transform would pass the place
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - (n - 1), F.lit(1))), lambda i: F.substring(marked, i, F.lit(n)))
 
-def fit(rows: DataFrame, label: str, text: str, words: int = WORDS, n_grams: int = GRAMS) -> dict:
-    """Log frequencies per language of the commonest words and n-grams of labelled rows."""
+    return F.flatten(F.array(*[F.filter(of(n), _as_long(n)) for n in range(1, longest + 1)]))
+
+
+def _as_long(n: int):
+    return lambda g: F.length(g) == n
+
+
+def fit(rows: DataFrame, label: str, text: str) -> dict:
+    """Log frequencies per language of all words and n-grams of labelled rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -63,29 +71,35 @@ def fit(rows: DataFrame, label: str, text: str, words: int = WORDS, n_grams: int
     arrow = to_arrow_schema(StructType.fromDDL(ddl))
     plain = rows.select(F.col(label).cast("string").alias("_label"), F.col(text).alias("_text"))
     counted = plain.mapInArrow(lambda batches: _counted(batches, arrow), ddl).groupBy("label", "word").agg(F.sum("n").alias("n"))
-    per_word = counted.groupBy("word").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("by"))
-    known = per_word.orderBy(F.desc("total"), "word").limit(words).toPandas()
-    cut = counted.select("label", F.explode(grams(F.col("word"))).alias("word"), "n").groupBy("label", "word").agg(F.sum("n").alias("n"))
-    per_gram = cut.groupBy("word").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("by"))
-    pieces = per_gram.orderBy(F.desc("total"), "word").limit(n_grams).toPandas()
-    labels = sorted({x for by in known["by"] for x in by})
+    found = counted.toArrow()  # bounded by the sample
+    labels = sorted(found["label"].unique().to_pylist())
     if not labels:
         return {"labels": []}
-    freq = _log_frequency(known["by"], labels)
-    raw = [w.encode() for w in known["word"]]
+    known, n = _table(found, labels)
+    raw = [w.encode() for w in known]
     low = np.frombuffer(b"".join(raw), np.uint8)
     ends = np.cumsum([len(r) for r in raw])
     key = hashes(low, ends - [len(r) for r in raw], ends)
-    order = np.argsort(key)
-    backoff = {}
-    for n in range(1, LONGEST + 1):
-        own = pieces[pieces["word"].str.len() == n]
-        backoff |= dict(zip(own["word"], _log_frequency(own["by"], labels)))
-    return {"labels": labels, "key": key[order], "freq": freq[order], "grams": backoff, "least": min((v.min() for v in backoff.values()), default=0.0)}
+    order, freq = np.argsort(key), _log_frequency(n)
+    cut = counted.select("label", F.explode(grams(F.col("word"))).alias("word"), "n").groupBy("label", "word").agg(F.sum("n").alias("n"))
+    pieces, n = _table(cut.toArrow(), labels)
+    length, value = np.array([len(g) for g in pieces]), np.empty(n.shape, np.float32)
+    for k in range(1, LONGEST + 1):
+        value[length == k] = _log_frequency(n[length == k])
+    place = {g: i for i, g in enumerate(pieces)}
+    return {"labels": labels, "key": key[order], "freq": freq[order], "grams": place, "gram_freq": value, "least": value.min(initial=0.0)}
+
+
+def _table(found: pa.Table, labels: list[str]) -> tuple[list[str], np.ndarray]:
+    """The words of (label, word, n) rows, and how often each stands in each label."""
+    code = found["word"].combine_chunks().dictionary_encode()
+    n = np.zeros((len(code.dictionary), len(labels)))
+    column = np.searchsorted(np.array(labels, object), found["label"].to_numpy())
+    n[code.indices.to_numpy(), column] = found["n"].to_numpy()
+    return code.dictionary.to_pylist(), n
 
 
-def _log_frequency(by, labels: list[str]) -> np.ndarray:
-    n = np.array([[m.get(x, 0) for x in labels] for m in by], np.float64).reshape(-1, len(labels))
+def _log_frequency(n: np.ndarray) -> np.ndarray:
     return np.log((n + SMOOTH) / (n.sum(axis=0) + SMOOTH * max(len(n), 1))).astype(np.float32)
 
 
@@ -97,7 +111,7 @@ def unseen(word: str, model: dict) -> np.ndarray:
         for n in range(min(LONGEST, len(marked) - i), 0, -1):
             found = table.get(marked[i : i + n])
             if found is not None:
-                total = total + found
+                total = total + model["gram_freq"][found]
                 break
         else:
             total = total + model["least"]

@@ -108,6 +108,22 @@ def test_language_of_known_and_unseen_words(spark, made, awkward, empty):
     assert {r["lang_pred"] for r in language_id.predict(awkward, nothing).collect()} == {"und"}
 
 
+def test_grams_are_all_pieces_of_up_to_four(spark):
+    got = spark.createDataFrame([("abc",), ("a",)], "w string").select(language_id.grams(F.col("w")).alias("g")).collect()
+    assert [sorted(r["g"]) for r in got] == [sorted(m[i : i + n] for n in (1, 2, 3, 4) for i in range(len(m) - n + 1)) for m in ("^abc$", "^a$")]
+
+
+def test_no_word_of_a_small_language_is_cut(spark, made):
+    letters = "abcdefghij"
+    word = lambda k: "".join(letters[int(d)] for d in f"{k:06d}")
+    common = " ".join(word(k) for k in range(160_000))
+    rows = [(k, common, "big") for k in range(2)] + [(9, "zuvor zuvielerlei", "small")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang", "text")
+    assert len(model["key"]) == 160_002
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(made([(1, "zuvor"), (2, "zuvielerlei"), (3, word(159_999))]), model).collect()}
+    assert got == {1: "small", 2: "small", 3: "big"}
+
+
 def test_sample_is_bounded_and_repeatable(spark):
     rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "rare").otherwise("common").alias("lang"))
     one = language_id.sample_per_label(rows, "lang", "doc_id", 500)
