@@ -9,7 +9,9 @@ from driftline.catalog.bindings import PANEL, PANEL_SQL, SHOTS, SHOTS_SQL, UPPER
 from driftline.catalog.registry import day_text, query, rounded, union_sql
 from driftline.functions.tails import alert_count_udf, binomial_quantile_udf
 from driftline.operators import daily, spec, threshold, trend
+from driftline.operators.shuffles import PRIME, ROUNDS
 from driftline.schema import HIGH, LOW
+from driftline.store import written
 
 PM = list(PANEL.measures)
 LABELS = ["returned", "first_line"]
@@ -139,18 +141,99 @@ def entry_rate_baseline(spark, folder):
 
 # ------------------------------------------------------------------ noise ceilings
 
-_ASSIGNED = [("quantity", "returned"), ("tax", "first_line")]
+_ASSIGNED = [("quantity", "returned"), ("tax", "first_line"), ("discount", "absent_label")]
+_REPS = 40
 
 
-@query("permutation_scan")
+def network_sql(rows: str) -> str:
+    """Rows with ``y`` moved once through the keyed network on an ``a`` x ``b`` rectangle (a0, f0, a1, f1, ... are the keys)."""
+    out = f"SELECT * EXCLUDE (y), y // b AS l, y % b AS r FROM ({rows})"
+    for k in range(ROUNDS):
+        one, other, size = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+        mixed = f"(({other} + a{k}) * ({other} + a{k})) % {PRIME} * f{k} % {PRIME}"
+        out = f"SELECT * REPLACE (({one} + ({mixed}) * {size} // {PRIME + 1}) % {size} AS {one}) FROM ({out})"
+    return f"SELECT * EXCLUDE (l, r), l * b + r AS y FROM ({out})"
+
+
+def shuffled_sql(source: str, columns, labels, reps: int = _REPS, seed: int = 0) -> str:
+    """CTEs xc (value counts), xt (totals and keys), xw (permuted positions), xb (best split per replicate)."""
+    sums = ", ".join(f"sum({d}) AS pos_{d}" for d in labels)
+    counts = " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", group_key, CAST({c} AS DOUBLE) AS value, count(*) AS n, {sums} FROM {source} WHERE {c} IS NOT NULL GROUP BY ALL"""
+        for c in columns)
+    text = f"""'{seed}|' || group_key || '|' || "column" || '|' || rep || '|'"""
+    drawn = ", ".join(f"('0x' || md5({text} || '{k}')[1:7])::BIGINT AS a{k}, ('0x' || md5({text} || '{k}')[8:14])::BIGINT + 1 AS f{k}" for k in range(ROUNDS))
+    step = network_sql("SELECT * FROM xw WHERE y >= nn")
+    w = 'PARTITION BY "column", label, group_key, rep'
+    each = " UNION ALL ".join(
+        f"""SELECT "column", group_key, '{d}' AS label, rep, value, count(*) AS n, count(*) FILTER (y < pp_{d}) AS pos FROM xw WHERE y < nn GROUP BY ALL"""
+        for d in labels)
+    return f"""xc AS ({counts}),
+ xt AS (SELECT "column", group_key, sum(n)::BIGINT AS nn, {', '.join(f'sum(pos_{d})::BIGINT AS pp_{d}' for d in labels)},
+   CAST(ceil(sqrt(sum(n))) AS BIGINT) AS a FROM xc GROUP BY ALL),
+ xk AS (SELECT *, (nn + a - 1) // a AS b, {drawn} FROM xt, (SELECT unnest(range({reps})) AS rep)),
+ xp AS (SELECT "column", group_key, value, (sum(n) OVER (PARTITION BY "column", group_key ORDER BY value) - n)::BIGINT + unnest(range(n)) AS y FROM xc),
+ xw AS ({network_sql('SELECT * FROM xp JOIN xk USING ("column", group_key)')} UNION ALL {step}),
+ xm AS ({each}),
+ xs AS (SELECT *, sum(n) OVER ({w}) AS nn, sum(pos) OVER ({w}) AS pp, sum(n) OVER ({w} ORDER BY value) - n AS nl,
+   sum(pos) OVER ({w} ORDER BY value) - pos AS pl FROM xm),
+ xh AS (SELECT *, pl / pp * 0.5 AS u, (nl - pl) / (nn - pp) * 0.5 AS v FROM xs WHERE pp >= 10 AND pp < nn AND nl >= 10 AND nn - nl >= 10),
+ xo AS (SELECT *, round((u * u + v * v) / (u + v) + ((0.5 - u) * (0.5 - u) + (0.5 - v) * (0.5 - v)) / ((0.5 - u) + (0.5 - v)), 12) AS score FROM xh),
+ xr AS (SELECT *, row_number() OVER ({w} ORDER BY score DESC, nl) AS i FROM xo),
+ xb AS (SELECT "column", label, group_key, rep, round(pl / nl, 5) AS rate_below, round((pp - pl) / (nn - nl), 5) AS rate_above,
+   CASE WHEN pl / nl > (pp - pl) / (nn - nl) THEN '{LOW}' ELSE '{HIGH}' END AS direction FROM xr WHERE i = 1)"""
+
+
+def _fold_sql(source: str, keys: str, more: str = "") -> str:
+    return f"""SELECT {keys}, count(*) AS n_groups_fitted, median(greatest(rate_below, rate_above) / least(rate_below, rate_above)) AS separation,
+    greatest(count(*) FILTER (direction = '{LOW}'), count(*) FILTER (direction = '{HIGH}')) / count(*) AS consistency,
+    CASE WHEN count(*) FILTER (direction = '{LOW}') * 2 >= count(*) THEN '{LOW}' ELSE '{HIGH}' END AS dominant_direction {more}
+    FROM {source} WHERE least(rate_below, rate_above) > 0 GROUP BY ALL"""
+
+
+_LISTED_SQL = ", ".join(str(p) for p in _ASSIGNED)
+SCAN_SQL = f"""{PANEL_SQL}, {stump_sql('panel', PANEL_PAIRS)}, {shuffled_sql('panel', PM, LABELS)},
+ seen AS ({_fold_sql('b', 'label, "column"', ', median(threshold) AS threshold_median')}),
+ noise AS ({_fold_sql('xb', 'label, "column", rep')}),
+ single AS (SELECT label, quantile_cont(separation, 0.95) AS p95 FROM noise GROUP BY 1),
+ joint AS (SELECT label, quantile_cont(s, 0.95) AS fwer, quantile_cont(c, 0.95) AS cons FROM (
+   SELECT label, rep, max(separation) AS s, max(consistency) AS c FROM noise GROUP BY ALL) GROUP BY 1),
+ scan AS (SELECT label, "column", n_groups_fitted, round(separation, 3) AS separation_ratio_median, round(p95, 3) AS noise_ceiling_p95,
+   round(fwer, 3) AS noise_ceiling_fwer, round(cons, 3) AS consistency_ceiling_fwer, round(separation / nullif(p95, 0), 2) AS signal_over_noise,
+   coalesce(separation > fwer, false) AS passes_fwer, coalesce(consistency > cons, false) AS passes_direction,
+   round(threshold_median, 5) AS threshold_median, dominant_direction, round(consistency, 3) AS direction_consistency,
+   ("column", label) IN ({_LISTED_SQL}) AS assigned FROM seen LEFT JOIN single USING (label) LEFT JOIN joint USING (label)),
+ found AS (SELECT "column", label, CASE WHEN assigned AND passes_fwer AND passes_direction THEN 'confirmed' WHEN assigned THEN 'assigned_but_weak'
+     WHEN passes_fwer AND passes_direction THEN 'candidate_without_pair' END AS finding FROM scan
+   UNION ALL SELECT * , 'assigned_but_not_fitted' FROM (VALUES {_LISTED_SQL}) v("column", label) WHERE ("column", label) NOT IN (SELECT ("column", label) FROM scan)),
+ findings AS (SELECT *, CASE finding WHEN 'confirmed' THEN 'info' WHEN 'candidate_without_pair' THEN 'candidate' ELSE 'warning' END AS severity
+   FROM found WHERE finding IS NOT NULL)"""
+
+
+@query("permutation_scan", f"WITH RECURSIVE {SCAN_SQL} SELECT * FROM scan")
 def permutation_scan(spark, folder):
-    return threshold.candidate_scan(panel(spark, folder), PANEL.stratum, PM, LABELS, _ASSIGNED)
+    return threshold.candidate_scan(panel(spark, folder), PANEL.stratum, PM, LABELS, _ASSIGNED, _REPS)
+
+
+def assigned_pairs(spark):
+    return spark.createDataFrame(_ASSIGNED, "column string, label string")
 
 
-@query("scan_findings")
+@query("scan_findings", f"WITH RECURSIVE {SCAN_SQL} SELECT * FROM findings")
 def scan_findings(spark, folder):
-    scan = threshold.candidate_scan(panel(spark, folder), PANEL.stratum, PM, LABELS, _ASSIGNED)
-    return threshold.scan_findings(scan, spark.createDataFrame(_ASSIGNED, "column string, label string"))
+    return threshold.scan_findings(permutation_scan(spark, folder), assigned_pairs(spark))
+
+
+@query("scan_label_counts", f"""WITH RECURSIVE {SCAN_SQL}, f AS (SELECT label, count(*) FILTER (finding = 'confirmed') AS n_confirmed,
+    count(*) FILTER (finding = 'assigned_but_weak') AS n_weak, count(*) FILTER (finding = 'assigned_but_not_fitted') AS n_not_fitted,
+    count(*) FILTER (finding = 'candidate_without_pair') AS n_candidates FROM findings GROUP BY 1),
+  n AS (SELECT label, count(*) AS n_scanned FROM scan GROUP BY 1)
+  SELECT label, coalesce(n_scanned, 0) AS n_scanned, coalesce(n_confirmed, 0) AS n_confirmed, coalesce(n_weak, 0) AS n_weak,
+    coalesce(n_not_fitted, 0) AS n_not_fitted, coalesce(n_candidates, 0) AS n_candidates,
+    coalesce(n_weak, 0) + coalesce(n_not_fitted, 0) = 0 AS all_assigned_pass FROM n FULL JOIN f USING (label)""")
+def scan_label_counts(spark, folder):
+    scan = written(permutation_scan(spark, folder))
+    return threshold.finding_counts(threshold.scan_findings(scan, assigned_pairs(spark)), scan)
 
 
 @query("scan_observed", f"""WITH {PANEL_SQL}, {stump_sql('panel', PANEL_PAIRS)}, r AS (SELECT *,

@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftline.functions import expr
-from driftline.operators.ordered import group_sizes
-from driftline.operators.quantiles import grouped_quantiles, unpivot, value_counts, weighted_mean
+from driftline.operators.quantiles import unpivot
+from driftline.operators.selection import select_quantiles
 from driftline.schema import (
     CV_STABLE,
     CV_VARIABLE,
@@ -17,73 +17,24 @@ from driftline.schema import (
     MAD_SCALE,
     ZERO_EPS,
     Limits,
-    Roles,
     limits_frame,
     stratum_key,
 )
-from driftline.store import join_null_safe, lookup, written
+from driftline.store import join_null_safe, lookup
 
 
-def value_profile(df: DataFrame, roles: Roles, measures: Sequence[str], labels: Sequence[str]) -> DataFrame:
-    """(stratum, column, value) -> rows, normal rows, OK rows and positives of each label.
-
-    One pass over the fact from which statistics, typed baselines and thresholds can all
-    be learned; ties collapse before the shuffle.
-    """
-    def flag(test: str) -> Column:
-        return F.coalesce(F.expr(test), F.lit(False)).cast("bigint")
-
-    flagged = df.select("*", flag(roles.normal).alias("_normal"), flag(roles.ok).alias("_ok"))
-    long = unpivot(flagged, [*roles.stratum, "_normal", "_ok", *labels], measures)
-    return value_counts(
-        long, [*roles.stratum, "column"],
-        [F.sum("_normal").alias("n_normal"), F.sum("_ok").alias("n_ok")]
-        + [F.sum(F.coalesce(expr.no_nan(F.col(d).cast("double")).cast("bigint"), F.lit(0))).alias(f"pos_{d}") for d in labels],
-    )
-
-
-def profile_part(profile: DataFrame, strata: Sequence[str], n: str) -> DataFrame:
-    """Value counts of one population (``n_normal``, ``n_ok``) of a value profile."""
-    return profile.filter(F.col(n) > 0).select(*strata, "column", "value", F.col(n).alias("n"))
-
-
-def stratum_stats(
-    normal: DataFrame,
-    strata: Sequence[str],
-    measures: Sequence[str],
-    *,
-    limit: int | None = None,
-    counts: DataFrame | None = None,
-    largest: int | None = None,
-) -> DataFrame:
+def stratum_stats(normal: DataFrame, strata: Sequence[str], measures: Sequence[str], *, limit: int | None = None) -> DataFrame:
     """Twelve statistics per (stratum, column) of the normal rows, at any grain.
 
-    ``counts``: written value counts of the normal rows, if the caller has them already;
-    ``largest``: an upper bound of the rows per stratum.
+    Two selections, one on the values and one on their distances from the median; no values are shuffled but
+    those of the few bins that hold a wanted position.
     """
     part = [*strata, "column"]
-    counts = counts or written(value_counts(unpivot(normal, strata, measures), part))
-    if largest is None:
-        _, largest = group_sizes(normal, strata)  # bounds every (stratum, column) group
-    centre = lookup(
-        grouped_quantiles(
-            counts, part, [0.005, 0.5, 0.995], ["p0_5", "median", "p99_5"], limit=limit, largest=largest, distinct=True,
-            extra=[
-                F.sum("n").alias("n"), weighted_mean().alias("mean"),
-                F.min("value").alias("min"), F.max("value").alias("max"),
-            ],
-        )
-    )
-    off = F.col("value") - F.col("mean")
-    spread = join_null_safe(counts, centre.select(*part, "median", "mean"), part).select(
-        *part, "n", (off * off).alias("square"), F.abs(F.col("value") - F.col("median")).alias("value")
-    )
-    n = F.sum("n")
-    std = F.when(n > 1, F.sqrt(F.sum(F.col("square") * F.col("n")) / F.nullif(n - 1, F.lit(0))))
-    width = grouped_quantiles(
-        spread, part, [0.5], ["mad"], limit=limit, largest=largest, extra=[std.alias("std")]
-    )
-    return join_null_safe(centre, lookup(width), part).select(
+    long = unpivot(normal, strata, measures)
+    centre = lookup(select_quantiles(long, part, [0.005, 0.5, 0.995], ["p0_5", "median", "p99_5"], limit=limit))
+    off = join_null_safe(long, centre.select(*part, "median"), part, "inner").withColumn("value", F.abs(F.col("value") - F.col("median")))
+    width = select_quantiles(off.drop("median"), part, [0.5], ["mad"], limit=limit)
+    return join_null_safe(centre, width.select(*part, "mad"), part).select(
         *part, "n", "mean", "std",
         F.when(F.abs("mean") > ZERO_EPS, F.col("std") / F.col("mean")).alias("cv"),
         "median", "mad",
@@ -95,12 +46,8 @@ def stratum_stats(
 def control_limits(normal: DataFrame, strata: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Provisional limits: count, median and the 0.5 / 99.5 % points per stratum."""
     part = [*strata, "column"]
-    return grouped_quantiles(
-        value_counts(unpivot(normal, strata, measures), part), part,
-        [0.5, 0.005, 0.995], ["median", "lower_warning", "upper_warning"],
-        largest=group_sizes(normal, strata)[1],
-        extra=[F.sum("n").alias("normal_count")],
-    )
+    cut = select_quantiles(unpivot(normal, strata, measures), part, [0.5, 0.005, 0.995], ["median", "lower_warning", "upper_warning"])
+    return cut.select(*part, F.col("n").alias("normal_count"), "median", "lower_warning", "upper_warning")
 
 
 def per_stratum(stats: DataFrame, strata: Sequence[str], measures: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -198,22 +145,11 @@ def _with_class(df: DataFrame, stable: float, variable: float, method: str) -> D
     )
 
 
-def ok_medians(
-    ok: DataFrame,
-    strata: Sequence[str],
-    measures: Sequence[str],
-    counts: DataFrame | None = None,
-    largest: int | None = None,
-) -> DataFrame:
+def ok_medians(ok: DataFrame, strata: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """(group_key, column) -> median of the OK rows, five decimals."""
-    if largest is None:
-        _, largest = group_sizes(ok, strata)
-    if counts is None:
-        counts = value_counts(unpivot(ok, strata, measures), [*strata, "column"])
-    keyed = counts.filter(F.col("column").isin(list(measures))).dropna(subset=list(strata))
-    keyed = keyed.select(stratum_key(strata).alias("group_key"), "column", "value", "n")
-    cut = grouped_quantiles(keyed, ["group_key", "column"], [0.5], ["median"], largest=largest)
-    return cut.withColumn("median", F.round("median", 5))
+    keyed = unpivot(ok.dropna(subset=list(strata)).withColumn("group_key", stratum_key(strata)), ["group_key"], measures)
+    cut = select_quantiles(keyed, ["group_key", "column"], [0.5], ["median"])
+    return cut.select("group_key", "column", F.round("median", 5).alias("median"))
 
 
 def baseline_a(
@@ -221,11 +157,9 @@ def baseline_a(
     strata: Sequence[str],
     rises_is_bad: Mapping[str, bool],
     limits: Mapping[str, Limits],
-    counts: DataFrame | None = None,
-    largest: int | None = None,
 ) -> DataFrame:
     """One-sided drift measures: target if one is given, else the OK median; bad direction."""
-    medians = ok_medians(ok, strata, list(rises_is_bad), counts, largest)
+    medians = ok_medians(ok, strata, list(rises_is_bad))
     up = [c for c, up in rises_is_bad.items() if up]
     targets = F.broadcast(limits_frame(ok.sparkSession, limits)).select("column", "target")
     return medians.join(targets, "column", "left").select(
@@ -242,12 +176,10 @@ def baseline_b(
     measures: Sequence[str],
     limits: Mapping[str, Limits],
     recompute_target: Sequence[str] = (),
-    counts: DataFrame | None = None,
-    largest: int | None = None,
 ) -> DataFrame:
     """Two-sided optimum measures. ``recompute_target`` keeps the OK median although a
     target is given: the limits are trusted, the centre is learned."""
-    medians = ok_medians(ok, strata, measures, counts, largest)
+    medians = ok_medians(ok, strata, measures)
     targets = F.broadcast(limits_frame(ok.sparkSession, limits)).select("column", "target")
     learned = F.col("column").isin(list(recompute_target)) | F.col("target").isNull()
     return medians.join(targets, "column", "left").select(

@@ -1,4 +1,4 @@
-"""Exact quantiles and average ranks of groups of any size."""
+"""Long form, counted values and average ranks of groups of any size."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftline.functions.expr import no_nan
-from driftline.operators.ordered import group_row_limit, group_sizes, running
+from driftline.operators.ordered import running
 from driftline.store import join_null_safe, lookup, written
 
 
@@ -25,60 +25,6 @@ def value_counts(long: DataFrame, part: Sequence[str], extra: Sequence[Column] =
     return long.groupBy(*part, "value").agg(F.count(F.lit(1)).alias("n"), *extra)
 
 
-def weighted_mean(value: str = "value", n: str = "n") -> Column:
-    """Mean of counted values."""
-    return F.sum(F.col(value) * F.col(n)) / F.sum(n)
-
-
-def grouped_quantiles(
-    counts: DataFrame,
-    part: Sequence[str],
-    probs: Sequence[float],
-    names: Sequence[str],
-    *,
-    limit: int | None = None,
-    largest: int | None = None,
-    distinct: bool = False,
-    extra: Sequence[Column] = (),
-) -> DataFrame:
-    """Exact interpolated quantiles per group of counted values (``value``, ``n``).
-
-    Small groups use the built-in ``percentile`` with frequencies. Its buffer holds every
-    distinct value of a group, so larger groups are ranked by running counts over
-    value-ordered blocks and only the rows at the wanted positions are kept. ``largest``
-    is an upper bound of the rows per group, if the caller knows one. A value may occur in
-    several rows unless ``distinct`` says that it does not.
-    """
-    limit = limit or group_row_limit(counts.sparkSession)
-    if largest is None:
-        _, largest = group_sizes(counts, part)
-    if largest <= limit:
-        cut = F.percentile("value", F.array(*[F.lit(float(p)) for p in probs]), F.col("n"))
-        wide = counts.groupBy(*part).agg(*extra, cut.alias("_q"))
-        return wide.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]).drop("_q")
-
-    folded = counts if distinct else written(counts.groupBy(*part, "value").agg(F.sum("n").alias("n")))
-    base = counts.groupBy(*part).agg(*extra, F.sum("n").alias("_total"))
-    totals = lookup(base)
-    ranked = running(folded.select(*part, "value", "n"), part, ["value"], {"_upto": ("sum", "n")}, limit=limit)
-    placed = join_null_safe(ranked, totals.select(*part, "_total"), part)
-    picks = []
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
-        for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (at >= F.col("_upto") - F.col("n")) & (at < F.col("_upto"))
-            picks.append(F.max(F.when(hit, F.col("value"))).alias(f"_{side}{i}"))
-    found = placed.groupBy(*part).agg(*picks)
-    joined = join_null_safe(totals, found, part)
-    out = []
-    for i, (p, name) in enumerate(zip(probs, names)):
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
-        step = (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (pos - F.floor(pos))
-        out.append((F.col(f"_lo{i}") + step).alias(name))
-    kept = [c for c in base.columns if c != "_total"]
-    return joined.select(*kept, *out)
-
-
 def average_ranks(long: DataFrame, part: Sequence[str], *, limit: int | None = None) -> DataFrame:
     """(group, value) -> average rank of that value, its count and the group size."""
     counts = written(value_counts(long, part))

@@ -1,80 +1,75 @@
-"""Shuffled labels of ordered rows, drawn the same however the rows are cut into blocks.
+"""Shuffled labels as keyed permutations of row positions.
 
-The positives of a group are dealt down a fixed binary tree over the row positions: every node passes a hypergeometric
-share of its positives to its left half, every leaf spreads its own over its rows. Each draw is seeded by its node alone,
-so a task that holds only some of the rows walks down to them and gets the same draws as any other cut would.
+Replicate r marks a row as positive if its permuted position lies below the number of positives, so every task marks its
+own rows from the position and the key alone, however the rows are cut, and always as many rows as there are positives.
+One permutation serves all labels of a replicate. The permutation is a small Feistel network on a rectangle a little
+larger than the table: a position is a row and a column of it, each round shifts one by a keyed function of the other, and
+a position that leaves the table walks on along its cycle. All steps are whole-number arithmetic below 2^62.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 
-LEAF = 4096
-
-
-def generator(*parts) -> np.random.Generator:
-    """A generator that depends only on the keys, so a retried task draws the same."""
-    text = "|".join(str(x) for x in parts).encode()
-    return np.random.default_rng(np.frombuffer(text.ljust(-(-len(text) // 4) * 4, b"\0"), dtype=np.uint32))
-
-
-def hypergeometric(uniform: np.ndarray, left: int, right: int, marked: np.ndarray) -> np.ndarray:
-    """Marked rows among the first ``left`` of ``left + right``, by inversion of the exact distribution.
-
-    Chances come from summed log ratios of neighbouring outcomes over all outcomes within twelve standard deviations of
-    the mean; what lies beyond is below 1e-30. Works for any population.
-    """
-    marked = marked.astype(np.float64)
-    total = float(left + right)
-    mean = marked * (left / total)
-    spread = np.sqrt(np.maximum(mean * (1 - marked / total) * (right / max(total - 1, 1)), 0))
-    least, most = np.maximum(0, marked - right), np.minimum(marked, left)
-    low = np.maximum(least, np.floor(mean - 12 * spread - 40))
-    high = np.minimum(most, np.ceil(mean + 12 * spread + 40))
-    out = np.empty(len(marked), np.int64)
-    for k in range(len(marked)):  # one row per replicate, so memory follows the widest one
-        x = np.arange(low[k], high[k])
-        ratio = np.log((marked[k] - x) * (left - x)) - np.log((x + 1) * (right - marked[k] + x + 1))
-        log = np.r_[0.0, np.cumsum(ratio)]
-        chance = np.cumsum(np.exp(log - log.max()))
-        out[k] = int(low[k]) + min(int(np.searchsorted(chance, uniform[k] * chance[-1], "right")), len(chance) - 1)
+ROUNDS = 6
+PRIME = 2**31 - 1
+STEP = 1 << 15
+
+
+def keys(*parts) -> np.ndarray:
+    """Two numbers for each round (an addend and a factor) from the first 14 hex digits of an MD5 of the parts."""
+    text = "|".join(str(x) for x in parts)
+    digests = [hashlib.md5(f"{text}|{k}".encode()).hexdigest() for k in range(ROUNDS)]
+    return np.array([(int(d[:7], 16), int(d[7:14], 16) + 1) for d in digests], np.int64)
+
+
+def sides(total: int) -> tuple[int, int]:
+    """Sides of the rectangle: a square root, and as many rows as hold the table."""
+    a = math.isqrt(max(total - 1, 0)) + 1
+    return a, -(-total // a) if total else 1
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime 2^31 - 1, for x below 2^62."""
+    x = (x & PRIME) + (x >> 31)
+    x = (x & PRIME) + (x >> 31)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _shifts(a: int, b: int, key: np.ndarray) -> list[np.ndarray]:
+    """The shift of each round for every row or column of the rectangle: far fewer than positions, so they are looked up."""
+    kind, out = np.int32 if max(a, b) < 2**30 else np.int64, []
+    for k, (add, factor) in enumerate(key.tolist()):
+        other, size = (b, a) if k % 2 == 0 else (a, b)
+        mixed = _reduced(_reduced((np.arange(other, dtype=np.int64) + add) ** 2) * factor)
+        out.append(((mixed * size) >> 31).astype(kind))
     return out
 
 
-def dealt(total: int, marked: np.ndarray, begin: int, end: int, *seed) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Per replicate: marked rows before ``begin``, and the marked positions in [begin, end) of ``total`` rows.
-
-    ``marked``: how many rows each replicate marks.
-    """
-    before = np.zeros(len(marked), np.int64)
-    found: list[list[np.ndarray]] = [[] for _ in marked]
-    size = LEAF
-    while size < total:
-        size *= 2
-
-    def walk(low: int, size: int, here: np.ndarray) -> None:
-        nonlocal before
-        high = min(low + size, total)
-        if high <= begin:
-            before = before + here
-            return
-        if low >= end:
-            return
-        if size == LEAF:
-            draw = generator(*seed, "leaf", low)
-            for k, n in enumerate(here.tolist()):
-                place = low + draw.choice(high - low, n, replace=False, shuffle=False)
-                before[k] += int((place < begin).sum())
-                found[k].append(place[(place >= begin) & (place < end)])
-            return
-        half = size // 2
-        middle = min(low + half, high)
-        if middle == high:
-            walk(low, half, here)
-            return
-        share = hypergeometric(generator(*seed, "node", low, size).random(len(here)), middle - low, high - middle, here)
-        walk(low, half, share)
-        walk(middle, half, here - share)
-
-    walk(0, size, marked.astype(np.int64))
-    return before, [np.concatenate(f) if f else np.empty(0, np.int64) for f in found]
+def _network(x: np.ndarray, a: int, b: int, shifts: list[np.ndarray]) -> np.ndarray:
+    left = x // b
+    right = (x - left * b).astype(shifts[0].dtype)
+    left = left.astype(right.dtype)
+    for k, shift in enumerate(shifts):
+        one, other, size = (left, right, a) if k % 2 == 0 else (right, left, b)
+        one += shift[other]
+        np.subtract(one, one.dtype.type(size), out=one, where=one >= size)
+    return left.astype(np.int64) * b + right
+
+
+def permuted(begin: int, end: int, total: int, key: np.ndarray) -> np.ndarray:
+    """Places of the positions from ``begin`` to ``end`` under the permutation of ``total`` positions."""
+    a, b = sides(total)
+    shifts = _shifts(a, b, key)
+    out = np.empty(end - begin, np.int64)
+    for at in range(begin, end, STEP):
+        x = _network(np.arange(at, min(at + STEP, end), dtype=np.int64), a, b, shifts)
+        outside = np.flatnonzero(x >= total)
+        while len(outside):
+            x[outside] = _network(x[outside], a, b, shifts)
+            outside = outside[x[outside] >= total]
+        out[at - begin : at - begin + len(x)] = x
+    return out

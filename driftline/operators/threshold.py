@@ -9,11 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftline.functions.expr import no_nan
-from driftline.operators.ordered import BLOCK, group_row_limit, group_sizes, range_blocks, running
+from driftline.operators.ordered import group_row_limit, running
 from driftline.operators.quantiles import unpivot, value_counts
-from driftline.operators.shuffles import dealt
+from driftline.operators.shuffles import keys, permuted
 from driftline.schema import HIGH, LOW, MIN_LABELS_FOR_MONITORED, MIN_LEAF, stratum_key
-from driftline.store import join_null_safe, lookup, written
+from driftline.store import lookup, written
+
+#: Row positions of a group that one task marks at a time.
+UNIT = 1 << 20
 
 
 def label_counts(df: DataFrame, strata: Sequence[str], measures: Sequence[str], labels: Sequence[str]) -> DataFrame:
@@ -159,43 +162,54 @@ def routed_thresholds(
 
 # ------------------------------------------------------------------ noise ceilings
 
+_KEY = "group_key string, column string, unit bigint"
 _BEST = (
     "group_key string, column string, label string, rep int, "
     "score double, n_left bigint, p_left bigint, n bigint, p bigint"
 )
 
 
-def _best_cuts(values: pd.DataFrame, places: pd.DataFrame, labels: Sequence[str], reps: int, seed: int, min_leaf: int) -> pd.DataFrame:
-    """Best split of each shuffled label inside one block of ordered values.
+def _names(ddl: str) -> list[str]:
+    return [c.split()[0] for c in ddl.split(", ")]
+
+
+def _unit_positives(rows: pd.DataFrame, labels: Sequence[str], reps: int, seed: int) -> pd.DataFrame:
+    """Shuffled positives among the positions of one unit, per replicate and label."""
+    first = rows.iloc[0]
+    group, column, total = first["group_key"], first["column"], int(first["n_total"])
+    out = []
+    for rep in range(reps):
+        place = permuted(int(first["begin"]), int(first["end"]), total, keys(seed, group, column, rep))
+        out += [(group, column, int(first["unit"]), d, rep, int((place < int(first[f"p_{d}"])).sum())) for d in labels]
+    return pd.DataFrame(out, columns=["group_key", "column", "unit", "label", "rep", "n_positive"])
+
 
-    A shuffle gives every row the same chance, so only the number of positives per distinct
-    value matters. ``places``: the one row that tells where the block lies in its group.
+def _best_cuts(rows: pd.DataFrame, before: pd.DataFrame | None, labels: Sequence[str], reps: int, seed: int, min_leaf: int) -> pd.DataFrame:
+    """Best split of each shuffled label among the value boundaries of one unit of row positions.
+
+    A shuffle gives every row the same chance, so ties of a value may stand in any order. ``before``: shuffled positives
+    in the earlier units of the group, if there are any.
     """
-    columns = [c.split()[0] for c in _BEST.split(", ")]
-    if values.empty or places.empty:
-        return pd.DataFrame(columns=columns)
-    place = places.iloc[0]
-    group, column, total, begin = place["group_key"], place["column"], int(place["n_total"]), int(place["n_before"])
-    n = values.sort_values("value")["n"].to_numpy(dtype=np.int64)
-    ends = begin + np.cumsum(n)
-    n_left = ends - n
-    fits = (n_left >= min_leaf) & (total - n_left >= min_leaf)
-    rows = []
-    for d in labels:
-        positives = int(place[f"p_{d}"])
-        if positives < min_leaf or positives >= total or not fits.any():
-            continue
-        before, found = dealt(total, np.full(reps, positives), begin, int(ends[-1]), seed, group, column, d)
-        for rep in range(reps):
-            got = np.bincount(np.searchsorted(ends, found[rep], side="right"), minlength=len(n))
-            p_left = before[rep] + np.cumsum(got) - got
+    out = []
+    first = rows.iloc[0]
+    group, column, total, begin, end = first["group_key"], first["column"], int(first["n_total"]), int(first["begin"]), int(first["end"])
+    cuts = np.sort(rows["n_before"].to_numpy(np.int64))
+    cuts = cuts[(cuts >= begin) & (cuts >= min_leaf) & (total - cuts >= min_leaf)]
+    usable = [d for d in labels if min_leaf <= int(first[f"p_{d}"]) < total]
+    earlier = {} if before is None else {(r.label, r.rep): int(r.n_positive) for r in before.itertuples()}
+    for rep in range(reps if len(cuts) and usable else 0):
+        place = permuted(begin, end, total, keys(seed, group, column, rep))
+        for d in usable:
+            positives = int(first[f"p_{d}"])
+            p_left = earlier.get((d, rep), 0) + np.r_[0, np.cumsum(place < positives)][cuts - begin]
             a = p_left / positives * 0.5
-            b = (n_left - p_left) / (total - positives) * 0.5
+            b = (cuts - p_left) / (total - positives) * 0.5
+            c, e = 0.5 - a, 0.5 - b
             with np.errstate(divide="ignore", invalid="ignore"):
-                score = (a * a + b * b) / (a + b) + ((0.5 - a) ** 2 + (0.5 - b) ** 2) / (1.0 - a - b)
-            i = int(np.argmax(np.where(fits, np.round(score, 12), -1.0)))
-            rows.append((group, column, d, rep, float(round(score[i], 12)), int(n_left[i]), int(p_left[i]), total, positives))
-    return pd.DataFrame(rows, columns=columns)
+                score = np.round((a * a + b * b) / (a + b) + (c * c + e * e) / (c + e), 12)
+            i = int(np.argmax(score))
+            out.append((group, column, d, rep, float(score[i]), int(cuts[i]), int(p_left[i]), total, positives))
+    return pd.DataFrame(out, columns=_names(_BEST))
 
 
 def shuffled_stumps(
@@ -212,31 +226,38 @@ def shuffled_stumps(
 ) -> DataFrame:
     """Best stump per (group, column, label, replicate) with labels shuffled in the group.
 
-    The data is never multiplied by the replicates: the values are counted and ordered
-    once, and the task that holds a block draws the positives of its own rows. Draws belong
-    to row positions, so the result depends on the seed alone, not on the size of the table
-    or on how it is cut into blocks. Only one row per block and replicate leaves a task.
+    The data is never multiplied by the replicates: the values are counted and ordered once, and their row positions are
+    dealt out in units of bounded length, also where one value has very many rows. A task marks the positives of its unit
+    by a keyed permutation, so the result depends on the seed alone. Groups of several units are marked twice: the first
+    time only the positives of each unit are counted, for what lies before a unit. One row per unit and replicate and
+    label leaves a task.
     """
-    part = ["group_key", "column"]
+    part, names = ["group_key", "column"], list(labels)
     counts = counts or written(label_counts(df, strata, measures, labels))
-    limit = limit or group_row_limit(df.sparkSession)
-    total, largest = group_sizes(counts, part)
-    if largest <= limit:
-        blocks = counts.withColumn(BLOCK, F.lit(0))
+    length = min(limit or group_row_limit(df.sparkSession), UNIT)
+    totals = lookup(counts.groupBy(*part).agg(F.sum("n").alias("n_total"), *[F.sum(f"pos_{d}").alias(f"p_{d}") for d in names]))
+    most = totals.agg(F.max("n_total")).first()[0] or 0
+    placed = running(counts.select(*part, "value", "n"), part, ["value"], {"_upto": ("sum", "n")}, limit=limit)
+    placed = placed.withColumn("n_before", F.col("_upto") - F.col("n"))
+    over = F.sequence(F.floor(F.col("n_before") / length), F.floor((F.col("_upto") - 1) / length))
+    units = placed.select(*part, "n_before", F.explode(over).alias("unit")).join(totals, part)
+    begin = F.col("unit") * length
+    units = units.withColumns({"begin": begin, "end": F.least(begin + length, F.col("n_total"))})
+    keyed = [*part, "unit"]
+    # a unit is few bytes and much work, so small units must not be put together in one task
+    parts = 3 * df.sparkSession.sparkContext.defaultParallelism
+    dealt = units.repartition(parts, *keyed)
+    if most <= length:
+        found = dealt.groupBy(*keyed).applyInPandas(lambda rows: _best_cuts(rows, None, names, reps, seed, min_leaf), _BEST)
     else:
-        blocks = range_blocks(counts, part, ["value"], total, limit)
-    sizes = blocks.groupBy(*part, BLOCK).agg(F.sum("n").alias("n"), *[F.sum(f"pos_{d}").alias(f"pos_{d}") for d in labels])
-    whole, earlier = Window.partitionBy(*part), Window.partitionBy(*part).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    places = sizes.select(
-        *part, BLOCK, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"), F.sum("n").over(whole).alias("n_total"),
-        *[F.sum(f"pos_{d}").over(whole).alias(f"p_{d}") for d in labels],
-    )
-    keys, names = [*part, BLOCK], list(labels)
-    found = (
-        blocks.select(*keys, "value", "n").groupBy(*keys)
-        .cogroup(places.groupBy(*keys))
-        .applyInPandas(lambda v, p: _best_cuts(v, p, names, reps, seed, min_leaf), _BEST)
-    )
+        units = written(dealt)
+        dealt = units.repartition(parts, *keyed)
+        count = dealt.groupBy(*keyed).applyInPandas(
+            lambda rows: _unit_positives(rows, names, reps, seed), f"{_KEY}, label string, rep int, n_positive bigint")
+        earlier = Window.partitionBy(*part, "label", "rep").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
+        before = count.withColumn("n_positive", F.sum("n_positive").over(earlier)).filter("n_positive is not null")
+        found = dealt.groupBy(*keyed).cogroup(before.repartition(parts, *keyed).groupBy(*keyed)).applyInPandas(
+            lambda rows, done: _best_cuts(rows, done, names, reps, seed, min_leaf), _BEST)
     return found.groupBy(*part, "label", "rep").agg(
         F.max_by(F.struct("n_left", "p_left", "n", "p"), F.struct("score", (-F.col("n_left")).alias("c"))).alias("b")
     ).select(
@@ -329,3 +350,18 @@ def scan_findings(candidates: DataFrame, assigned: DataFrame) -> DataFrame:
         "severity", F.when(F.col("finding") == "confirmed", "info")
         .when(F.col("finding") == "candidate_without_pair", "candidate").otherwise("warning"),
     )
+
+
+def finding_counts(findings: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row per label: how many of its pairs were confirmed, are weak, were not fitted, or are new candidates.
+
+    Labels without any finding have zeros; ``n_scanned`` counts the columns that could be fitted.
+    """
+    of = lambda name: F.coalesce(F.count_if(F.col("finding") == name), F.lit(0))
+    scanned = candidates.groupBy("label").agg(F.count(F.lit(1)).alias("n_scanned"))
+    counted = findings.groupBy("label").agg(
+        of("confirmed").alias("n_confirmed"), of("assigned_but_weak").alias("n_weak"),
+        of("assigned_but_not_fitted").alias("n_not_fitted"), of("candidate_without_pair").alias("n_candidates"))
+    joined = scanned.join(counted, "label", "full")
+    out = joined.select("label", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in joined.columns if c != "label"])
+    return out.withColumn("all_assigned_pass", (F.col("n_weak") == 0) & (F.col("n_not_fitted") == 0))

@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame
 from driftline.functions.expr import without_nan
 from driftline.operators import baseline, catalogue, daily, quality, sequence, threshold, trend
 from driftline.operators.catalogue import ColumnRules
-from driftline.operators.ordered import group_sizes
 from driftline.schema import Roles
 from driftline.sources.readers import summary_text
 from driftline.sources.writers import save_table
-from driftline.store import stages, written
+from driftline.store import stages
 
 
 @dataclass(frozen=True)
@@ -73,14 +72,8 @@ def _preprocess(df, roles, options, folder, training, directions) -> dict[str, s
         check_consistency(df, *options.consistency)
 
     normal, ok = df.filter(roles.normal), df.filter(roles.ok)
-    # value counts of the fact, read once, for the stratum statistics and the OK medians
-    profile = written(baseline.value_profile(df, roles, roles.measures, ()))
-    _, largest = group_sizes(df, roles.stratum)
     stats = save("stratum_stats", baseline.override_targets(
-        baseline.stratum_stats(
-            normal, roles.stratum, roles.measures, largest=largest,
-            counts=baseline.profile_part(profile, roles.stratum, "n_normal"),
-        ), roles.limits))
+        baseline.stratum_stats(normal, roles.stratum, roles.measures), roles.limits))
     save("stratum_stats_by_entity", baseline.override_targets(
         baseline.stratum_stats(normal, roles.series, roles.measures), roles.limits))
     series = save("daily_series", daily.daily_series(df, stats, roles))
@@ -101,13 +94,10 @@ def _preprocess(df, roles, options, folder, training, directions) -> dict[str, s
         faults, flat.select("column", "flatline_count"), options.rules, roles, df.count()))
 
     ab = None
-    ok_counts = baseline.profile_part(profile, roles.stratum, "n_ok")
     if options.rises_is_bad:
-        ab = baseline.baseline_a(ok, roles.stratum, options.rises_is_bad, roles.limits, ok_counts, largest)
+        ab = baseline.baseline_a(ok, roles.stratum, options.rises_is_bad, roles.limits)
     if options.two_sided:
-        two = baseline.baseline_b(
-            ok, roles.stratum, options.two_sided, roles.limits, options.recompute_target, ok_counts, largest
-        )
+        two = baseline.baseline_b(ok, roles.stratum, options.two_sided, roles.limits, options.recompute_target)
         ab = two if ab is None else ab.unionByName(two, allowMissingColumns=True)
     if ab is not None:
         save("baseline_ab", ab)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators import quantiles, sequence
 from driftline.operators.ordered import Ordered, number_rows, running
+from driftline.operators.selection import select_quantiles
 
 LIMITS = [10_000, 60]  # plain windows, then blocks
 T0 = dt.datetime(2024, 1, 1)
@@ -162,9 +163,7 @@ def test_episode_numbers(frame, rows, limit):
 @pytest.mark.parametrize("limit", LIMITS)
 def test_quantiles_match_pandas(frame, rows, limit):
     long = frame.select("g", F.col("v").alias("value")).filter("value is not null")
-    counts = quantiles.value_counts(long, ["g"])
-    out = quantiles.grouped_quantiles(counts, ["g"], [0.005, 0.5, 0.995], ["a", "b", "c"], limit=limit,
-                                      extra=[F.sum("n").alias("n")])
+    out = select_quantiles(long, ["g"], [0.005, 0.5, 0.995], list("abc"), limit=limit)
     got = {r["g"]: r for r in out.collect()}
     for g, part in groups(rows):
         v = part["v"].astype(float).dropna()

@@ -4,42 +4,63 @@ import pytest
 from driftline.operators import shuffles, threshold
 
 
-def test_draws_have_the_mean_and_variance_of_the_distribution():
-    draw = np.random.default_rng(1)
-    for left, right, marked in ((5, 7, 4), (3000, 5000, 700), (2 * 10**9, 3 * 10**9, 10**6), (10**10, 10, 5)):
-        got = shuffles.hypergeometric(draw.random(4000), left, right, np.full(4000, marked))
-        n = left + right
-        mean, var = marked * left / n, marked * left / n * right / n * (n - marked) / (n - 1)
-        assert abs(got.mean() - mean) < 5 * np.sqrt(var / 4000) + 1e-9
-        assert var < 0.01 or 0.85 < got.var() / var < 1.15
-        assert got.min() >= max(0, marked - right) and got.max() <= min(marked, left)
-
-
-def test_draws_do_not_depend_on_the_cut():
-    total, marked = 30_000, np.array([0, 1, 900, 29_999, 30_000])
-    _, whole = shuffles.dealt(total, marked, 0, total, 7, "g")
-    assert [len(set(w.tolist())) for w in whole] == marked.tolist()
-    for begin, end in ((0, 10), (4090, 4100), (12_345, 20_000), (29_990, 30_000)):
-        before, part = shuffles.dealt(total, marked, begin, end, 7, "g")
-        for k, w in enumerate(whole):
-            assert before[k] == (w < begin).sum()
-            assert sorted(part[k]) == sorted(w[(w >= begin) & (w < end)])
-
-
-def test_every_position_is_as_likely():
-    hits = np.zeros(9_000)
-    _, found = shuffles.dealt(9_000, np.full(400, 900), 0, 9_000, 3)
-    for f in found:
-        hits[f] += 1
+@pytest.mark.parametrize("total", [1, 2, 3, 10, 97, 4096, 40_001])
+def test_every_position_has_one_place(total):
+    got = shuffles.permuted(0, total, total, shuffles.keys(1, "g", total))
+    assert sorted(got.tolist()) == list(range(total))
+
+
+def test_places_do_not_depend_on_the_cut():
+    total, key = 100_003, shuffles.keys(7, "g")
+    whole = shuffles.permuted(0, total, total, key)
+    for begin, end in ((0, 10), (4090, 4100), (12_345, 90_000), (100_000, 100_003), (5, 5)):
+        assert (shuffles.permuted(begin, end, total, key) == whole[begin:end]).all()
+
+
+def test_every_position_and_every_pair_of_neighbours_is_as_likely():
+    total, marked, reps = 9_000, 900, 400
+    hits, both = np.zeros(total), 0
+    for rep in range(reps):
+        mark = shuffles.permuted(0, total, total, shuffles.keys(3, rep)) < marked
+        assert mark.sum() == marked
+        hits += mark
+        both += int((mark[1:] & mark[:-1]).sum())
     by_part = hits.reshape(9, 1000).sum(axis=1)
     assert abs(by_part / by_part.mean() - 1).max() < 0.03
+    spread = hits.var() / (reps * 0.1 * 0.9)
+    assert 0.9 < spread < 1.1
+    assert abs(both / (reps * (total - 1) * 0.01) - 1) < 0.03
+
+
+def test_runs_are_as_long_as_by_chance():
+    """Marked rows among 100 neighbours spread as a hypergeometric draw does."""
+    total, marked = 20_000, 4_000
+    shares = np.concatenate([
+        (shuffles.permuted(0, total, total, shuffles.keys(5, rep)) < marked).reshape(-1, 100).sum(axis=1) for rep in range(60)])
+    assert abs(shares.mean() - 20) < 0.01 and 0.93 < shares.var() / (100 * 0.2 * 0.8 * (total - 100) / (total - 1)) < 1.07
+
+
+def test_numbers_beyond_32_bits():
+    total = 3 * 10**12
+    got = shuffles.permuted(total - 1000, total, total, shuffles.keys(1))
+    assert len(set(got.tolist())) == 1000 and got.min() >= 0 and got.max() < total
+    assert abs(got.mean() / total - 0.5) < 0.05
 
 
 @pytest.mark.parametrize("limit", [40, 300])
 def test_shuffled_stumps_do_not_depend_on_the_limit(spark, limit):
     draw = np.random.default_rng(5)
-    rows = [(f"p{i % 2}", "r", float(round(draw.normal(), 3)), int(draw.random() < 0.2)) for i in range(1500)]
+    rows = [(f"p{i % 2}", "r", float(round(draw.normal(), 3)) if i % 5 else 7.0, int(draw.random() < 0.2)) for i in range(1500)]
     df = spark.createDataFrame(rows, "product string, recipe string, a double, flag int")
     run = lambda **kw: sorted(map(tuple, threshold.shuffled_stumps(df, ["product", "recipe"], ["a"], ["flag"], 6, **kw).collect()))
     plain = run()
     assert len(plain) == 12 and plain == run(limit=limit)
+
+
+def test_findings_are_counted_per_label(spark):
+    scan = spark.createDataFrame([
+        ("l1", "a", True, True, True), ("l1", "b", True, False, True), ("l1", "c", True, True, False), ("l2", "a", False, True, False),
+    ], "label string, column string, passes_fwer boolean, passes_direction boolean, assigned boolean")
+    pairs = spark.createDataFrame([("a", "l1"), ("b", "l1"), ("z", "l3")], "column string, label string")
+    got = threshold.finding_counts(threshold.scan_findings(scan, pairs), scan).collect()
+    assert {tuple(r) for r in got} == {("l1", 3, 1, 1, 0, 1, False), ("l2", 1, 0, 0, 0, 0, True), ("l3", 0, 0, 0, 1, 0, False)}
