@@ -180,7 +180,28 @@ def trend_table(spark, folder):
     return rounded(out, 6, "kendall_tau", "kendall_z", "ols_slope").drop("kendall_p", "ols_p")
 
 
-@query("trend_pvalues")
+# p values: inversion counts by their recursion, Student's finite sum and the normal series by gamma functions
+PVALUE_SQL = """inv AS (SELECT 1 AS m, [1.0::DOUBLE] AS f UNION ALL SELECT m + 1,
+   list_transform(range(0, (m + 1) * m // 2 + 1), lambda c: list_sum(f[greatest(1, c - m + 1):least(len(f), c + 1)]) / (m + 1)) FROM inv WHERE m < 33),
+ ex AS (SELECT m, unnest(range(len(f))) AS c, unnest(f) AS share FROM inv),
+ cdf AS (SELECT m, c, sum(share) OVER (PARTITION BY m ORDER BY c) AS chance FROM ex),
+ r2 AS (SELECT machine, "column", count(*) - 2 AS df, regr_r2(v, i) AS r2 FROM kp GROUP BY ALL),
+ fit AS (SELECT machine, "column", df, sqrt(r2 / nullif(1 - r2, 0) * df) AS t FROM r2),
+ ang AS (SELECT *, atan(t / sqrt(df)) AS o FROM fit),
+ sp AS (SELECT machine, "column", CASE WHEN df = 1 THEN 1 - 2 * o / pi()
+   WHEN df % 2 = 1 THEN 1 - 2 / pi() * (o + sin(o) * cos(o) * list_sum(list_transform(range(0, (df - 1) // 2),
+     lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * pow(cos(o), 2 * k))))
+   ELSE 1 - sin(o) * list_sum(list_transform(range(0, df // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(cos(o), 2 * k))) END AS ols_p
+   FROM ang),
+ pk AS (SELECT kk.*, tie_pairs, (n * (n - 1) // 2 - tie_pairs - abs(s)) // 2 AS fewer, abs(z) / sqrt(2) AS x FROM kk JOIN kt USING (machine, "column")),
+ pv AS (SELECT machine, "column", CASE WHEN s IS NULL THEN NULL
+   WHEN tie_pairs = 0 AND n <= 33 THEN CASE WHEN 4 * fewer = n * (n - 1) THEN 1.0 ELSE least(1.0, 2 * chance) END
+   ELSE 1 - exp(-x * x) * list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(greatest(x, 1e-300)) - lgamma(k + 1.5)))) END AS kendall_p
+   FROM pk LEFT JOIN cdf ON cdf.m = pk.n AND cdf.c = pk.fewer)"""
+
+
+@query("trend_pvalues", f"""WITH RECURSIVE {SHOTS_SQL}, {TREND_SQL}, {PVALUE_SQL}
+  SELECT machine, "column", round(greatest(kendall_p, 0), 6) AS kendall_p, round(greatest(ols_p, 0), 6) AS ols_p FROM pv JOIN sp USING (machine, "column")""")
 def trend_pvalues(spark, folder):
     out = trend.trend_table(shot_daily(shots(spark, folder)), ["machine", "column"])
     return rounded(out, 6, "kendall_p", "ols_p").select("machine", "column", "kendall_p", "ols_p")

@@ -18,56 +18,48 @@ from driftline.operators.daily import zone_flags
 from driftline.schema import MIN_STABLE_DAYS, TREND_ALPHA, Roles
 from driftline.store import join_null_safe, lookup, written
 
-_TEST = T.StructType(
-    [T.StructField("n", T.IntegerType()), T.StructField("s", T.LongType()), T.StructField("tie_sum", T.LongType())]
-    + [T.StructField(c, T.DoubleType()) for c in ("tau", "z", "p", "slope", "slope_p")]
-)
-
 
 def day_array(value: str, day: str = "dt") -> Column:
     """Values of a series in day order, nulls kept; bounded by the calendar."""
     return F.transform(F.array_sort(F.collect_list(F.struct(day, value))), lambda x: x[value])
 
 
-def _kendall_parts(v: np.ndarray) -> tuple[int, int, int]:
-    """S, the tie term sum t(t-1)(2t+5) and the number of tied pairs."""
-    s = sum(int(np.sign(v[j] - v[:j]).sum()) for j in range(1, len(v)))
-    t = np.unique(v, return_counts=True)[1].astype(np.int64)
-    return s, int((t * (t - 1) * (2 * t + 5)).sum()), int((t * (t - 1) // 2).sum())
-
-
-def _ols(v: np.ndarray) -> tuple[float, float]:
-    """Slope on the row index and its two-sided p."""
-    n = len(v)
-    x = np.arange(n) - (n - 1) / 2.0
-    sxx = float((x * x).sum())
-    slope = float((x * v).sum()) / sxx
-    rest = float(((v - v.mean() - slope * x) ** 2).sum())
-    if n < 3 or rest <= 0.0:
-        return slope, math.nan if n < 3 else 0.0
-    return slope, tails.student_two_sided(slope / math.sqrt(rest / (n - 2) / sxx), n - 2.0)
-
-
-def _trend_row(series) -> tuple:
-    v = np.array([x for x in series if x is not None and not math.isnan(x)], dtype=float)
-    n = len(v)
-    if n < 3:
-        return (n, *[None] * 7)
-    slope, slope_p = _ols(v)
-    if len(np.unique(v)) < 2:
-        return (n, None, None, None, None, None, slope, slope_p)
-    s, tie_sum, tie_pairs = _kendall_parts(v)
-    pairs = n * (n - 1) // 2
-    z = s / math.sqrt((n * (n - 1) * (2 * n + 5) - tie_sum) / 18.0)
-    tau = s / math.sqrt(pairs * (pairs - tie_pairs))
-    return (n, s, tie_sum, tau, z, tails.kendall_p(s, n, tie_sum, tie_pairs), slope, slope_p)
+def trend_tests(series: DataFrame, keys: Sequence[str], values: str = "_v") -> DataFrame:
+    """Kendall's test and the least-squares slope of an array of daily values; nulls and NaN are dropped.
 
-
-@F.pandas_udf(_TEST)
-def trend_test(series: pd.Series) -> pd.DataFrame:
-    """Kendall test and OLS slope of an array of daily values; nulls are dropped."""
-    out = pd.DataFrame([_trend_row(a) for a in series], columns=_TEST.names)
-    return out.astype({"n": "Int32", "s": "Int64", "tie_sum": "Int64"})
+    n, s, tau, z, p, slope, slope_p; all but n are null for fewer than three values, and those of Kendall if all values
+    are equal. Array expressions compare each day with the earlier ones inside its row. The exact tail for untied short
+    series comes from a table of inversion counts, else the normal one with the tie term and without continuity correction.
+    """
+    known = series.withColumn("_x", F.expr(f"filter({values}, x -> x is not null and not isnan(x))"))
+    known = known.select(*keys, "_x", F.size("_x").alias("n"), F.expr("size(array_distinct(_x))").alias("_levels"))
+    ok = "n >= 3 and _levels >= 2"
+    ties = "transform(_x, x -> cast(size(filter(_x, y -> y = x)) as bigint))"
+    later = "aggregate(slice(_x, 1, j - 1), 0L, (a, x) -> a + cast(sign(_x[j - 1] - x) as bigint))"
+    parts = known.selectExpr(
+        "*", f"case when {ok} then aggregate(sequence(2, n), 0L, (a, j) -> a + {later}) end as s",
+        f"case when {ok} then aggregate({ties}, 0L, (a, t) -> a + (t - 1) * (2 * t + 5)) end as _tie_sum",
+        f"case when {ok} then aggregate({ties}, 0L, (a, t) -> a + t - 1) div 2 end as _tie_pairs",
+        "cast(n as bigint) * (n - 1) div 2 as _pairs", "(n - 1) / 2 as _mid", "cast(n as double) * (n - 1) * (n + 1) / 12 as _sxx")
+    parts = parts.selectExpr(
+        "*", "(_pairs - _tie_pairs - abs(s)) div 2 as _fewer",
+        "s / sqrt((_pairs * 2 * (2 * n + 5) - _tie_sum) / 18) as z", "s / sqrt(_pairs * (_pairs - _tie_pairs)) as tau",
+        "case when n >= 3 then aggregate(sequence(0, n - 1), 0D, (a, i) -> a + (i - _mid) * _x[i]) / _sxx end as slope",
+        "aggregate(_x, 0D, (a, x) -> a + x) / nullif(n, 0) as _mean")
+    parts = parts.selectExpr(
+        "*", "case when n >= 3 then aggregate(sequence(0, n - 1), 0D, (a, i) -> a + pow(_x[i] - _mean - slope * (i - _mid), 2)) end as _rest")
+    exact = F.broadcast(tails.inversion_table(series.sparkSession).toDF("_n", "_c", "_chance"))  # a table of fixed size
+    parts = parts.join(exact, (F.col("n") == F.col("_n")) & (F.col("_fewer") == F.col("_c")) & (F.col("_tie_pairs") == 0), "left")
+    extreme = (F.col("_tie_pairs") == 0) & (F.col("_fewer") <= 1)
+    p = (
+        F.when(F.col("s").isNull(), F.lit(None).cast("double"))
+        .when(F.col("_chance").isNotNull(), F.when(F.col("_fewer") * 4 == F.col("_pairs") * 2, 1.0).otherwise(F.least(F.lit(1.0), F.col("_chance") * 2)))
+        .when(extreme, 0.0)
+        .otherwise(tails.normal_two_sided_column("z"))
+    )
+    t = "(slope / sqrt(_rest / (n - 2) / _sxx))"
+    slope_p = F.when(F.col("_rest") <= 0, 0.0).when(F.col("n") >= 3, tails.student_two_sided_column(t, "(n - 2)"))
+    return parts.select(*keys, "n", "s", "tau", "z", p.alias("p"), "slope", slope_p.alias("slope_p"))
 
 
 @F.pandas_udf(T.IntegerType())
@@ -99,18 +91,18 @@ def _stable_length(series) -> int:
 
 def trend_table(daily: DataFrame, keys: Sequence[str], value: str = "daily_mean_z") -> DataFrame:
     """Kendall tau, OLS slope and drift class per series."""
-    tested = daily.groupBy(*keys).agg(day_array(value).alias("_v")).withColumn("_t", trend_test("_v"))
-    drift = F.col("_t.p") < TREND_ALPHA
+    tested = trend_tests(daily.groupBy(*keys).agg(day_array(value).alias("_v")), keys)
+    drift = F.col("p") < TREND_ALPHA
     return tested.select(
         *keys,
-        F.col("_t.n").alias("n_days"),
-        F.col("_t.s").alias("kendall_s"),
-        F.col("_t.tau").alias("kendall_tau"),
-        F.col("_t.z").alias("kendall_z"),
-        F.col("_t.p").alias("kendall_p"),
-        F.col("_t.slope").alias("ols_slope"),
-        F.col("_t.slope_p").alias("ols_p"),
-        F.when(drift & (F.col("_t.s") > 0), "candidate_upward_drift")
+        F.col("n").alias("n_days"),
+        F.col("s").alias("kendall_s"),
+        F.col("tau").alias("kendall_tau"),
+        F.col("z").alias("kendall_z"),
+        F.col("p").alias("kendall_p"),
+        F.col("slope").alias("ols_slope"),
+        F.col("slope_p").alias("ols_p"),
+        F.when(drift & (F.col("s") > 0), "candidate_upward_drift")
         .when(drift, "candidate_downward_drift")
         .otherwise("no_trend").alias("trend_class"),
     )
@@ -130,12 +122,11 @@ def column_summary(trends: DataFrame) -> DataFrame:
 
 def raw_direction(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
     """up / down / flat from the raw daily means; a gap in the series makes it flat."""
-    tested = daily.groupBy(*keys).agg(
-        day_array("daily_mean").alias("_v"), F.count_if(F.col("daily_mean").isNull()).alias("_gaps")
-    ).withColumn("_t", trend_test("_v"))
-    flat = (F.col("_gaps") > 0) | F.coalesce(F.col("_t.p") >= TREND_ALPHA, F.lit(True))
-    return tested.select(
-        *keys, F.when(flat, "flat").when(F.col("_t.s") > 0, "up").otherwise("down").alias("raw_direction")
+    series = daily.groupBy(*keys).agg(day_array("daily_mean").alias("_v"))
+    whole = F.expr("if(exists(_v, x -> x is null), array(), _v)").alias("_v")
+    flat = F.coalesce(F.col("p") >= TREND_ALPHA, F.lit(True))
+    return trend_tests(series.select(*keys, whole), keys).select(
+        *keys, F.when(flat, "flat").when(F.col("s") > 0, "up").otherwise("down").alias("raw_direction")
     )
 
 

@@ -71,16 +71,47 @@ def test_exact_kendall_against_all_permutations(n):
         assert tails.kendall_p(int(s), n, 0, 0) == pytest.approx(min(1.0, share))
 
 
-def test_trend_rows_match_pairwise_counting():
+def kendall_parts(v):
+    """S, the tie term and the number of tied pairs, by comparing all pairs."""
+    s = int(sum(np.sign(v[j] - v[i]) for j in range(len(v)) for i in range(j)))
+    t = np.unique(v, return_counts=True)[1].astype(int)
+    return s, int((t * (t - 1) * (2 * t + 5)).sum()), int((t * (t - 1) // 2).sum())
+
+
+def test_trend_tests_match_pairwise_counting(spark):
     rng = np.random.default_rng(0)
-    for n in (3, 12, 40):
-        v = np.round(rng.normal(0, 1, n) + 0.05 * np.arange(n), 1)
-        row = trend._trend_row(list(v))
-        s = sum(np.sign(v[j] - v[i]) for i in range(n) for j in range(i + 1, n))
-        slope = np.polyfit(np.arange(n), v, 1)[0]
-        assert row[0] == n and row[1] == s and row[6] == pytest.approx(slope)
-    assert trend._trend_row([1.0, None, 2.0]) == (2, *[None] * 7)
-    assert trend._trend_row([1.0] * 5)[1] is None
+    series = [np.round(rng.normal(0, 1, n) + 0.05 * np.arange(n), d) for n in (3, 4, 12, 33, 34, 40, 180) for d in (1, 6)]
+    series += [np.arange(60.0), -np.arange(200.0), np.array([1.0, 2, 3, 5, 4, *range(6, 50)])]
+    rows = [(i, [float(x) for x in v] + [None, float("nan")] * (i % 2)) for i, v in enumerate(series)]
+    rows += [(100, [1.0, None, 2.0]), (101, [1.0] * 5), (102, []), (103, [None, 1.0])]
+    got = {r["k"]: r for r in trend.trend_tests(spark.createDataFrame(rows, "k int, _v array<double>"), ["k"]).collect()}
+    for i, v in enumerate(series):
+        n, r, x = len(v), got[i], np.arange(len(v)) - (len(v) - 1) / 2
+        s, ties, pairs = kendall_parts(v)
+        assert (r["n"], r["s"]) == (n, s)
+        assert r["z"] == pytest.approx(s / math.sqrt((n * (n - 1) * (2 * n + 5) - ties) / 18))
+        assert r["tau"] == pytest.approx(s / math.sqrt(n * (n - 1) / 2 * (n * (n - 1) / 2 - pairs)))
+        assert r["p"] == pytest.approx(tails.kendall_p(s, n, ties, pairs), rel=1e-8, abs=1e-15)
+        assert r["slope"] == pytest.approx(np.polyfit(np.arange(n), v, 1)[0])
+        rest = ((v - v.mean() - r["slope"] * x) ** 2).sum()
+        if rest > 1e-12:
+            assert r["slope_p"] == pytest.approx(tails.student_two_sided(r["slope"] / math.sqrt(rest / (n - 2) / (x * x).sum()), n - 2), rel=1e-7, abs=1e-13)
+    assert tuple(got[100]) == (100, 2, *[None] * 6) and tuple(got[102]) == (102, 0, *[None] * 6)
+    assert got[101]["s"] is None and got[101]["p"] is None and got[101]["slope"] == 0.0
+
+
+def test_tails_as_columns(spark):
+    grid = [(t, n, z) for t in (0.0, 0.3, -1.7, 4.0, 12.706) for n in (1, 2, 3, 4, 9, 10, 57) for z in (0.0, 0.1, -1.96, 2.8, 2.83, 5.0, 9.0)]
+    df = spark.createDataFrame(grid, "t double, n int, z double")
+    for r in df.select("*", tails.student_two_sided_column("t", "n").alias("a"), tails.normal_two_sided_column("z").alias("b")).collect():
+        assert r["a"] == pytest.approx(tails.student_two_sided(r["t"], r["n"]), rel=1e-9, abs=1e-13)
+        assert r["b"] == pytest.approx(tails.normal_two_sided(r["z"]), rel=1e-8, abs=1e-14)
+
+
+def test_the_trend_plan_has_no_python_worker(spark):
+    daily = spark.createDataFrame([("m", i, float(i % 7)) for i in range(20)], "m string, dt int, daily_mean_z double")
+    plan = trend.trend_table(daily, ["m"])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_stable_length_is_the_longest_quiet_prefix():
@@ -90,7 +121,7 @@ def test_stable_length_is_the_longest_quiet_prefix():
         v = np.round(rng.random(n) + (0.03 * np.arange(n) if case % 2 else 0), 2 if case % 3 else 6)
         want = n
         for end in range(14, n + 1):
-            s, ties, pairs = trend._kendall_parts(v[:end])
+            s, ties, pairs = kendall_parts(v[:end])
             if len(set(v[:end])) > 1 and s > 0 and tails.kendall_p(s, end, ties, pairs) < 0.05:
                 want = end - 1
                 break
