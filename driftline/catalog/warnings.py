@@ -12,10 +12,10 @@ from driftline.catalog.bindings import CONSTANTS, RISES_IS_BAD, SHOTS, SHOTS_SQL
 from driftline.catalog.registry import day_text, query, rounded, union_sql
 from driftline.catalog.thresholds import BREACH_SQL, RULES_SQL, SHOT_STUMPS
 from driftline.functions import expr, messages as text
-from driftline.operators import alerts, health
+from driftline.operators import alerts, health, sweep
 from driftline.operators.sequence import gap_sessions
 from driftline.plans.alerting import learn_references, read_references, run_alerts
-from driftline.schema import LOW
+from driftline.schema import LOW, RECENT_DAYS
 from driftline.sources.writers import save_table
 from driftline.store import work_folder, written
 
@@ -279,19 +279,19 @@ SWEEP_SQL = f"""{BASE_SQL}, kg(k) AS (VALUES {', '.join(f'({k}::DOUBLE)' for k i
    coalesce(max(days) FILTER (machine = 'M0'), 0) AS normal_longest FROM k6 GROUP BY ALL)"""
 
 
-def sweep(spark, folder):
+def swept_days(spark, folder):
     df = shots(spark, folder)
-    return alerts.sweep_rows(df, references(df), SHOTS, KS, HS)
+    return sweep.sweep_days(df, references(df), SHOTS, KS, HS)
 
 
 @query("kh_sweep_default", f"WITH {SHOTS_SQL}, {SWEEP_SQL.replace('days >= 5', 'days >= 14')} SELECT * REPLACE (round(normal_longest, 6) AS normal_longest) FROM k7")
 def kh_sweep_default(spark, folder):
-    return rounded(health.sweep_scores(sweep(spark, folder), SHOTS, "M0"), 6, "normal_longest")
+    return rounded(sweep.sweep_scores(swept_days(spark, folder), SHOTS, "M0", HS), 6, "normal_longest")
 
 
 @query("kh_sweep", f"WITH {SHOTS_SQL}, {SWEEP_SQL} SELECT * REPLACE (round(normal_longest, 6) AS normal_longest) FROM k7")
 def kh_sweep(spark, folder):
-    return rounded(health.sweep_scores(sweep(spark, folder), SHOTS, "M0", sustained_days=5), 6, "normal_longest")
+    return rounded(sweep.sweep_scores(swept_days(spark, folder), SHOTS, "M0", HS, sustained_days=5), 6, "normal_longest")
 
 
 def _onset_sql(base, sigmas, hold):
@@ -327,32 +327,88 @@ _KNOWN_CELLS = """kd AS (SELECT k6.*, row_number() OVER (PARTITION BY k, h, mach
    WHEN coalesce(n, 0) < known OR worst_lag > 10 THEN 'late' ELSE 'pass' END AS verdict FROM k7 LEFT JOIN kw USING (k, h), kn)"""
 
 
-@query("kh_grid", f"""WITH {SHOTS_SQL}, {SWEEP_SQL}, {_ONSET_SQL}, {_KNOWN_CELLS}
-  SELECT k, {', '.join(f"max(verdict) FILTER (h = {h}) AS h_{str(h).replace('.', '_')}" for h in HS)} FROM kv GROUP BY k""")
-def kh_grid(spark, folder):
-    onset = health.onset_days(shot_daily(shots(spark, folder)), "machine", base_days=10, sigmas=1.0, hold=2)
-    known = onset.filter("machine <> 'M0' and onset_day is not null").select("machine", "column", "onset_day")
-    scores = health.sweep_scores(sweep(spark, folder), SHOTS, "M0", known, sustained_days=5)
+def known_changes(spark, folder, **band):
+    onset = health.onset_days(shot_daily(shots(spark, folder)), "machine", **band)
+    return written(onset.filter("machine <> 'M0' and onset_day is not null").select("machine", "column", "onset_day"))
+
+
+def _grid(spark, folder, known, sustained_days):
+    scores = sweep.sweep_scores(swept_days(spark, folder), SHOTS, "M0", HS, known, sustained_days)
     return health.verdict_grid(health.grid_verdicts(scores, known.count()), HS)
 
 
-_MID = "TIMESTAMP '2024-01-16 00:00:00'"
-_SUBSETS = {"all": "true", "odd_columns": "\"column\" IN ('k', 'ratio')", "even_columns": "\"column\" IN ('load', 'value')",
-            "first_half": f"ts < {_MID}", "second_half": f"ts >= {_MID}", "product_P0": "product = 'P0'"}
+_GRID = f"""SELECT k, {', '.join(f"max(verdict) FILTER (h = {h}) AS h_{str(h).replace('.', '_')}" for h in HS)} FROM kv GROUP BY k"""
+_LONG_SQL = SWEEP_SQL.replace("days >= 5", "days >= 14")
+_BAND = dict(base_days=10, sigmas=1.0, hold=2)  # narrow enough to find changes in the driver tables
 
 
-@query("boundary_stability", f"""WITH {SHOTS_SQL}, {SWEEP_SQL}, b0 AS (""" + " UNION ALL ".join(
-    f"SELECT '{n}' AS subset, * FROM k3 WHERE machine = 'M0' AND h = 4.5 AND {t}" for n, t in _SUBSETS.items()) + f"""),
-  b1 AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 1 DAY THEN 1 ELSE 0 END AS fresh FROM b0 WINDOW w AS (PARTITION BY subset, k, "column" ORDER BY ts)),
-  b2 AS (SELECT *, sum(fresh) OVER (PARTITION BY subset, k, "column" ORDER BY ts) AS session FROM b1),
-  b3 AS (SELECT subset, k, "column", session, (epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0 AS days FROM b2 GROUP BY ALL),
-  b4 AS (SELECT DISTINCT subset, k FROM b3 WHERE days >= 3),
-  b5 AS (SELECT v.subset, kg.k FROM (VALUES {', '.join(f"('{n}')" for n in _SUBSETS)}) v(subset), kg ANTI JOIN b4 ON b4.subset = v.subset AND b4.k = kg.k)
-  SELECT v.subset, min(b5.k) AS boundary_k FROM (VALUES {', '.join(f"('{n}')" for n in _SUBSETS)}) v(subset) LEFT JOIN b5 USING (subset) GROUP BY 1""")
+@query("kh_grid", f"WITH {SHOTS_SQL}, {SWEEP_SQL}, {_ONSET_SQL}, {_KNOWN_CELLS} {_GRID}")
+def kh_grid(spark, folder):
+    return _grid(spark, folder, known_changes(spark, folder, **_BAND), 5)
+
+
+@query("kh_grid_default", f"WITH {SHOTS_SQL}, {_LONG_SQL}, {_onset_sql(30, 3.0, 5)}, {_KNOWN_CELLS} {_GRID}")
+def kh_grid_default(spark, folder):
+    return _grid(spark, folder, known_changes(spark, folder), RECENT_DAYS)
+
+
+@query("kh_leave_one_out", f"""WITH {SHOTS_SQL}, {SWEEP_SQL}, {_ONSET_SQL}, {_KNOWN_CELLS},
+  lo AS (SELECT DISTINCT machine AS left_out FROM onset WHERE machine <> 'M0' AND onset_day IS NOT NULL),
+  ll AS (SELECT left_out, k, h, date_diff('day', onset_day, CAST(start_ts AS DATE)) AS lag FROM kd JOIN onset USING (machine, "column"), lo
+    WHERE i = 1 AND machine <> 'M0' AND onset_day IS NOT NULL AND machine <> left_out),
+  lw AS (SELECT left_out, k, h, max(lag) AS worst_lag, min(lag) AS earliest_lag, count(*) AS n FROM ll GROUP BY ALL),
+  ln AS (SELECT left_out, count(onset_day) FILTER (machine <> left_out AND machine <> 'M0') AS known FROM onset, lo GROUP BY 1),
+  lv AS (SELECT left_out, k, h, CASE WHEN normal_sustained > 0 THEN 'normal_false_alarm' WHEN earliest_lag < -10 THEN 'pre_onset_false_alarm'
+    WHEN coalesce(n, 0) < known OR worst_lag > 10 THEN 'late' ELSE 'pass' END AS verdict FROM k7 CROSS JOIN ln LEFT JOIN lw USING (left_out, k, h))
+  SELECT left_out, count(*) FILTER (verdict = 'pass') AS n_pass, coalesce(bool_or(verdict = 'pass' AND k = 0.7 AND h = 4.5), false) AS chosen_passes FROM lv GROUP BY 1""")
+def kh_leave_one_out(spark, folder):
+    return sweep.leave_one_out(written(swept_days(spark, folder)), SHOTS, "M0", HS, known_changes(spark, folder, **_BAND), sustained_days=5)
+
+
+def _boundary_sql(days: int) -> str:
+    """CTE ys: kind, subset, size, boundary_k; combinations of the three products are all of one, two and three."""
+    return f"""{SWEEP_SQL}, y0 AS (SELECT k, product, "column", ts FROM k3 WHERE machine = 'M0' AND h = 4.5),
+  ym AS (SELECT min(dt) + CAST((max(dt) - min(dt)) // 2 AS INTEGER) AS day FROM shots),
+  yc AS (SELECT "column", row_number() OVER (ORDER BY "column") AS place FROM (SELECT DISTINCT "column" FROM y0)),
+  yp AS (SELECT DISTINCT product FROM y0),
+  yq AS (SELECT a.product AS subset, 1 AS size, [a.product] AS members FROM yp a
+    UNION ALL SELECT a.product || '+' || b.product, 2, [a.product, b.product] FROM yp a JOIN yp b ON a.product < b.product
+    UNION ALL SELECT a.product || '+' || b.product || '+' || c.product, 3, [a.product, b.product, c.product]
+      FROM yp a JOIN yp b ON a.product < b.product JOIN yp c ON b.product < c.product),
+  yr AS (SELECT 'part' AS kind, 'all' AS subset, * FROM y0
+    UNION ALL SELECT 'part', CASE place % 2 WHEN 1 THEN 'odd_columns' ELSE 'even_columns' END, y0.* FROM y0 JOIN yc USING ("column")
+    UNION ALL SELECT 'part', CASE WHEN CAST(ts AS DATE) < day THEN 'first_half' ELSE 'second_half' END, y0.* FROM y0, ym
+    UNION ALL SELECT 'products', subset, y0.* FROM y0 JOIN yq ON list_contains(members, product)),
+  y1 AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 1 DAY THEN 1 ELSE 0 END AS fresh FROM yr WINDOW w AS (PARTITION BY kind, subset, k, "column" ORDER BY ts)),
+  y2 AS (SELECT *, sum(fresh) OVER (PARTITION BY kind, subset, k, "column" ORDER BY ts) AS session FROM y1),
+  y3 AS (SELECT kind, subset, k, "column", session, (epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0 AS days FROM y2 GROUP BY ALL),
+  y4 AS (SELECT DISTINCT kind, subset, k FROM y3 WHERE days >= {days}),
+  yn AS (SELECT 'part' AS kind, unnest(['all', 'odd_columns', 'even_columns', 'first_half', 'second_half']) AS subset, 0 AS size
+    UNION ALL SELECT 'products', subset, size FROM yq),
+  ys AS (SELECT kind, subset, size, min(n.k) FILTER (y4.k IS NULL) AS boundary_k
+    FROM (SELECT yn.*, kg.k FROM yn, kg) n LEFT JOIN y4 USING (kind, subset, k) GROUP BY ALL)"""
+
+
+def boundaries(spark, folder, sustained_days):
+    df = shots(spark, folder)
+    days = sweep.sweep_days(df, references(df), SHOTS, KS, HS)
+    return sweep.boundary_stability(days, SHOTS, "M0", KS, HS, sweep.middle_day(df, "ts"), sustained_days=sustained_days)
+
+
+@query("boundary_stability", f"WITH {SHOTS_SQL}, {_boundary_sql(3)} SELECT * FROM ys")
 def boundary_stability(spark, folder):
-    rows = sweep(spark, folder).filter("h = 4.5")
-    tests = {n: F.expr(t.replace('"column"', "column").replace("TIMESTAMP '", "TIMESTAMP_NTZ '")) for n, t in _SUBSETS.items()}
-    return health.boundary_k(rows, SHOTS, "M0", tests, KS, sustained_days=3)
+    return boundaries(spark, folder, 3)
+
+
+@query("boundary_stability_default", f"WITH {SHOTS_SQL}, {_boundary_sql(RECENT_DAYS)} SELECT * FROM ys")
+def boundary_stability_default(spark, folder):
+    return boundaries(spark, folder, RECENT_DAYS)
+
+
+@query("boundary_by_size", f"""WITH {SHOTS_SQL}, {_boundary_sql(3)} SELECT size, count(*) AS n_subsets, median(boundary_k) AS median_k,
+  min(boundary_k) AS lowest_k, max(boundary_k) AS highest_k FROM ys WHERE kind = 'products' GROUP BY 1""")
+def boundary_by_size(spark, folder):
+    return sweep.boundary_by_size(boundaries(spark, folder, 3))
 
 
 # ------------------------------------------------------------------ health

@@ -275,30 +275,3 @@ def warning_rates(alerts: DataFrame) -> DataFrame:
         outside.alias("out_of_spec_rows"),
         F.try_divide(outside, F.count_if(checked)).alias("out_of_spec_share"),
     )
-
-
-def sweep_rows(
-    df: DataFrame, refs: References, roles: Roles, ks: Sequence[float], hs: Sequence[float], *, limit: int | None = None
-) -> DataFrame:
-    """(k, h, column, row) of every cumulative-sum alert over a parameter grid, in one job.
-
-    All allowances share the same window pass; rows below the smallest limit are dropped
-    before the grid is laid out.
-    """
-    table = lookup(reference_rows(df, refs, roles).filter("type <> 'NONE'"))
-    seq = sequence.cusum(watched_sequences(df, table, roles, limit), ["z"], ks, suffix=True)
-    lowest, kind = float(min(hs)), F.col("type")
-    cells = []
-    for k in ks:
-        tag = str(k).replace(".", "_")
-        up, dn = F.col(f"z__up_{tag}"), -F.col(f"z__dn_{tag}")
-        reach = (
-            F.when(kind == "A", F.when(F.col("rises"), up).otherwise(dn))
-            .when(kind.isin("B", "E"), F.greatest(up, dn))
-            .when(F.col("label") != "", F.when(F.col("direction") == LOW, dn).otherwise(up))
-        )
-        cells.append(F.struct(F.lit(float(k)).alias("k"), reach.alias("reach")))
-    grid = F.array(*[F.lit(float(h)) for h in hs])
-    ready = seq.df.filter(F.col(RN) >= ROLLING_ROWS)
-    rows = ready.select(*roles.series, "column", roles.time, F.inline(F.array(*cells))).filter(F.col("reach") > lowest)
-    return rows.select("*", F.explode(grid).alias("h")).filter("reach > h").drop("reach")

@@ -158,29 +158,6 @@ def detector_overlap(alerts: DataFrame, roles: Roles) -> DataFrame:
     )
 
 
-def sweep_scores(rows: DataFrame, roles: Roles, normal: str, onset: DataFrame | None = None, sustained_days: int = RECENT_DAYS) -> DataFrame:
-    """Per (k, h): alert rows, long sessions and longest session of the normal entity, and
-    with ``onset`` (entity, column, onset_day) the detection lag of every known change."""
-    cell = ["k", "h"]
-    sessions = written(gap_sessions(rows, [*cell, roles.entity, "column"], roles.time))
-    is_normal = F.col(roles.entity) == normal
-    score = sessions.groupBy(*cell).agg(
-        F.sum("n_rows").alias("alert_rows"),
-        F.count_if(is_normal & (F.col("days") >= sustained_days)).alias("normal_sustained"),
-        F.coalesce(F.max(F.when(is_normal, F.col("days"))), F.lit(0.0)).alias("normal_longest"),
-    )
-    if onset is None:
-        return score
-    found = longest_session(sessions, [*cell, roles.entity, "column"])
-    lags = found.join(onset, [roles.entity, "column"]).select(
-        *cell, F.datediff("detected_day", "onset_day").alias("lag_days")
-    )
-    worst = lags.groupBy(*cell).agg(
-        F.max("lag_days").alias("worst_lag"), F.min("lag_days").alias("earliest_lag"), F.count(F.lit(1)).alias("n_detected")
-    )
-    return score.join(worst, cell, "left")
-
-
 def grid_verdicts(scores: DataFrame, n_known: int, max_lag: int = 10, early_tolerance: int = -10) -> DataFrame:
     """Verdict of every cell: normal entity alarms, alarm before the change, late, pass.
 
@@ -202,21 +179,6 @@ def verdict_grid(verdicts: DataFrame, hs: Sequence[float]) -> DataFrame:
     )
 
 
-def boundary_k(rows: DataFrame, roles: Roles, normal: str, subsets: Mapping[str, Column], ks: Sequence[float], sustained_days: int = RECENT_DAYS) -> DataFrame:
-    """Smallest k without a long alert of the normal entity, per named subset of the rows."""
-    names = F.array(*[F.when(test, F.lit(name)) for name, test in subsets.items()])
-    spread = rows.filter(F.col(roles.entity) == normal).withColumn(
-        "subset", F.explode(F.filter(names, lambda s: s.isNotNull()))
-    )
-    sessions = gap_sessions(spread, ["subset", "k", roles.entity, "column"], roles.time)
-    bad = sessions.filter(F.col("days") >= sustained_days).groupBy("subset").agg(F.collect_set("k").alias("bad"))
-    grid = F.array(*[F.lit(float(k)) for k in sorted(ks)])
-    all_names = rows.sparkSession.createDataFrame([(n,) for n in subsets], "subset string")
-    joined = all_names.join(bad, "subset", "left")
-    free = F.filter(grid, lambda k: ~F.array_contains(F.coalesce("bad", F.array().cast("array<double>")), k))
-    return joined.select("subset", F.array_min(free).alias("boundary_k"))
-
-
 def onset_days(daily: DataFrame, entity: str, value: str = "daily_mean", base_days: int = 30, sigmas: float = 3.0, hold: int = 5) -> DataFrame:
     """First day a daily mean leaves the band of the first days for at least ``hold`` days,
     and, as comparison, the first day it crosses the band at all."""

@@ -236,15 +236,20 @@ def gap_sessions(rows: DataFrame, keys: Sequence[str], time: str, gap_days: int
     Rows of the same calendar day are never further apart than a day, so the rows are first
     folded to one line per key and day. Only that table, bounded by the calendar, is ordered.
     """
-    day = rows.groupBy(*keys, F.to_date(time).alias("_day")).agg(
-        F.min(time).alias("_first"), F.max(time).alias("_last"), F.count(F.lit(1)).alias("_n")
+    day = rows.groupBy(*keys, F.to_date(time).alias("dt")).agg(
+        F.min(time).alias("first_ts"), F.max(time).alias("last_ts"), F.count(F.lit(1)).alias("n_rows")
     )
-    w = Window.partitionBy(*keys).orderBy("_day")
-    far = F.col("_first") > F.lag("_last").over(w) + F.expr(f"INTERVAL {int(gap_days)} DAY")
+    return sessions_of_days(day, keys, gap_days)
+
+
+def sessions_of_days(day: DataFrame, keys: Sequence[str], gap_days: int = 1) -> DataFrame:
+    """Sessions from one line per key and day: dt, first_ts, last_ts, n_rows."""
+    w = Window.partitionBy(*keys).orderBy("dt")
+    far = F.col("first_ts") > F.lag("last_ts").over(w) + F.expr(f"INTERVAL {int(gap_days)} DAY")
     marked = day.withColumn("_new", F.coalesce(far, F.lit(False)).cast("int"))
     numbered = marked.withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*keys, "session").agg(
-        F.min("_first").alias("start_ts"), F.max("_last").alias("end_ts"), F.sum("_n").alias("n_rows")
+        F.min("first_ts").alias("start_ts"), F.max("last_ts").alias("end_ts"), F.sum("n_rows").alias("n_rows")
     ).withColumn("days", days_between("start_ts", "end_ts"))
 
 

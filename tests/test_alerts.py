@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from driftline.functions import expr, messages
-from driftline.operators import alerts, health, spec
+from driftline.operators import health, spec, sweep
 from driftline.operators.sequence import gap_sessions
 from driftline.operators.spec import UpperLimit
 from driftline.plans.alerting import learn_references, run_alerts
@@ -138,8 +138,9 @@ def test_sweep_agrees_with_single_runs(fact, refs):
     from dataclasses import replace
 
     plain = replace(refs, types={m: refs.types[m] for m in only}, upper={})
-    grid = alerts.sweep_rows(fact, plain, ROLES, [0.5, 0.7], [4.0, 4.5])
-    got = {(r["k"], r["h"], r["column"]): r["count"] for r in grid.groupBy("k", "h", "column").count().collect()}
+    days = sweep.sweep_days(fact, plain, ROLES, [0.5, 0.7], [4.5, 4.0])
+    grid = sweep.alert_days(days, ["k", "column"], [4.5, 4.0])
+    got = {(r["k"], r["h"], r["column"]): r["n"] for r in grid.groupBy("k", "h", "column").agg(F.sum("n_rows").alias("n")).collect()}
     for k, h in ((0.5, 4.0), (0.7, 4.5)):
         one = run_alerts(fact, ROLES, plain, k=k, h=h).filter("typed_warning").groupBy("column").count().collect()
         for r in one:
@@ -147,12 +148,52 @@ def test_sweep_agrees_with_single_runs(fact, refs):
 
 
 def test_scores_and_verdicts(fact, refs):
-    grid = alerts.sweep_rows(fact, refs, ROLES, [0.7], [4.5])
+    days = written(sweep.sweep_days(fact, refs, ROLES, [0.7], [4.5]))
     onset = fact.sparkSession.createDataFrame(
         [(m, c, (T0 + dt.timedelta(days=d)).date()) for m, (c, d) in ONSET.items()], "machine string, column string, onset_day date")
-    scores = health.sweep_scores(grid, ROLES, "M0", onset)
+    scores = sweep.sweep_scores(days, ROLES, "M0", [4.5], onset)
     row = health.grid_verdicts(scores, 2, max_lag=15).first()
     assert row["normal_sustained"] == 0 and row["n_detected"] == 2 and row["verdict"] == "pass"
+    folds = sweep.leave_one_out(days, ROLES, "M0", [4.5], onset, max_lag=15).collect()
+    assert {tuple(r) for r in folds} == {("M1", 1, True), ("M2", 1, True)}
+
+
+def test_boundary_of_subsets_against_single_sessions(fact, refs):
+    """Every subset of rows gives the boundary that sessions of just these alert rows give."""
+    ks, hs = [0.1, 0.4, 0.7], [4.5, 3.0]
+    days = written(sweep.sweep_days(fact, refs, ROLES, ks, hs))
+    days = days.select("k", "machine", F.col("recipe").alias("product"), "column", "dt", "passed", "n_rows", "first_ts", "last_ts")
+    middle = sweep.middle_day(fact, "ts")
+    got = {(r["kind"], r["subset"]): r["boundary_k"] for r in
+           sweep.boundary_stability(days, ROLES, "M1", ks, hs, middle, h=3.0, sustained_days=5).collect()}
+    assert set(got) == {
+        *[("part", n) for n in ("all", "odd_columns", "even_columns", "first_half", "second_half")], ("products", "R0"), ("products", "R1"), ("products", "R0+R1")}
+    lines = [r.asDict() for r in days.filter("machine = 'M1'").collect()]
+    columns = sorted({x["column"] for x in lines})
+    middle_date = (T0 + dt.timedelta(days=29)).date()
+    tests = {"all": lambda x: True, "odd_columns": lambda x: columns.index(x["column"]) % 2 == 0, "even_columns": lambda x: columns.index(x["column"]) % 2 == 1,
+             "first_half": lambda x: x["dt"] < middle_date, "second_half": lambda x: x["dt"] >= middle_date,
+             "R0": lambda x: x["product"] == "R0", "R1": lambda x: x["product"] == "R1", "R0+R1": lambda x: True}
+    for (_, name), found in got.items():
+        want = None
+        for k in ks:
+            longest = 0.0
+            for c in columns:
+                spans = sorted((x["first_ts"], x["last_ts"]) for x in lines if x["k"] == k and x["column"] == c and tests[name](x))
+                start = end = None
+                for a, b in spans:
+                    start, end = (a, b) if end is None or a > end + dt.timedelta(days=1) else (start, max(end, b))
+                    longest = max(longest, (end - start).total_seconds() / 86400)
+            if longest < 5:
+                want = k
+                break
+        assert found == want, name
+
+
+def test_combinations_of_strata():
+    assert sweep.stratum_subsets(["b", "a"], (1, 2, 3), 10) == [("a", 1, "a"), ("b", 1, "b"), ("a+b", 2, "a"), ("a+b", 2, "b")]
+    many = sweep.stratum_subsets([f"p{i}" for i in range(9)], (4,), 10)
+    assert len({s for s, size, _ in many if size == 4}) == 10 and many == sweep.stratum_subsets([f"p{i}" for i in range(9)], (4,), 10)
 
 
 def test_alert_totals(fact, rows):
