@@ -253,9 +253,30 @@ def summary_json(spark, folder):
     return readers.summary_text(quality.key_report(panel(spark, folder), PANEL), {"policy": "flag_only"})
 
 
-@query("visual_json")
+def _histogram_sql(columns, digits=8, bins=32):
+    return " UNION ALL ".join(f"""SELECT '{c}' AS "column", b.bin, round(lo + b.bin * ((hi - lo) / {bins}), {digits}) AS edge,
+    coalesce(n.normal_rows, 0) AS normal_rows, coalesce(n.other_rows, 0) AS other_rows
+    FROM (SELECT unnest(range({bins})) AS bin) b, (SELECT min({c}) AS lo, max({c}) AS hi FROM shots) e
+    LEFT JOIN (SELECT least(floor(({c} - lo) / (hi - lo) * {bins}), {bins - 1})::BIGINT AS bin, count(*) FILTER (is_normal) AS normal_rows,
+      count(*) FILTER (NOT is_normal) AS other_rows FROM shots, (SELECT min({c}) AS lo, max({c}) AS hi FROM shots) WHERE {c} IS NOT NULL GROUP BY 1) n
+      ON n.bin = b.bin""" for c in columns)
+
+
+def _fixed_sql(name):
+    return f"""coalesce(',"{name}":' || CAST({name} AS DECIMAL(24, 8))::VARCHAR, '')"""
+
+
+@query("visual_json", f"""WITH {SHOTS_SQL}, hb AS ({_histogram_sql(['value', 'load'])}),
+  dr AS (SELECT machine, dt, avg(value) AS value, avg(load) AS load FROM shots GROUP BY 1, 2),
+  dm AS (SELECT machine, dt, CASE WHEN count(value) OVER w >= 3 THEN avg(value) OVER w END AS value_7d_ma,
+    CASE WHEN count(load) OVER w >= 3 THEN avg(load) OVER w END AS load_7d_ma
+    FROM dr WINDOW w AS (PARTITION BY machine ORDER BY dt ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
+  SELECT 'histogram' AS kind, "column" AS name, '{{"column":"' || "column" || '","bins":[' || string_agg('{{"bin":' || bin || {_fixed_sql('edge')}
+    || ',"normal_rows":' || normal_rows || ',"other_rows":' || other_rows || '}}', ',' ORDER BY bin) || ']}}' AS record FROM hb GROUP BY "column"
+  UNION ALL SELECT 'daily', machine, '{{"machine":"' || machine || '","days":[' || string_agg('{{"dt":"' || dt || '"' || {_fixed_sql('value_7d_ma')}
+    || {_fixed_sql('load_7d_ma')} || '}}', ',' ORDER BY dt) || ']}}' FROM dm GROUP BY machine""")
 def visual_json(spark, folder):
     df = shots(spark, folder)
     rates = daily.daily_rates(df, SHOTS, ["value", "load"], ["error"])
-    bins = explore.histogram(df, ["value", "load"], SHOTS.normal)
-    return writers.histogram_records(bins, rates, ["machine", "dt", "value_7d_ma", "load_7d_ma"])
+    bins = explore.histogram(df, ["value", "load"], SHOTS.normal, digits=8)
+    return writers.dashboard_records(bins, rates, "machine", "dt", ["value_7d_ma", "load_7d_ma"], digits=8)

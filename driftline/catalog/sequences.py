@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driftline.catalog.baselines import shot_stats, stats_sql
@@ -11,7 +13,8 @@ from driftline.operators import sequence
 from driftline.operators.baseline import per_stratum
 from driftline.operators.ordered import Ordered
 from driftline.schema import CUSUM_H, CUSUM_K
-from driftline.store import join_null_safe, lookup
+from driftline.store import join_null_safe, lookup, work_folder, written
+from driftline.streaming import live
 
 SM = list(SHOTS.measures)
 _P = "PARTITION BY machine, product, recipe ORDER BY ts, shot_id"
@@ -128,3 +131,57 @@ def longest_run(spark, folder):
     keys = ["machine", "column"]
     sessions = sequence.gap_sessions(episode_rows(spark, folder), keys, "ts")
     return day_text(rounded(sequence.longest_session(sessions, keys), 6, "days"), "detected_day")
+
+
+# ------------------------------------------------------------------ streams
+
+_END = "~end"  # a last row far in the future, so that the watermark closes everything before it
+
+
+def replayed(spark, rows, make, files: int, part):
+    """Rows as a bounded stream of ``files`` files, one a batch, through ``make`` into Parquet files, and those read back.
+
+    ``part``: the file of a row. Keys named ``_END`` only move the watermark and are dropped.
+    """
+    base = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
+    split = written(rows.withColumn("_file", part))
+    for i in range(files):
+        split.where(F.col("_file") == i).drop("_file").coalesce(1).write.parquet(f"{base}/in/{i}")
+    ending = rows.agg(F.max("ts").alias("ts")).selectExpr(*[
+        "ts + interval 1000 days as ts" if c == "ts" else f"ts as {c}" if c == "since" else f"'{_END}' as `{c}`" for c in rows.columns])
+    ending.coalesce(1).write.parquet(f"{base}/in/{files}")
+    stream = make(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*"))
+    done = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
+    done.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out").where(F.col("machine") != _END)
+
+
+def _plain_times(df, *names):
+    return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n in names})
+
+
+@query("stream_sessions", f"WITH {SHOTS_SQL}, {GAP_SQL} SELECT machine, \"column\", start_ts, end_ts, n_rows FROM gs")
+def stream_sessions(spark, folder):
+    """The rows come out of order: each file holds rows of the whole period."""
+    rows = episode_rows(spark, folder).select("machine", "column", F.col("ts").cast("timestamp").alias("ts"))
+    out = replayed(spark, rows, lambda s: live.live_sessions(s, "machine", "ts", late="400 days"), 5, F.pmod(F.xxhash64("ts"), F.lit(5)))
+    return _plain_times(out, "start_ts", "end_ts")
+
+
+@query("stream_notices", f"""WITH RECURSIVE {SHOTS_SQL}, {GAP_SQL},
+  ac AS (SELECT gr.machine, gr."column", start_ts AS since, ts FROM gr JOIN gs USING (machine, "column", session)),
+  no AS (SELECT machine, "column", since, min(ts) AS ts FROM ac GROUP BY ALL
+    UNION ALL SELECT no.machine, no."column", no.since, min(ac.ts) FROM no JOIN ac ON ac.machine = no.machine AND ac."column" = no."column"
+      AND ac.since = no.since AND ac.ts >= no.ts + INTERVAL 2 DAY GROUP BY no.machine, no."column", no.since)
+  SELECT * FROM no""")
+def stream_notices(spark, folder):
+    """The files follow each other in time, as a running job sees them; a notice every two days of an alert."""
+    rows = written(episode_rows(spark, folder).select("machine", "column", "ts"))
+    sessions = sequence.gap_sessions(rows, ["machine", "column"], "ts").select("machine", "column", F.col("start_ts").alias("since"), "end_ts")
+    active = rows.join(sessions, ["machine", "column"]).where("ts between since and end_ts")
+    active = active.select("machine", "column", F.col("since").cast("timestamp").alias("since"), F.col("ts").cast("timestamp").alias("ts"))
+    first, last = rows.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    width = max(((last - first).days + 1) / 5, 1)
+    part = F.least(F.floor(F.datediff(F.to_date("ts"), F.lit(first)) / width), F.lit(4))
+    out = replayed(spark, active, lambda s: live.paced_notifications(s, "machine", "ts", "2 days"), 5, part)
+    return _plain_times(out, "since", "ts")

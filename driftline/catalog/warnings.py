@@ -16,6 +16,7 @@ from driftline.operators import alerts, health, sweep
 from driftline.operators.sequence import gap_sessions
 from driftline.plans.alerting import learn_references, read_references, run_alerts
 from driftline.schema import LOW, RECENT_DAYS
+from driftline.sources.published import publish_days, read_published
 from driftline.sources.writers import save_table
 from driftline.store import work_folder, written
 
@@ -109,6 +110,18 @@ def alerts_all(spark, folder):
     return _show(alert_table(spark, folder))
 
 
+@query("alerts_published", f"WITH {SHOTS_SQL}, {BASE_SQL} SELECT * {_REPLACE} FROM al")
+def alerts_published(spark, folder):
+    """Two overlapping periods, the first with every row of the overlap twice, and a write that breaks off."""
+    rows, path = written(alert_table(spark, folder)), f"{work_folder(spark)}/published-{uuid.uuid4().hex}"
+    first, last = rows.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    part = (last - first) // 5
+    publish_days(rows.unionAll(rows.where(F.to_date("ts") >= F.lit(first + 2 * part))), path, "machine", "ts", first, first + 3 * part)
+    run = publish_days(rows, path, "machine", "ts", first + 2 * part, last)
+    rows.withColumn("alert_date", F.to_date("ts")).write.partitionBy("machine", "alert_date").parquet(f"{path}/runs/run={run + 1}")
+    return _show(read_published(spark, path).drop("alert_date"))
+
+
 def _typed(kind, measure):
     @query(f"alerts_{kind.lower()}", f"WITH {SHOTS_SQL}, {BASE_SQL} SELECT * {_REPLACE} FROM al WHERE \"column\" = '{measure}'")
     def run(spark, folder):

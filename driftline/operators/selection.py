@@ -80,7 +80,7 @@ def _cut(long: DataFrame, at: DataFrame, part: Sequence[str], ks: range, groups:
     names = [*[f"{c}{k}" for k in ks for c in _AT], *_MOMENTS]
     new = _located(placed, part, ks, "rest{}".format, slot, [f"max({c}) as {c}" for c in names])
     kept = [f"case when low{k} < high{k} then _{c}{k} else {c}{k} end as {c}{k}" for k in ks for c in _AT]
-    return at.where(f"not ({some})").unionAll(new.selectExpr(*[f"`{c}`" for c in part], *kept, *_MOMENTS))
+    return at.where(f"not ({some})").unionAll(new.selectExpr(*part, *kept, *_MOMENTS))
 
 
 def _written(at: DataFrame, ks: range) -> tuple[DataFrame, int, int]:
@@ -98,6 +98,8 @@ def select_quantiles(long: DataFrame, part: Sequence[str], probs: Sequence[float
     further, down to single values. Equal to sorting the whole group.
     """
     small = min(limit or group_row_limit(long.sparkSession), SMALL)
+    given, part = list(part), [f"_part{i}" for i in range(len(part))]  # names that no column here has
+    long = long.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(given, part)], "value")
     ks, seen = range(2 * len(probs)), Observation()
     counted = long.select(*part, "value", F.lit(0).alias("slot"), log_bin(F.col("value")).alias("digit")).groupBy(*part, "slot", "digit").agg(
         *_span(), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
@@ -111,7 +113,7 @@ def select_quantiles(long: DataFrame, part: Sequence[str], probs: Sequence[float
     if widest:
         at = _cut(long, at, part, ks, groups, by_value=True)
     cuts = []
-    for i, (p, name) in enumerate(zip(probs, names)):
+    for i, p in enumerate(probs):
         pos = f"({float(p)!r}D * (n - 1))"
-        cuts.append(f"low{2 * i} + (low{2 * i + 1} - low{2 * i}) * ({pos} - floor({pos})) as `{name}`")
-    return at.selectExpr(*[f"`{c}`" for c in part], *_MOMENTS, *cuts)
+        cuts.append(f"low{2 * i} + (low{2 * i + 1} - low{2 * i}) * ({pos} - floor({pos})) as _cut{i}")
+    return at.selectExpr(*part, *_MOMENTS, *cuts).toDF(*given, *_MOMENTS, *names)

@@ -10,7 +10,7 @@ from driftline import store
 from driftline.functions.expr import without_nan
 from driftline.operators import baseline, daily, explore, quality
 from driftline.schema import Roles
-from driftline.sources.writers import histogram_records, save_table
+from driftline.sources.writers import dashboard_records, save_records, save_table
 
 
 def stage_pairs(stages: Mapping[str, tuple[Sequence[str], Sequence[str]]]) -> list[tuple[str, str]]:
@@ -49,6 +49,5 @@ def _explore(df, roles, stages, features, categories, outcomes, folder) -> dict[
     }
     paths = {name: save_table(table, folder, name) for name, table in tables.items()}
     bins = explore.histogram(df, roles.measures[:2], roles.normal)
-    visual = histogram_records(bins, rates, [roles.entity, "dt", *averages])
-    paths["visual"] = save_table(visual, folder, "visual", fmt="json")
+    paths["visual"] = save_records(dashboard_records(bins, rates, roles.entity, "dt", averages), folder, "visual")
     return paths

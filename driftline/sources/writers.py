@@ -31,11 +31,25 @@ def save_alerts(alerts: DataFrame, path: str, entity: str, time: str) -> None:
     dated.repartition(entity, "alert_date", salt).write.mode("overwrite").partitionBy(entity, "alert_date").parquet(path)
 
 
-def histogram_records(histogram: DataFrame, daily: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Dashboard text: histogram bins and daily records. Bins and days are bounded."""
+def dashboard_records(histogram: DataFrame, daily: DataFrame, entity: str, day: str, fields: Sequence[str], digits: int = 6) -> DataFrame:
+    """kind, name, record: one JSON text per measure with its histogram and one per entity with its days.
+
+    Numbers are fixed decimals, so the text does not depend on how floats are printed; missing values are left out. A
+    record holds the bins of one measure or the calendar of one entity.
+    """
+    fixed = lambda c: F.col(c).cast(f"decimal(24,{digits})").alias(c)
     bins = histogram.groupBy("column").agg(
-        F.array_sort(F.collect_list(F.struct("bin", "edge", "normal_rows", "other_rows"))).alias("bins")
-    ).agg(F.array_sort(F.collect_list(F.struct("column", "bins"))).alias("histogram"))
-    days = daily.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("machine_daily"))
-    joined = bins.withColumn("_k", F.lit(1)).join(days.withColumn("_k", F.lit(1)), "_k")
-    return joined.select(F.to_json(F.struct("histogram", "machine_daily")).alias("visual"))
+        F.array_sort(F.collect_list(F.struct("bin", fixed("edge"), "normal_rows", "other_rows"))).alias("bins"))
+    days = daily.groupBy(entity).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(day).cast("string").alias(day), *[fixed(f) for f in fields]))).alias("days"))
+    records = bins.select(F.lit("histogram").alias("kind"), F.col("column").alias("name"), F.to_json(F.struct("column", "bins")).alias("record")).unionAll(
+        days.select(F.lit("daily"), F.col(entity), F.to_json(F.struct(entity, "days"))))
+    # a zero of more than six digits would be printed with an exponent
+    return records.withColumn("record", F.regexp_replace("record", f'":0E-{digits}(?=[,}}])', f'":0.{"0" * digits}'))
+
+
+def save_records(records: DataFrame, folder: str, name: str) -> str:
+    """Records as JSON lines, a folder per kind."""
+    path = f"{folder.rstrip('/')}/{name}"
+    records.select("kind", F.col("record").alias("value")).write.mode("overwrite").partitionBy("kind").text(path)
+    return path

@@ -45,14 +45,15 @@ def _write(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def written_bytes(spark: SparkSession, path: str) -> int:
     """Size of the files below a written table."""
-    system, target = _file_system(spark, path)
+    system, target = file_system(spark, path)
     return system.getContentSummary(target).getLength()
 
 
@@ -66,7 +67,7 @@ def stages(spark: SparkSession):
     finally:
         _SCOPES.remove(own)
         for path in own:
-            system, target = _file_system(spark, path)
+            system, target = file_system(spark, path)
             system.delete(target, True)
 
 

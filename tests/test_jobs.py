@@ -56,3 +56,38 @@ def _stage_folders(spark):
     from pathlib import Path
 
     return Path(work_folder(spark).removeprefix("file:")).glob("stage-*")
+
+
+def test_published_days_are_replaced_and_broken_writes_stay_hidden(spark, tmp_path):
+    from driftline.sources.published import publish_days, read_published, remove_superseded
+
+    day, path = dt.date(2024, 1, 1), f"{tmp_path}/days"
+    stamp = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d, hours=3)
+    rows = lambda mark, days: spark.createDataFrame([("007", stamp(d), mark) for d in days], "m string, ts timestamp_ntz, mark string")
+    at = lambda n: day + dt.timedelta(days=n)
+    shown = lambda: sorted((r["m"], r["ts"].day, r["mark"]) for r in read_published(spark, path).collect())
+    publish_days(rows("a", [0, 1, 2, 3, 9]), path, "m", "ts", at(0), at(3))  # the tenth day is outside the period
+    assert shown() == [("007", d, "a") for d in (1, 2, 3, 4)]
+    second = publish_days(rows("b", [3, 4]), path, "m", "ts", at(2), at(4))  # the third day has become empty
+    want = [("007", 1, "a"), ("007", 2, "a"), ("007", 4, "b"), ("007", 5, "b")]
+    assert shown() == want
+    for run in (second - 1, second + 1):  # writes without a line in the manifest
+        rows("c", [0, 4]).selectExpr("*", "to_date(ts) as alert_date").write.partitionBy("m", "alert_date").parquet(f"{path}/runs/run={run}")
+    assert shown() == want
+    assert remove_superseded(spark, path) == 1 and shown() == want
+    publish_days(rows("d", []), path, "m", "ts", at(0), at(4))
+    assert shown() == [] and remove_superseded(spark, path) == 3
+
+
+def test_dashboard_records_hold_one_entity_and_plain_decimals(spark):
+    import json
+
+    from driftline.sources.writers import dashboard_records, save_records
+
+    bins = spark.createDataFrame([("a", 1, 0.5, 2, 0), ("a", 0, 0.0, 3, 1)], "column string, bin int, edge double, normal_rows long, other_rows long")
+    daily = spark.createDataFrame([("m1", dt.date(2024, 1, 2), None), ("m1", dt.date(2024, 1, 1), 1e-7), ("m2", dt.date(2024, 1, 1), 3e9)], "m string, dt date, v double")
+    got = {(r["kind"], r["name"]): r["record"] for r in dashboard_records(bins, daily, "m", "dt", ["v"], digits=8).collect()}
+    assert got["histogram", "a"] == ('{"column":"a","bins":[{"bin":0,"edge":0.00000000,"normal_rows":3,"other_rows":1},'
+                                     '{"bin":1,"edge":0.50000000,"normal_rows":2,"other_rows":0}]}')
+    assert json.loads(got["daily", "m1"])["days"] == [{"dt": "2024-01-01", "v": 1e-7}, {"dt": "2024-01-02"}]
+    assert json.loads(got["daily", "m2"])["days"][0]["v"] == 3e9

@@ -35,7 +35,8 @@ def test_selection_equals_sorting(spark, limit):
     rows = [(g, float(v), "x") for g, values in data.items() for v in values]
     draw.shuffle(rows)
     df = spark.createDataFrame([(g if g is None else str(g), float(v), x) for g, v, x in rows], "g string, value double, bin string").repartition(5)
-    got = {r["g"]: r for r in select_quantiles(df, ["g"], PROBS, NAMES, limit=limit).collect()}
+    df = df.withColumnsRenamed({"g": "v", "bin": "slot"})  # names that the operator uses itself
+    got = {r["v"]: r for r in select_quantiles(df, ["v", "slot"], PROBS, NAMES, limit=limit).collect()}
     assert got.keys() == data.keys()
     for g, values in data.items():
         r, v = got[g], pd.Series(values)

@@ -237,8 +237,10 @@ def test_exploration_plan(spark, tmp_path):
                          ["machine", "product", "recipe", "code"], ["code", "bad"], str(tmp_path))
     ranking = {r["feature"]: r["weighted_effect"] for r in spark.read.parquet(paths["effect_ranking"]).collect()}
     assert ranking["flow"] < -0.5 < ranking["temp"]
-    visual = json.loads(spark.read.json(paths["visual"]).first()["visual"])
-    assert sum(b["normal_rows"] + b["other_rows"] for b in visual["histogram"][0]["bins"]) == 2400
+    lines = [json.loads(r["value"]) for r in spark.read.text(f"{paths['visual']}/kind=histogram").collect()]
+    assert all(sum(b["normal_rows"] + b["other_rows"] for b in x["bins"]) == 2400 for x in lines) and len(lines) == 2
+    days = [json.loads(r["value"]) for r in spark.read.text(f"{paths['visual']}/kind=daily").collect()]
+    assert len({x["machine"] for x in days}) == len(days) > 1
 
 
 # ------------------------------------------------------------------ streaming
