@@ -1,8 +1,9 @@
 """Language-model scores by a hidden Markov model over the whole vocabulary.
 
-The frequent words (``HEAD``) are those with the largest counts over all training rows, and the texts are tokenized once
-with them. They are symbols of their own; a rarer word is a symbol of its ending, and its chance within that class comes
-from its exact count. Rare words meet their counts in one shuffle of (word, document) rows, so what the model gathers
+The frequent words are those with the largest counts over all training rows, at most ``HEAD``, and the texts are tokenized
+once with them. The ``OWN`` most frequent ones are symbols of their own, so each has an emission of its own in every state;
+any other word shares the emission of its ending (one of ``CLASSES``), and its chance within that class comes from its
+exact count. The states of a hidden Markov model stay a table of bounded size that way, while every count is exact. Rare words meet their counts in one shuffle of (word, document) rows, so what the model gathers
 grows with the corpus; nothing but bounded tables reaches the driver.
 
 States are trained by Baum-Welch in ``ROUNDS`` rounds over all training rows, whose expected counts are summed across
@@ -114,6 +115,19 @@ def _expected(batches: Iterator[pa.RecordBatch], model: dict, schema: pa.Schema)
     yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(place), *(pa.array(rows[:, s]) for s in range(states))], schema=schema)
 
 
+def least_count(counts: DataFrame, most: int) -> int:
+    """The smallest count that at most ``most`` words reach, as fine as a sixteenth of a doubling; exact below 16."""
+    place = F.floor(F.log2(F.col("n")) * 16)
+    steps = counts.groupBy(place.alias("place")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("place")).collect()  # bounded: 16 rows a doubling
+    words, least = 0, 1 << 62
+    for step in steps:
+        words += step["words"]
+        if words > most:
+            break
+        least = step["least"]
+    return least
+
+
 def baum_welch(tokens: DataFrame, model: dict, weights: np.ndarray) -> dict:
     """One round over the sequences of ``tokens``: expected counts summed across partitions, then new probabilities."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -181,8 +195,11 @@ def language_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     rows = train.count()
     ddl = "word long, cls long, n long"
     head_schema = schema_of(ddl)
-    chosen = train.select("_text").mapInArrow(lambda b: _head_counts(b, head_schema), ddl).groupBy("word", "cls").agg(F.sum("n").alias("n"))
-    chosen = chosen.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
+    counts = train.select("_text").mapInArrow(lambda b: _head_counts(b, head_schema), ddl).groupBy("word", "cls").agg(F.sum("n").alias("n"))
+    counts = stages.write(counts)
+    chosen = counts.where(F.col("n") >= least_count(counts, HEAD)).toPandas()  # bounded: at most HEAD rows
+    stages.drop(counts)
+    chosen = chosen.sort_values(["n", "word"], ascending=[False, True])
     head = chosen["word"].to_numpy(np.int64).view(np.uint64)
     own = min(OWN, len(head))
 
