@@ -207,7 +207,8 @@ def language_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     ddl = (f"row long, key {kind}, held boolean, n long, symbols binary, rare array<struct<word:long,n:long,cls:long>>, "
            "counts array<struct<symbol:long,n:long>>")
     token_schema, shared_head = schema_of(ddl), spark.sparkContext.broadcast(head)
-    table = stages.write(plain.mapInArrow(lambda b: _tokenized(b, shared_head.value, token_schema), ddl))
+    # texts of like length lie together, so that the recursions run over many of them to the end
+    table = stages.write(plain.mapInArrow(lambda b: _tokenized(b, shared_head.value, token_schema), ddl).sortWithinPartitions("n"))
     tokens = table.where("row is not null")
 
     # exact counts: frequent words by symbol, rare ones by shuffle
