@@ -109,3 +109,19 @@ def test_training_reads_all_rows_and_words(spark, monkeypatch):
     share = sorted((own[0] / own[0].min()).tolist())
     want = sorted(n + 1 for _, n in count.most_common())
     assert np.allclose(share, np.array(want) / want[0])
+
+
+def test_least_count_keeps_at_most_so_many_words(spark):
+    import numpy as np
+
+    from driftline.llm.language_model import least_count
+
+    counts = np.random.default_rng(1).zipf(1.6, 5000).clip(max=10**12)
+    df = spark.createDataFrame([(int(n),) for n in counts], "n long")
+    for most in (0, 1, 30, 700, 2000, 5000, 9000):
+        least = least_count(df, most)
+        assert (counts >= least).sum() <= most
+        steps = np.floor(np.log2(counts) * 16)
+        left = steps[counts < least]
+        assert not len(left) or (steps >= left.max()).sum() > most  # one step more would be too many
+    assert least_count(df.limit(0), 10) == 1 << 62
