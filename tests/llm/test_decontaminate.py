@@ -22,7 +22,7 @@ def brute(rows, items):
         w = words(t)
         n = min(10, len(w))
         for k in range(len(w) - n + 1) if n else ():
-            windows[tuple(w[k : k + n])].add(str(i))
+            windows[tuple(w[k : k + n])].update(() if i is None else (str(i),))
     out = []
     for i, t in rows:
         w, hit, found = words(t), set(), set()
@@ -63,7 +63,7 @@ def test_index_finds_every_occurrence():
             assert got == sorted(want)
 
 
-@pytest.mark.parametrize("pass_words", [2_000_000, 40])
+@pytest.mark.parametrize("pass_words", [2_000_000, 40, 1])
 def test_hits_against_brute_force(spark, made, pass_words):
     docs, items = made_up()
     found = find_leaks(made(docs), spark.createDataFrame(items, "item_id long, text string"), pass_words=pass_words)
@@ -92,3 +92,56 @@ def test_awkward_and_empty(spark, awkward, empty):
     assert find_leaks(empty, bench).count() == remove_leaks(empty, bench).count() == 0
     assert find_leaks(awkward, bench.limit(0)).where("n_hit > 0").isEmpty()
     assert remove_leaks(table(spark, []), bench).columns == empty.columns
+
+
+def cut_by_hand(text, items):
+    """Spans of all windows on the text as it is, cut together, until nothing is found."""
+    windows = {tuple(w[k : k + n]) for _, t in items for w in [words(t)] for n in [min(10, len(w))] if n for k in range(len(w) - n + 1)}
+    while True:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+        at = [(m.start(), m.end()) for m in WORD.finditer(low)]
+        w, hit = words(text), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit |= set(range(k, k + n))
+        if not hit:
+            return text
+        out, last, k = [], 0, 0
+        while k < len(w):
+            if k in hit:
+                end = k
+                while end + 1 in hit:
+                    end += 1
+                out.append(text[last : at[k][0]])
+                last, k = at[end][1], end
+            k += 1
+        text = "\n".join([*out, text[last:]])
+
+
+@pytest.mark.parametrize("pass_words", [2_000_000, 40, 1])
+def test_overlapping_items_repeated_and_missing_ids_in_any_number_of_parts(spark, made, pass_words):
+    run = [f"w{k}" for k in range(25)]
+    docs = [(None, "aa " + " ".join(run[:20]) + " bb"), (None, "nothing here"), (4, "x " + " ".join(run)), (4, "x " + " ".join(run)),
+            (4, "another text"), (5, "p q r s")]
+    items = [(1, " ".join(run[:12])), (2, " ".join(run[5:20])), (2, " ".join(run[10:25])), (1, "q r"), (None, "p q"), (3, None), (3, "r s")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = find_leaks(made(docs), bench, pass_words=pass_words).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in found), key=repr) == brute(docs, items)
+    left = remove_leaks(made(docs), bench, pass_words=pass_words).collect()
+    want = [(i, cut_by_hand(t, items)) for i, t in docs]
+    assert sorted(((r["doc_id"], r["text"]) for r in left), key=repr) == sorted(((i, t) for i, t in want if words(t)), key=repr)
+    assert (None, "aa \n bb") in want
+
+
+def test_registered_query_has_the_digest_of_the_sorted_ids(spark, tmp_path):
+    import hashlib
+
+    from driftline.llm.queries import QUERIES
+
+    docs, items = made_up(3)
+    table(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [tuple(r) for r in QUERIES["op2_decontaminate"](spark, str(tmp_path)).collect()]
+    want = [(i, n, h, len(f), hashlib.sha256(",".join(f).encode()).hexdigest(), h > 0) for i, n, h, f in brute(docs, items)]
+    assert sorted(got) == sorted(want)
