@@ -9,6 +9,8 @@ from driftline.catalog.registry import query, rounded, union_sql
 from driftline.functions import expr
 from driftline.operators import explore, quality, sequence
 from driftline.operators.baseline import spec_exceedance, stratum_stats
+from driftline.plans.loading import load
+from driftline.schema import Roles
 
 PM = list(PANEL.measures)
 SM = list(SHOTS.measures)
@@ -204,3 +206,39 @@ def analysis_scope(spark, folder):
     df = table(spark, folder, "lineitem").select(*_COLS)
     numeric = quality.numeric_columns(df, [c for c in _COLS if c != "l_shipdate"])
     return quality.analysis_scope(df, numeric)
+
+
+# ------------------------------------------------------------------ loading
+
+RAW_KINDS = {"shot_id": "bigint", "ts": "timestamp_ntz", "value": "double", "k": "double"}
+
+
+def raw_shots(spark, folder):
+    """The events as text, as a file would hold them; every 97th time, 89th number and 101st machine is spoilt."""
+    n = F.col("event_id")
+    return table(spark, folder, "events").select(
+        n.cast("string").alias("shot_id"),
+        F.when(n % 97 == 0, "not a time").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("ts"),
+        F.when(n % 101 != 0, F.concat(F.lit("M"), (F.col("user_id") % 4).cast("string"))).alias("machine"),
+        F.col("event_type").alias("ng_code"),
+        F.when(n % 89 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("value"),
+        F.get_json_object("props", "$.k").alias("k"),
+    )
+
+
+RAW_ROLES = Roles("machine", (), "ts", ("shot_id",), ("value", "k"), normal="ng_code NOT IN ('error', 'signup') and value is not null")
+
+
+@query("fact_load", f"""WITH {SHOTS_SQL}, r AS (SELECT *, shot_id % 97 = 0 AS bad_time, shot_id % 101 = 0 AS no_machine, shot_id % 89 = 0 AS bad_value FROM shots)
+  SELECT shot_id, ts, machine, ng_code, CASE WHEN NOT bad_value THEN value END AS value, k, round(CASE WHEN NOT bad_value THEN value END * k / 100, 8) AS load,
+    is_normal AND NOT bad_value AND value IS NOT NULL AS is_normal FROM r WHERE NOT bad_time AND NOT no_machine""")
+def fact_load(spark, folder):
+    loaded = load(raw_shots(spark, folder), RAW_ROLES, RAW_KINDS, features=lambda df: df.withColumn("load", F.round(F.col("value") * F.col("k") / 100, 8)))
+    return loaded.fact
+
+
+@query("fact_rejects", """WITH r AS (SELECT event_id % 97 = 0 AS t, event_id % 101 = 0 AS m, event_id % 89 = 0 AS v FROM events)
+  SELECT reason, count(*) AS n_rows, count(*) FILTER (t OR m) AS n_rejected FROM (
+    SELECT 'ts: unreadable' AS reason, * FROM r WHERE t UNION ALL SELECT 'machine: missing', * FROM r WHERE m UNION ALL SELECT 'value: unreadable', * FROM r WHERE v) GROUP BY 1""")
+def fact_rejects(spark, folder):
+    return load(raw_shots(spark, folder), RAW_ROLES, RAW_KINDS).report

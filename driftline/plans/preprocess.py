@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from driftline.functions.expr import without_nan
 from driftline.operators import baseline, catalogue, daily, quality, sequence, threshold, trend
 from driftline.operators.catalogue import ColumnRules
+from driftline.plans.loading import Loaded, load, load_training
 from driftline.schema import Roles
 from driftline.sources.readers import summary_text
 from driftline.sources.writers import save_table
@@ -57,6 +58,32 @@ def preprocess(
         return _preprocess(without_nan(df), roles, options, folder, None if training is None else without_nan(training), directions)
 
 
+def preprocess_raw(
+    raw: DataFrame,
+    roles: Roles,
+    options: PreprocessOptions,
+    folder: str,
+    kinds: Mapping[str, str],
+    *,
+    time_format: str | None = None,
+    features: Callable[[DataFrame], DataFrame] | None = None,
+    expected_rows: int | None = None,
+    training: Callable[[], Loaded] | None = None,
+    directions: DataFrame | None = None,
+) -> dict[str, str]:
+    """The whole plan from a raw table: typed reading, rejects, normal flag and derived features first (``plans.loading``).
+
+    Saves the rejected rows, the reasons and, if there is one, the warning about the training table beside the others.
+    """
+    with stages(raw.sparkSession):
+        loaded = load(raw, roles, kinds, time_format=time_format, features=features, expected_rows=expected_rows)
+        extra, warning = load_training(training)
+        notes = raw.sparkSession.createDataFrame([(loaded.rows, loaded.rejected, warning)], "rows long, rejected long, training_warning string")
+        paths = {name: save_table(table, folder, name) for name, table in
+                 (("rejects", loaded.rejects), ("reject_reasons", loaded.report), ("load_notes", notes))}
+        return paths | preprocess(loaded.fact, roles, options, folder, extra, directions)
+
+
 def _preprocess(df, roles, options, folder, training, directions) -> dict[str, str]:
     spark = df.sparkSession
     paths: dict[str, str] = {}

@@ -4,9 +4,10 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftline.plans.alerting import alert_job, learn_references, read_references, run_alerts
-from driftline.plans.preprocess import PreprocessOptions, preprocess
+from driftline.plans.preprocess import PreprocessOptions, preprocess_raw
 from driftline.schema import Limits, Roles
 from driftline.store import work_folder
 
@@ -35,7 +36,12 @@ def shown(df):
 
 def test_alerts_from_files_equal_those_in_memory(spark, fact, tmp_path):
     before = set(map(str, _stage_folders(spark)))
-    paths = preprocess(fact, ROLES, OPTIONS, f"{tmp_path}/references")
+    texts = fact.select([F.col(c).cast("string").alias(c) for c in fact.columns])
+    spoilt = texts.limit(1).withColumn("ts", F.lit("never"))
+    kinds = {"ts": "timestamp_ntz", "id": "bigint", "bad": "int", **dict.fromkeys(ROLES.measures, "double")}
+    paths = preprocess_raw(texts.unionAll(spoilt), ROLES, OPTIONS, f"{tmp_path}/references", kinds, expected_rows=1201)
+    assert [r["reasons"] for r in spark.read.parquet(paths["rejects"]).collect()] == [["ts: unreadable"]]
+    assert tuple(spark.read.parquet(paths["load_notes"]).first()) == (1201, 1, "no training table")
     assert set(map(str, _stage_folders(spark))) == before  # nothing is left behind
     refs = read_references(spark, paths)
     assert refs.types == {"a": "A", "b": "B", "c": "C", "e": "E"} and refs.rises_is_bad == {"a": True}
@@ -91,3 +97,30 @@ def test_dashboard_records_hold_one_entity_and_plain_decimals(spark):
                                      '{"bin":1,"edge":0.50000000,"normal_rows":2,"other_rows":0}]}')
     assert json.loads(got["daily", "m1"])["days"] == [{"dt": "2024-01-01", "v": 1e-7}, {"dt": "2024-01-02"}]
     assert json.loads(got["daily", "m2"])["days"][0]["v"] == 3e9
+
+
+def test_loading_keeps_what_it_cannot_read(spark):
+    from driftline.plans.loading import load, load_training
+
+    roles = Roles("m", (), "ts", ("id",), ("a", "b"), normal="a > 0")
+    rows = [("1", "2024-01-01 00:00", "x", "1.5", "2"), ("2", "soon", "x", "1", "2"), ("3", "2024-01-02 00:00", None, "1", "n/a"),
+            ("q", None, None, "1", "2"), ("5", "2024-01-03 00:00", "x", "NaN", "oops"), ("6", "2024-01-03 00:00", "x", None, None)]
+    raw = spark.createDataFrame(rows, "id string, ts string, m string, a string, b string")
+    kinds = {"id": "bigint", "ts": "timestamp_ntz", "a": "double", "b": "double"}
+    run = lambda **more: load(raw, roles, kinds, time_format="yyyy-MM-dd HH:mm", **more)
+    got = run(features=lambda df: df.selectExpr("*", "a * b as ab"), expected_rows=6)
+    assert (got.rows, got.rejected) == (6, 3)
+    assert sorted(map(tuple, got.fact.select("id", "a", "b", "ab", "is_normal").collect())) == [
+        (1, 1.5, 2.0, 3.0, True), (5, None, None, None, False), (6, None, None, None, False)]
+    assert sorted((r["id"], r["ts"], sorted(r["reasons"])) for r in got.rejects.collect()) == [
+        ("2", "soon", ["ts: unreadable"]), ("3", "2024-01-02 00:00", ["b: unreadable", "m: missing"]),
+        ("q", None, ["id: unreadable", "m: missing", "ts: missing"])]
+    assert {tuple(r) for r in got.report.collect()} == {
+        ("ts: unreadable", 1, 1), ("b: unreadable", 2, 1), ("m: missing", 2, 2), ("id: unreadable", 1, 1), ("ts: missing", 1, 1)}
+    with pytest.raises(ValueError, match="6 rows, expected 7"):
+        run(expected_rows=7)
+    assert load_training(None) == (None, "no training table")
+    assert load_training(lambda: run(expected_rows=7)) == (None, "training table left out: 6 rows, expected 7")
+    assert load_training(run)[0].count() == 3
+    nothing = load(raw.limit(0), roles, kinds)
+    assert (nothing.rows, nothing.fact.count(), nothing.report.count()) == (0, 0, 0)
