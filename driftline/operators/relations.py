@@ -46,6 +46,20 @@ def resolved_pairs(detail: DataFrame, verified: DataFrame, alarm_only: DataFrame
     return two.unionByName(last)
 
 
+def pairing_in_use(
+    interface: DataFrame | None, tiers: DataFrame | None, fallback: DataFrame, verified: DataFrame, alarm_only: DataFrame
+) -> DataFrame:
+    """factor, defect, origin of the pairs a plan works with.
+
+    The relation tables decide. If one is absent or lacks a needed column, the fallback pairs stand alone; otherwise
+    verified and alarm-only pairs are added for factors the relation tables say nothing about.
+    """
+    detail = None if interface is None or tiers is None else adopted_pairs(interface, tiers)
+    if detail is None:
+        return fallback.select("factor", "defect", F.lit("fallback").alias("origin"))
+    return resolved_pairs(detail, verified, alarm_only)
+
+
 def pairing_lists(pairs: DataFrame) -> DataFrame:
     """Labels of each factor as a list, and whether there is more than one."""
     return pairs.groupBy("factor").agg(F.array_sort(F.collect_list("defect")).alias("defects")).withColumn(

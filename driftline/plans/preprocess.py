@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 
 from driftline.functions.expr import without_nan
-from driftline.operators import baseline, catalogue, daily, quality, sequence, threshold, trend
+from driftline.operators import baseline, catalogue, daily, quality, relations, sequence, threshold, trend
 from driftline.operators.catalogue import ColumnRules
 from driftline.plans.loading import Loaded, load, load_training
 from driftline.schema import Roles
@@ -21,11 +21,15 @@ from driftline.store import stages
 class PreprocessOptions:
     """What the plan has to know about the measures.
 
+    ``pairs``: (measure, label) to learn thresholds for; with relation tables only the fallback, to which ``verified`` and
+    ``alarm_only`` pairs are added where the tables say nothing about a measure.
     ``scanned``: measures and labels of the candidate scan; ``flatline``: sensors checked
     for stuck values. Both default to all of the roles.
     """
 
     pairs: Sequence[tuple[str, str]]
+    verified: Sequence[tuple[str, str]] = ()
+    alarm_only: Sequence[tuple[str, str]] = ()
     rises_is_bad: Mapping[str, bool] = field(default_factory=dict)
     two_sided: Sequence[str] = ()
     recompute_target: Sequence[str] = ()
@@ -38,7 +42,7 @@ class PreprocessOptions:
     flatline: Sequence[str] | None = None
     permutations: int = 40
     min_labels: int | None = None
-    consistency: tuple[str, str] | None = None
+    consistency: tuple[str, str] | None = None  # two columns that must move together; "-y": against each other
 
 
 def preprocess(
@@ -48,14 +52,18 @@ def preprocess(
     folder: str,
     training: DataFrame | None = None,
     directions: DataFrame | None = None,
+    relation_tables: tuple[DataFrame | None, DataFrame | None] | None = None,
 ) -> dict[str, str]:
     """Write all tables below ``folder`` and return their paths.
 
+    ``relation_tables``: interface and tier table, each None if it cannot be read; without them the pairs are those of
+    the options.
+
     Tables that later steps read again are read from where they were written, so nothing
     is computed twice; intermediate tables are removed at the end.
     """
     with stages(df.sparkSession):
-        return _preprocess(without_nan(df), roles, options, folder, None if training is None else without_nan(training), directions)
+        return _preprocess(without_nan(df), roles, options, folder, None if training is None else without_nan(training), directions, relation_tables)
 
 
 def preprocess_raw(
@@ -70,6 +78,7 @@ def preprocess_raw(
     expected_rows: int | None = None,
     training: Callable[[], Loaded] | None = None,
     directions: DataFrame | None = None,
+    relation_tables: tuple[DataFrame | None, DataFrame | None] | None = None,
 ) -> dict[str, str]:
     """The whole plan from a raw table: typed reading, rejects, normal flag and derived features first (``plans.loading``).
 
@@ -81,10 +90,10 @@ def preprocess_raw(
         notes = raw.sparkSession.createDataFrame([(loaded.rows, loaded.rejected, warning)], "rows long, rejected long, training_warning string")
         paths = {name: save_table(table, folder, name) for name, table in
                  (("rejects", loaded.rejects), ("reject_reasons", loaded.report), ("load_notes", notes))}
-        return paths | preprocess(loaded.fact, roles, options, folder, extra, directions)
+        return paths | preprocess(loaded.fact, roles, options, folder, extra, directions, relation_tables)
 
 
-def _preprocess(df, roles, options, folder, training, directions) -> dict[str, str]:
+def _preprocess(df, roles, options, folder, training, directions, relation_tables) -> dict[str, str]:
     spark = df.sparkSession
     paths: dict[str, str] = {}
 
@@ -95,8 +104,7 @@ def _preprocess(df, roles, options, folder, training, directions) -> dict[str, s
     report = quality.key_report(df, roles)
     if options.expected:
         quality.expect(report, options.expected)
-    if options.consistency:
-        check_consistency(df, *options.consistency)
+    together = check_consistency(df, *options.consistency) if options.consistency else None
 
     normal, ok = df.filter(roles.normal), df.filter(roles.ok)
     stats = save("stratum_stats", baseline.override_targets(
@@ -132,6 +140,13 @@ def _preprocess(df, roles, options, folder, training, directions) -> dict[str, s
         save("baseline_e", baseline.baseline_e(ok, options.constants))
 
     pairs = list(options.pairs)
+    if relation_tables is not None:
+        listed = lambda p: spark.createDataFrame(list(p), "factor string, defect string")
+        pairing = save("pairing", relations.pairing_in_use(
+            *relation_tables, listed(options.pairs), listed(options.verified), listed(options.alarm_only)))
+        known = {*roles.measures}, {*roles.labels}
+        found = sorted((r["factor"], r["defect"]) for r in pairing.collect())  # names of measures and labels
+        pairs = [(c, d) for c, d in found if c in known[0] and d in known[1]]
     if pairs:
         scan_measures, scan_labels = options.scanned or (roles.measures, roles.labels)
         candidates = save("candidates", threshold.candidate_scan(
@@ -147,16 +162,23 @@ def _preprocess(df, roles, options, folder, training, directions) -> dict[str, s
         save("entry_rates", trend.entry_rate_baseline(df, learned, roles))
 
     included = [r["column"] for r in columns.filter("include_in_downstream_default").orderBy("position").collect()]
-    text = summary_text(report, {"included_columns": included, "policy": "flag_only"})
+    rules, counts = options.rules, {r["subsystem"]: r["count"] for r in columns.groupBy("subsystem").count().orderBy("subsystem").collect()}
+    text = summary_text(report, {
+        "included_columns": included, "policy": "flag_only", "subsystem_column_counts": counts,
+        "excluded_columns": [*rules.excluded_ids, *rules.excluded_measures], "excluded_labels": list(rules.excluded_labels),
+        "pending_review_columns": dict(rules.pending),
+    } | ({} if together is None else {"consistency": {"columns": list(options.consistency), "spearman_r": together}}))
     paths["summary"] = save_table(text, folder, "summary", fmt="json")
     return paths
 
 
 def check_consistency(df: DataFrame, x: str, y: str, least: float = 0.5) -> float:
-    """Raise unless two columns that must move together do (rank correlation)."""
+    """Rank correlation of two columns that must move together, against each other if ``y`` begins with a minus; raises if
+    they do not."""
     from driftline.operators.explore import spearman_pairs
 
-    r = spearman_pairs(df, [(x, y)], {"all": "true"}).first()["spearman_r"]
-    if r is None or r <= least:
-        raise ValueError(f"{x} and {y} should move together, rank correlation is {r}")
-    return r
+    name, sign = y.removeprefix("-"), -1 if y.startswith("-") else 1
+    r = spearman_pairs(df, [(x, name)], {"all": "true"}).first()["spearman_r"]
+    if r is None or sign * r <= least:
+        raise ValueError(f"{x} and {y} should move together, rank correlation is {None if r is None else sign * r}")
+    return sign * r

@@ -103,7 +103,10 @@ WATCHED = {m: tuple(d for x, d in _PAIRS if x == m) for m, _ in _PAIRS}
 
 # What preprocessing has to know.
 OPTIONS = PreprocessOptions(
-    pairs=_PAIRS,
+    pairs=FALLBACK_PAIRS,
+    verified=VERIFIED_PAIRS,
+    alarm_only=ALARM_ONLY_PAIRS,
+    consistency=("Fail_Die", "-Yield"),
     rises_is_bad=RISES_IS_BAD,
     two_sided=TWO_SIDED,
     recompute_target=RECOMPUTE_TARGET,

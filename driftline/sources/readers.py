@@ -71,6 +71,7 @@ def flatten_snapshot(texts: DataFrame, column: str) -> DataFrame:
 
 
 def summary_text(report: DataFrame, extra: dict) -> DataFrame:
-    """A one-row report and fixed facts as one JSON text."""
-    cells = [F.lit(json.dumps(v, ensure_ascii=False)).alias(k) if isinstance(v, (list, dict)) else F.lit(v).alias(k) for k, v in extra.items()]
-    return report.select(F.to_json(F.struct(*report.columns, *cells)).alias("summary"))
+    """A one-row report and fixed facts, nested ones too, as one JSON text."""
+    facts = json.dumps(extra, ensure_ascii=False, separators=(",", ":"))[1:]
+    open_end = F.regexp_replace(F.to_json(F.struct(*report.columns)), r"\}$", "," if extra else "")
+    return report.select(F.concat(open_end, F.lit(facts)).alias("summary"))

@@ -1,6 +1,7 @@
 """The steps as jobs: preprocessing writes its tables, alerting reads them and writes its own."""
 
 import datetime as dt
+import json
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from driftline.store import work_folder
 
 ROLES = Roles(entity="m", stratum=("product", "recipe"), time="ts", key=("id",), measures=("a", "b", "c", "e"), labels=("bad",), normal="bad = 0", ok="bad = 0",
               limits={"a": Limits(-4.0, 0.0, 4.0)})
-OPTIONS = PreprocessOptions(pairs=[("c", "bad")], rises_is_bad={"a": True}, two_sided=["b"], constants={"e": 5.0}, permutations=2, min_labels=0)
+OPTIONS = PreprocessOptions(pairs=[("c", "bad")], rises_is_bad={"a": True}, two_sided=["b"], constants={"e": 5.0}, permutations=2, min_labels=0, consistency=("c", "c"))
 
 
 @pytest.fixture(scope="module")
@@ -39,10 +40,14 @@ def test_alerts_from_files_equal_those_in_memory(spark, fact, tmp_path):
     texts = fact.select([F.col(c).cast("string").alias(c) for c in fact.columns])
     spoilt = texts.limit(1).withColumn("ts", F.lit("never"))
     kinds = {"ts": "timestamp_ntz", "id": "bigint", "bad": "int", **dict.fromkeys(ROLES.measures, "double")}
-    paths = preprocess_raw(texts.unionAll(spoilt), ROLES, OPTIONS, f"{tmp_path}/references", kinds, expected_rows=1201)
+    paths = preprocess_raw(texts.unionAll(spoilt), ROLES, OPTIONS, f"{tmp_path}/references", kinds, expected_rows=1201, relation_tables=(None, None))
     assert [r["reasons"] for r in spark.read.parquet(paths["rejects"]).collect()] == [["ts: unreadable"]]
     assert tuple(spark.read.parquet(paths["load_notes"]).first()) == (1201, 1, "no training table")
     assert set(map(str, _stage_folders(spark))) == before  # nothing is left behind
+    summary = json.loads(spark.read.json(paths["summary"]).first()["summary"])
+    assert summary["consistency"]["spearman_r"] > 0.99 and sum(summary["subsystem_column_counts"].values()) == len(fact.columns) + 1
+    assert summary["pending_review_columns"] == {} and summary["excluded_columns"] == [] and "a" in summary["included_columns"]
+    assert {tuple(r) for r in spark.read.parquet(paths["pairing"]).collect()} == {("c", "bad", "fallback")}
     refs = read_references(spark, paths)
     assert refs.types == {"a": "A", "b": "B", "c": "C", "e": "E"} and refs.rises_is_bad == {"a": True}
     memory = learn_references(fact, ROLES, refs.types, rises_is_bad={"a": True}, labels={"c": ("bad",)}, constants={"e": 5.0})
@@ -124,3 +129,26 @@ def test_loading_keeps_what_it_cannot_read(spark):
     assert load_training(run)[0].count() == 3
     nothing = load(raw.limit(0), roles, kinds)
     assert (nothing.rows, nothing.fact.count(), nothing.report.count()) == (0, 0, 0)
+
+
+def test_pairs_come_from_the_relation_tables_or_from_the_fallback_alone(spark):
+    from driftline.operators.relations import PASSED, pairing_in_use
+
+    pairs = lambda *rows: spark.createDataFrame(list(rows), "factor string, defect string")
+    fallback, verified, alarm = pairs(("x", "d")), pairs(("a", "e"), ("b", "e")), pairs(("b", "f"), ("c", "f"))
+    interface = spark.createDataFrame([("a", "d", "True"), ("q", "d", "False")], "factor string, defect string, alert_usable string")
+    tiers = spark.createDataFrame([("a", "d", f" {PASSED} ", "w"), ("q", "d", PASSED, "w")], "factor string, defect string, repro_state string, watch_mode string")
+    shown = lambda i, t: sorted(map(tuple, pairing_in_use(i, t, fallback, verified, alarm).collect()))
+    assert shown(interface, tiers) == [("a", "d", "relation"), ("b", "e", "verified"), ("c", "f", "alarm_only")]
+    for i, t in ((None, tiers), (interface, None), (interface.drop("alert_usable"), tiers)):
+        assert shown(i, t) == [("x", "d", "fallback")]
+
+
+def test_columns_that_must_move_together(spark):
+    from driftline.plans.preprocess import check_consistency
+
+    df = spark.range(50).selectExpr("cast(id as double) as x", "cast(id * id as double) as y", "cast(-id as double) as z")
+    assert check_consistency(df, "x", "y") == check_consistency(df, "x", "-z") == 1.0
+    for wrong in ("z", "-y"):
+        with pytest.raises(ValueError):
+            check_consistency(df, "x", wrong)
