@@ -81,7 +81,7 @@ def test_stages_stand_empty_and_null(spark, folder):
 
 def test_names_of_the_queries():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {m[0] for x in names if (m := re.match(r"op\d+", x))} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {m[0] for x in names if (m := re.match(r"op\d+", x))} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
 
 
