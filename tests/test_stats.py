@@ -278,6 +278,45 @@ def test_spearman_drops_incomplete_rows_before_ranking(spark):
     assert explore.spearman_pairs(flat, [("x", "y")], {"all": "true"}).first()["spearman_r"] is None
 
 
+def _with_gaps(spark, rows=400):
+    rng = np.random.default_rng(6)
+    data = pd.DataFrame({"a": rng.integers(0, 5, rows).astype(float), "b": rng.normal(size=rows).round(2), "c": rng.integers(-2, 3, rows).astype(float),
+                         "d": rng.normal(size=rows).round(3)})
+    data["b"] += data["a"]
+    data["d"] -= data["c"]
+    for c in data:
+        data.loc[rng.random(rows) < 0.1, c] = np.nan
+    data["ok"] = rng.integers(0, 2, rows)
+    plain = data.astype(object).where(data.notna(), None)
+    return data, spark.createDataFrame(plain.values.tolist(), "a double, b double, c double, d double, ok int")
+
+
+@pytest.mark.parametrize("few, limit", [(0, None), (50, 60), (10_000, None)])
+def test_rank_correlations_whatever_the_number_of_values(spark, monkeypatch, few, limit):
+    """Ranks in place on no, one or both sides of a pair: the same result as ranking the complete rows of each pair."""
+    monkeypatch.setattr(explore, "FEW_VALUES", few)
+    data, df = _with_gaps(spark)
+    pairs = [("a", "b"), ("b", "a"), ("a", "c"), ("b", "c"), ("b", "d"), ("c", "c"), ("d", "a")]
+    got = {(r["population"], r["x_name"], r["y_name"]): (r["n_rows"], r["spearman_r"])
+           for r in explore.spearman_pairs(df, pairs, {"all": "true", "fine": "ok = 1", "none": "ok = 5"}, limit=limit).collect()}
+    assert len(got) == 2 * len(pairs)
+    for name, part in (("all", data), ("fine", data[data.ok == 1])):
+        for x, y in pairs:
+            kept = part[[x, y]].dropna() if x != y else pd.concat([part[x].dropna()] * 2, axis=1)
+            assert got[(name, x, y)] == (len(kept), pytest.approx(kept.iloc[:, 0].rank().corr(kept.iloc[:, 1].rank()), abs=1e-9))
+
+
+@pytest.mark.parametrize("columns, few", [("abcd", 50), ("acb", 50), ("bca", 50), ("abcd", 10_000)])
+def test_rank_matrix_whatever_the_number_of_values(spark, monkeypatch, columns, few):
+    monkeypatch.setattr(explore, "FEW_VALUES", few)
+    data, df = _with_gaps(spark)
+    want = data[list(columns)].rank().corr()
+    got = {(r["variable_1"], r["variable_2"]): r["spearman_r"] for r in explore.spearman_matrix(df, list(columns), limit=60).collect()}
+    assert list(sorted(got)) == sorted((x, y) for i, x in enumerate(columns) for y in columns[i + 1:])
+    for (x, y), r in got.items():
+        assert r == pytest.approx(want.loc[x, y], abs=6e-5)
+
+
 def test_cramers_v_matches_the_dense_table(spark):
     rng = np.random.default_rng(4)
     a = rng.choice(list("abc"), 500)
