@@ -74,27 +74,19 @@ def stump_thresholds(
     sizes = (size["total"] or 0, size["largest"] or 0)
     left = running(counts, part, ["value"], sums, inclusive=False, limit=limit, sizes=sizes)
     joined = left.filter("_prev is not null").join(totals.drop("_values"), part)
-    cells = joined.select(
-        *part, ((F.col("_prev") + F.col("value")) / 2).alias("cut"), "_nl", "_n",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(d).alias("label"), F.col(f"_pl_{d}").alias("pl"), F.col(f"_p_{d}").alias("p"))
-                    for d in labels
-                ]
-            )
-        ),
-    )
-    if pairs is not None:
-        listed = [F.struct(F.lit(c), F.lit(d)) for c, d in pairs]
-        cells = cells.filter(F.struct("column", "label").isin(*listed)) if listed else cells.limit(0)
-    nl, n, pl, p = F.col("_nl"), F.col("_n"), F.col("pl"), F.col("p")
-    usable = cells.filter(
-        (p >= min_leaf) & (p < n) & (nl >= min_leaf) & (n - nl >= min_leaf)
-    ).withColumn("score", _balanced_score(nl, pl, n, p))
-    best = usable.groupBy(*part, "label").agg(
-        F.max_by(F.struct("cut", "_nl", "_n", "pl", "p"), F.struct("score", (-F.col("cut")).alias("c"))).alias("b")
-    )
+    # the values of a group lie in order here, so the best cut of every label is found without sorting or copying them
+    cut = joined.withColumn("cut", (F.col("_prev") + F.col("value")) / 2)
+    nl, n, listed = F.col("_nl"), F.col("_n"), None if pairs is None else set(pairs)
+    found, cells = [], []
+    for i, d in enumerate(labels):
+        pl, p = F.col(f"_pl_{d}"), F.col(f"_p_{d}")
+        usable = (p >= min_leaf) & (p < n) & (nl >= min_leaf) & (n - nl >= min_leaf)
+        if listed is not None:
+            usable = usable & F.col("column").isin([c for c, e in listed if e == d])
+        best = F.struct("cut", "_nl", "_n", pl.alias("pl"), p.alias("p"))
+        found.append(F.max_by(best, F.when(usable, F.struct(_balanced_score(nl, pl, n, p).alias("score"), (-F.col("cut")).alias("c")))).alias(f"_b{i}"))
+        cells.append(F.struct(F.lit(d).alias("label"), F.col(f"_b{i}").alias("b")))
+    best = cut.groupBy(*part).agg(*found).select(*part, F.inline(F.array(*cells))).filter("b is not null")
     below = F.col("b.pl") / F.col("b._nl")
     above = (F.col("b.p") - F.col("b.pl")) / (F.col("b._n") - F.col("b._nl"))
     return best.select(

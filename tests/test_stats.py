@@ -317,6 +317,16 @@ def test_rank_matrix_whatever_the_number_of_values(spark, monkeypatch, columns,
         assert r == pytest.approx(want.loc[x, y], abs=6e-5)
 
 
+def test_best_cuts_need_no_second_sort(spark):
+    """Values are put in order once per group; the best cut of all labels is found in that order, without a row per label."""
+    rows = [("p", "r", float(i % 50), int(i % 7 == 0), int(i % 50 > 30)) for i in range(400)]
+    df = spark.createDataFrame(rows, "product string, recipe string, a double, x int, y int")
+    out = threshold.stump_thresholds(df, ["product", "recipe"], ["a"], ["x", "y"], [("a", "y")])
+    assert [(r["label"], r["threshold"]) for r in out.collect()] == [("y", 30.5)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sum("Sort [" in line for line in plan.split("Initial Plan")[0].splitlines()) == 1
+
+
 def test_cramers_v_matches_the_dense_table(spark):
     rng = np.random.default_rng(4)
     a = rng.choice(list("abc"), 500)
