@@ -41,23 +41,27 @@ def _reduced(x: np.ndarray) -> np.ndarray:
 
 def _shifts(a: int, b: int, key: np.ndarray) -> list[np.ndarray]:
     """The shift of each round for every row or column of the rectangle: far fewer than positions, so they are looked up."""
-    kind, out = np.int32 if max(a, b) < 2**30 else np.int64, []
+    out = []
     for k, (add, factor) in enumerate(key.tolist()):
         other, size = (b, a) if k % 2 == 0 else (a, b)
         mixed = _reduced(_reduced((np.arange(other, dtype=np.int64) + add) ** 2) * factor)
-        out.append(((mixed * size) >> 31).astype(kind))
+        out.append((mixed * size) >> 31)
     return out
 
 
 def _network(x: np.ndarray, a: int, b: int, shifts: list[np.ndarray]) -> np.ndarray:
     left = x // b
-    right = (x - left * b).astype(shifts[0].dtype)
-    left = left.astype(right.dtype)
+    right = x - left * b
+    spare = np.empty_like(x)
     for k, shift in enumerate(shifts):
         one, other, size = (left, right, a) if k % 2 == 0 else (right, left, b)
-        one += shift[other]
-        np.subtract(one, one.dtype.type(size), out=one, where=one >= size)
-    return left.astype(np.int64) * b + right
+        one += np.take(shift, other, out=spare, mode="clip")
+        # less the size, if it is no less: below zero is a huge number without a sign
+        np.subtract(one, size, out=spare)
+        np.minimum(one.view(np.uint64), spare.view(np.uint64), out=one.view(np.uint64))
+    left *= b
+    left += right
+    return left
 
 
 def permuted(begin: int, end: int, total: int, key: np.ndarray) -> np.ndarray:

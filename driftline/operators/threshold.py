@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftline.functions.expr import no_nan
@@ -154,54 +154,66 @@ def routed_thresholds(
 
 # ------------------------------------------------------------------ noise ceilings
 
-_KEY = "group_key string, column string, unit bigint"
-_BEST = (
-    "group_key string, column string, label string, rep int, "
-    "score double, n_left bigint, p_left bigint, n bigint, p bigint"
+#: Up to so many cuts in a unit, the positives between two of them are counted piece by piece.
+FEW_CUTS = 200
+_CORNERS = (
+    "group_key string, column string, unit bigint, label string, rep int, n_positive bigint, n bigint, p bigint, "
+    "corners array<struct<n_left:bigint,p_left:bigint>>"
 )
-
-
-def _names(ddl: str) -> list[str]:
-    return [c.split()[0] for c in ddl.split(", ")]
-
-
-def _unit_positives(rows: pd.DataFrame, labels: Sequence[str], reps: int, seed: int) -> pd.DataFrame:
-    """Shuffled positives among the positions of one unit, per replicate and label."""
-    first = rows.iloc[0]
-    group, column, total = first["group_key"], first["column"], int(first["n_total"])
-    out = []
-    for rep in range(reps):
-        place = permuted(int(first["begin"]), int(first["end"]), total, keys(seed, group, column, rep))
-        out += [(group, column, int(first["unit"]), d, rep, int((place < int(first[f"p_{d}"])).sum())) for d in labels]
-    return pd.DataFrame(out, columns=["group_key", "column", "unit", "label", "rep", "n_positive"])
-
-
-def _best_cuts(rows: pd.DataFrame, before: pd.DataFrame | None, labels: Sequence[str], reps: int, seed: int, min_leaf: int) -> pd.DataFrame:
-    """Best split of each shuffled label among the value boundaries of one unit of row positions.
-
-    A shuffle gives every row the same chance, so ties of a value may stand in any order. ``before``: shuffled positives
-    in the earlier units of the group, if there are any.
+_CORNER_TYPES = pa.schema([
+    *[(c, pa.string()) for c in ("group_key", "column")], ("unit", pa.int64()), ("label", pa.string()), ("rep", pa.int32()),
+    *[(c, pa.int64()) for c in ("n_positive", "n", "p")], ("corners", pa.list_(pa.struct([("n_left", pa.int64()), ("p_left", pa.int64())]))),
+])
+
+
+def _corners(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the corners of the convex hull of points with growing x."""
+    found, left = {0, len(x) - 1}, [(0, len(x) - 1, np.arange(1, len(x) - 1), side) for side in (1, -1)]
+    while left:
+        a, b, between, side = left.pop()
+        away = side * ((x[b] - x[a]) * (y[between] - y[a]) - (y[b] - y[a]) * (x[between] - x[a]))
+        outside = away > 0
+        between, away = between[outside], away[outside]
+        if len(between):
+            top = int(between[np.argmax(away)])
+            found.add(top)
+            left += [(a, top, between[between < top], side), (top, b, between[between > top], side)]
+    return np.array(sorted(found))
+
+
+def _positives_before(mark: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Marked places before each of the growing cuts."""
+    if len(cuts) <= FEW_CUTS:
+        ends = [0, *cuts.tolist()]
+        return np.cumsum([np.count_nonzero(mark[i:j]) for i, j in zip(ends, ends[1:])], dtype=np.int64)
+    upto = np.zeros(len(mark) + 1, np.int32)
+    np.cumsum(mark, dtype=np.int32, out=upto[1:])
+    return upto[cuts].astype(np.int64)
+
+
+def _unit_corners(rows: pa.Table, labels: Sequence[str], reps: int, seed: int, min_leaf: int, length: int) -> pa.Table:
+    """Shuffled positives of one unit of row positions, and the cuts in it that can be the best, per replicate and label.
+
+    The purity of a split is a convex function of the rows and the positives on its left, whatever lies before the unit,
+    so only corners of the hull of these points can be the best of the unit: a few, and the unit is marked once.
+    A shuffle gives every row the same chance, so ties of a value may stand in any order.
     """
-    out = []
-    first = rows.iloc[0]
-    group, column, total, begin, end = first["group_key"], first["column"], int(first["n_total"]), int(first["begin"]), int(first["end"])
-    cuts = np.sort(rows["n_before"].to_numpy(np.int64))
+    group, column, unit, total = (rows[c][0].as_py() for c in ("group_key", "column", "unit", "n_total"))
+    begin, end = unit * length, min((unit + 1) * length, total)
+    usable = {d: p for d in labels if min_leaf <= (p := rows[f"p_{d}"][0].as_py()) < total}
+    cuts = np.sort(rows["n_before"].to_numpy())
     cuts = cuts[(cuts >= begin) & (cuts >= min_leaf) & (total - cuts >= min_leaf)]
-    usable = [d for d in labels if min_leaf <= int(first[f"p_{d}"]) < total]
-    earlier = {} if before is None else {(r.label, r.rep): int(r.n_positive) for r in before.itertuples()}
-    for rep in range(reps if len(cuts) and usable else 0):
+    out = []
+    for rep in range(reps if usable else 0):
         place = permuted(begin, end, total, keys(seed, group, column, rep))
-        for d in usable:
-            positives = int(first[f"p_{d}"])
-            p_left = earlier.get((d, rep), 0) + np.r_[0, np.cumsum(place < positives)][cuts - begin]
-            a = p_left / positives * 0.5
-            b = (cuts - p_left) / (total - positives) * 0.5
-            c, e = 0.5 - a, 0.5 - b
-            with np.errstate(divide="ignore", invalid="ignore"):
-                score = np.round((a * a + b * b) / (a + b) + (c * c + e * e) / (c + e), 12)
-            i = int(np.argmax(score))
-            out.append((group, column, d, rep, float(score[i]), int(cuts[i]), int(p_left[i]), total, positives))
-    return pd.DataFrame(out, columns=_names(_BEST))
+        for d, positives in usable.items():
+            mark, corners = place < positives, []
+            if len(cuts):
+                p_left = _positives_before(mark, cuts - begin)
+                corners = [{"n_left": int(cuts[i]), "p_left": int(p_left[i])} for i in _corners(cuts, p_left)]
+            out.append((group, column, unit, d, rep, int(np.count_nonzero(mark)), total, positives, corners))
+    columns = zip(*out) if out else [[]] * len(_CORNER_TYPES)
+    return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _CORNER_TYPES)], schema=_CORNER_TYPES)
 
 
 def shuffled_stumps(
@@ -220,38 +232,29 @@ def shuffled_stumps(
 
     The data is never multiplied by the replicates: the values are counted and ordered once, and their row positions are
     dealt out in units of bounded length, also where one value has very many rows. A task marks the positives of its unit
-    by a keyed permutation, so the result depends on the seed alone. Groups of several units are marked twice: the first
-    time only the positives of each unit are counted, for what lies before a unit. One row per unit and replicate and
-    label leaves a task.
+    by a keyed permutation, so the result depends on the seed alone. It returns the number of positives and the few cuts
+    that can be the best one; what lies before a unit is added afterwards. One row per unit and replicate and label
+    leaves a task.
     """
     part, names = ["group_key", "column"], list(labels)
     counts = counts or written(label_counts(df, strata, measures, labels))
     length = min(limit or group_row_limit(df.sparkSession), UNIT)
     totals = lookup(counts.groupBy(*part).agg(F.sum("n").alias("n_total"), *[F.sum(f"pos_{d}").alias(f"p_{d}") for d in names]))
-    most = totals.agg(F.max("n_total")).first()[0] or 0
     placed = running(counts.select(*part, "value", "n"), part, ["value"], {"_upto": ("sum", "n")}, limit=limit)
-    placed = placed.withColumn("n_before", F.col("_upto") - F.col("n"))
+    placed = placed.select(*part, (F.col("_upto") - F.col("n")).alias("n_before"), "_upto")
     over = F.sequence(F.floor(F.col("n_before") / length), F.floor((F.col("_upto") - 1) / length))
     units = placed.select(*part, "n_before", F.explode(over).alias("unit")).join(totals, part)
-    begin = F.col("unit") * length
-    units = units.withColumns({"begin": begin, "end": F.least(begin + length, F.col("n_total"))})
     keyed = [*part, "unit"]
     # a unit is few bytes and much work, so small units must not be put together in one task
-    parts = 3 * df.sparkSession.sparkContext.defaultParallelism
-    dealt = units.repartition(parts, *keyed)
-    if most <= length:
-        found = dealt.groupBy(*keyed).applyInPandas(lambda rows: _best_cuts(rows, None, names, reps, seed, min_leaf), _BEST)
-    else:
-        units = written(dealt)
-        dealt = units.repartition(parts, *keyed)
-        count = dealt.groupBy(*keyed).applyInPandas(
-            lambda rows: _unit_positives(rows, names, reps, seed), f"{_KEY}, label string, rep int, n_positive bigint")
-        earlier = Window.partitionBy(*part, "label", "rep").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
-        before = count.withColumn("n_positive", F.sum("n_positive").over(earlier)).filter("n_positive is not null")
-        found = dealt.groupBy(*keyed).cogroup(before.repartition(parts, *keyed).groupBy(*keyed)).applyInPandas(
-            lambda rows, done: _best_cuts(rows, done, names, reps, seed, min_leaf), _BEST)
-    return found.groupBy(*part, "label", "rep").agg(
-        F.max_by(F.struct("n_left", "p_left", "n", "p"), F.struct("score", (-F.col("n_left")).alias("c"))).alias("b")
+    dealt = units.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, *keyed)
+    found = dealt.groupBy(*keyed).applyInArrow(lambda rows: _unit_corners(rows, names, reps, seed, min_leaf, length), _CORNERS)
+    earlier = Window.partitionBy(*part, "label", "rep").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n_positive").over(earlier), F.lit(0)).alias("before")
+    cuts = found.select(*part, "label", "rep", "n", "p", before, "corners").select(*part, "label", "rep", "n", "p", "before", F.inline("corners"))
+    cuts = cuts.withColumn("p_left", F.col("p_left") + F.col("before"))
+    score = _balanced_score(*map(F.col, ("n_left", "p_left", "n", "p")))
+    return cuts.groupBy(*part, "label", "rep").agg(
+        F.max_by(F.struct("n_left", "p_left", "n", "p"), F.struct(score.alias("score"), (-F.col("n_left")).alias("c"))).alias("b")
     ).select(
         *part, "label", "rep",
         F.round(F.col("b.p_left") / F.col("b.n_left"), 5).alias("rate_below"),

@@ -57,6 +57,43 @@ def test_shuffled_stumps_do_not_depend_on_the_limit(spark, limit):
     assert len(plain) == 12 and plain == run(limit=limit)
 
 
+@pytest.mark.parametrize("before", [0, 700, 5_000])
+def test_the_best_cut_of_a_unit_is_a_corner(before):
+    """Whatever lies before the unit, one of the few corners has the best score of all its cuts."""
+    draw = np.random.default_rng(before)
+    total, positives = 40_000, 9_000
+    for share in (0.05, positives / total, 0.9):
+        mark = draw.random(4_000) < share
+        cuts = np.sort(draw.choice(np.arange(1, 4_001), 1_500, replace=False))
+        local = threshold._positives_before(mark, cuts)
+        assert (local == np.cumsum(mark)[cuts - 1]).all() and (threshold._positives_before(mark, cuts[:50]) == local[:50]).all()
+        corners = threshold._corners(cuts, local)
+        assert len(corners) < 60
+        n_left, p_left = cuts + 2 * before, local + before
+        a, b = p_left / positives / 2, (n_left - p_left) / (total - positives) / 2
+        score = (a * a + b * b) / (a + b) + ((0.5 - a) ** 2 + (0.5 - b) ** 2) / (1 - a - b)
+        assert score[corners].max() == score.max()
+
+
+def test_shuffled_stumps_against_brute_force(spark):
+    draw = np.random.default_rng(8)
+    rows = [("p", "r", float(round(draw.normal(), 1)), int(draw.random() < 0.3)) for _ in range(900)]
+    df = spark.createDataFrame(rows, "product string, recipe string, a double, flag int")
+    got = {r["rep"]: (r["rate_below"], r["rate_above"]) for r in threshold.shuffled_stumps(df, ["product", "recipe"], ["a"], ["flag"], 4, limit=100).collect()}
+    values, positives = np.sort([r[2] for r in rows]), sum(r[3] for r in rows)
+    for rep in range(4):
+        mark = shuffles.permuted(0, 900, 900, shuffles.keys(0, "p|r", "a", rep)) < positives
+        best = None
+        for cut in np.flatnonzero(values[1:] != values[:-1]) + 1:
+            if 10 <= cut <= 890:
+                p = int(mark[:cut].sum())
+                a, b = p / positives / 2, (cut - p) / (900 - positives) / 2
+                score = round((a * a + b * b) / (a + b) + ((0.5 - a) ** 2 + (0.5 - b) ** 2) / (1 - a - b), 12)
+                if best is None or score > best[0]:
+                    best = (score, (round(p / cut, 5), round((positives - p) / (900 - cut), 5)))
+        assert got[rep] == best[1]
+
+
 def test_findings_are_counted_per_label(spark):
     scan = spark.createDataFrame([
         ("l1", "a", True, True, True), ("l1", "b", True, False, True), ("l1", "c", True, True, False), ("l2", "a", False, True, False),
