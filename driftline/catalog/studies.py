@@ -12,7 +12,7 @@ from driftline.functions import expr
 from driftline.operators import labels, relations, splits, threshold
 from driftline.operators.baseline import robust_z, stratum_stats
 from driftline.schema import HIGH, LOW
-from driftline.store import lookup
+from driftline.store import lookup, written
 
 ALL_LABELS = list(PANEL.labels)
 
@@ -60,10 +60,11 @@ def label_risk_ratio(spark, folder):
 def label_grid(spark, folder):
     df = panel(spark, folder)
     zones = lookup(zone_table(df))
-    whole = labels.risk_ratios(df, zones, PANEL, ALL_LABELS).select("column", "label", F.col("n_risky").alias("n_expected"))
+    subsets = {"early": "l_linenumber <= 4", "late": "l_linenumber > 2", "whole": "true"}
+    ratios = written(labels.risk_ratios(df, zones, PANEL, ALL_LABELS, subsets))
+    whole = ratios.filter("dataset = 'whole'").select("column", "label", F.col("n_risky").alias("n_expected"))
     expected = whole.select(F.explode(F.array(F.lit("early"), F.lit("late"))).alias("dataset"), "*")
-    data = {"early": df.filter("l_linenumber <= 4"), "late": df.filter("l_linenumber > 2")}
-    return labels.invariance_grid(data, zones, expected, PANEL, ALL_LABELS)
+    return labels.invariance_grid(ratios.filter("dataset <> 'whole'"), zones, expected)
 
 
 _TESTS = {"returned_binary": "returned = 1", "first_line_binary": "first_line = 1",

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftline.functions import expr
+from driftline.functions.expr import no_nan
 from driftline.functions.tails import normal_p_udf
 from driftline.operators.quantiles import unpivot, value_counts
 from driftline.operators.ordered import running
@@ -14,56 +15,85 @@ from driftline.schema import LOW, Roles
 from driftline.store import join_null_safe, lookup, written
 
 
-def risk_ratios(df: DataFrame, zones: DataFrame, roles: Roles, labels: Sequence[str]) -> DataFrame:
+#: Measures whose zones are told apart in one row; more of them are counted in several rows.
+MEASURES_A_ROW = 4
+
+
+def risk_ratios(
+    df: DataFrame, zones: DataFrame, roles: Roles, labels: Sequence[str], subsets: Mapping[str, str] | None = None
+) -> DataFrame:
     """Label rate inside / outside the risk zone of each (column, label) pair.
 
     ``pure`` leaves out rows with another label on both sides, ``binary`` counts every row
-    whose label is set. ``zones``: column, label, threshold, risky_range (``lo~hi``).
+    whose label is set. ``zones``: column, label, threshold, risky_range (``lo~hi``), one line per pair.
+    ``subsets`` (name -> SQL predicate) gives the ratios of each part of the rows, in ``dataset``.
+
+    One pass over the fact counts rows by their labels and by the zones they lie in; the pairs and
+    the subsets are judged from these counts.
     """
-    # the handful of zones travels as one array on a single joined row
-    pairs = zones.groupBy(F.lit(1).alias("_k")).agg(
-        F.collect_list(F.struct("column", "label", "threshold", "risky_range")).alias("_p")
-    )
-    value = F.coalesce(*[F.when(F.col("z.column") == m, F.col(m).cast("double")) for m in roles.measures])
-    hit = F.coalesce(*[F.when(F.col("z.label") == d, F.col(d) == 1) for d in labels])
-    n_set = sum((F.col(d) for d in labels), F.lit(0))
-    spread = df.withColumn("_k", F.lit(1)).join(F.broadcast(pairs), "_k").select(*roles.measures, *labels, F.explode("_p").alias("z"))
-    rows = spread.select(
-        F.col("z.column").alias("column"), F.col("z.label").alias("label"), hit.alias("y"),
-        F.coalesce(expr.zone_from_range(value, F.col("z.threshold"), F.col("z.risky_range")), F.lit(False)).alias("risky"),
-        (n_set - hit.cast("int") > 0).alias("other"),
-    )
-    y, risky, other = F.col("y"), F.col("risky"), F.col("other")
+    pairs = [(m, d) for m in roles.measures for d in labels]
+    lo = F.split_part("risky_range", F.lit("~"), F.lit(1)).try_cast("double")
+    zone = F.struct("threshold", F.coalesce(lo < F.col("threshold"), F.lit(False)).alias("low"))
+    # the handful of zones travels as one joined row
+    known = zones.agg(*[F.max(F.when((F.col("column") == m) & (F.col("label") == d), zone)).alias(f"_z{i}") for i, (m, d) in enumerate(pairs)])
+    parts = list((subsets or {"": "true"}).items())
+    own = df.select(
+        *[no_nan(F.col(m).cast("double")).alias(f"_m{i}") for i, m in enumerate(roles.measures)],
+        *[F.col(d).alias(f"_y{i}") for i, d in enumerate(labels)],
+        F.array(*[F.expr(test) for _, test in parts]).alias("_in") if subsets else F.lit(None).cast("array<boolean>").alias("_in"),
+    ).crossJoin(F.broadcast(known))
+
+    def inside(i: int) -> Column:
+        value, z = F.col(f"_m{i // len(labels)}"), F.col(f"_z{i}")
+        return F.coalesce(F.when(z.low, value <= z.threshold).otherwise(value >= z.threshold), F.lit(False))
+
+    places = range(0, len(pairs), MEASURES_A_ROW * len(labels))
+    masks = [F.struct(F.lit(at).alias("at"), F.array(*[inside(i) for i in range(at, min(at + MEASURES_A_ROW * len(labels), len(pairs)))]).alias("risky")) for at in places]
+    named = [f"_y{i}" for i in range(len(labels))]
+    zones_known = [f"_z{i}" for i in range(len(pairs))]
+    counts = own.select(*named, "_in", F.inline(F.array(*masks))).groupBy(*named, "_in", "at", "risky").agg(F.count(F.lit(1)).alias("n"))
+
+    n_set = sum((F.col(c) for c in named), F.lit(0))
+    cells = []
+    for i, (m, d) in enumerate(pairs):
+        hit = F.col(f"_y{i % len(labels)}") == 1
+        here = F.col(f"_z{i}").isNotNull() & (F.col("at") == i - i % (MEASURES_A_ROW * len(labels)))
+        cells.append(F.when(here, F.struct(
+            F.lit(m).alias("column"), F.lit(d).alias("label"), hit.alias("y"),
+            F.get("risky", F.lit(i % (MEASURES_A_ROW * len(labels)))).alias("risky"), (n_set - hit.cast("int") > 0).alias("other"))))
+    judged = counts.crossJoin(F.broadcast(known.select(*zones_known)))
+    rows = judged.select("_in", "n", F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c")).select("_in", "n", "c.*")
+    if subsets:
+        listed = F.arrays_zip(F.array(*[F.lit(name) for name, _ in parts]).alias("dataset"), F.col("_in").alias("member"))
+        rows = rows.select("n", "column", "label", "y", "risky", "other", F.inline(listed)).filter("member")
+    y, risky, other, n = F.col("y"), F.col("risky"), F.col("other"), F.col("n")
+
+    def count(test):
+        return F.coalesce(F.sum(F.when(test, n)), F.lit(0))
 
     def rate(side, keep):
-        return F.avg(F.when(side & keep, y.cast("int")))
+        return F.try_divide(count(side & keep & y), F.nullif(count(side & keep & y.isNotNull()), F.lit(0)))
 
     def ratio(keep):
         return F.round(F.try_divide(rate(risky, keep), rate(~risky, keep)), 2)
 
-    return rows.groupBy("column", "label").agg(
-        F.count_if(risky).alias("n_risky"),
+    return rows.groupBy("column", "label", *(["dataset"] if subsets else [])).agg(
+        count(risky).alias("n_risky"),
         ratio(~other).alias("pure_ratio"),
         ratio(F.lit(True)).alias("binary_ratio"),
-        F.count_if(y & risky).alias("n_label_risky"),
-        F.round(F.try_divide(F.count_if(y & risky & other) * 100, F.count_if(y & risky)), 0).alias("co_pct"),
+        count(y & risky).alias("n_label_risky"),
+        F.round(F.try_divide(count(y & risky & other) * 100, F.nullif(count(y & risky), F.lit(0))), 0).alias("co_pct"),
     )
 
 
-def invariance_grid(
-    datasets: dict[str, DataFrame], zones: DataFrame, expected: DataFrame, roles: Roles, labels: Sequence[str]
-) -> DataFrame:
-    """Risk ratios on several datasets, with the gap to the expected zone size.
+def invariance_grid(ratios: DataFrame, zones: DataFrame, expected: DataFrame) -> DataFrame:
+    """Risk ratios of several datasets, with the gap to the expected zone size.
 
-    ``expected``: dataset, column, label, n_expected.
+    ``ratios``: result of ``risk_ratios`` with a ``dataset``; ``expected``: dataset, column, label, n_expected.
     """
-    out = None
-    for name, df in datasets.items():
-        part = risk_ratios(df, zones, roles, labels).withColumn("dataset", F.lit(name))
-        out = part if out is None else out.unionByName(part)
     multi = zones.groupBy("column").agg((F.count(F.lit(1)) > 1).alias("multi_label"))
     return (
-        out.join(lookup(expected), ["dataset", "column", "label"], "left")
+        ratios.join(lookup(expected), ["dataset", "column", "label"], "left")
         .join(lookup(multi), "column", "left")
         .withColumn("size_drift", F.col("n_risky") - F.col("n_expected"))
     )

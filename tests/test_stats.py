@@ -327,6 +327,34 @@ def test_best_cuts_need_no_second_sort(spark):
     assert sum("Sort [" in line for line in plan.split("Initial Plan")[0].splitlines()) == 1
 
 
+def test_risk_ratios_of_subsets_in_one_pass(spark):
+    rng = np.random.default_rng(9)
+    names = list("abcdef")
+    data = pd.DataFrame(rng.integers(0, 9, (600, 6)).astype(float), columns=names)
+    for c in ("u", "v"):
+        data[c] = rng.integers(0, 2, 600)
+    data["part"] = rng.integers(0, 3, 600)
+    data.loc[::17, "a"] = np.nan
+    df = spark.createDataFrame(data.astype(object).where(data.notna(), None).values.tolist(), ", ".join(f"{c} double" for c in names) + ", u int, v int, part int")
+    zones = [("a", "u", 4.0, "-1e18~4"), ("a", "v", 6.0, "6~1e18"), ("f", "v", 2.0, "-1e18~2")]
+    table = spark.createDataFrame(zones, "column string, label string, threshold double, risky_range string")
+    roles = Roles("m", ("p",), "ts", ("id",), tuple(names), ("u", "v"), normal="u = 0", ok="u = 0")
+    subsets = {"low": "part < 2", "all": "true"}
+    got = {(r["dataset"], r["column"], r["label"]): r for r in labels.risk_ratios(df, table, roles, ["u", "v"], subsets).collect()}
+    assert len(got) == 6
+    for name, part in (("low", data[data.part < 2]), ("all", data)):
+        for c, d, cut, text in zones:
+            risky = part[c] <= cut if text.startswith("-") else part[c] >= cut
+            other = part["v" if d == "u" else "u"] == 1
+            r = got[(name, c, d)]
+            assert r["n_risky"] == risky.sum() and r["n_label_risky"] == (risky & (part[d] == 1)).sum()
+            assert r["binary_ratio"] == pytest.approx(part[d][risky].mean() / part[d][~risky].mean(), abs=0.0051)
+            assert r["pure_ratio"] == pytest.approx(part[d][risky & ~other].mean() / part[d][~risky & ~other].mean(), abs=0.0051)
+            assert r["co_pct"] == pytest.approx(100 * other[risky & (part[d] == 1)].mean(), abs=0.501)
+    plain = {tuple(r)[:3] for r in labels.risk_ratios(df, table, roles, ["u", "v"]).select("column", "label", "n_risky").collect()}
+    assert plain == {(c, d, got[("all", c, d)]["n_risky"]) for _, c, d in got}
+
+
 def test_cramers_v_matches_the_dense_table(spark):
     rng = np.random.default_rng(4)
     a = rng.choice(list("abc"), 500)
