@@ -96,6 +96,19 @@ def reference_rows(df: DataFrame, refs: References, roles: Roles, days: DataFram
 _WATCH = ("idx", "column", "label", "type", "rises", "target", "sd", "threshold", "direction", "lsl", "usl", "run", "upper")
 
 
+def watched_wide(
+    df: DataFrame, table: DataFrame, roles: Roles, limit: int | None, sizes: tuple[int, int] | None = None
+) -> Ordered:
+    """The fact as one ordered sequence per (entity, stratum): all measures in ``_all``, what watches them in ``_watch``."""
+    extra = [c for c in ("_over_days",) if c in df.columns]
+    wide = Ordered.of(
+        df.select(*roles.series, *roles.order, *extra, F.array(*[F.col(m).cast("double") for m in roles.measures]).alias("_all")),
+        roles.series, roles.order, limit, fact=df, sizes=sizes,
+    )
+    per_stratum = table.groupBy(*roles.stratum).agg(F.collect_list(F.struct(*_WATCH)).alias("_watch"))
+    return wide.with_df(join_null_safe(wide.df, lookup(per_stratum), roles.stratum))
+
+
 def watched_sequences(
     df: DataFrame, table: DataFrame, roles: Roles, limit: int | None, sizes: tuple[int, int] | None = None
 ) -> Ordered:
@@ -106,15 +119,13 @@ def watched_sequences(
     does not grow with the number of measures, and neither does the shuffle by copies of
     the keys.
     """
-    extra = [c for c in ("_over_days",) if c in df.columns]
-    wide = Ordered.of(
-        df.select(*roles.series, *roles.order, *extra, F.array(*[F.col(m).cast("double") for m in roles.measures]).alias("_all")),
-        roles.series, roles.order, limit, fact=df, sizes=sizes,
-    )
-    per_stratum = table.groupBy(*roles.stratum).agg(F.collect_list(F.struct(*_WATCH)).alias("_watch"))
-    joined = join_null_safe(wide.df, lookup(per_stratum), roles.stratum)
+    return watched_long(watched_wide(df, table, roles, limit, sizes), roles)
+
+
+def watched_long(wide: Ordered, roles: Roles) -> Ordered:
+    extra = [c for c in ("_over_days",) if c in wide.df.columns]
     place = [BLOCK] if wide.blocked else []
-    long = joined.select(*roles.series, *roles.order, RN, *place, *extra, "_all", F.inline("_watch"))
+    long = wide.df.select(*roles.series, *roles.order, RN, *place, *extra, "_all", F.inline("_watch"))
     value = F.get("_all", F.col("idx"))
     scored = long.select(
         *roles.series, *roles.order, RN, *place, *extra, *_VARIANT, "type", "rises", "direction", "run",

@@ -158,6 +158,26 @@ def test_scores_and_verdicts(fact, refs):
     assert {tuple(r) for r in folds} == {("M1", 1, True), ("M2", 1, True)}
 
 
+def test_sums_of_a_series_against_the_recurrence():
+    draw = np.random.default_rng(1)
+    for rows, gaps in ((60, 0.0), (500, 0.1), (4_000, 0.5)):
+        score = draw.normal(size=rows)
+        score[draw.random(rows) < gaps] = np.nan
+        up = dn = 0.0
+        want = []
+        for z in score:
+            up, dn = (0.0, 0.0) if np.isnan(z) else (max(0.0, up + z - 0.4), max(0.0, dn - z - 0.4))
+            want.append((up, dn, max(up, dn)))
+        for i, side in enumerate(("up", "dn", "both")):
+            assert sweep._reach(score, 0.4, side) == pytest.approx([w[i] for w in want], abs=1e-9)
+
+
+def test_sweep_of_whole_series_equals_that_of_blocks(fact, refs):
+    run = lambda **kw: sorted(map(tuple, sweep.sweep_days(fact, refs, ROLES, [0.4, 0.7], [3.0, 4.5], **kw).collect()))
+    whole = run()
+    assert whole and whole == run(limit=150)
+
+
 def test_boundary_of_subsets_against_single_sessions(fact, refs):
     """Every subset of rows gives the boundary that sessions of just these alert rows give."""
     ks, hs = [0.1, 0.4, 0.7], [4.5, 3.0]
