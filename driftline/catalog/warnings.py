@@ -35,8 +35,13 @@ def _only(measures):
     return replace(SHOTS, measures=tuple(measures), limits={m: v for m, v in SHOTS.limits.items() if m in measures})
 
 
+def parsed_shots(spark, folder):
+    """The shots, written: references and detectors read them a dozen times, the JSON is parsed once."""
+    return written(shots(spark, folder))
+
+
 def alert_table(spark, folder, measures=None, with_messages=False):
-    df = shots(spark, folder)
+    df = parsed_shots(spark, folder)
     roles = SHOTS if measures is None else _only(measures)
     return run_alerts(df, roles, references(df, measures), with_messages=with_messages)
 
@@ -97,7 +102,7 @@ def _show(df):
 @query("alerts_from_tables", f"WITH {SHOTS_SQL}, {BASE_SQL} SELECT * {_REPLACE} FROM al")
 def alerts_from_tables(spark, folder):
     """The alerts of references that were saved and read again, as a later job would."""
-    df = shots(spark, folder)
+    df = parsed_shots(spark, folder)
     refs = references(df)
     saved = {"stratum_stats": refs.stats, "baseline_ab": refs.ab, "thresholds": refs.thresholds, "baseline_e": refs.constants}
     paths = {name: save_table(table, f"{work_folder(spark)}/references-{uuid.uuid4().hex}", name) for name, table in saved.items()}

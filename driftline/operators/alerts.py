@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftline.functions import expr, messages as text
 from driftline.operators import sequence
+from driftline.operators.detectors import warnings_of_series
 from driftline.operators.ordered import BLOCK, RN, Ordered, group_row_limit
 from driftline.operators.spec import UpperLimit, breach_days, day_table, spec_rules
 from driftline.schema import CUSUM_H, CUSUM_K, LOW, PERSIST_ROWS, ROLLING_ROWS, Roles
@@ -105,8 +106,11 @@ def watched_wide(
         df.select(*roles.series, *roles.order, *extra, F.array(*[F.col(m).cast("double") for m in roles.measures]).alias("_all")),
         roles.series, roles.order, limit, fact=df, sizes=sizes,
     )
-    per_stratum = table.groupBy(*roles.stratum).agg(F.collect_list(F.struct(*_WATCH)).alias("_watch"))
-    return wide.with_df(join_null_safe(wide.df, lookup(per_stratum), roles.stratum))
+    return wide.with_df(join_null_safe(wide.df, lookup(_watching(table, roles)), roles.stratum))
+
+
+def _watching(table: DataFrame, roles: Roles) -> DataFrame:
+    return table.groupBy(*roles.stratum).agg(F.collect_list(F.struct(*_WATCH)).alias("_watch"))
 
 
 def watched_sequences(
@@ -163,9 +167,9 @@ def alert_rows(
 ) -> DataFrame:
     """One row per (row, measure, label) that carries an early warning.
 
-    One shuffle of the wide fact serves all measures and labels; only the columns the
-    detectors need pass through the windows, the rest is looked up for alerting rows. NaN counts as missing, and rows
-    whose stratum is not fully known belong to no series.
+    One shuffle of the wide fact serves all measures and labels. A series of up to ``limit`` rows is gone through once, in
+    batches; a longer one is cut into blocks. NaN counts as missing, and rows whose stratum is not fully known belong to
+    no series.
     """
     df = expr.without_nan(df).dropna(subset=list(roles.stratum))
     # one aggregate of the fact, then independent small tables, whose jobs run side by side
@@ -179,9 +183,24 @@ def alert_rows(
     fact = df
     if refs.upper:
         fact = join_null_safe(df.withColumn("dt", F.to_date(roles.time)), days, [roles.entity, "dt"])
+    limit = limit or group_row_limit(df.sparkSession)
+    if sizes[1] <= limit:
+        series = per_day.select(*roles.series).distinct()
+        over = {m: F.array_contains("_over_days", m) for m in refs.upper}
+        hits = warnings_of_series(fact, series, _watching(table, roles), roles, over, k, h)
+    else:
+        hits = _warnings_of_blocks(fact, table, refs, roles, k, h, limit, sizes)
+    full = join_null_safe(hits, table.drop("idx"), [*roles.stratum, *_VARIANT])
+    return full.select(*roles.key, roles.time, *roles.series, *_output(roles, h, with_messages))
+
+
+def _warnings_of_blocks(
+    fact: DataFrame, table: DataFrame, refs: References, roles: Roles, k: float, h: float, limit: int, sizes: tuple[int, int]
+) -> DataFrame:
+    """The rows with a warning of series that are cut into blocks: the state of the blocks is carried over by windows."""
     # a task holds the rows of a series once per line that watches them
     lines = table.groupBy(*roles.stratum).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    rows = max((limit or group_row_limit(df.sparkSession)) // lines, 2 * ROLLING_ROWS)
+    rows = max(limit // lines, 2 * ROLLING_ROWS)
     seq = watched_sequences(fact, table, roles, rows, sizes)
     seq = sequence.rolling(seq, ["value"])
     seq = sequence.cusum(seq, ["z"], [k])
@@ -193,10 +212,7 @@ def alert_rows(
     seq = seq.select(_typed_signal(h).alias("typed"), F.coalesce("spec_hit", F.lit(False)).alias("_spec"), over.alias("_limit"))
     seq = seq.select((ready & (F.col("typed") | F.col("_spec") | F.col("_limit"))).alias("warn"))
     seq = sequence.episodes(seq, {"episode_id": "warn"})
-
-    hits = seq.df.filter("warn").drop("type", "rises", "direction", "run")
-    full = join_null_safe(hits, table.drop("idx"), [*roles.stratum, *_VARIANT])
-    return full.select(*roles.key, roles.time, *roles.series, *_output(roles, h, with_messages))
+    return seq.df.filter("warn").drop("type", "rises", "direction", "run")
 
 
 def _sides(h: float) -> tuple[Column, Column]:

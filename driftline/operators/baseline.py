@@ -152,14 +152,21 @@ def ok_medians(ok: DataFrame, strata: Sequence[str], measures: Sequence[str]) ->
     return cut.select("group_key", "column", F.round("median", 5).alias("median"))
 
 
+def _medians_of(ok: DataFrame, strata: Sequence[str], measures: Sequence[str], medians: DataFrame | None) -> DataFrame:
+    return ok_medians(ok, strata, measures) if medians is None else medians.filter(F.col("column").isin(list(measures)))
+
+
 def baseline_a(
     ok: DataFrame,
     strata: Sequence[str],
     rises_is_bad: Mapping[str, bool],
     limits: Mapping[str, Limits],
+    medians: DataFrame | None = None,
 ) -> DataFrame:
-    """One-sided drift measures: target if one is given, else the OK median; bad direction."""
-    medians = ok_medians(ok, strata, list(rises_is_bad))
+    """One-sided drift measures: target if one is given, else the OK median; bad direction.
+
+    ``medians``: the OK medians of these and maybe more measures, if the caller has them."""
+    medians = _medians_of(ok, strata, list(rises_is_bad), medians)
     up = [c for c, up in rises_is_bad.items() if up]
     targets = F.broadcast(limits_frame(ok.sparkSession, limits)).select("column", "target")
     return medians.join(targets, "column", "left").select(
@@ -176,10 +183,11 @@ def baseline_b(
     measures: Sequence[str],
     limits: Mapping[str, Limits],
     recompute_target: Sequence[str] = (),
+    medians: DataFrame | None = None,
 ) -> DataFrame:
     """Two-sided optimum measures. ``recompute_target`` keeps the OK median although a
-    target is given: the limits are trusted, the centre is learned."""
-    medians = ok_medians(ok, strata, measures)
+    target is given: the limits are trusted, the centre is learned. ``medians`` as in ``baseline_a``."""
+    medians = _medians_of(ok, strata, measures, medians)
     targets = F.broadcast(limits_frame(ok.sparkSession, limits)).select("column", "target")
     learned = F.col("column").isin(list(recompute_target)) | F.col("target").isNull()
     return medians.join(targets, "column", "left").select(

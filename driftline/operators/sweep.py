@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from driftline.operators import sequence
 from driftline.operators.alerts import References, reference_rows, watched_long, watched_wide
+from driftline.operators.detectors import lowest
 from driftline.operators.ordered import RN, Ordered
 from driftline.operators.sequence import longest_session, sessions_of_days
 from driftline.schema import CUSUM_H, CUSUM_K, LOW, RECENT_DAYS, ROLLING_ROWS, Roles
@@ -111,30 +112,10 @@ def _reach(score: np.ndarray, k: float, side: str) -> np.ndarray:
     sums = []
     for name, drift in (("up", total - k * n), ("dn", -(total + k * n))):
         if side in (name, "both"):
-            sums.append(drift - _lowest(drift, np.flatnonzero(~there)))
+            sums.append(drift - lowest(drift, np.flatnonzero(~there)))
     return sums[0] if len(sums) == 1 else np.maximum(*sums)
 
 
-def _lowest(drift: np.ndarray, resets: np.ndarray) -> np.ndarray:
-    """Smallest value since the last reset, or since the start, which counts as zero."""
-    first = int(resets[0]) if len(resets) else len(drift)
-    out = drift.copy()
-    np.minimum(np.minimum.accumulate(drift[:first]), 0.0, out=out[:first])
-    if len(resets) <= 1000:
-        for a, b in zip(resets, [*resets[1:], len(drift)]):
-            np.minimum.accumulate(drift[a:b], out=out[a:b])
-        return out
-    # minima over 1, 2, 4, ... rows back, as far as the last reset
-    rest = out[first:]
-    at = np.arange(len(rest))
-    back = at - np.maximum.accumulate(np.where(np.isin(at, resets - first, assume_unique=True), at, 0))
-    step = 1
-    while step <= back.max():
-        rest[step:] = np.where(back[step:] >= step, np.minimum(rest[step:], rest[:-step]), rest[step:])
-        step *= 2
-    return out
-
-
 def _folded(days: DataFrame, keys: Sequence[str]) -> DataFrame:
     return days.groupBy(*keys, "dt").agg(
         F.sum("n_rows").alias("n_rows"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))

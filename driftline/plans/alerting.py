@@ -44,12 +44,15 @@ def learn_references(
     def centres() -> DataFrame | None:
         a = {m: rises[m] for m, t in types.items() if t == "A"}
         b = [m for m, t in types.items() if t == "B"]
+        if not a and not b:
+            return None
+        medians = baseline.ok_medians(ok, roles.stratum, [*a, *b])  # of all measures in the same passes
         parts = []
         if a:
-            parts.append(baseline.baseline_a(ok, roles.stratum, a, roles.limits).drop("bad_direction"))
+            parts.append(baseline.baseline_a(ok, roles.stratum, a, roles.limits, medians).drop("bad_direction"))
         if b:
-            parts.append(baseline.baseline_b(ok, roles.stratum, b, roles.limits, recompute_target))
-        return None if not parts else lookup(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+            parts.append(baseline.baseline_b(ok, roles.stratum, b, roles.limits, recompute_target, medians))
+        return lookup(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
 
     def thresholds() -> DataFrame | None:
         if not pairs:

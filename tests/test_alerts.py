@@ -78,6 +78,22 @@ def test_blocked_sequences_give_the_same_alerts(fact, refs, rows):
             assert x[c] == (pytest.approx(y[c], abs=1e-8) if isinstance(y[c], float) else y[c])
 
 
+def test_a_series_is_gone_through_once_in_small_batches(spark, fact, refs, rows):
+    odd = fact.withColumn("align", F.when(F.col("id") % 7 != 0, F.col("align"))).withColumn("free", F.when(F.col("id") % 11 == 0, float("inf")).otherwise(F.col("free")))
+    show = lambda df: sorted(str([round(v, 8) if isinstance(v, float) else v for v in r]) for r in df.collect())
+    want = show(run_alerts(odd, ROLES, refs, limit=119))  # longer series than that are cut into blocks
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        once = run_alerts(fact, ROLES, refs)
+        plan = once._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Window" not in plan and "Generate" not in plan
+        assert show(once) == show(rows)
+        got = show(run_alerts(odd, ROLES, refs))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) > 100 and got == want
+
+
 def test_rows_start_at_the_tenth_of_a_series(fact, rows):
     first = fact.withColumn("rn", F.row_number().over(
         Window.partitionBy("machine", "product", "recipe").orderBy("ts", "id")))
