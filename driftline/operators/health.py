@@ -73,7 +73,7 @@ def funnel(alerts: DataFrame, roles: Roles, n_rows: DataFrame) -> DataFrame:
     """Input rows -> alert rows -> distinct alerting rows -> episodes -> (entity, column)
     -> active -> full. ``n_rows``: one row, one column."""
     series = [*roles.series, "column"]
-    alerts = written(alerts)  # read three times below
+    alerts = written(alerts.select(*series, roles.time, "episode_id"))  # read three times below
     shots = alerts.groupBy(*series, roles.time).agg(F.count(F.lit(1)).alias("rows")).groupBy(*series).agg(
         F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("shots")
     )

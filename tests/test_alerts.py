@@ -244,6 +244,17 @@ def test_alert_totals(fact, rows):
     assert limits["separable"] and limits["above_days"] < 14 <= limits["up_to_days"]
 
 
+def test_funnel_writes_only_what_it_counts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(health, "written", lambda df: seen.append(set(df.columns)) or written(df))
+    alerts = spark.createDataFrame(
+        [(T0 + dt.timedelta(hours=i), "M1", "P", "R0", "flow", 1 + i // 2, "long text") for i in range(4)],
+        "ts timestamp_ntz, machine string, product string, recipe string, column string, episode_id bigint, message string")
+    row = health.funnel(alerts, ROLES, spark.createDataFrame([(9,)], "n bigint")).first()
+    assert (row["input_rows"], row["alert_rows"], row["alert_shots"], row["episodes"], row["entity_columns"], row["active"]) == (9, 4, 4, 2, 1, 1)
+    assert seen[0] == {"ts", "machine", "product", "recipe", "column", "episode_id"}
+
+
 def test_onset_day(spark):
     values = [10 + 0.1 * ((i * 7) % 5) for i in range(40)] + [10.2, 14, 10.1, 14, 14, 14, 14, 14, 14]
     df = spark.createDataFrame([("m", "c", (T0 + dt.timedelta(days=i)).date(), float(v)) for i, v in enumerate(values)],
