@@ -22,7 +22,7 @@ ERRORS, MIN_CHARS = 2, 20
 HEAD = 40
 
 
-def segment(length: Column, number: int, errors: int) -> tuple[Column, Column]:
+def segment(length: Column, number: int | Column, errors: int) -> tuple[Column, Column]:
     """Start (from 0) and length of a segment of a line; the last segments take the remainder."""
     parts = errors + 1
     base, longer = F.floor(length / parts), length % parts
@@ -44,20 +44,25 @@ def windows(line: Column, errors: int) -> list[Column]:
     return out
 
 
-def keys(errors: int) -> Column:
-    """Posted and probed keys of a line: array of (key, posted), from its ``length`` and its ``windows``.
+def keys(lines: DataFrame, errors: int) -> DataFrame:
+    """(h, key, posted): posted and probed keys of each line.
 
-    A key is the length of the shorter line, the segment, and the head of its content.
+    A key is the length of the shorter line, the segment, and the head of its content. One expression serves all cases,
+    which are numbers in rows: written out case by case, the generated method passes the 8,000 bytes up to which the JVM
+    compiles it, and every line is interpreted.
     """
-    length, out = F.col("length"), []
-    for shorter in range(errors + 1):
-        for number in range(errors + 1):
-            at, size = segment(length - shorter, number, errors)
-            first = segment(length - errors, number, errors)[0] - number
-            for shift in shifts(number, shorter, errors):
-                content = F.substring(F.col(f"part{number}"), (at + shift - first + 1).cast("int"), F.least(size, F.lit(HEAD)).cast("int"))
-                out.append(F.struct(F.xxhash64(length - shorter, F.lit(number), content).alias("key"), F.lit(shorter == 0 and shift == 0).alias("posted")))
-    return F.array(*out)
+    numbers = range(errors + 1)
+    cases = [(shorter, number, shift) for shorter in numbers for number in numbers for shift in shifts(number, shorter, errors)]
+    table = F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("shorter", "number", "shift"), case)]) for case in cases])
+    parts = lines.select("h", F.char_length("line").alias("length"), *windows(F.col("line"), errors))
+    rows = parts.select("*", F.inline(table))
+    length, number = F.col("length") - F.col("shorter"), F.col("number")
+    at, size = segment(length, number, errors)
+    first = segment(F.col("length") - errors, number, errors)[0] - number
+    part = F.coalesce(*[F.when(number == x, F.col(f"part{x}")) for x in numbers])
+    content = F.substring(part, (at + F.col("shift") - first + 1).cast("int"), F.least(size, F.lit(HEAD)).cast("int"))
+    posted = (F.col("shorter") == 0) & (F.col("shift") == 0)
+    return rows.select("h", F.xxhash64(length, number, content).alias("key"), posted.alias("posted"))
 
 
 def parity(line: str) -> Column:
@@ -111,8 +116,7 @@ def _lines(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
 
 def line_links(lines: DataFrame, errors: int, stages: Stages) -> DataFrame:
     """(a, b): verified links between different lines, enough to connect all lines that links connect."""
-    parts = lines.select("h", F.char_length("line").alias("length"), *windows(F.col("line"), errors))
-    posted = parts.select("h", F.explode(keys(errors)).alias("k")).select("h", "k.key", "k.posted").repartition("key")
+    posted = keys(lines, errors).repartition("key")
     # keys under which only one line is found go, in the partition that holds the key
     met = posted.groupBy("key").agg(F.min("h").alias("hub"), F.max("h").alias("top"), F.max("posted").alias("used")).where("hub < top and used")
     found = posted.join(met.select("key", "hub").hint("shuffle_hash"), "key").groupBy("key", "hub", "h").agg(F.max("posted").alias("posted"))
@@ -171,9 +175,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", errors
     joined = rows.join(kept, field(key).eqNullSafe(F.col("id")) & (F.col("mark") == F.col("print")), "left")
     gaps = F.expr("transform(kept, (x, i) -> x - if(i = 0, -1, kept[i - 1]) - 1)")
     flags = F.flatten(F.transform(gaps, lambda gap: F.concat(F.array_repeat(F.lit(False), gap), F.array(F.lit(True)))))
-    flagged = joined.select("box", F.split(field(text), "\n").alias("lines"), F.coalesce(flags, F.array().cast("array<boolean>")).alias("flags"))
-    stay = F.filter("lines", lambda line, i: (F.char_length(line) < least) | F.coalesce(F.get("flags", i), F.lit(False)))
-    out = flagged.select("box", "lines", stay.alias("stay"))
+    # inline works each row out once; a plain select would be copied into every condition on the report
+    parts = F.array(F.struct(F.split(field(text), "\n").alias("lines"), F.coalesce(flags, F.array().cast("array<boolean>")).alias("flags")))
+
+    def stay(part: Column) -> Column:
+        return F.filter(part["lines"], lambda line, i: (F.char_length(line) < least) | F.coalesce(F.get(part["flags"], i), F.lit(False)))
+
+    out = joined.select("box", F.inline(F.transform(parts, lambda part: F.struct(part["lines"].alias("lines"), stay(part).alias("stay")))))
     total, left = F.size("lines").cast("long"), F.size("stay").cast("long")
     there = field(text).isNotNull()
     report = F.struct(F.when(there, total).otherwise(0).alias("n_lines"), F.when(there, total - left).otherwise(0).alias("n_removed"))

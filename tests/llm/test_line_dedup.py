@@ -1,9 +1,10 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.llm.line_dedup import dedup_lines, edit_distance_within
+from driftline.llm.line_dedup import dedup_lines, edit_distance_within, keys
 from tests_llm import AWKWARD
 
 
@@ -96,3 +97,23 @@ def test_awkward_and_empty(awkward, empty):
 def test_no_python_in_the_plan(awkward):
     plan = dedup_lines(awkward)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+@pytest.mark.parametrize("errors", [1, 2, 3])
+def test_keys_are_compiled(spark, capsys, errors):
+    """The JVM interprets methods of more than 8,000 bytes; the keys of two errors once took 15,816."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the code is known before the run
+    try:
+        keys(spark.range(3).select(F.col("id").alias("h"), F.repeat(F.lit("ab c"), F.col("id").cast("int")).alias("line")), errors).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_conditions_on_the_report_repeat_no_work(awkward):
+    left = dedup_lines(awkward).where("line_dedup.n_removed = 0 or line_dedup.n_removed < line_dedup.n_lines").drop("line_dedup")
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == plan.count("flatten(") == 1
+    assert left.count() == sum(r["n_removed"] == 0 or r["n_removed"] < r["n_lines"] for r in dedup_lines(awkward).select("line_dedup.*").collect())
