@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -164,7 +165,8 @@ def _preprocess(df, roles, options, folder, training, directions, relation_table
     included = [r["column"] for r in columns.filter("include_in_downstream_default").orderBy("position").collect()]
     rules, counts = options.rules, {r["subsystem"]: r["count"] for r in columns.groupBy("subsystem").count().orderBy("subsystem").collect()}
     text = summary_text(report, {
-        "included_columns": included, "policy": "flag_only", "subsystem_column_counts": counts,
+        "included_columns": json.dumps(included, ensure_ascii=False), "include_in_downstream_default_columns": included,
+        "policy": "flag_only", "subsystem_column_counts": counts,
         "excluded_columns": [*rules.excluded_ids, *rules.excluded_measures], "excluded_labels": list(rules.excluded_labels),
         "pending_review_columns": dict(rules.pending),
     } | ({} if together is None else {"consistency": {"columns": list(options.consistency), "spearman_r": together}}))

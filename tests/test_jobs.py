@@ -47,6 +47,7 @@ def test_alerts_from_files_equal_those_in_memory(spark, fact, tmp_path):
     summary = json.loads(spark.read.json(paths["summary"]).first()["summary"])
     assert summary["consistency"]["spearman_r"] > 0.99 and sum(summary["subsystem_column_counts"].values()) == len(fact.columns) + 1
     assert summary["pending_review_columns"] == {} and summary["excluded_columns"] == [] and "a" in summary["included_columns"]
+    assert json.loads(summary["included_columns"]) == summary["include_in_downstream_default_columns"]  # text and list
     assert {tuple(r) for r in spark.read.parquet(paths["pairing"]).collect()} == {("c", "bad", "fallback")}
     refs = read_references(spark, paths)
     assert refs.types == {"a": "A", "b": "B", "c": "C", "e": "E"} and refs.rises_is_bad == {"a": True}
